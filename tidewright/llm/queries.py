@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import simhash
-from tidewright.llm.common import table
+from tidewright.llm import licenses, media, packing, simhash, tokenio
+from tidewright.llm.common import shared_dir, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +17,49 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenio.write_tokens(table(spark, sf_dir, "documents"), path, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return tokenio.read_tokens(spark, path, keep_ids=False)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    starts, base = F.col("places.start"), F.array_sort(F.array_distinct("places.label"))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "matches.label")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        "score",
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), drops_space=True, end_id=2, window=4096, keep_ids=False)
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.to_media(table(spark, sf_dir, "documents"), keep=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_token_id_output": op4_token_id_output,
+        "op7_license_scan": op7_license_scan,
+        "op9_packing": op9_packing,
+        "op10_media_columns": op10_media_columns,
     }
 
 
