@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import licenses, media, packing, secrets, simhash, tokenio
+from tidewright.llm import licenses, media, mixing, packing, pii, secrets, simhash, tokenio
 from tidewright.llm.common import shared_dir, table
 
 
@@ -35,6 +35,16 @@ def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.read_tokens(spark, path, keep_ids=False)
 
 
+def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(k) for k in pii.KINDS[:4]], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     starts, base = F.col("places.start"), F.array_sort(F.array_distinct("places.label"))
@@ -64,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_token_id_output": op4_token_id_output,
+        "op5_pii_sanitisation": op5_pii_sanitisation,
+        "op6_source_mixing": op6_source_mixing,
         "op7_license_scan": op7_license_scan,
         "op9_packing": op9_packing,
         "op10_media_columns": op10_media_columns,
