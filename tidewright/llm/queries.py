@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import licenses, media, mixing, packing, pii, secrets, simhash, tokenio
+from tidewright.llm import embeddings, licenses, media, mixing, packing, pii, secrets, simhash, tokenio
 from tidewright.llm.common import shared_dir, table
 
 
@@ -61,6 +61,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), drops_space=True, end_id=2, window=4096, keep_ids=False)
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_sanitisation": op5_pii_sanitisation,
         "op6_source_mixing": op6_source_mixing,
         "op7_license_scan": op7_license_scan,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_packing": op9_packing,
         "op10_media_columns": op10_media_columns,
     }
