@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import embeddings, licenses, media, mixing, packing, pii, secrets, simhash, tokenio
+from tidewright.llm import embeddings, licenses, media, mixing, packing, pii, quality, secrets, simhash, tokenio
 from tidewright.llm.common import shared_dir, table
 
 
@@ -18,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, k=2)
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,9 +77,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.to_media(table(spark, sf_dir, "documents"), keep=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_token_id_output": op4_token_id_output,
         "op5_pii_sanitisation": op5_pii_sanitisation,
@@ -84,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_packing": op9_packing,
         "op10_media_columns": op10_media_columns,
+        "pipeline": pipeline,
     }
 
 
