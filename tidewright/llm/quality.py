@@ -145,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit: int = FIT, keep_at: float
     marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     trusted = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("q"))
     kinds = measured.join(trusted, "doc_id", "left")
-    n = kinds.agg(F.count_if("q = 1").alias("p"), F.count_if(F.col("q").isNull()).alias("u")).first()
+    n = kinds.agg(F.count_if(F.col("q") == 1).alias("p"), F.count_if(F.col("q").isNull()).alias("u")).first()
 
     def sample(rows: DataFrame, total: int) -> np.ndarray:
         share = min(1.0, fit / max(1, total))
