@@ -68,14 +68,17 @@ def normalize_title(c: Column | str) -> Column:
 
 
 #: Words that carry no topic.
-STOP_WORDS = "the a an is in on at to for of and or with by from as are was be has its how what why new says said via и в на с по для от из что как это не к о за у до".split()
+STOP_WORDS = """a an the is are was were be been being have has had do does did will would shall should may might must can could to of in
+for on with at by from as into through during before after above below between out off over under again further then once and but or nor not
+so yet both either neither each every all any few more most other some such no only own same than too very just how what which who whom this
+that these those it its new says said about up now also get gets got like make makes use uses using used
+и в на с по для из к о от за не что как это все но он она они его её их мы вы был была были будет уже ещё при до после между через над под без""".split()
 
 
 def keywords(c: Column | str, stop: list[str] | None = None) -> Column:
-    """Distinct words of a normalized title, three letters or more, without stop words."""
-    words = F.split(normalize_title(c), " ")
-    kept = F.filter(words, lambda w: F.length(w) >= 3)
-    return F.array_except(F.array_distinct(kept), F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)]))
+    """Distinct words of a normalized title without stop words."""
+    words = F.filter(F.split(normalize_title(c), " "), lambda w: w != "")
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in (STOP_WORDS if stop is None else stop)]))
 
 
 def short_sha(*parts: Column, bits: int = 256, size: int = 16) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from tidewright.plans import ads  # noqa: F401
+from tidewright.plans import ads, demand  # noqa: F401
 from tidewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
