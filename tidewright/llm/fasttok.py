@@ -1,74 +1,105 @@
 """Exact ids of the tokenizers library at the speed of a dictionary: a text is cut where the tokenizer's own
 pre-tokenizer always cuts, each different piece is encoded once by the library, and ids are joined as bytes.
 
-Both files cut at a space or a line end between words, so a piece is a run of other characters with the one space
-before it (byte-level file) or the run alone (file that drops white space). Texts for which that is not certain
-(special tokens, white space that Unicode knows and the cut does not) are given to the library whole.
+Both files cut at a single space or line end between words. A key is the word behind a space, a line end and the word
+behind it, or NUL and a piece that nothing stands before (for the file that drops white space, just the word). Texts
+for which the cuts are not certain (special tokens, other white space) are given to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+#: Pieces held in each of two generations, and their total length; longer pieces than LONG are not held.
+PIECES, PIECE_CHARS, LONG = 1_000_000, 14 << 20, 200
 
-#: Pieces held in memory at once, and their total length; beyond that the dictionary starts anew.
-PIECES, PIECE_CHARS = 1_500_000, 24 << 20
-
-_BYTE_LEVEL = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-#: A word of letters and digits with its space, and plain signs behind it: both files cut between the two.
-_WORD_SIGNS = re.compile(r"( ?[^\W\d_]+)([.,!?;:*#$%&|]+)")
+_RUNS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Letters and the plain signs behind them: both files cut between the two.
+_WORD_SIGNS = re.compile(r"([^\W\d_]+)([.,!?;:*#$%&|]+)")
 #: Any of these sends a text to the library whole: special tokens, and white space other than blank and line end.
-_UNSURE = re.compile(r"<\||[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_UNSURE = re.compile("<\\||[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
 
 class Encoder:
-    """ids(text) -> uint32 array. drops_space: the tokenizer's ids do not depend on the white space between words."""
+    """raw(text) gives the ids. drops_space: the ids do not depend on the white space between words."""
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.library, self.drops_space = Tokenizer.from_file(path), drops_space
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.chars = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Enter pieces that are not known; a word and the signs behind it are looked up apart, as they are cut there."""
-        size = sum(map(len, pieces))
-        if len(self.known) + len(pieces) > PIECES or self.chars + size > PIECE_CHARS:
-            self.known, self.chars = {}, 0
-        known, lower = self.known, self.drops_space
-        parts = [(p, *(m.groups() if (m := _WORD_SIGNS.fullmatch(p)) else (p, ""))) for p in pieces]
-        if lower:  # this file lower-cases, so words of plain letters are kept once
-            parts = [(p, w.lower(), s) if w.isascii() else (p, w, s) if len(w.lower()) == len(w) else (p, p, "") for p, w, s in parts]
-        new = list({x for _, w, signs in parts for x in (w, signs) if x and x not in known})
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        for p, w, signs in parts:
-            known[p] = known[w] + known[signs] if signs else known[w]
-        self.chars += size
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _spelt(self, key: str) -> str:
+        return key if self.drops_space else key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
+
+    def _parts(self, key: str) -> tuple[str, str]:
+        """Keys of a word and of the signs behind it, or the key and nothing."""
+        m = _WORD_SIGNS.fullmatch(key)
+        if not m:
+            return key, ""
+        word, signs = m.groups()
+        if self.drops_space:
+            low = word.lower()  # this file lower-cases; a letter that becomes two has marks that join the signs
+            return (low, signs) if len(low) == len(word) and word.isascii() else (word, signs) if len(low) == len(word) else (key, "")
+        return word, "\0" + signs
+
+    def _learn(self, keys: set[str]) -> bool:
+        """Enter keys; False if one of them is not certain."""
+        known, old = self.known, self.old
+        if len(known) > PIECES or self.chars > PIECE_CHARS:
+            self.old, self.known, self.chars = known, {}, 0
+            known, old = self.known, self.old
+            return self._learn(keys)
+        new = []
+        for k in keys:
+            if (v := old.get(k)) is not None:
+                known[k] = v
+            elif _UNSURE.search(k, k[:1] == "\0" and not self.drops_space):
+                return False
+            else:
+                new.append((k, *self._parts(k)))
+        parts = list({p for _, w, s in new for p in (w, s) if p and p not in known and p not in old})
+        for p, e in zip(parts, self.library.encode_batch_fast([self._spelt(p) for p in parts], add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+        for p in {p for _, w, s in new for p in (w, s) if p and p not in known}:
+            known[p] = old[p]
+        for k, w, s in new:
+            if s:
+                known[k] = known[w] + known[s]
+        self.chars += sum(map(len, keys))
+        return True
 
     def raw(self, text: str) -> bytes:
         """ids of one text as little-endian unsigned 32-bit integers."""
-        if _UNSURE.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = text.split() if self.drops_space else _BYTE_LEVEL.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = {p for p in pieces if p not in known}
-            if len(known) + len(new) > PIECES:  # the dictionary begins anew, so all of this text's pieces are needed
-                new = set(pieces)
-            self._learn(list(new))
-            known = self.known
-            if missing := {p for p in new if p not in known} | ({p for p in pieces if p not in known}):
-                self._learn(list(missing))
-            return b"".join([self.known[p] if p in self.known else self._alone(p) for p in pieces])
-
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if not text:
+            return b""
+        if "\0" in text:  # it marks keys
+            return self._whole(text)
+        if self.drops_space:
+            keys = text.replace("\n", " ").split(" ")
+            self.known[""] = b""
+        else:
+            keys = text.replace("\n", " \n").split(" ")
+            if "\n\n" in text or "" in keys:  # runs of white space
+                keys = [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else f"\0{p}" for p in _RUNS.findall(text)]
+            elif keys[0][0] != "\n":
+                keys[0] = "\0" + keys[0]
+        ids = list(map(self.known.get, keys))
+        if None in ids:
+            new = {k for k, v in zip(keys, ids, strict=True) if v is None}
+            if max(map(len, new)) > LONG:
+                return self._whole(text)
+            if not self._learn(new):
+                return self._whole(text)
+            ids = [self.known.get(k) or self.old.get(k, b"") if v is None else v for k, v in zip(keys, ids, strict=True)]
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
