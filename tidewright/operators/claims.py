@@ -1,0 +1,223 @@
+"""Claims, evidence, sources and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewright.functions.expr import canonical_url, normalize_title, short_sha
+
+#: Words that mark a claim's type, looked for in this order.
+RECOMMEND, SPECULATE, SYNTHESIS = ["should", "recommend", "suggest", "advise", "consider"], ["might", "could potentially", "it is possible", "may eventually", "hypothetically", "speculatively"], ["overall", "taken together", "collectively", "the evidence suggests", "this implies"]
+STOP_ENTITIES = ["The", "This", "That", "These", "However", "Furthermore", "Moreover", "Additionally", "Therefore", "Nevertheless"]
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, section_id, pos, body) of Markdown texts, cut at second-level headings; what stands before them is the preamble."""
+    parts = F.split(F.concat(F.lit("\n"), "text"), r"\n(?=##\s)")
+    s = docs.select("doc_id", F.posexplode(parts).alias("pos", "part"))
+    head = F.lower(F.trim(F.regexp_extract("part", r"^##\s+([^\n]*)", 1)))
+    slug = F.substring(F.regexp_replace(head, r"[^\p{L}\p{N}_]+", "_"), 1, 30)
+    known = F.when(head == "", "preamble").when(head.rlike(r"^finding\s+\d+"), F.concat(F.lit("finding_"), F.regexp_extract(head, r"^finding\s+(\d+)", 1)))
+    for name in ("executive summary", "introduction", "synthesis", "limitations", "recommendations", "conclusion"):
+        known = known.when(head.startswith(name), name.replace(" ", "_"))
+    return s.select("doc_id", "pos", known.otherwise(slug).alias("section_id"), F.regexp_replace("part", r"^##[^\n]*", "").alias("body"))
+
+
+def sentence_claims(docs: DataFrame) -> DataFrame:
+    """(doc_id, section_id, claim_id, text, claim_type, citations): sentences of over 30 characters that are no heading or table."""
+    s = sections(docs)
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"(?m)^[-*]\s+", ""), r"\*\*([^*]+)\*\*", "$1"), r"\*([^*]+)\*", "$1")
+    marked = F.regexp_replace(body, r"([.!?])\s+(?=[A-Z])", "$1\u0001")
+    one = s.select("doc_id", "section_id", F.explode(F.split(marked, "\u0001")).alias("t")).withColumn("text", F.trim(F.regexp_replace("t", r"^\s+|\s+$", ""))).drop("t")
+    one = one.where((F.length("text") > 30) & ~F.col("text").startswith("#") & ~F.col("text").startswith("|"))
+    cites = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\[(\d+(?:,\s*\d+)*)\]"), F.lit(1)), lambda x: F.split(x, r",\s*"))))
+    return one.select("doc_id", "section_id", short_sha(F.col("section_id"), F.col("text")).alias("claim_id"), "text", claim_type(F.col("text"), F.col("section_id")).alias("claim_type"), cites.alias("citations"))
+
+
+def claim_type(text: Column, section: Column) -> Column:
+    low = F.lower(text)
+    has = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(low, w))
+    return F.when(has(RECOMMEND), "recommendation").when(has(SPECULATE), "speculation").when(section.isin("synthesis", "conclusion", "limitations") & has(SYNTHESIS), "synthesis").otherwise("factual")
+
+
+def claim_stats(claims: DataFrame) -> DataFrame:
+    """Counts by type, section and status, as one long table."""
+    dims = [c for c in ("claim_type", "section_id", "support_status") if c in claims.columns]
+    long = claims.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims])).alias("x")).select("x.*")
+    return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
+def claim_evidence_link(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, evidence_id, quote): evidence named by id and all evidence of cited sources, each once."""
+    by_id = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "quote"), "evidence_id")
+    by_source = claims.select("claim_id", F.explode("cited_source_ids").alias("source_id")).join(evidence.select("source_id", "evidence_id", "quote"), "source_id").drop("source_id")
+    return by_id.select("claim_id", "evidence_id", "quote").unionByName(by_source.select("claim_id", "evidence_id", "quote")).distinct()
+
+
+def _tokens(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}_])[\p{L}]{4,}(?![\p{L}\p{N}_])"), F.lit(0)))
+
+
+def _found(c: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+
+
+def support_score(claim: Column, quote: Column) -> Column:
+    """.4 words + .25 numbers + .15 years + .2 names of the claim that the quote has; a kind that the claim lacks counts in full."""
+    share = lambda a, b, empty: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(empty)
+    num, year, name = r"\b\d+(?:\.\d+)?(?:%|x|X)?\b", r"\b(?:19|20)\d{2}\b", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+    stop = F.array(*[F.lit(s) for s in STOP_ENTITIES])
+    names = lambda c: F.array_except(_found(c, name), stop)
+    return 0.4 * share(_tokens(claim), _tokens(quote), 0.0) + 0.25 * share(_found(claim, num), _found(quote, num), 1.0) + 0.15 * share(_found(claim, year), _found(quote, year), 1.0) + 0.2 * share(names(claim), names(quote), 1.0)
+
+
+def claim_support(claims: DataFrame, links: DataFrame) -> DataFrame:
+    """(claim_id, support_status, score): a literal quote supports; else the best score decides partial or needs_review; without
+    links a speculation stands and everything else is unsupported. Likeness alone never supports."""
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    j = claims.select("claim_id", "text", "claim_type").join(links.select("claim_id", "quote"), "claim_id", "left")
+    literal = F.coalesce((flat("text") == flat("quote")) & (flat("text") != ""), F.lit(False))
+    g = j.groupBy("claim_id", "claim_type").agg(F.count("quote").alias("n"), F.bool_or(literal).alias("lit"), F.max(support_score(F.col("text"), F.col("quote"))).alias("s"))
+    status = F.when(F.col("n") == 0, F.when(F.col("claim_type") == "speculation", "supported").otherwise("unsupported")).when(F.col("lit"), "supported").when(F.col("s") >= 0.35, "partial").otherwise("needs_review")
+    score = F.when(F.col("n") == 0, F.when(F.col("claim_type") == "speculation", 1.0).otherwise(0.0)).when(F.col("lit"), 1.0).otherwise(F.col("s"))
+    return g.select("claim_id", "claim_type", status.alias("support_status"), score.alias("score"))
+
+
+def support_gate(supported: DataFrame) -> DataFrame:
+    """Passed only if every factual claim is supported."""
+    bad = F.count_if((F.col("claim_type") == "factual") & (F.col("support_status") != "supported"))
+    return supported.agg(F.count("*").alias("claims"), bad.alias("unsupported_factual"), F.when(bad == 0, "passed").otherwise("failed").alias("gate"))
+
+
+def dedupe_keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
+
+
+def display_numbers(sightings: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, display_number): sources numbered by their first sighting."""
+    first = sightings.groupBy(key).agg(F.min(order).alias("first_seen"))
+    return first.withColumn("display_number", F.row_number().over(Window.orderBy("first_seen", key)))
+
+
+def append_ledger(ledger: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows whose id the ledger does not have, each id once."""
+    return new.dropDuplicates([key]).join(ledger.select(key), key, "left_anti")
+
+
+def citation_set_diff(cited: DataFrame, listed: DataFrame) -> DataFrame:
+    """(doc_id, n, problem): cited but not listed, and listed but never cited; both have doc_id and n."""
+    a = cited.distinct().join(listed.distinct(), ["doc_id", "n"], "left_anti").withColumn("problem", F.lit("cited_not_listed"))
+    return a.unionByName(listed.distinct().join(cited.distinct(), ["doc_id", "n"], "left_anti").withColumn("problem", F.lit("listed_not_cited")))
+
+
+def bibliography_parse(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, entry, year, title, doi, url) of the lines [n] behind the bibliography's heading."""
+    tail = F.regexp_extract("text", r"(?is)\n##\s+(?:bibliography|references|sources)[^\n]*\n(.*)", 1)
+    lines = docs.select("doc_id", F.explode(F.split(tail, "\n")).alias("line")).where(F.col("line").rlike(r"^\[\d+\]"))
+    e = lines.select("doc_id", F.regexp_extract("line", r"^\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_replace("line", r"^\[\d+\]", "")).alias("entry"))
+    part = lambda p, g=1: F.nullif(F.regexp_extract("entry", p, g), F.lit(""))
+    return e.select("doc_id", "n", "entry", part(r"\b((?:19|20)\d{2})\b").cast("int").alias("year"), part("[\"“]([^\"”]+)[\"”]").alias("title"), part(r"(10\.\d{4,9}/[^\s,;]+)").alias("doi"), part(r"(https?://[^\s,;)]+)").alias("url"))
+
+
+def suspicious_citations(entries: DataFrame, this_year: int) -> DataFrame:
+    """(doc_id, n, rule_id): titles that look made up, years to come, recent works without a locator."""
+    t = F.lower(F.coalesce("title", F.lit("")))
+    rules = [
+        F.when(t.rlike(r"^(a |an |the )?(study|survey|review|analysis|overview|introduction) (of|on|to) "), "generic_title"),
+        F.when(t.rlike(r"(placeholder|example title|lorem ipsum|untitled|tbd|xxx)"), "placeholder"),
+        F.when(F.col("year") > this_year, "future_year"),
+        F.when((F.col("year") < 1990) & t.rlike(r"(transformer|large language model|chatgpt|blockchain)"), "anachronism"),
+        F.when((F.col("year") >= this_year - 5) & F.col("doi").isNull() & F.col("url").isNull(), "recent_without_locator"),
+    ]
+    return entries.select("doc_id", "n", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+
+
+def title_match_score(claimed: DataFrame, registered: DataFrame) -> DataFrame:
+    """(id, score, suspicious): word Jaccard of a claimed title with the one registered under its locator."""
+    words = lambda c: F.array_distinct(F.filter(F.split(normalize_title(c), " "), lambda w: w != ""))
+    j = claimed.join(registered.select("locator", F.col("title").alias("_t")), "locator").select("id", words("title").alias("a"), words("_t").alias("b"))
+    inter = F.size(F.array_intersect("a", "b"))
+    s = F.coalesce(F.try_divide(inter, F.size("a") + F.size("b") - inter), F.lit(0.0))
+    return j.select("id", s.alias("score"), (s < 0.5).alias("suspicious"))
+
+
+#: Host pattern and authority.
+DOMAINS = [(r"(\.gov|\.edu|nature\.com|science\.org|arxiv\.org|nih\.gov|ieee\.org|acm\.org)$", 90.0), (r"(reuters\.com|bbc\.(com|co\.uk)|apnews\.com|nytimes\.com|ft\.com)$", 75.0), (r"(wikipedia\.org|medium\.com|substack\.com)$", 50.0), (r"(blogspot\.com|wordpress\.com|quora\.com|reddit\.com)$", 30.0)]
+
+
+def source_credibility(sources: DataFrame, as_of: str) -> DataFrame:
+    """.35 domain + .20 recency + .25 expertise + .20 neutrality, and the band of trust.
+
+    sources: source_id, url, title, published (date, may be null), author (may be null).
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")
+    domain = F.lit(55.0)
+    for p, s in reversed(DOMAINS):
+        domain = F.when(host.rlike(p), s).otherwise(domain)
+    age = F.date_diff(F.lit(as_of).cast("date"), "published")
+    recency = F.when(F.col("published").isNull(), 50.0).when(age <= 90, 100.0).when(age <= 365, 85.0).when(age <= 1095, 70.0).otherwise(40.0)
+    expertise = F.when(F.col("author").isNull(), 50.0).when(F.lower("author").rlike(r"(dr\.|phd|professor)"), 90.0).otherwise(65.0)
+    neutral = F.when(F.lower("title").rlike(r"(shocking|you won't believe|secret|miracle|!!)"), 30.0).otherwise(75.0)
+    score = 0.35 * domain + 0.20 * recency + 0.25 * expertise + 0.20 * neutral
+    band = F.when(score >= 80, "high").when(score >= 60, "moderate").when(score >= 40, "low").otherwise("verify")
+    return sources.select("source_id", domain.alias("domain"), recency.alias("recency"), expertise.alias("expertise"), neutral.alias("neutrality"), score.alias("score"), band.alias("band"))
+
+
+REQUIRED = ["executive summary", "introduction", "synthesis", "limitations", "recommendations", "bibliography"]
+
+
+def report_lint(docs: DataFrame, least_words: int = 500, least_sources: int = 3) -> DataFrame:
+    """(doc_id, rule_id) of reports: sections, summary length, placeholders, truncation, words, sources, gaps in numbering."""
+    low = F.lower("text")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    summary = F.regexp_extract("text", r"(?is)##\s+executive summary[^\n]*\n(.*?)(?=\n##|\z)", 1)
+    nums = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
+    gaps = F.when(F.size(nums) > 0, F.size(F.array_except(F.sequence(F.lit(1), F.array_max(nums)), nums))).otherwise(0)
+    rules = [F.when(~low.rlike(rf"(?m)^##\s+{s}"), f"missing_section:{s}") for s in REQUIRED]
+    n = F.size(F.regexp_extract_all(summary, F.lit(r"\S+"), F.lit(0)))
+    rules += [F.when((summary != "") & ~n.between(50, 400), "summary_length"), F.when(low.rlike(r"\b(tbd|todo|lorem ipsum|\[insert|placeholder)"), "placeholder"), F.when(low.rlike(r"(content continues|due to length|truncated|remaining sections)"), "truncated"), F.when(words < least_words, "too_short"), F.when(F.size(nums) < least_sources, "few_sources"), F.when(gaps > 0, "numbering_gap")]
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+
+
+#: Code and pattern; what matches is never given out.
+SENSITIVE = [("local_path", r"(/Users/|/home/|[A-Z]:\\\\Users\\\\)[A-Za-z0-9_.-]+"), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("token", r"\b(sk|ghp|xox[bp])[-_][A-Za-z0-9-]{16,}"), ("credential", r"(?i)\b(password|passwd|secret|token|api_?key)\b\s*[:=]\s*[\"']?[A-Za-z0-9_/+.-]{8,}"), ("mailbox", r"[A-Za-z0-9._%+-]+@(?!(?:[A-Za-z0-9-]+\.)*example\.(?:com|org|net)\b)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("account_id", r"\b(acct|account|client)[_ -]?id\s*[:=]\s*\d{6,}")]
+
+
+def sensitive_text_scan(docs: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, line, code): where a rule matches, without what it matched."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    hits = F.array_compact(F.array(*[F.when(F.col("t").rlike(p), c) for c, p in (rules or SENSITIVE)]))
+    return lines.select("doc_id", (F.col("line") + 1).alias("line"), F.explode(hits).alias("code"))
+
+
+def speech_metrics(texts: DataFrame, wpm: float = 135.0, pause: float = 3.0) -> DataFrame:
+    """(id, words, sentences, long_sentences, questions, seconds): seconds = words / wpm x 60 + pause."""
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0)))
+    sent = F.filter(F.transform(F.split("text", r"[.!?]+"), count), lambda n: n > 0)
+    w = count(F.col("text"))
+    return texts.select("id", w.alias("words"), F.size(sent).alias("sentences"), F.size(F.filter(sent, lambda n: n > 28)).alias("long_sentences"), F.regexp_count("text", F.lit(r"\?")).alias("questions"), (w / wpm * 60 + pause).alias("seconds"))
+
+
+def digest_lint(docs: DataFrame, low: int = 3, high: int = 20) -> DataFrame:
+    """(doc_id, rule_id): numbered items within limits, one source link each, http(s) only."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = F.col("line").rlike(r"^\d+\.\s")
+    item = lines.withColumn("item", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
+    urls = F.regexp_extract_all("line", F.lit(r"\]\(([^)]*)\)"), F.lit(1))
+    per = item.where("item > 0").groupBy("doc_id", "item").agg(F.sum(F.size(urls)).alias("links"), F.sum(F.size(F.filter(urls, lambda u: ~F.regexp_like(u, F.lit("^https?://[^/\\s]+"))))).alias("bad"))
+    total = docs.select("doc_id").join(per.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("links") != 1).alias("odd"), F.sum("bad").alias("bad")), "doc_id", "left").fillna(0)
+    return total.select("doc_id", F.explode(F.array_compact(F.array(F.when(~F.col("n").between(low, high), "item_count"), F.when(F.col("odd") > 0, "one_link_per_item"), F.when(F.col("bad") > 0, "unsafe_url")))).alias("rule_id"))
+
+
+def article_claim_lint(claims: DataFrame) -> DataFrame:
+    """(claim_id, rule_id) of an article's claims: material ones verified, provenance, https, strong source type."""
+    m = F.col("material")
+    rules = [F.when(m & (F.col("status") != "verified"), "material_not_verified"), F.when(m & F.coalesce(F.trim("source_url") == "", F.lit(True)), "no_source"), F.when(F.col("source_url").isNotNull() & (F.trim("source_url") != "") & ~F.col("source_url").rlike(r"^https://[^/\s]+"), "not_https"), F.when(m & ~F.coalesce(F.col("source_type").isin("primary", "official", "peer_reviewed"), F.lit(False)), "weak_source"), F.when(m & F.col("checked_at").isNull(), "no_check_date")]
+    return claims.select("claim_id", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+
+
+def canonical_sources(sources: DataFrame) -> DataFrame:
+    """Sources with their canonical locator and the id made from it."""
+    c = canonical_url("raw_url")
+    return sources.withColumn("canonical_locator", c).withColumn("source_id", short_sha(c))
