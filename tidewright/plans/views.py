@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN COUNT(*) % 9 = 0 THEN NULL ELSE SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) END AS sessions, SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS leads,
         SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS sales, ROUND(SUM(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END), 4) AS revenue
         FROM {events} GROUP BY user_id % 20, CAST(ts AS DATE)""",
-    "phrases": """SELECT p_partkey AS phrase_id, p_name AS phrase, p_brand AS cluster_id, CAST(p_retailprice * 5 AS BIGINT) AS volume, p_size AS fit, p_type AS kind FROM {part}""",
+    "phrases": """SELECT p_partkey AS phrase_id, p_name AS phrase, p_brand AS cluster_id, CAST(FLOOR(p_retailprice * 5) AS BIGINT) AS volume, p_size AS fit, p_type AS kind FROM {part}""",
     "lost_deals": """SELECT l_orderkey AS deal_id, o_orderpriority AS reason, s_name AS competitor, c_mktsegment AS segment, CAST(l_shipdate AS DATE) AS lost_on
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'""",
     "news": """SELECT doc_id, CASE WHEN POSITION('.' IN text) > 0 THEN SUBSTRING(text, 1, POSITION('.' IN text)) ELSE text END AS title, CONCAT('https://', source, '.example.com/', CAST(doc_id AS STRING)) AS link,
