@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from tidewright.plans import ads, business, demand, text  # noqa: F401
+from tidewright.plans import ads, business, demand, flows, site, text  # noqa: F401
 from tidewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
