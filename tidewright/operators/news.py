@@ -161,13 +161,13 @@ def topic_clusters(news: DataFrame, block: str, threshold: float = 0.35) -> Data
                 jac = inter / len(kw | lead[1]) if kw and lead[1] else 0.0
                 if jac >= threshold or 0.8 * SequenceMatcher(None, r.t, lead[2]).ratio() >= threshold:
                     lead[3] += 1
-                    lead[4].add(r.source)
+                    lead[4].add(r.src)
                     break
             else:
-                leaders.append([r.id, kw, r.t, 1, {r.source}])
+                leaders.append([r.id, kw, r.t, 1, {r.src}])
         return pd.DataFrame({block: [pdf[block].iloc[0]] * len(leaders), "leader": [x[0] for x in leaders], "members": [x[3] for x in leaders], "sources": [len(x[4]) for x in leaders]})
 
-    d = with_keywords(news).select(block, "id", "source", "kw", normalize_title("title").alias("t"))
+    d = with_keywords(news).select(block, "id", F.col("source").alias("src"), "kw", normalize_title("title").alias("t"))
     return d.groupBy(block).applyInPandas(run, f"{block} string, leader long, members long, sources long")
 
 
