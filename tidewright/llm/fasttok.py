@@ -12,8 +12,9 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Pieces held in each of two generations, and their total length; longer pieces than LONG are not held.
-PIECES, PIECE_CHARS, LONG = 1_000_000, 14 << 20, 200
+#: Pieces held in each of two generations, about 170 bytes each; their total length is 16 characters each at most, and
+#: pieces longer than LONG are not held. Texts are worked on a few at a time.
+PIECES, LONG, TEXTS = 400_000, 200, 200
 
 _RUNS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Letters and the plain signs behind them: both files cut between the two.
@@ -25,9 +26,10 @@ _UNSURE = re.compile("<\\||[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u
 class Encoder:
     """raw(text) gives the ids. drops_space: the ids do not depend on the white space between words."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, pieces: int = PIECES):
         from tokenizers import Tokenizer
 
+        self.pieces = pieces
         self.library, self.drops_space = Tokenizer.from_file(path), drops_space
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -50,59 +52,77 @@ class Encoder:
             return (low, signs) if len(low) == len(word) and word.isascii() else (word, signs) if len(low) == len(word) else (key, "")
         return word, "\0" + signs
 
-    def _learn(self, keys: set[str]) -> bool:
-        """Enter keys; False if one of them is not certain."""
-        known, old = self.known, self.old
-        if len(known) > PIECES or self.chars > PIECE_CHARS:
-            self.old, self.known, self.chars = known, {}, 0
-            known, old = self.known, self.old
-            return self._learn(keys)
-        new = []
+    def _learn(self, keys: set[str]) -> None:
+        """Enter keys, but for those that are not certain."""
+        if len(self.known) > self.pieces or self.chars > 16 * self.pieces:
+            self.old, self.known, self.chars = self.known, {}, 0
+        known, old, new = self.known, self.old, []
         for k in keys:
             if (v := old.get(k)) is not None:
                 known[k] = v
-            elif _UNSURE.search(k, k[:1] == "\0" and not self.drops_space):
-                return False
-            else:
-                new.append((k, *self._parts(k)))
+            elif not _UNSURE.search(k, k[:1] == "\0"):
+                new.append((k, k, "") if k[-1:].isalnum() and not self.drops_space else (k, *self._parts(k)))
         parts = list({p for _, w, s in new for p in (w, s) if p and p not in known and p not in old})
         for p, e in zip(parts, self.library.encode_batch_fast([self._spelt(p) for p in parts], add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
-        for p in {p for _, w, s in new for p in (w, s) if p and p not in known}:
-            known[p] = old[p]
         for k, w, s in new:
             if s:
-                known[k] = known[w] + known[s]
+                known[k] = (known.get(w) or old[w]) + (known.get(s) or old[s])
+            elif w != k:
+                known[k] = known.get(w) or old[w]
         self.chars += sum(map(len, keys))
-        return True
 
-    def raw(self, text: str) -> bytes:
-        """ids of one text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "\0" in text:  # it marks keys
-            return self._whole(text)
+    def _keys(self, text: str) -> list[str]:
         if self.drops_space:
-            keys = text.replace("\n", " ").split(" ")
-            self.known[""] = b""
-        else:
-            keys = text.replace("\n", " \n").split(" ")
-            if "\n\n" in text or "" in keys:  # runs of white space
-                keys = [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else f"\0{p}" for p in _RUNS.findall(text)]
-            elif keys[0][0] != "\n":
-                keys[0] = "\0" + keys[0]
-        ids = list(map(self.known.get, keys))
-        if None in ids:
-            new = {k for k, v in zip(keys, ids, strict=True) if v is None}
-            if max(map(len, new)) > LONG:
-                return self._whole(text)
-            if not self._learn(new):
-                return self._whole(text)
-            ids = [self.known.get(k) or self.old.get(k, b"") if v is None else v for k, v in zip(keys, ids, strict=True)]
-        return b"".join(ids)
+            return text.replace("\n", " ").split(" ")
+        keys = text.replace("\n", " \n").split(" ")
+        if "\n\n" in text or "" in keys:  # runs of white space
+            return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else f"\0{p}" for p in _RUNS.findall(text)]
+        if keys[0][0] != "\n":
+            keys[0] = "\0" + keys[0]
+        return keys
+
+    def raw_many(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for lo in range(0, len(texts), TEXTS) for ids in self._some(texts[lo : lo + TEXTS])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        """The same for a few texts, whose new pieces are learnt at once."""
+        out: list[bytes] = [b""] * len(texts)
+        held, new = [], set()
+        self.known[""] = b""
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if "\0" in text:  # it marks keys
+                out[i] = self._whole(text)
+                continue
+            keys = self._keys(text)
+            ids = list(map(self.known.get, keys))
+            if None in ids:
+                own = {k for k, v in zip(keys, ids, strict=True) if v is None}
+                if max(map(len, own)) > LONG:
+                    out[i] = self._whole(text)
+                    continue
+                new |= own
+                held.append((i, text, keys, ids))
+            else:
+                out[i] = b"".join(ids)
+        if new:
+            self._learn(new)
+        get, before = self.known.get, self.old.get
+        for i, text, keys, ids in held:
+            full = [get(k) if v is None else v for k, v in zip(keys, ids, strict=True)]
+            if None in full:
+                full = [before(k) if v is None else v for k, v in zip(keys, full, strict=True)]
+            out[i] = self._whole(text) if None in full else b"".join(full)
+        return out
+
+    def raw(self, text: str) -> bytes:
+        return self.raw_many([text])[0]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, pieces: int = PIECES) -> Encoder:
     """One encoder for each Python worker and file."""
-    return Encoder(path, drops_space)
+    return Encoder(path, drops_space, pieces)

@@ -24,6 +24,8 @@ from tidewright.llm.common import prepare
 from tidewright.llm.fasttok import encoder
 
 SHARD_IDS, SHARD_DOCS = 4 << 20, 100_000
+#: Pieces in each generation of a worker's dictionary: 170 MB.
+PIECES = 1_000_000
 MAGIC, PER_BUCKET = b"TWIX1\0\0\0", 4
 SHARDS = "shard long, first_id long, last_id long, n_docs long, n_ids long, width int, doc_ids array<long>, payload binary, index binary"
 
@@ -98,7 +100,7 @@ class Index:
 
 def _write(path: str, drops_space: bool, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path, drops_space), TaskContext.get().partitionId()
+        enc, part = encoder(path, drops_space, PIECES), TaskContext.get().partitionId()
         last = struct.pack("<I", end_id)
         seq, ids, keys, blobs, before, occurrence = 0, [], [], [], object(), 0
 
@@ -115,10 +117,11 @@ def _write(path: str, drops_space: bool, end_id: int, shard_ids: int):
 
         held = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            encoded = enc.raw_many([t or "" for t in b.column(1).to_pylist()])
+            for i, ids_of in zip(b.column(0).to_pylist(), encoded, strict=True):
                 occurrence = occurrence + 1 if i == before else 0
                 before = i
-                blob = enc.raw(t.as_py() or "") + last
+                blob = ids_of + last
                 ids.append(i)
                 keys.append(_key(i, occurrence))
                 blobs.append(blob)
