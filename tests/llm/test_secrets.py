@@ -57,3 +57,24 @@ def test_digest_columns_and_empty_table(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in t) for i in range(3))
     assert secrets.secret_scan(df.limit(0)).count() == 0
+
+
+def test_value_behind_equals_sign_and_long_blobs(spark):
+    rnd = random.Random(11)
+    b32 = "abcdefghijklmnopqrstuvwxyz234567"
+    made = {
+        "name": lambda: "AWS_SECRET_KEY=" + base64.b64encode(rnd.randbytes(30)).decode(),
+        "query": lambda: "https://e.org/x?sig=" + base64.urlsafe_b64encode(rnd.randbytes(30)).decode(),
+        "standard": lambda: base64.b64encode(rnd.randbytes(1500)).decode(),
+        "url": lambda: base64.urlsafe_b64encode(rnd.randbytes(1500)).decode(),
+        "lower": lambda: "".join(rnd.choices(b32, k=2000)),
+    }
+    rows = [(i, f"see {f()} here", name) for i, (name, f) in enumerate((name, f) for name, f in made.items() for _ in range(40))]
+    out = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    for name in made:
+        hit = 0
+        for r in out:
+            _, text, own = rows[r.doc_id]
+            start = text.index("=") + 1 if own in ("name", "query") else 4
+            hit += own == name and (start, 3, len(text) - 5) in [tuple(s) for s in r.spans]
+        assert hit >= 36, (name, hit)

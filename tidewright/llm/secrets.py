@@ -1,8 +1,9 @@
 """Operator 1 [native]: secrets by pattern and by a battery of randomness tests; DataFrame functions only.
 
 Patterns give the base spans: credentials that are assigned, access keys, long hex runs. Beside them, every run of 20 or
-more characters of [A-Za-z0-9+/_=-] is a candidate. Its encoding is inferred from the characters it uses (digits,
-hex, base 32, base 36, letters, base 62, base 64) and three tests are made over that alphabet:
+more characters of [A-Za-z0-9+/_-] is a candidate, with up to two = behind it; one may begin right behind a =. Its
+encoding is inferred from the characters it uses (digits, hex, base 32 of capital or small letters, base 36, base 62,
+base 64 with +/ or with -_, or with all four) and three tests are made over that alphabet:
 
 - chi-squared: are the symbols uniform? Its upper tail, by the Wilson-Hilferty cube root, must not be below ALPHA;
 - serial correlation at lag 1 of the symbols' indexes, which is near normal with variance 1/n: likewise, two-sided;
@@ -30,7 +31,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "random"]
 #: A run of fewer characters is too short for the battery.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHA, TEXT_CHANGE, FDR, STEPS = 0.001, 0.08, 0.01, 400
 #: Name, characters, symbols in order. The first whose characters suffice is the encoding.
 ENCODINGS = [
@@ -38,9 +39,12 @@ ENCODINGS = [
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower base32", "^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("URL-safe base64", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed base64", "^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
 _BLOCK = 64
 _MATCH = "array<struct<start: bigint, end: bigint, text: string, own: string>>"
