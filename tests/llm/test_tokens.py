@@ -24,6 +24,24 @@ def test_encoder_equals_the_library(path, drops):
         assert own.raw(t) == np.array(e.ids, "<u4").tobytes(), t
 
 
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_every_letter_with_every_sign(path, drops):
+    letters = [c for c in map(chr, range(1, 0x30000)) if c.isalpha() and not 0x3400 <= ord(c) < 0xD7A4 and ord(c) < 0x17000 or c.isascii()]
+    texts = [f"{before}{c}{sign}" for c in letters for before, sign in (("", "!"), ("", "."), (" a", ",b"), ("\n", "'s"), ("A", "\u0301!"))]
+    texts += [f"{a}{c}{b}" for c in map(chr, range(1, 0x250)) for a in ("", "x", " ") for b in ".,!?;:*#$%&|'- \n"]
+    library, own = Tokenizer.from_file(path), Encoder(path, drops)
+    for t, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert own.raw(t) == np.array(e.ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_small_dictionaries_give_the_same_ids(path, drops):
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choices("abcÉ!,\n", k=3)) for _ in range(200)) for _ in range(30)]
+    small, large = Encoder(path, drops, pieces=7), Encoder(path, drops)
+    assert [small.raw(t) for t in texts] == [large.raw(t) for t in texts]
+
+
 def test_index():
     keys = [tokenio._key(i * 7, i % 3) for i in range(5000)]
     index = tokenio.Index(tokenio.build_index(keys, list(range(5000)), [i + 1 for i in range(5000)]))
@@ -49,10 +67,22 @@ def test_write_and_read(spark, tmp_path):
         at += r.n_tokens
     got = {r.doc_id: r.ids for r in tokenio.fetch(spark, str(tmp_path / "t"), [7, 9, 4]).collect()}
     assert got == {i: ids for i, ids in expected(BYTE) if i in (7, 9)}
+    got = tokenio.fetch(spark, str(tmp_path / "t"), [5, None]).collect()
+    assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted((i or 0, ids) for i, ids in expected(BYTE) if i in (5, None))
     tokenio.write_tokens(df.limit(0), str(tmp_path / "e"), BYTE)
+    assert tokenio.fetch(spark, str(tmp_path / "e"), [5]).count() == 0 and tokenio.fetch(spark, str(tmp_path / "e"), []).count() == 0
     assert tokenio.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_one_id_in_many_shards(spark, tmp_path):
+    rows = [(None if i % 2 else 4, f"row {i % 7}", "a") for i in range(60)]
+    tokenio.write_tokens(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "t"), BYTE, shard_ids=10)
+    library = Tokenizer.from_file(BYTE)
+    want = sorted((i or 0, [*library.encode(t, add_special_tokens=False).ids, 2]) for i, t, _ in rows)
+    assert sorted((r.doc_id or 0, r.ids) for r in tokenio.read_tokens(spark, str(tmp_path / "t")).collect()) == want
+    assert sorted((r.doc_id or 0, r.ids) for r in tokenio.fetch(spark, str(tmp_path / "t"), [4, None, 9]).collect()) == want
+
+
 def test_plan_uses_every_piece_once():
     rnd = random.Random(3)
     for window in (16, 64, 512):

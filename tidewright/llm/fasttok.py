@@ -2,8 +2,10 @@
 pre-tokenizer always cuts, each different piece is encoded once by the library, and ids are joined as bytes.
 
 Both files cut at a single space or line end between words. A key is the word behind a space, a line end and the word
-behind it, or NUL and a piece that nothing stands before (for the file that drops white space, just the word). Texts
-for which the cuts are not certain (special tokens, other white space) are given to the library whole.
+behind it, or NUL and a piece that nothing stands before (for the file that drops white space, just the word). A word of
+Latin letters goes to the library's model alone, since its normalizer and pre-tokenizer leave such a word whole; other
+pieces go through all of the library. Texts for which the cuts are not certain (special tokens, other white space,
+pieces longer than LONG) are given to the library whole.
 """
 
 from __future__ import annotations
@@ -12,65 +14,71 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Pieces held in each of two generations, about 170 bytes each; their total length is 16 characters each at most, and
-#: pieces longer than LONG are not held. Texts are worked on a few at a time.
-PIECES, LONG, TEXTS = 400_000, 200, 200
+#: Pieces held in each of two generations, about 200 bytes each; pieces longer than LONG are never held.
+PIECES, LONG = 400_000, 200
 
 _RUNS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-#: Letters and the plain signs behind them: both files cut between the two.
-_WORD_SIGNS = re.compile(r"([^\W\d_]+)([.,!?;:*#$%&|]+)")
+#: Letters whose normal forms and lower case are single letters of this class, and the signs that both files cut off.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
+_WORD_SIGNS = re.compile(f"([{_LETTERS}]+)([.,!?;:*#$%&|]*)")
 #: Any of these sends a text to the library whole: special tokens, and white space other than blank and line end.
 _UNSURE = re.compile("<\\||[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 
 
-class Encoder:
-    """raw(text) gives the ids. drops_space: the ids do not depend on the white space between words."""
+class _Unsure(Exception):
+    """The cuts around a piece are not certain."""
+
+
+class Encoder(dict):
+    """raw(text) gives the ids. drops_space: the ids do not depend on the white space between words, nor on case.
+
+    The dictionary itself is from keys to ids; a key that is not there yet is learnt when it is asked for.
+    """
 
     def __init__(self, path: str, drops_space: bool, pieces: int = PIECES):
         from tokenizers import Tokenizer
 
-        self.pieces = pieces
-        self.library, self.drops_space = Tokenizer.from_file(path), drops_space
-        self.known: dict[str, bytes] = {}
+        super().__init__({"": b""})
+        self.pieces, self.drops_space = pieces, drops_space
+        self.library = Tokenizer.from_file(path)
+        self.word = self.library.model.tokenize
+        spelt = self.library.pre_tokenizer.pre_tokenize_str
+        self.bytewise = str.maketrans({c: spelt(c)[0][0] for c in re.findall(f"[{_LETTERS}]", "".join(map(chr, range(0x180))))})
+        self.space = "" if drops_space else spelt(" a")[0][0][:-1]
         self.old: dict[str, bytes] = {}
-        self.chars = 0
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _spelt(self, key: str) -> str:
-        return key if self.drops_space else key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
-
-    def _parts(self, key: str) -> tuple[str, str]:
-        """Keys of a word and of the signs behind it, or the key and nothing."""
-        m = _WORD_SIGNS.fullmatch(key)
-        if not m:
-            return key, ""
-        word, signs = m.groups()
-        if self.drops_space:
-            low = word.lower()  # this file lower-cases; a letter that becomes two has marks that join the signs
-            return (low, signs) if len(low) == len(word) and word.isascii() else (word, signs) if len(low) == len(word) else (key, "")
-        return word, "\0" + signs
-
-    def _learn(self, keys: set[str]) -> None:
-        """Enter keys, but for those that are not certain."""
-        if len(self.known) > self.pieces or self.chars > 16 * self.pieces:
-            self.old, self.known, self.chars = self.known, {}, 0
-        known, old, new = self.known, self.old, []
-        for k in keys:
-            if (v := old.get(k)) is not None:
-                known[k] = v
-            elif not _UNSURE.search(k, k[:1] == "\0"):
-                new.append((k, k, "") if k[-1:].isalnum() and not self.drops_space else (k, *self._parts(k)))
-        parts = list({p for _, w, s in new for p in (w, s) if p and p not in known and p not in old})
-        for p, e in zip(parts, self.library.encode_batch_fast([self._spelt(p) for p in parts], add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-        for k, w, s in new:
-            if s:
-                known[k] = (known.get(w) or old[w]) + (known.get(s) or old[s])
-            elif w != k:
-                known[k] = known.get(w) or old[w]
-        self.chars += sum(map(len, keys))
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self._learn(key)
+        if len(self) > self.pieces:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        self[key] = ids
+        return ids
+
+    def _learn(self, key: str) -> bytes:
+        m = _WORD_SIGNS.fullmatch(key, not self.drops_space and key[0] == "\0")
+        if m:
+            word, signs = m.groups()
+            if self.drops_space:
+                if signs or not word.islower():
+                    return self[word.lower()] + self[signs]
+            elif signs:
+                return self[key[: m.end(1)]] + self["\0" + signs]
+            spelt = word if word.isascii() else word.translate(self.bytewise)
+            return array("I", [t.id for t in self.word(spelt if key[0] == "\0" else self.space + spelt)]).tobytes()
+        if len(key) > LONG or _UNSURE.search(key, key[0] == "\0"):
+            raise _Unsure
+        if self.drops_space or key[0] == "\0":
+            return self.whole(key.removeprefix("\0"))
+        if key[0] == "\n":
+            return self.whole("\n") + self["\0" + key[1:]] if len(key) > 1 else self.whole("\n")
+        return self.whole(" " + key)
 
     def _keys(self, text: str) -> list[str]:
         if self.drops_space:
@@ -82,44 +90,16 @@ class Encoder:
             keys[0] = "\0" + keys[0]
         return keys
 
-    def raw_many(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers."""
-        return [ids for lo in range(0, len(texts), TEXTS) for ids in self._some(texts[lo : lo + TEXTS])]
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        """The same for a few texts, whose new pieces are learnt at once."""
-        out: list[bytes] = [b""] * len(texts)
-        held, new = [], set()
-        self.known[""] = b""
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "\0" in text:  # it marks keys
-                out[i] = self._whole(text)
-                continue
-            keys = self._keys(text)
-            ids = list(map(self.known.get, keys))
-            if None in ids:
-                own = {k for k, v in zip(keys, ids, strict=True) if v is None}
-                if max(map(len, own)) > LONG:
-                    out[i] = self._whole(text)
-                    continue
-                new |= own
-                held.append((i, text, keys, ids))
-            else:
-                out[i] = b"".join(ids)
-        if new:
-            self._learn(new)
-        get, before = self.known.get, self.old.get
-        for i, text, keys, ids in held:
-            full = [get(k) if v is None else v for k, v in zip(keys, ids, strict=True)]
-            if None in full:
-                full = [before(k) if v is None else v for k, v in zip(keys, full, strict=True)]
-            out[i] = self._whole(text) if None in full else b"".join(full)
-        return out
-
     def raw(self, text: str) -> bytes:
-        return self.raw_many([text])[0]
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if "\0" in text:  # it marks keys
+            return self.whole(text)
+        try:
+            return b"".join(map(self.__getitem__, self._keys(text)))
+        except _Unsure:
+            return self.whole(text)
 
 
 @lru_cache(maxsize=2)

@@ -149,9 +149,8 @@ def _pieces(path: str, drops_space: bool, end_id: int, window: int, keep: bool):
         enc, last = encoder(path, drops_space), struct.pack("<I", end_id)
         for b in batches:
             out = []
-            encoded = enc.raw_many([t or "" for t in b.column(1).to_pylist()])
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
-                raw = ids + last
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = enc.raw(text.as_py() or "") + last
                 n = len(raw) // 4
                 for s in range(0, n, window):
                     part = raw[4 * s : 4 * (s + window)]

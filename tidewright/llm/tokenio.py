@@ -3,13 +3,15 @@
 File format: a Parquet folder with one row per shard. `payload` holds the ids of the shard's documents one after
 another, raw, little-endian, 2 bytes each (4 where an id needs it); `doc_ids` are its documents in ascending order;
 `index` is a minimal perfect hash (hash and displace) from a document's key to its slot, with a stored 32-bit
-fingerprint, the offset and the number of ids in each slot. A key is the id and its occurrence, so repeated ids are
-kept apart. Shards are contiguous in ascending id order, null ids first, and hold about SHARD_IDS ids, so writer and
-reader need memory for one shard. Spark's committer writes the folder: lost executors only repeat their tasks.
+fingerprint, the offset and the number of ids in each slot. A key is the id and its occurrence in the shard, so repeated
+ids are kept apart. Shards are contiguous in ascending id order, null ids first, and hold about SHARD_IDS ids, so writer
+and reader need memory for one shard. Spark's committer writes the folder: lost executors only repeat their tasks.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import prepare
+from tidewright.llm.common import prepare, staged
 from tidewright.llm.fasttok import encoder
 
 SHARD_IDS, SHARD_DOCS = 4 << 20, 100_000
 #: Pieces in each generation of a worker's dictionary: 170 MB.
 PIECES = 1_000_000
+#: Ranges into which equal rows can fall.
+SPREAD = 4096
 MAGIC, PER_BUCKET = b"TWIX1\0\0\0", 4
 SHARDS = "shard long, first_id long, last_id long, n_docs long, n_ids long, width int, doc_ids array<long>, payload binary, index binary"
 
@@ -117,18 +121,17 @@ def _write(path: str, drops_space: bool, end_id: int, shard_ids: int):
 
         held = 0
         for b in batches:
-            encoded = enc.raw_many([t or "" for t in b.column(1).to_pylist()])
-            for i, ids_of in zip(b.column(0).to_pylist(), encoded, strict=True):
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 occurrence = occurrence + 1 if i == before else 0
                 before = i
-                blob = ids_of + last
+                blob = enc.raw(text.as_py() or "") + last
                 ids.append(i)
                 keys.append(_key(i, occurrence))
                 blobs.append(blob)
                 held += len(blob) // 4
                 if held >= shard_ids or len(ids) >= SHARD_DOCS:
                     yield flush()
-                    seq, held = seq + 1, 0
+                    seq, held, before = seq + 1, 0, object()
                     ids, keys, blobs = [], [], []
         if ids:
             yield flush()
@@ -139,11 +142,14 @@ def _write(path: str, drops_space: bool, end_id: int, shard_ids: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool = False, end_id: int = 2, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row of docs, each followed by end_id, to a folder of the format above.
 
-    A null text is an empty one and has the end id alone. Rows that repeat an id stand together in a fixed order.
+    A null text is an empty one and has the end id alone. Rows that repeat an id stand together, in the order of a hash of
+    their texts; equal rows, of which it does not matter which comes first, are dealt by SPREAD so that one id that fills
+    much of the table is no one task's work.
     """
     prepare(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("spread", F.monotonically_increasing_id() % SPREAD)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("spread")]
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     d.mapInArrow(_write(tokenizer, drops_space, end_id, shard_ids), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
@@ -180,26 +186,54 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFr
     start counts the ids of all documents before it in the whole folder: the shards' totals are summed in order.
     """
     shards = prepare(spark).read.schema(SHARDS).parquet(path)
-    totals = shards.select("shard", "n_ids")
-    base = totals.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("base"))
+    writer = F.shiftright("shard", 32).alias("writer")  # a row for each task that wrote shards
+    before = lambda *by: F.sum("n_ids").over(Window.partitionBy(*by[1:]).orderBy(by[0])) - F.col("n_ids")
+    writers = shards.groupBy(writer).agg(F.sum("n_ids").alias("n_ids"))
+    writers = writers.select("writer", before("writer", F.lit(0)).alias("first"))
+    base = shards.select("shard", "n_ids", writer).withColumn("base", before("shard", "writer")).join(writers, "writer").select("shard", (F.col("first") + F.col("base")).alias("base"))
     docs = shards.select("shard", "doc_ids", "payload", "width", "index").mapInArrow(_read(keep_ids), "shard long, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
     return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep_ids else []))
 
 
-def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the named documents: shards are pruned by their first and last id, then one index lookup each."""
-    wanted = sorted(set(doc_ids))
+def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of the named documents, each as often as it is stored; None names those without an id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The indexes of the shards whose ids come near are asked first; payloads are read only of shards that hold a document.
+    """
+    wanted = sorted({i for i in doc_ids if i is not None})
+    null = None in doc_ids
+    schema = "doc_id long, ids array<long>"
+    if not wanted and not null:
+        return spark.createDataFrame([], schema)
+
+    def hits(index: Index, first: int | None, last: int | None) -> Iterator[tuple[int | None, tuple[int, int]]]:
+        near = [] if first is None else wanted[bisect.bisect_left(wanted, first) : bisect.bisect_right(wanted, last)]
+        for i in [None] * null + near:
+            for occurrence in itertools.count():
+                if (hit := index.find(i, occurrence)) is None:
+                    break
+                yield i, hit
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, first, last, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for part in itertools.batched(hits(Index(blob), first, last), 1000):
+                    rows = [(shard, i, at, n) for i, (at, n) in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["shard", "doc_id", "at", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, payload, width, blob in zip(*(b.column(i) for i in range(5)), strict=True):
-                index = Index(blob.as_py())
-                hits = [(i, hit) for i in wanted if first.as_py() <= i <= last.as_py() and (hit := index.find(i))]
-                ids = [_ids(payload.as_py(), width.as_py(), *hit).astype(np.int64) for _, hit in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+            for payload, width, found in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = payload.as_py()
+                for part in itertools.batched(found, 100):
+                    ids = [_ids(raw, width, f["at"], f["n"]).astype(np.int64) for f in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([f["doc_id"] for f in part], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     shards = prepare(spark).read.schema(SHARDS).parquet(path)
-    if not wanted:
-        return spark.createDataFrame([], "doc_id long, ids array<long>")
-    near = shards.where((F.col("last_id") >= wanted[0]) & (F.col("first_id") <= wanted[-1]))
-    return near.select("first_id", "last_id", "payload", "width", "index").mapInArrow(run, "doc_id long, ids array<long>")
+    near = F.lit(null)
+    if wanted:
+        near = near | ((F.col("last_id") >= wanted[0]) & (F.col("first_id") <= wanted[-1]))
+    found = shards.where(near).select("shard", "first_id", "last_id", "index").mapInArrow(ask, "shard long, doc_id long, at long, n long")
+    found = staged(found, "tokens-found")
+    own = found.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("found"))  # documents of one shard at most
+    return shards.select("shard", "payload", "width").join(own, "shard").select("payload", "width", "found").mapInArrow(cut, schema)
