@@ -1,11 +1,11 @@
 """Operator 6 [native]: mixing sources to target weights by Efraimidis-Spirakis sampling; DataFrame functions only.
 
-Each document gets the exponential key -ln(u) / quality, u being a hash of its id and text, so reruns agree. Within a
-source, sorted by key, whole epochs come first (every document once, or twice), and the rest of the target is filled
-by the documents with the least keys up to its token budget. Sums over a source are taken in two steps, first over
-ranges of the key and then inside the one range in which the budget runs out, so a source of any size is nobody's
-single task. The range's first document that does not fit gives way to the one of the documents left whose size
-comes closest to what is left of the budget.
+Each document gets the exponential key -ln(u) / quality, u being a hash of its id, its text and its number among equal
+rows, so reruns agree. Within a source, sorted by key, whole epochs come first (every document once, or twice), and the
+rest of the target is filled by the documents with the least keys up to its token budget. Sums over a source are taken
+over ranges of the key; the one range in which the budget runs out is cut into ranges again until it holds EDGE_ROWS
+documents at most, so a source of any size is nobody's single task. The first document that does not fit gives way to
+the one of the documents left whose size comes closest to what is left of the budget.
 """
 
 from __future__ import annotations
@@ -13,18 +13,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import prepare, stage, staged, unstage, word_count
+from tidewright.llm.common import NOT_BLANK, prepare, stage, staged, unstage, word_count
 
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
-#: Documents of a source in one range of the key, about.
-RANGE_ROWS = 20_000
+#: Documents of the range in which a source's budget runs out, at most; ranges that are made of one at once, at most.
+EDGE_ROWS, RANGES = 500, 4096
+#: Parts in which equal rows are numbered.
+SALTS = 64
 #: Sources up to this number are sent to all tasks; beyond it they are joined by name.
 SMALL = 10_000
+#: Likewise for groups of equal rows, and for equal rows.
+FEW_EQUAL = 100_000
 
 
-def quality_weight(chars: Column, size: Column) -> Column:
-    """A weight in [.05, 1]: near 1 for texts with about 6.5 characters to a word."""
-    return F.greatest(F.coalesce(F.exp(-F.abs(F.try_divide(chars, size) - 6.5) / 6.5), F.lit(0.05)), F.lit(0.05))
+def quality_weight(text: Column) -> Column:
+    """A weight in [.05, 1] of a text: the product of three shares, each high in running prose: letters and plain marks
+    among the characters, words of ordinary length among the words, and lines that end a sentence or are long among the
+    lines. A text without words has .05."""
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+    words = F.regexp_count(text, F.lit(NOT_BLANK))
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D.,;:'’?!-]+", ""))
+    usual = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[\p{L}'’-]{1,14}+[.,;:?!]?(?![^\x20\x09-\x0D])"))
+    ends = F.regexp_count(text, F.lit(r"(?m)(?:[.?!]['\")”’]?|^.{80,}+)\x20*+$"))
+    lines = F.regexp_count(text, F.lit(r"(?m)^[\x20\x09]*+[^\x20\x09-\x0D]"))
+    weight = F.pow(share(plain, F.length(text)), F.lit(4.0)) * share(usual, words) * (0.5 + 0.5 * F.least(share(ends, lines), F.lit(1.0)))
+    return F.least(F.greatest(F.coalesce(weight, F.lit(0.05)), F.lit(0.05)), F.lit(1.0))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -49,61 +62,116 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """(doc_id, th, source, size, source_size, target, epochs, taken): one row per row of docs, th being the text's hash;
     epochs is how often the document is taken, taken = epochs * size.
 
-    A null text has size 0 and adds no words. A null source is a source of its own, the last. Rows that repeat an id
-    have keys of their own if their texts differ; which of several equal rows is taken is not defined, but how many
-    are is. An empty table gives no rows; other columns are not read unless weight (a Column over docs) reads them.
+    A null text has size 0 and adds no words. A null source is a source of its own, the last. Rows that repeat id, text
+    and source are numbered and each drawn by its own key; which of them carries which number is not defined. An empty
+    table gives no rows; other columns are not read unless weight (a Column over docs) reads them.
     """
     spark = prepare(docs.sparkSession)
-    given = weight.cast("double") if weight is not None else F.lit(None).cast("double")
-    first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("th"), word_count(F.col(text_col)).alias("size"), F.length(text_col).alias("chars"), given.alias("given"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "th"), 11) + 1) / F.lit(float(2**53 + 1))
-    first = first.withColumn("w", F.coalesce("given", quality_weight(F.col("chars"), F.col("size"))))
-    keyed = staged(first.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "th", "source", "size", "w", (-F.log(u) / F.col("w")).alias("key")), "mixing-docs")
+    given = weight.cast("double") if weight is not None else quality_weight(F.col(text_col))
+    first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("th"), word_count(F.col(text_col)).alias("size"), F.coalesce(given, F.lit(0.05)).alias("w"))
+    first, docs_path = stage(first.select(F.monotonically_increasing_id().alias("uid"), "*"), "mixing-docs")
+    numbers = staged(equal_rows(first, ["doc_id", "th", "source"], "uid").select(F.col("uid").alias("_uid"), "number"), "mixing-equal")
+    one = F.coalesce("number", F.lit(0).cast("long"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "th", one), 11) + 1) / F.lit(float(2**53 + 1))
+    keyed = first.join(F.broadcast(numbers) if numbers.count() <= FEW_EQUAL else numbers, F.col("uid") == F.col("_uid"), "left")
+    keyed = staged(keyed.select("uid", "doc_id", "th", one.alias("number"), "source", "size", "w", (-F.log(u) / F.col("w")).alias("key")), "mixing-keyed")
+    unstage(spark, docs_path)
 
     per_source, path = stage(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("w").alias("rate")), "mixing-sources")
     goal = targets(per_source.select("source", "source_size"), weights, share, most)
     goal = goal.join(per_source.select(F.col("source").alias("_s"), "n", "rate"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = goal.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
-    goal = staged(goal, "mixing-targets")
+    goal = staged(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mixing-targets")
     few = goal.count() <= SMALL
     unstage(spark, path)
 
-    def beside(d: DataFrame, per: DataFrame, *cols: str) -> DataFrame:
+    def beside(d: DataFrame, per: DataFrame, *cols: str, how: str = "left") -> DataFrame:
         """d with columns of a table that has one row per source."""
         right = per.select(F.col("source").alias("_s"), *cols)
-        return d.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-
-    at = F.floor((1 - F.exp(-F.col("key") * F.col("rate"))) * F.col("ranges"))  # rises with the key
-    ranged = beside(keyed, goal, "source_size", "target", "epochs", "rest", "ranges", "rate").withColumn("range", F.least(at, F.col("ranges") - 1)).drop("ranges", "rate", "w")
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
-    sums = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s"))
-    edge = staged(sums.where("before <= rest and before + s > rest").select("source", F.col("range").alias("edge"), "before"), "mixing-edges")
-    edged = beside(ranged, edge, "edge", "before")
-
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "th", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    inner = edged.where("range = edge").withColumn("upto", F.col("before") + F.sum("size").over(order))
-    inner = staged(inner.withColumn("more", ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).cast("int")), "mixing-inner")
-    outer = edged.where("edge is null or range <> edge").withColumn("more", F.coalesce((F.col("range") < F.col("edge")).cast("int"), F.lit(0)))
-    columns = ["uid", "doc_id", "th", "source", "size", "key", "source_size", "target", "epochs", "more"]
+        return d.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+
+    # place rises with the key from 0 to 1; edge has a row for each source, whose budget runs out between lo and hi
+    row = ["uid", "doc_id", "th", "number", "source", "size", "key", "place"]
+    placed = beside(keyed, goal, "rate").withColumn("place", 1 - F.exp(-F.col("key") * F.col("rate"))).select(row)
+    edge = goal.where("rest > 0").select("source", "rest", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("before"), "n")
+    inside = placed
+    while True:
+        edge = staged(edge, "mixing-edges")
+        if not edge.where(F.col("n") > EDGE_ROWS).take(1):
+            break
+        within = beside(inside, edge, "rest", "lo", "hi", "before", "n", how="inner").where("place > lo and place <= hi")
+        inside = staged(within, "mixing-inside")
+        least, parts = F.greatest("lo", F.lit(0.0)), F.least(F.ceil(F.col("n") * 4 / EDGE_ROWS), F.lit(RANGES))
+        at = F.floor(F.coalesce(F.try_divide(F.col("place") - least, F.col("hi") - least), F.lit(0.0)) * parts)
+        sums = inside.groupBy("source", F.greatest(F.least(at, parts - 1), F.lit(0)).alias("at")).agg(
+            F.sum("size").alias("s"), F.count("*").alias("n"), F.max("place").alias("hi"),
+            F.first("rest").alias("rest"), F.first("before").alias("base"), F.first("lo").alias("lo"),
+        )
+        order = Window.partitionBy("source").orderBy("at")  # RANGES rows at most
+        sums = sums.withColumn("before", F.col("base") + F.sum("s").over(order) - F.col("s")).withColumn("lo", F.coalesce(F.lag("hi").over(order), "lo"))
+        edge = sums.where("before <= rest and before + s > rest").select("source", "rest", "lo", "hi", "before", "n")
+        inside = inside.select(row)
+
+    edged = beside(placed, edge.withColumn("is", F.lit(True)), "is", "lo", "hi", "before")
+    edged = beside(edged, goal, "source_size", "target", "epochs", "rest")
+    now = F.coalesce(F.col("is") & (F.col("place") > F.col("lo")) & (F.col("place") <= F.col("hi")), F.lit(False))
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "th", "number").rowsBetween(Window.unboundedPreceding, 0)
+    inner = edged.where(now).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    inner = staged(inner.withColumn("more", (F.col("upto") <= F.col("rest")).cast("int")), "mixing-inner")
+    outer = edged.where(~now).withColumn("more", F.when(F.col("is"), (F.col("place") <= F.col("lo")).cast("int")).otherwise((F.col("rest") > 0).cast("int")))
+    columns = ["uid", "doc_id", "th", "number", "source", "size", "key", "source_size", "target", "epochs", "more"]
     chosen = outer.select(columns).unionByName(inner.select(columns))
 
     used = F.greatest(F.max("before"), F.coalesce(F.max(F.when(F.col("more") == 1, F.col("upto"))), F.lit(0)))
     gap = inner.groupBy("source").agg((F.max("rest") - used).alias("gap"))
     left = beside(chosen.where("more = 0 and size > 0"), gap, "gap")
     off = F.abs(F.col("size") - F.col("gap"))
-    extra = left.where((off < F.col("gap")) & (F.col("epochs") < int(most))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "th", "uid")).alias("x"))
+    extra = left.where((off < F.col("gap")) & (F.col("epochs") < int(most))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "th", "number", "uid")).alias("x"))
     extra = staged(extra.select("source", F.col("x.uid").alias("extra")), "mixing-extra")
     times = F.col("epochs") + F.col("more") + F.coalesce((F.col("uid") == F.col("extra")).cast("int"), F.lit(0))
     out = beside(chosen, extra, "extra").select("doc_id", "th", "source", "size", "source_size", "target", times.alias("epochs"))
     return out.withColumn("taken", F.col("epochs") * F.col("size"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _alike(same: list[str]) -> Column:
+    """The columns `same` equal those of the other side, whose names begin with a bar."""
+    out = F.lit(True)
+    for c in same:
+        out = out & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out
+
+
+def equal_rows(rows: DataFrame, same: list[str], uid: str) -> DataFrame:
+    """The rows that share all of `same` with another one, with their number among those from 0 on.
+
+    They are numbered in SALTS parts, whose counts are added up, so that a third of a table in one group is no one task.
+    """
+    other = [F.col(c).alias(f"_{c}") for c in same]
+    twice = staged(rows.groupBy(*same).agg(F.count("*").alias("_of")).where("_of > 1").select(*other), "mixing-twice")
+    again = rows.join(F.broadcast(twice) if twice.count() <= FEW_EQUAL else twice, _alike(same), "left_semi")
+    again = staged(again.withColumn("_salt", F.pmod(F.xxhash64(uid), F.lit(SALTS))), "mixing-again")
+    counts = again.groupBy(*same, "_salt").agg(F.count("*").alias("_m"))
+    before = counts.select(*other, F.col("_salt").alias("_part"), (F.sum("_m").over(Window.partitionBy(*same).orderBy("_salt")) - F.col("_m")).alias("_before"))
+    ranked = again.withColumn("_rank", F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(uid)))
+    ranked = ranked.join(before, _alike(same) & (F.col("_salt") == F.col("_part")))
+    return ranked.withColumn("number", F.col("_before") + F.col("_rank") - 1).select(*rows.columns, "number")
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as mixed (of the same docs) takes it, all columns kept.
 
-    Equal rows share their epochs, so the mix has each of them as often as the sum says.
+    Rows of equal id, text and source share their epochs evenly: as many of them as the remainder come once more, so
+    that together they come as often as the mix says. No rows give no rows.
     """
-    times = mixed.where("epochs > 0").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_s")).agg(F.sum("epochs").alias("_sum"), F.count("*").alias("_taken"))
-    one = docs.withColumn("_h", F.xxhash64(text_col)).join(times, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col("source").eqNullSafe(F.col("_s")))
-    return one.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest((F.col("_sum") / F.col("_taken")).cast("int"), F.lit(1)))).alias("_n")).drop("_n")
+    columns, key = docs.columns, ["doc_id", "th", "source"]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    own = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"))
+    times = mixed.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.sum("epochs").alias("sum"), F.count("*").alias("of")).where("sum > 0")
+    taken = own.join(times, _alike(key)).select("row", *key, "sum", "of")
+    out = taken.where("of = 1").select("row", F.col("sum").alias("times"))
+    shared = staged(taken.where("of > 1").withColumn("uid", F.monotonically_increasing_id()), "mixing-shared")
+    if shared.take(1):
+        more = (F.col("number") < F.col("sum") % F.col("of")).cast("long")
+        out = out.unionByName(equal_rows(shared, key, "uid").select("row", (F.floor(F.col("sum") / F.col("of")) + more).alias("times")))
+    out = out.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in columns])
