@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import pytest
+
 from tidewright.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,43 +42,69 @@ def test_long_runs_take_linear_time():
         pii.base_spans(t)
 
 
-def corpus():
+def corpus(repeats=1):
     rnd = random.Random(2)
     vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(200)]
     rows = [(i, " ".join(rnd.choices(vocab, k=30)), "clash") for i in range(200)]
     for i in range(6):  # a name that stands with one address only, and a common word beside it
-        rows.append((500 + i, f"{vocab[i]} Zorblax {vocab[0]} write zorblax@corp.example.com {vocab[3]} now", "x"))
-    return rows + [(1, rows[1][1], "x"), (None, "call +1 743 555 3824", "x"), (700, None, None), (701, "", "x"), (702, "w " * 100_000 + "1.2.3.4", "x")]
+        rows += [(500 + i, f"Zorblax {vocab[i]} {'1 ' * 300} {vocab[0]} write zorblax@corp.example.com {vocab[3]} now {'; ' * 300} zorblax", "x")] * repeats
+    rows += [(600, "ask Quimby about it, quimby.77@mail.example.org knows", "x"), (601, "ask the quimby.77@mail.example.org", "x")]
+    for i in range(4):  # a network, and a word that stands with it alone
+        rows.append((620 + i, f"host Flumox at 10.20.{i}.7 is {vocab[i + 9]}", "x"))
+    return rows + [(1, rows[1][1], "x")] * repeats + [(None, "call +1 743 555 3824", "x"), (700, None, None), (701, "", "x"), (702, "w " * 100_000 + "1.2.3.4", "x")]
 
 
 def expected_terms(rows):
-    docs = {(i, t) for i, t, _ in rows}
-    n, n_c, n_ct, n_t, places = len(docs), {}, {}, {}, {}
-    for i, t in docs:
-        for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")}:
+    """(id, text) -> places of disclosing terms, by counting in memory."""
+    docs = {(i, t or "") for i, t, _ in rows}
+    n, n_c, n_ct, n_t = len(docs), {}, {}, {}
+    known, own = {}, {}
+    for d in docs:
+        spans = pii.base_spans(d[1])
+        own[d] = pii.terms(d[1], spans)
+        for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", d[1])}:
             n_t[w] = n_t.get(w, 0) + 1
-        near = pii.contexts(t or "", pii.base_spans(t or ""))
-        for c in {x[0] for x in near}:
+        known[d] = {x for k, s, e in spans for x in pii.known_by(k, d[1][s:e])} | {("name", w) for k, s, e in spans for w in pii.own_words(k, d[1][s:e])}
+        for c in known[d]:
             n_c[c] = n_c.get(c, 0) + 1
-        for p in {x[:2] for x in near}:
-            n_ct[p] = n_ct.get(p, 0) + 1
-        for c, w, s, e in near:
-            places.setdefault((i, t), {}).setdefault((s, e), []).append((c, w))
-    share = {(c, w): math.log(k * n / (n_c[c] * n_t[w])) / math.log(n / n_c[c]) for (c, w), k in n_ct.items() if k >= 3}
-    return {k: sorted(x for x, ps in v.items() if any(share.get(p, 0) >= 0.8 for p in ps)) for k, v in places.items()}
+            for w in {w for w, _, _ in own[d]}:
+                n_ct[c, w] = n_ct.get((c, w), 0) + 1
+
+    def tells(c, w):
+        k = n_ct.get((c, w), 0)
+        enough = k > 0 and c[1] == w if isinstance(c, tuple) else k >= 3
+        return enough and math.log(k * n / (n_c[c] * n_t[w])) / math.log(n / n_c[c]) >= 0.8 - 1e-9
 
+    return {d: [(s, e) for w, s, e in own[d] if any(tells(c, w) for c in known[d])] for d in docs}
 
-def test_scan_and_sanitise(spark):
-    rows = corpus()
+
+@pytest.mark.parametrize("repeats", [1, 20])
+def test_scan_and_sanitise(spark, repeats):
+    rows = corpus(repeats)
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     want = expected_terms(rows)
     out = pii.scan(df).collect()
     got = sorted((str(r.doc_id), [tuple(s) for s in r.base], [(s.start, s.end) for s in r.spans if s.kind == 4]) for r in out)
-    assert got == sorted((str(i), brute(t), want.get((i, t), [])) for i, t, _ in rows)
-    assert sum(len(x[2]) for x in got) == 18  # zorblax, write and now stand nowhere else
+    assert got == sorted((str(i), brute(t), want[i, t or ""]) for i, t, _ in rows)
+    by = {i: [t[s:e] for s, e in want[i, t or ""]] for i, t, _ in rows if t}
+    assert by[500] == ["Zorblax", "write", "now", "zorblax"] and "Quimby" in by[600] and by[601] == [] and "Flumox" in by[620] and by[1] == []
     clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert clean[500].text.split()[1] != "Zorblax" and "[EMAIL]" in clean[500].text and "corp" not in clean[500].text
+    assert "orblax" not in clean[500].text and "[EMAIL]" in clean[500].text and "corp" not in clean[500].text
     assert clean[None].text == "call [PHONE]" and clean[700].text is None and clean[701].text == ""
     assert all(clean[i].text == t for i, t, _ in rows if i is not None and i < 200)
     assert pii.sanitise(df).columns == df.columns and pii.sanitise(df).count() == len(rows)
+
+
+def test_common_stems_are_kept(spark):
+    rows = [(i, f"abcde word{'abcdefghij'[i % 10]} here", "x") for i in range(300)] + [(400 + i, f"wordzzz met kim@one.example.com {i}", "x") for i in range(5)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    assert out[400] == "wor*  [EMAIL] 0" and out[7] == rows[7][1]
+
+
+def test_empty_tables_and_names(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, spans string")
     assert pii.scan(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+    names = ["row", "_clean", "th", "hits", "_id", "a.b"]
+    some = spark.createDataFrame([(1, "write x@y.example.com", *names)], ["doc_id", "text", *names])
+    got = pii.sanitise(some).first()
+    assert got.text == "write [EMAIL]" and [got[c] for c in names] == names

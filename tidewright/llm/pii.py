@@ -1,11 +1,20 @@
 """Operator 5: personal data and the terms that disclose it.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. A term is a word of
-letters within CONTEXT words of an entity. Over the whole corpus, n(c) documents hold entity c, n(c, t) hold term t
-near c, and n(t) hold t at all, of N documents. The share of the entity's information that the term gives away is
-PMI(c; t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)). Where it reaches DISCLOSES, with at least SUPPORT
-documents behind it, the term's places near c are spans too: generalised, or removed from REMOVES on. Terms in
-documents without an entity are left alone.
+Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. A term is a word of three
+or more letters anywhere in a document that holds an entity. A term is judged against what the entity is known by: the
+entity itself, its class (the mail domain, the network, the card issuer, the calling area) and the words of a mail
+address before the @. Over the whole corpus, n(c) documents hold c, n(c, t) hold term t as well, and n(t) hold t at all,
+of N documents. The share of c's information that the term gives away is
+
+    PMI(c; t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)).
+
+A term discloses c if that reaches DISCLOSES and SUPPORT documents hold both; a word of the address itself needs no
+support, since it is part of what it discloses. Disclosing terms are spans at all of their places in each document that
+holds c. They are generalised to their first STEM letters if words that begin so are common enough to stay below the
+threshold whatever they stand with, and else removed. Terms in documents without an entity are left alone.
+
+All counts are of distinct pairs of id and text, so repeated rows count once. An entity that fewer than SUPPORT documents
+hold has no counts of its own worth trusting; its class and its address words are what terms are judged by.
 """
 
 from __future__ import annotations
@@ -13,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +32,13 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import prepare, stage, staged, unstage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT, SUPPORT, DISCLOSES, REMOVES = 5, 3, 0.8, 0.95
-#: Bits of the filter that holds all context terms; a false hit only adds a counted word.
+SUPPORT, DISCLOSES, STEM = 3, 0.8, 3
+#: Bits of the filter that holds all candidate terms; a false hit only adds a counted word.
 FILTER_BITS = 1 << 24
 #: Documents with terms up to this number are sent to all tasks; beyond it they are joined by key.
 SMALL = 100_000
+#: Most frequent stems that a term may be generalised to; a term of another stem is removed.
+STEMS = 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -72,118 +84,188 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], width: int = CONTEXT) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): up to width words of letters on either side of each span, outside all spans."""
-    out = []
-    inside = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end]}"
-        lo, hi = max(0, start - 40 * width), min(len(text), end + 40 * width)
-        before = [m for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0][-width:]
-        after = [m for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)][:width]
-        for m in before + after:
-            if not any(s < m.end() and m.start() < e for s, e in inside):
-                out.append((entity, m[0].lower(), m.start(), m.end()))
+def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term in lower case, start, end) of the words of letters outside all spans."""
+    out, inside = [], sorted((s, e) for _, s, e in spans)
+    at, upto = 0, 0  # spans that begin before the word; the furthest end of those
+    for m in _TERM.finditer(text):
+        while at < len(inside) and inside[at][0] < m.end():
+            upto = max(upto, inside[at][1])
+            at += 1
+        if m.start() >= upto:
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
-_FOUND = "doc_id long, th long, spans array<struct<kind: int, start: long, end: long>>, near array<struct<entity: string, term: string, start: long, end: long>>"
+def known_by(kind: int, entity: str) -> list[str]:
+    """What an entity is known by: itself and its class."""
+    if kind == 0:
+        group = entity.rpartition("@")[2].lower()
+    elif kind == 1:
+        group = ".".join(entity.split(".")[:2])
+    else:
+        digits = re.sub("[^0-9]", "", entity)
+        group = digits[:6] if kind == 2 else digits[:4]
+    return [f"{kind}={entity}", f"{kind}~{group}"]
 
 
-def _find(width: int):
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def own_words(kind: int, entity: str) -> list[str]:
+    """The words of a mail address before the @."""
+    return [w.lower() for w in _TERM.findall(entity.rpartition("@")[0])] if kind == 0 else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column(2)]
-            found = [base_spans(t) for t in texts]
-            close = [contexts(t, f, width) if f else [] for t, f in zip(texts, found, strict=True)]
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found]
-            terms = [[{"entity": c, "term": t, "start": s, "end": e} for c, t, s, e in f] for f in close]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(terms, near)], names=["doc_id", "th", "spans", "near"])
 
-    return run
+@lru_cache(maxsize=1 << 17)
+def _hash(word: str) -> int:
+    """A signed 64-bit hash."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+    return h - (h >> 63 << 64)
+
+
+_FOUND = "doc_id long, th long, spans array<struct<kind: int, start: long, end: long>>, keys array<long>, names array<long>, terms array<long>"
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, th, text) -> _FOUND: spans, hashes of what the entities are known by, of the words of addresses, and
+    of all terms of texts that have spans."""
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        rows = []
+        for t in b.column(2):
+            text = t.as_py() or ""
+            found = base_spans(text)
+            own = [(k, text[s:e]) for k, s, e in found]
+            keys = {_hash(x) for o in own for x in known_by(*o)}
+            names = {_hash(w) for o in own for w in own_words(*o)}
+            rows.append(([{"kind": k, "start": s, "end": e} for k, s, e in found], list(keys), list(names), list({_hash(w) for w, _, _ in terms(text, found)}) if found else []))
+        columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate([span, *[pa.list_(pa.int64())] * 3])]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "th", "spans", "keys", "names", "terms"])
 
 
 def _frequencies(words: dict[int, bytes], cap: int = 200_000):
-    """Documents of each word that the filter lets pass, added up in a task as far as memory allows."""
+    """Rows (text, times) -> (term, stem, n): documents of each term whose hash the filter lets pass (stem null), and of
+    each stem (term null), added up in a task as far as memory allows. times is how often a text counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        h64 = xxhash.xxh64_intdigest
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for bucket, part in words.items():
             bits[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(part, np.uint8)
-        held, known = Counter(), {}
+        held, stems, known = Counter(), Counter(), {}
 
-        def passes(w: str) -> bool:
-            at = h64(w.encode(), 42) % FILTER_BITS
-            return bool(bits[at >> 3] >> (at & 7) & 1)
+        def passes(w: str) -> int | None:
+            at = (h := _hash(w)) % FILTER_BITS
+            return h if bits[at >> 3] >> (at & 7) & 1 else None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+            names = [*[None] * len(held), *stems]
+            return pa.RecordBatch.from_arrays([pa.array([*held, *[None] * len(stems)], pa.int64()), pa.array(names, pa.string()), pa.array([*held.values(), *stems.values()], pa.int64())], names=["term", "stem", "n"])
 
         for b in batches:
-            for t in b.column(0):
+            for t, times in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 own = {w.lower() for w in set(_TERM.findall(t.as_py() or ""))}
                 new = [w for w in own if w not in known]
                 if len(known) + len(new) > 4 * cap:
                     known, new = {}, list(own)
                 known.update((w, passes(w)) for w in new)
-                held.update(w for w in own if known[w])
-            if len(held) > cap:
+                for w in own:
+                    if (h := known[w]) is not None:
+                        held[h] += times
+                for x in {w[:STEM] for w in own}:
+                    stems[x] += times
+            if len(held) + len(stems) > cap:
                 yield out()
-                held = Counter()
-        if held:
+                held, stems = Counter(), Counter()
+        if held or stems:
             yield out()
 
     return run
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int, discloses: float, text_col: str) -> DataFrame:
-    """(entity, term, share) of the terms that disclose an entity; found has the rows of _find."""
+def _repeats(found: DataFrame) -> DataFrame:
+    """(doc_id, th, of) of the pairs of id and text that several rows share."""
+    return found.groupBy("doc_id", "th").agg(F.count("*").alias("of")).where("of > 1")
+
+
+def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame]:
+    """(key, term, share) of the terms that disclose what a key stands for, and (stem, n), the documents of each stem.
+
+    found has the rows of _FOUND, keyed those of _keyed. Keys of names are those of the terms themselves.
+    """
     spark = found.sparkSession
-    near = found.select("doc_id", "th", F.explode("near").alias("c")).select("doc_id", "th", "c.entity", "c.term").distinct()
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    joint, path = stage(joint, "pii-joint")
-    marks = joint.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).alias("at"))  # signed and unsigned agree on the low bits
+    repeats = staged(_repeats(found), "pii-repeats")
+    surplus, n_repeats = repeats.agg(F.sum(F.col("of") - 1), F.count("*")).first()
+    n = found.count() - (surplus or 0)
+    held = found.where("size(spans) > 0").select("doc_id", "th", "keys", "names", "terms")
+    if n_repeats:
+        held = held.dropDuplicates(["doc_id", "th"])
+    held = staged(held.withColumn("uid", F.monotonically_increasing_id()), "pii-held")
+    # rows (uid, key): keys that enough documents hold; the arrays of terms are met once for each document, not each key
+    keys = held.select("uid", F.explode("keys").alias("key"))
+    n_c = keys.groupBy("key").agg(F.count("*").alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") < n))
+    common = keys.join(n_c, "key").groupBy("uid").agg(F.collect_list("key").alias("common"))
+    pairs = held.select("uid", "terms").join(common, "uid").select("common", F.explode("terms").alias("term")).select(F.explode("common").alias("key"), "term")
+    joint = pairs.groupBy("key", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    joint = joint.join(n_c, "key").select("key", "term", "n_ct", "n_c")
+    named = held.select("terms", F.explode("names").alias("key")).withColumn("both", F.array_contains("terms", F.col("key")).cast("long"))
+    named = named.groupBy("key").agg(F.sum("both").alias("n_ct"), F.count("*").alias("n_c")).where((F.col("n_ct") > 0) & (F.col("n_c") < n))
+    joint, path = stage(joint.unionByName(named.select("key", F.col("key").alias("term"), "n_ct", "n_c")), "pii-joint")
+    marks = joint.select(F.pmod("term", F.lit(FILTER_BITS)).alias("at"))
     made = marks.groupBy(F.floor(F.col("at") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     words = {r["bucket"]: bytes(r["bits"]) for r in made.collect()}  # 2 MB at most
-    n = docs.count()
     if not words:
         unstage(spark, path)
-        return spark.createDataFrame([], "entity string, term string, share double")
-    per_term = docs.select(text_col).mapInArrow(_frequencies(words), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    entity = found.select("doc_id", "th", F.explode(F.array_distinct("near.entity")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    both = joint.join(entity, "entity").join(per_term, "term")
+        return spark.createDataFrame([], "key long, term long, share double"), spark.createDataFrame([], "stem string, n long")
+    every = keyed.select("text", F.lit(1).cast("long").alias("times"))
+    if n_repeats:  # what the repeated rows count too much
+        again = F.broadcast(repeats) if n_repeats <= SMALL else repeats
+        again = keyed.join(again.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "of"), keyed.doc_id.eqNullSafe(F.col("_id")) & (keyed.th == F.col("_th")))
+        every = every.unionByName(again.dropDuplicates(["doc_id", "th"]).select("text", (1 - F.col("of")).alias("times")))
+    counts = every.mapInArrow(_frequencies(words), "term long, stem string, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "pii-frequencies")
+    both = joint.join(counts.where("term is not null").select("term", F.col("n").alias("n_t")), "term")
     share = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))
-    return both.where((F.col("n_c") < n) & (F.col("n_t") >= F.col("n_ct"))).select("entity", "term", share.alias("share")).where(F.col("share") >= discloses)
+    shares = both.select("key", "term", F.round(share, 9).alias("share")).where(F.col("share") >= discloses)
+    # what a stem gives away at most: it stands with all documents of the key
+    stems = counts.where("stem is not null").select("stem", "n")
+    return shares, stems
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-def _terms(found: DataFrame, docs: DataFrame, support: int, discloses: float, removes: float, text_col: str) -> DataFrame:
-    """(doc_id, th, terms): the spans that the method adds, one row per text that has any."""
-    near = found.select("doc_id", "th", F.explode("near").alias("c")).select("doc_id", "th", "c.*")
-    hit = near.join(disclosures(found, docs, support, discloses, text_col), ["entity", "term"])
-    row = F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", (F.col("share") >= removes).alias("remove"))
-    hit = hit.groupBy("doc_id", "th", "start", "end").agg(F.max("share").alias("share"))
-    return hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(row)).alias("terms"))
+def _disclosing(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, hits): hashes of the terms to be taken out of each text, and (stem, n)."""
+    shares, stems = disclosures(found, keyed, support, discloses)
+    shares = staged(shares, "pii-shares")
+    own = found.where("size(spans) > 0").select("doc_id", "th", "terms", F.explode(F.concat("keys", "names")).alias("key"))
+    few = shares.count() <= SMALL
+    met = own.select("doc_id", "th", "key").distinct().join(F.broadcast(shares) if few else shares, "key").groupBy("doc_id", "th").agg(F.collect_set("term").alias("hits"))
+    return met, stems
 
 
-def _with_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
-    """left (with doc_id, th) and the terms of its texts; sent to all tasks only if they are few."""
-    right = terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "terms")
-    if terms.count() <= SMALL:
+def _with_hits(left: DataFrame, hits: DataFrame, how: str = "left") -> DataFrame:
+    """left (with doc_id, th) and the hits of its texts; sent to all tasks only if they are few."""
+    right = hits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits")
+    if hits.count() <= SMALL:
         right = F.broadcast(right)
-    return left.join(right, left.doc_id.eqNullSafe(F.col("_id")) & (left.th == F.col("_th")), "left").drop("_id", "_th")
+    return left.join(right, left.doc_id.eqNullSafe(F.col("_id")) & (left.th == F.col("_th")), how).drop("_id", "_th")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, th, text, hits) -> the places of the hits."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+    term = KINDS.index("term")
+    for b in batches:
+        out = []
+        for t, h in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+            text, hits = t.as_py() or "", set(h)
+            out.append([{"kind": term, "start": s, "end": e} for w, s, e in terms(text, base_spans(text)) if _hash(w) in hits])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["_id", "_th", "added"])
 
 
-def scan(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): arrays of struct<kind, start, end> in code points, by kind, then start; spans holds the
     base ones and the disclosing terms.
 
@@ -191,10 +273,14 @@ def scan(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES,
     kept as null. An empty table gives no rows; other columns of docs are not read.
     """
     prepare(docs.sparkSession)
-    found = staged(_keyed(docs, id_col, text_col).mapInArrow(_find(CONTEXT), _FOUND), "pii-found")
-    terms = staged(_terms(found, docs, support, discloses, removes, text_col), "pii-terms")
-    out = _with_terms(found, terms)
-    added = F.transform(F.coalesce("terms", F.array().cast("array<struct<kind: int, start: bigint, end: bigint, remove: boolean>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    keyed = _keyed(docs, id_col, text_col)
+    found = staged(keyed.mapInArrow(_find, _FOUND), "pii-found")
+    hits = staged(_disclosing(found, keyed, support, discloses)[0], "pii-hits")
+    texts = _with_hits(keyed, hits, "inner").select("doc_id", "th", "text", "hits").mapInArrow(_places, "_id long, _th long, added array<struct<kind: int, start: long, end: long>>")
+    texts = staged(texts.dropDuplicates(["_id", "_th"]), "pii-places")
+    right = F.broadcast(texts) if texts.count() <= SMALL else texts
+    out = found.select("doc_id", "th", "spans").join(right, found.doc_id.eqNullSafe(F.col("_id")) & (found.th == F.col("_th")), "left")
+    added = F.coalesce("added", F.array().cast("array<struct<kind: int, start: bigint, end: bigint>>"))
     return out.select("doc_id", F.col("spans").alias("base"), F.concat("spans", added).alias("spans"))
 
 
@@ -208,28 +294,38 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, removes: float = REMOVES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, every row and column, with its text sanitised: entities become [EMAIL], [IP], [CARD] or [PHONE], disclosing
-    terms [TERM] or nothing. Texts without spans, nulls included, stay as they are."""
+def sanitise(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, every row and column, with its text sanitised: entities become [EMAIL], [IP], [CARD] or [PHONE]; disclosing
+    terms their stem and a star, or nothing where the stem is rare. Texts without spans, nulls included, stay as they are,
+    and so do the columns of whatever name and rows that repeat."""
     prepare(docs.sparkSession)
     columns = docs.columns
-    found = staged(_keyed(docs, id_col, text_col).mapInArrow(_find(CONTEXT), _FOUND).where("size(spans) > 0"), "pii-found")
-    terms = staged(_terms(found, docs, support, discloses, removes, text_col), "pii-terms")
+    keyed = _keyed(docs, id_col, text_col)
+    found = staged(keyed.mapInArrow(_find, _FOUND), "pii-found")
+    hits, stems = _disclosing(found, keyed, support, discloses)
+    hits = staged(hits, "pii-hits")
+    # a stem is safe if it is too common to give away the rarest key that has counts: one of `support` documents
+    n = found.count()
+    bound = n * (support / max(n, 1)) ** discloses
+    safe = {r["stem"] for r in stems.where(F.col("n") > bound).orderBy(F.desc("n"), "stem").limit(STEMS).collect()}
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"))
-    both = _with_terms(held, terms)
+    both = _with_hits(held, hits)
 
     @F.pandas_udf("string")
     def clean(texts, marks):
         def one(text, more):
             if text is None:
                 return None
-            spans = [(s, e, f"[{KINDS[k].upper()}]") for k, s, e in base_spans(text)]
-            spans += [(m["start"], m["end"], "" if m["remove"] else "[TERM]") for m in (more if more is not None else [])]
+            base = base_spans(text)
+            spans = [(s, e, f"[{KINDS[k].upper()}]") for k, s, e in base]
+            if more is not None and len(more):
+                taken = set(map(int, more))
+                spans += [(s, e, f"{text[s : s + STEM]}*" if w[:STEM] in safe else "") for w, s, e in terms(text, base) if _hash(w) in taken]
             return redact(text, spans) if spans else text
 
         return texts.combine(marks, one) if len(texts) else texts
 
-    cleaned = both.select("row", clean(F.col(f"row.{text_col}"), F.col("terms")).alias("_clean"))
+    cleaned = both.select("row", clean(F.col("row")[text_col], F.col("hits")).alias("_clean"))
     return cleaned.select(*[F.col("_clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
 
 
