@@ -2,6 +2,8 @@ import base64
 import hashlib
 import random
 import re
+import string
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -70,11 +72,47 @@ def test_value_behind_equals_sign_and_long_blobs(spark):
         "lower": lambda: "".join(rnd.choices(b32, k=2000)),
     }
     rows = [(i, f"see {f()} here", name) for i, (name, f) in enumerate((name, f) for name, f in made.items() for _ in range(40))]
+    prose = [(len(rows) + i, "get user name from the request and which water under question sets " * 3, "prose") for i in range(100)]
+    rows += prose
     out = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     for name in made:
         hit = 0
         for r in out:
             _, text, own = rows[r.doc_id]
+            if own not in made:
+                continue
             start = text.index("=") + 1 if own in ("name", "query") else 4
             hit += own == name and (start, 3, len(text) - 5) in [tuple(s) for s in r.spans]
         assert hit >= 36, (name, hit)
+
+
+PARTS = "get set user name http request response error count value buffer stream socket parse config manager factory service handler thread message default length string number array object table column update delete insert".split()
+RND = random.Random(5)
+MADE = {
+    "base64-24": lambda: base64.b64encode(RND.randbytes(18)).decode(),
+    "base62-40": lambda: "".join(RND.choices(string.ascii_letters + string.digits, k=40)),
+    "base32-32": lambda: "".join(RND.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=32)),
+    "lower-36": lambda: "".join(RND.choices(string.ascii_lowercase, k=36)),
+    "base36-25": lambda: "".join(RND.choices(string.ascii_lowercase + string.digits, k=25)),
+    "uuid": lambda: str(uuid.UUID(bytes=RND.randbytes(16), version=4)),
+    "hex-26": lambda: RND.randbytes(13).hex(),
+    "url-safe-43": lambda: base64.urlsafe_b64encode(RND.randbytes(32)).decode().rstrip("="),
+}
+PLAIN = {
+    "camel": lambda: "get" + "".join(w.capitalize() for w in RND.choices(PARTS, k=6)),
+    "snake": lambda: "_".join(RND.choices(PARTS, k=6)),
+    "joined": lambda: "".join(RND.choices(PARTS, k=7)),
+    "upper": lambda: "_".join(w.upper() for w in RND.choices(PARTS, k=6)),
+    "path": lambda: "/".join(RND.choices(PARTS, k=6)) + str(RND.randrange(99)),
+    "number": lambda: "".join(RND.choices("0123456789", k=30)),
+}
+
+
+def test_recall_and_false_claims_by_encoding(spark):
+    rows = [(i, kind, f"see {f()} here") for i, (kind, f) in enumerate((k, f) for k, f in (MADE | PLAIN).items() for _ in range(100))]
+    prose = [(10_000 + i, "prose", " ".join(RND.choices([*PARTS, "the", "and", "which", "water", "under", "question"], k=60))) for i in range(200)]
+    df = spark.createDataFrame(rows + prose, "doc_id long, kind string, text string")
+    claimed = {r.doc_id for r in secrets.secret_scan(df).collect() if any(s["rank"] == 3 for s in r.spans)}
+    got = {k: sum(i in claimed for i, kind, _ in rows if kind == k) for k in MADE | PLAIN}
+    assert all(got[k] >= 90 for k in MADE), got
+    assert sum(got[k] for k in PLAIN) <= 0.01 * sum(got.values()) + 2 and got["number"] == 0, got

@@ -2,22 +2,32 @@
 
 Patterns give the base spans: credentials that are assigned, access keys, long hex runs. Beside them, every run of 20 or
 more characters of [A-Za-z0-9+/_-] is a candidate, with up to two = behind it; one may begin right behind a =. Its
-encoding is inferred from the characters it uses (digits, hex, base 32 of capital or small letters, base 36, base 62,
-base 64 with +/ or with -_, or with all four) and three tests are made over that alphabet:
-
-- chi-squared: are the symbols uniform? Its upper tail, by the Wilson-Hilferty cube root, must not be below ALPHA;
-- serial correlation at lag 1 of the symbols' indexes, which is near normal with variance 1/n: likewise, two-sided;
-- runs of digits, small and capital letters: words and identifiers change class in at most TEXT_CHANGE of their
-  steps, so Chernoff's bound exp(-n KL(observed, TEXT_CHANGE)) is a valid p-value against ordinary text.
-
-A candidate that passes the first two is claimed as a secret if the third's p-value passes Benjamini-Hochberg at
-level FDR among all the corpus's candidates of its own length class (powers of two), so that many short candidates
-do not loosen the limit of long ones. Limits come from counts by length class and p-value step, a table whose size
-is fixed, and go back into the plan as constants.
+encoding is inferred from the characters it uses (a UUID, digits, hex, base 32 of capital or small letters, base 26, 36,
+52 or 62, base 64 with +/ or with -_, or with all four). Three tests over that alphabet ask whether it can be random:
+
+- chi-squared: are the symbols uniform? Its upper tail, by the Wilson-Hilferty cube root;
+- runs (Wald-Wolfowitz) of symbols in the upper and the lower half of the alphabet, two-sided;
+- serial correlation at lag 1 of the symbols' indexes, near normal with variance 1/n, two-sided.
+
+Their p-values are combined by Fisher's method; a candidate below ALPHA is not random. Whether it can be text is asked by
+a p-value against the corpus's own words. Letters of words follow each other by the corpus's table of letter pairs,
+counted over all texts; the likelihood ratio of the inferred alphabet's uniform letters against that table has
+expectation 1 over such words, so its reciprocal is a valid p-value. Pairs across a change from a small to a capital
+letter, or across digits and signs, where identifiers join their words, do not count. Hex has too few letters for that:
+there the changes between letters and digits are counted, of which words and numbers have at most TEXT_CHANGE a step, and
+Chernoff's bound exp(-n KL(observed, TEXT_CHANGE)) is the p-value. Digits alone look like any long number and are not
+claimed.
+
+A candidate that can be random is claimed as a secret if its p-value against text passes Benjamini-Hochberg at level FDR
+among all the corpus's candidates of its own length class (powers of two), so that many short candidates do not loosen
+the limit of long ones. Limits come from counts by length class and p-value step, a table whose size is fixed, and go
+back into the plan as constants, as do the letter pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +42,28 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "random"]
 #: A run of fewer characters is too short for the battery.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Candidates that hold a digit: no words.
+NO_WORD = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
 ALPHA, TEXT_CHANGE, FDR, STEPS = 0.001, 0.08, 0.01, 400
 #: Name, characters, symbols in order. The first whose characters suffice is the encoding.
 ENCODINGS = [
     ("digits", "^[0-9]+$", "0123456789"),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("base26", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("BASE26", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base52", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("lower base32", "^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("BASE36", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     ("base36", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("URL-safe base64", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed base64", "^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = 64
 _MATCH = "array<struct<start: bigint, end: bigint, text: string, own: string>>"
 
@@ -102,37 +120,67 @@ def _tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / (1.64 * z + F.sqrt(0.76 * z * z + 4))
 
 
-def _battery(m: Column) -> Column:
+def letter_pairs(texts: DataFrame, text: str = "t") -> list[list[float]]:
+    """log P(b | a) of the letters a, b of the corpus's words, without case: 26 rows of 26. Each pair counts once more, and
+    candidates that hold a digit are left out."""
+    words = F.lower(F.regexp_replace(text, NO_WORD, " "))
+    pairs = texts.select(F.explode(F.regexp_extract_all(words, F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("p"))
+    counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 676 rows at most
+    rows = [[counts.get(a + b, 0) + 1 for b in LETTERS] for a in LETTERS]
+    return [[math.log(n / sum(row)) for n in row] for row in rows]
+
+
+def _battery(m: Column, pairs: Column) -> Column:
     """struct<start, end, step, size_class> of a candidate: step is -10 log10 of the p-value against text, or null if
-    it is not random by the other two tests."""
+    it is not random. pairs is a column of 676 logarithms."""
 
     def tests(v: Column) -> Column:
         token, alphabet, symbols = v["token"], v["alphabet"], v["symbols"]
         n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
         square = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda s, c: s + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
         index = F.transform(symbols, lambda c: F.instr(alphabet, c).cast("double"))
-        classes = F.translate(token, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_=", "0" * 10 + "A" * 26 + "a" * 26 + "." * 5)
-        runs = F.length(F.regexp_replace(classes, r"(.)\1*+", "x")).cast("double")
-        return F.struct(n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), _lag(index, n).alias("serial"), runs.alias("runs"))
+        halves = F.array_join(F.transform(index, lambda x: F.when(x > k / 2, "1").otherwise("0")), "")
+        runs = F.length(F.regexp_replace(halves, r"(.)\1*+", "x")).cast("double")
+        upper = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
+        return F.struct(token.alias("token"), n.alias("n"), k.alias("k"), (square * k / n - n).alias("chi"), _lag(index, n).alias("serial"), runs.alias("runs"), upper.alias("upper"))
 
     def verdict(v: Column) -> Column:
         n, k = v["n"], v["k"]
         spread = 2.0 / (9.0 * (k - 1))
         z_chi = (F.pow(F.greatest(v["chi"], F.lit(1e-9)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
         p_chi = F.when(z_chi >= 0, _tail(z_chi)).otherwise(1.0)
+        both = 2 * v["upper"] * (n - v["upper"])
+        variance = both * (both - n) / (n * n * (n - 1))
+        z_runs = F.when(variance > 0, F.abs(v["runs"] - 1 - both / n) / F.sqrt(variance)).otherwise(F.when(v["runs"] == 1, F.sqrt(n)).otherwise(0.0))
         z_serial = F.abs(v["serial"] + 1 / n) * F.sqrt(n)
-        rate = F.least(F.greatest((v["runs"] - 1) / (n - 1), F.lit(TEXT_CHANGE)), F.lit(0.999))
-        kl = rate * F.log(rate / TEXT_CHANGE) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGE))
-        step = F.least(F.floor((n - 1) * kl * (10 / 2.302585092994046)), F.lit(STEPS)).cast("int")
-        random = (p_chi >= ALPHA) & (2 * _tail(z_serial) >= ALPHA)
+        three = F.log(p_chi) + F.log(F.least(2 * _tail(z_runs), F.lit(1.0))) + F.log(F.least(2 * _tail(z_serial), F.lit(1.0)))
+        random = F.exp(three) * (1 - three + three * three / 2) >= ALPHA
+        gain = F.when(k > 16, _against_words(v["token"], pairs)).otherwise(F.when(k == 16, _against_changes(v["token"], n)).otherwise(0.0))
+        step = F.greatest(F.least(F.floor(gain * (10 / 2.302585092994046)), F.lit(STEPS)), F.lit(0)).cast("int")
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(random, step).alias("step"), F.floor(F.log2(n)).cast("int").alias("size_class"))
 
     bare = F.regexp_replace(m["text"], "=+$", "")
+    bare = let(bare, lambda t: F.when(t.rlike(UUID), F.lower(F.replace(t, F.lit("-"), F.lit("")))).otherwise(t))
     alphabet = lambda t: F.coalesce(*[F.when(t.rlike(chars), F.lit(a)) for _, chars, a in ENCODINGS])
     symbols = let(bare, lambda t: F.struct(t.alias("token"), alphabet(t).alias("alphabet"), F.split(t, "").alias("symbols")))
     return let(let(symbols, tests), verdict)
 
 
+def _against_words(token: Column, pairs: Column) -> Column:
+    """Log of the likelihood ratio of uniform letters against the corpus's words, over the pairs inside words."""
+    inside = F.regexp_extract_all(token, F.lit("(?=([a-z]{2}|[A-Z]{2}|[A-Z][a-z]))"), F.lit(1))
+    code = lambda c: F.ascii(c) - 97
+    text = lambda p: F.get(pairs, code(F.substring(p, 1, 1)) * 26 + code(F.substring(p, 2, 1)))
+    return F.aggregate(F.transform(inside, lambda p: F.lower(p)), F.lit(0.0), lambda s, p: s - F.log(F.lit(26.0)) - text(p))
+
+
+def _against_changes(token: Column, n: Column) -> Column:
+    """Chernoff's exponent of the changes between letters and digits."""
+    classes = F.regexp_replace(F.regexp_replace(token, "[0-9]++", "0"), "[A-Fa-f]++", "a")
+    rate = F.least(F.greatest((F.length(classes) - 1) / (n - 1), F.lit(TEXT_CHANGE)), F.lit(0.999))
+    return (n - 1) * (rate * F.log(rate / TEXT_CHANGE) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGE)))
+
+
 def _lag(index: Column, n: Column) -> Column:
     """Serial correlation at lag 1; 1 if all symbols are the same."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -167,15 +215,16 @@ def secret_scan(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_
     and sorted by start, then kind; spans holds the base ones and those that the battery adds.
 
     A candidate inside a base span is not added. A null text is an empty one. Rows are independent but for the
-    corpus's limits: repeated rows give a row each, an empty table none, and no other column of docs is read.
+    corpus's letter pairs and limits: repeated rows give a row each, an empty table none, and no other column of docs is read.
     """
     prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    pairs = F.array(*[F.lit(x) for row in letter_pairs(d) for x in row])
     found = with_matches(d, {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "m": (CANDIDATE, 0)})
     base = F.array_sort(F.concat(*[_spans(F.col(k), k, LEAST[k]) for k in KINDS[:3]]))
     found = found.select("doc_id", base.alias("base"), "m")
     outside = F.filter("m", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-    found = staged(found.select("doc_id", "base", F.transform(outside, _battery).alias("candidates")), "secrets")
+    found = staged(found.select("doc_id", "base", F.transform(outside, lambda m: _battery(m, pairs)).alias("candidates")), "secrets")
     limits = _limits(found, fdr)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<int,int>")
     added = F.transform(F.filter("candidates", lambda c: c["step"] >= F.coalesce(limit[c["size_class"]], F.lit(STEPS + 1))), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), c["end"].alias("end")))
