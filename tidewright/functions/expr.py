@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,18 +88,30 @@ def short_sha(*parts: Column, bits: int = 256, size: int = 16) -> Column:
 
 
 #: Parameters that only track.
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid yclid ref source".split()
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source", "fbclid", "gclid", "mc_cid", "mc_eid"]
 
 
 def canonical_url(c: Column | str) -> Column:
-    """DOI, then arXiv, then the URL: lower scheme and host, no port or fragment, no tracking parameters, rest sorted."""
+    """DOI, then arXiv, then the URL: lower scheme (https if none) and host, no port, login, path parameters or fragment, no
+    slash at the end, no tracking parameters, rest sorted."""
     c = F.col(c) if isinstance(c, str) else c
-    c = F.trim(c)
-    doi = F.regexp_extract(c, r"(?i)(?:doi\.org/|doi:\s*)(10\.\d{4,9}/[^\s?#]+)", 1)
-    arxiv = F.regexp_extract(c, r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)
-    scheme, host = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    pairs = F.filter(F.split(F.regexp_extract(c, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
+    doi = F.regexp_extract(c, r"(?i)(?:https?://(?:dx\.)?doi\.org/|doi:)(10\.\d{4,}/\S+)", 1)
+    arxiv = F.regexp_extract(c, r"(?i)(?:https?://arxiv\.org/abs/|arxiv:)(\d{4}\.\d{4,}(?:v\d+)?)", 1)
+    whole = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:[^/?#]*@)?([^/?#:]*)(?::[^/?#]*)?)?([^?#]*)(?:\?([^#]*))?"
+    scheme, host, path, query = (F.regexp_extract(c, whole, i) for i in (1, 2, 3, 4))
+    path = F.regexp_replace(F.regexp_replace(path, ";[^/]*$", ""), "/+$", "")
+    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
     rest = F.array_join(F.array_sort(pairs), "&")
-    url = F.concat(scheme, F.lit("://"), host, path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise(""))
-    return F.when(doi != "", F.concat(F.lit("doi:"), F.lower(F.regexp_replace(doi, r"[.,;]+$", "")))).when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).when(scheme != "", url).otherwise(c)
+    front = F.concat(F.when(scheme == "", "https").otherwise(F.lower(scheme)), F.when(host == "", ":").otherwise(F.concat(F.lit("://"), F.lower(host))))
+    url = F.concat(front, path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise(""))
+    return F.when(doi != "", F.concat(F.lit("doi:"), F.regexp_replace(doi, r"\.+$", ""))).when(arxiv != "", F.concat(F.lit("arxiv:"), arxiv)).otherwise(url)
+
+
+def fingerprint(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+    """(rows, fingerprint) of a table whatever its order: hashes of rows by bucket, sorted and hashed, then the hash of the
+    buckets' digests. A bucket is a few digits of the hash, so no task holds more than its share; many equal rows count as
+    one hash and their number."""
+    one = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in rows.columns]), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    parts = one.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ","), 256).alias("d"), F.sum("n").alias("n"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 8, "0"), "d"))), ","), 256).alias("fingerprint"))

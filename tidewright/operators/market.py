@@ -46,11 +46,16 @@ def tokens(c: Column | str) -> Column:
 
 def demand_visibility_match(demand: DataFrame, visibility: DataFrame) -> DataFrame:
     """Per demand phrase (id, phrase, volume): shows and clicks of every query that holds its words, the best position (0 if none
-    is above 0); null where nothing matches."""
-    a, b = demand.select("id", tokens("phrase").alias("toks")).where(F.size("toks") > 0), visibility.select(F.col("query_id").alias("id"), tokens("query").alias("toks"))
-    m = contained(a, b).join(visibility.select(F.col("query_id").alias("other"), "impressions", "clicks", "position"), "other")
-    g = m.groupBy("id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.coalesce(F.min(F.when(F.col("position") > 0, F.col("position"))), F.lit(0.0)).alias("position"))
-    return demand.join(g, "id", "left").withColumn("bucket", position_bucket("position"))
+    is above 0); null where nothing matches. Phrases and queries of the same set of words are one each, named by a hash of it."""
+    words = lambda c: F.array_sort(tokens(c))
+    d = demand.withColumn("_t", words("phrase")).withColumn("_k", F.xxhash64("_t"))
+    q = visibility.select(words("query").alias("toks"), "impressions", "clicks", "position").groupBy("toks").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.min(F.when(F.col("position") > 0, F.col("position"))).alias("position"))
+    q = q.withColumn("id", F.xxhash64("toks"))
+    a = d.where(F.size("_t") > 0).select(F.col("_k").alias("id"), F.col("_t").alias("toks")).distinct()
+    m = contained(a, q.select("id", "toks")).join(q.select(F.col("id").alias("other"), "impressions", "clicks", "position"), "other")
+    g = m.groupBy("id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.coalesce(F.min("position"), F.lit(0.0)).alias("position"))
+    g = g.withColumnRenamed("id", "_k")
+    return d.join(g, "_k", "left").drop("_k", "_t").withColumn("bucket", position_bucket("position"))
 
 
 def nested_query_guard(phrases: DataFrame) -> DataFrame:
@@ -64,20 +69,34 @@ def nested_query_guard(phrases: DataFrame) -> DataFrame:
 
 
 def visibility_aggregate(v: DataFrame) -> DataFrame:
-    return v.groupBy("cluster_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.avg("position").alias("position"), F.count_distinct("query").alias("queries"), F.count_distinct("url").alias("urls"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
+    """Sums, mean position, sorted distinct URLs and queries of each cluster."""
+    names = lambda c: F.sort_array(F.collect_set(c))
+    return v.groupBy("cluster_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.avg("position").alias("position"), names("query").alias("queries"), names("url").alias("urls"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
 
 
-def visibility_action(signal: Column, gap: Column) -> Column:
-    """Action by trend and visibility; needs impressions, position, ctr columns."""
-    rising, falling = signal.isin("growing", "rapid_growth", "emerging", "breakout", "seasonal_rise"), signal.isin("declining", "structural_decline", "seasonal_fall")
-    seen = F.coalesce(F.col("impressions") > 0, F.lit(False))
-    return F.when(rising & seen & (F.col("position") > 10), "optimize_existing_page").when(seen & (F.col("position") <= 10) & (F.col("ctr") < 0.03) & (F.col("impressions") >= 50), "improve_ctr").when(falling & seen, "review_priority").when(rising & gap & ~seen, "market_rising_no_page").otherwise("monitor")
+#: Signals of a rising and of a falling market.
+RISING, FALLING = ["breakout", "emerging", "rapid_growth", "growing"], ["declining", "structural_decline"]
+
+
+def visibility_action(signal: Column, coverage: Column) -> Column:
+    """Action by trend and visibility, null if none; needs impressions, position, ctr columns. coverage is gap if unknown."""
+    unseen = F.coalesce(F.col("impressions") == 0, F.lit(True))
+    open_ = F.coalesce(coverage, F.lit("gap")).isin("gap", "partial")
+    seen = F.when(signal.isin(RISING) & (F.col("position") > 10), "optimize_visibility").when((F.col("position") <= 10) & (F.coalesce("ctr", F.lit(0.0)) < 0.03) & (F.col("impressions") >= 50), "improve_ctr").when(signal.isin(FALLING) & (F.col("impressions") > 0), "review_offer")
+    return F.when(unseen, F.when(signal.isin(RISING) & open_, "market_rising_no_page")).otherwise(seen)
 
 
 def visibility_merge(trend: DataFrame, v: DataFrame) -> DataFrame:
     """Trend results with aggregated search metrics by cluster, and the action."""
     j = trend.join(visibility_aggregate(v), "cluster_id", "left")
-    return j.withColumn("action", visibility_action(F.col("signal"), F.coalesce("coverage_status", F.lit("gap")) == "gap"))
+    return j.withColumn("action", visibility_action(F.col("signal"), F.col("coverage_status")))
+
+
+def visibility_flags(v: DataFrame) -> DataFrame:
+    """(query, url, rule_id): rows with missing fields, negative figures, more clicks than impressions."""
+    lost = [F.when(F.col(c).isNull(), f"missing:{c}") for c in ("query", "cluster_id", "url", "impressions", "clicks", "position")]
+    rules = [*lost, F.when((F.col("impressions") < 0) | (F.col("clicks") < 0), "negative_metrics"), F.when(F.col("clicks") > F.col("impressions"), "clicks_exceed_impressions")]
+    return v.select("query", "url", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
 
 
 def status_share(buckets: DataFrame) -> DataFrame:
@@ -104,9 +123,13 @@ def representative_phrases(phrases: DataFrame, k: int = 5) -> DataFrame:
     return phrases.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def topic_priority(age_days: Column, demand: Column, seasonal: Column) -> Column:
-    fresh, big = age_days <= 7, demand >= 1000
-    return F.when(fresh & big, "urgent").when(big & seasonal, "high").when(fresh | big | seasonal, "medium").otherwise("low")
+def topic_priority(age_days: Column, demand: Column, seasonal: Column, window: int = 20, season_window: int = 60, high: int = 500) -> Column:
+    """urgent, social_now, important, next_quarter or planned: an event inside its window (longer for a seasonal one in peak
+    demand) by demand, else a season's peak by demand, else an older event by demand. high is 500 a month, 100 in the smaller
+    region."""
+    big = F.coalesce(demand >= high, F.lit(False))
+    fresh = F.coalesce(age_days <= F.when(seasonal & big, season_window).otherwise(window), F.lit(False))
+    return F.when(fresh, F.when(big, "urgent").otherwise("social_now")).when(seasonal, F.when(big, "important").otherwise("planned")).otherwise(F.when(big, "important").otherwise("next_quarter"))
 
 
 def merge_demand_lists(lists: list[DataFrame], n: int = 100) -> DataFrame:
@@ -135,9 +158,10 @@ def brand_index(parts: DataFrame, base_period: str) -> DataFrame:
 
 
 def mention_weight(mentions: DataFrame) -> DataFrame:
-    """Per period and paid or own: 5 for trade press, 8 for business press, each text once."""
+    """Per period and paid or own: 5 for trade press, 8 for business press, each text once, at its highest weight, own first."""
     w = F.when(F.col("class") == "business", 8).when(F.col("class") == "trade", 5).otherwise(0)
-    return mentions.dropDuplicates(["period", "content_hash"]).groupBy("period", "paid").agg(F.sum(w).alias("m"))
+    once = mentions.groupBy("period", "content_hash").agg(F.min(F.struct((-w).alias("w"), "paid")).alias("x"))
+    return once.groupBy("period", F.col("x.paid").alias("paid")).agg(F.sum(-F.col("x.w")).alias("m"))
 
 
 def loss_reason_share(deals: DataFrame, competitor: float = 0.30, reason: float = 0.40) -> DataFrame:
@@ -225,10 +249,27 @@ def required_minus_present(required: DataFrame, present: DataFrame, key: str) ->
     return required.select(key).distinct().join(present.select(key), key, "left_anti")
 
 
-def candidate_gate(c: DataFrame) -> DataFrame:
-    """Ordered decision include / watch / review / reject with a reason."""
+def candidate_gate(c: DataFrame, threshold: Column, adjacent: str = "review") -> DataFrame:
+    """Ordered decision include / watch / review / reject with its reason code, the first that applies.
+
+    c: forbidden, ambiguous, required, exposed (a product or URL is there) as booleans, relevance_level (direct, adjacent,
+    exploratory; anything else is none), volume. An unknown volume is not taken for a low one: a person decides.
+    """
     r = lambda d, why: F.struct(F.lit(d).alias("decision"), F.lit(why).alias("reason"))
-    pick = F.when(F.col("forbidden"), r("reject", "forbidden_theme")).when(F.col("fit") <= 5, r("reject", "irrelevant")).when(F.col("volume").isNull(), r("review", "no_demand_data")).when(F.col("known"), r("include", "known_cluster")).when(F.col("volume") < 30, r("watch", "low_volume")).when(F.col("fit") < 15, r("review", "unclear_fit")).otherwise(r("include", "fits"))
+    is_ = lambda x: F.coalesce(F.col(x), F.lit(False))
+    level, low = F.coalesce("relevance_level", F.lit("none")), F.col("volume") < threshold
+    pick = (
+        F.when(is_("forbidden"), r("reject", "FORBIDDEN_THEME"))
+        .when(is_("ambiguous"), r("reject", "AMBIGUOUS_MEANING"))
+        .when(~level.isin("direct", "adjacent", "exploratory"), r("reject", "NO_PRODUCT_FIT"))
+        .when(level == "exploratory", r("review", "EXPLORATORY_FIT"))
+        .when(F.col("volume").isNull(), r("review", "MANUAL_APPROVAL"))
+        .when(low & is_("required"), r("watch", "REQUIRED_BELOW_THRESHOLD"))
+        .when(low & is_("exposed"), r("watch", "EXISTING_EXPOSURE_BELOW_THRESHOLD"))
+        .when(low, r("reject", "BELOW_VOLUME_THRESHOLD"))
+        .when(level == "direct", r("include", "DIRECT_PRODUCT_FIT"))
+        .otherwise(r(adjacent, "ADJACENT_PRODUCT_FIT"))
+    )
     return c.withColumn("_d", pick).select(*c.columns, "_d.*")
 
 
@@ -240,22 +281,89 @@ def cluster_key(c: DataFrame, registry: DataFrame) -> DataFrame:
     return c.join(registry.select(*keys, F.col("cluster_id").alias("_old")), keys, "left").select(*c.columns, F.coalesce("_old", made).alias("cluster_id"))
 
 
-def coverage_action(state: Column, decision: Column) -> Column:
-    return F.when(decision == "reject", "none").when(state == "gap", "create_page").when(state == "partial", "extend_page").when(state == "covered_content", "link_to_product").when(state == "covered_product", "refresh").otherwise("review")
-
-
-def client_route_check(clients: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:
-    """(client_id, rule_id): state, eligibility and route must be an allowed triple; a gap that decides cannot pass."""
-    ok = clients.sparkSession.createDataFrame(allowed, "state string, eligibility string, route string")
-    bad = clients.join(F.broadcast(ok), ["state", "eligibility", "route"], "left_anti").select("client_id", F.lit("route_not_allowed").alias("rule_id"))
-    gap = clients.where((F.col("result") == "pass") & F.col("decisive_gap")).select("client_id", F.lit("decisive_gap_passed").alias("rule_id"))
-    return bad.unionByName(gap)
-
-
-def competitor_triggers(deltas: DataFrame, rules: list[tuple[str, float, str, int]]) -> DataFrame:
-    """(company, signal, value, action, deadline_days) where a measured change reaches its rule's threshold."""
-    r = deltas.sparkSession.createDataFrame(rules, "signal string, threshold double, action string, deadline_days int")
-    return deltas.join(F.broadcast(r), "signal").where(F.abs("value") >= F.col("threshold")).select("company", "signal", "value", "action", "deadline_days")
+def coverage_action(coverage: Column, intent: Column, decision: Column, signal: Column | None = None) -> Column:
+    """What to do about a cluster: nothing before a person confirmed a review; an offer in decline is checked; gaps by intent."""
+    informational = F.coalesce(intent.startswith("informational"), F.lit(False))
+    falling = F.lit(False) if signal is None else F.coalesce(signal.isin(FALLING), F.lit(False))
+    offered = F.coalesce(coverage.isin("partial", "covered_product", "covered_content", "covered"), F.lit(False))
+    return (
+        F.when(decision == "review", "confirm_by_person")
+        .when(decision == "reject", "none")
+        .when(falling & offered, "check_wording_sales_margin_visibility")
+        .when((coverage == "gap") & informational, "article_faq_or_hub")
+        .when(coverage == "gap", "check_economics_then_landing")
+        .when(coverage == "partial", "update_page")
+        .when(coverage == "covered_product", "supporting_content_and_links")
+        .otherwise("none")
+    )
+
+
+#: States of a client, eligibility, and where a client may be sent.
+ROUTES = [
+    ("ACTIVE", "NO", "ACTIVE_CLIENT"),
+    ("PROSPECT_ONLY", "NO", "PROSPECT_SALES"),
+    ("PROSPECT_ONLY", "NO", "CLOSE"),
+    ("UNKNOWN", "HUMAN_REVIEW", "HUMAN_REVIEW"),
+    ("CONFLICT", "HUMAN_REVIEW", "HUMAN_REVIEW"),
+    *[(s, e, r) for s in ("DORMANT", "LOST", "COMPLETED") for e, r in (("YES", "OPPORTUNITY"), ("YES", "REACTIVATION"), ("NO", "CLOSE"), ("HUMAN_REVIEW", "HUMAN_REVIEW"))],
+]
+RESULTS = ["PASS", "PASS_WITH_GAPS", "HUMAN_REVIEW", "FAIL"]
+
+
+def client_route_check(clients: DataFrame, routes: list[tuple[str, str, str]] = ROUTES) -> DataFrame:
+    """(client_id, rule_id) of clients(client_id, state, eligibility, route, result, iterations, decisive_gap, decisive_conflict,
+    restricted, stop_status, stop_evidence): an allowed triple or a full human review, no automatic way after a review or a
+    failure, nothing decisive open in a pass, no automatic yes against a restriction, a reason with evidence."""
+    ok = clients.sparkSession.createDataFrame(routes, "state string, eligibility string, route string").withColumn("_ok", F.lit(True))
+    known = ok.select("state").distinct().withColumn("_state", F.lit(True))
+    c = clients.join(F.broadcast(ok), ["state", "eligibility", "route"], "left").join(F.broadcast(known), "state", "left")
+    result, review = F.coalesce("result", F.lit("")), F.lit("HUMAN_REVIEW")
+    override = (result == review) & (F.col("eligibility") == review) & (F.col("route") == review)
+    open_ = F.col("state").isin("UNKNOWN", "CONFLICT") | (F.col("eligibility") == review) | F.coalesce("decisive_gap", F.lit(False)) | F.coalesce("decisive_conflict", F.lit(False))
+    stop = F.coalesce("stop_status", F.lit(""))
+    rules = [
+        F.when(~result.isin(RESULTS), "result_unknown"),
+        F.when(~F.coalesce(F.col("iterations").between(0, 8), F.lit(False)), "iterations_above_limit"),
+        F.when(F.col("_state").isNull() | (~F.coalesce(override, F.lit(False)) & F.col("_ok").isNull()), "route_not_allowed"),
+        F.when(result.isin("HUMAN_REVIEW", "FAIL") & ~F.coalesce(F.col("route") == review, F.lit(False)), "automatic_route_after_review"),
+        F.when(result.isin("PASS", "PASS_WITH_GAPS") & F.coalesce(open_, F.lit(False)), "decisive_uncertainty_passed"),
+        F.when((F.col("eligibility") == "YES") & F.coalesce("restricted", F.lit(False)), "restriction_needs_review"),
+        F.when(~stop.isin("CONFIRMED", "UNKNOWN", "CONFLICT", "NOT_APPLICABLE"), "stop_reason_unknown"),
+        F.when((stop == "CONFIRMED") & (F.coalesce("stop_evidence", F.lit(0)) == 0), "stop_reason_without_evidence"),
+    ]
+    return c.select("client_id", F.explode(F.array_compact(F.array(*rules))).alias("rule_id"))
+
+
+#: Loop, measured event, least value, decision, days to decide. Counts count from 1; ratios are new to old.
+TRIGGERS = [
+    ("S1", "home_win", 1.0, "review_participation_and_loss", 5),
+    ("S1", "wins_in_a_row", 2.0, "check_relationship_not_only_price", 3),
+    ("S1", "purchase_outside_registry", 1.0, "count_blind_spot", 0),
+    ("S2", "reply_speed_ratio", 2.0, "measure_own_turnaround", 10),
+    ("S2", "only_competitor_gives_terms", 1.0, "rules_data_authority", 10),
+    ("S2", "rejected_assortment_added", 1.0, "purchase_or_reasoned_refusal", 10),
+    ("S3", "new_numeric_promise", 1.0, "compare_offer_and_battlecard", 10),
+    ("S4", "new_promotion", 1.0, "mechanics_and_need_to_answer", 10),
+    ("S4", "event_case_or_landing", 1.0, "decide_before_event", 10),
+    ("S4", "frequency_ratio", 2.0, "transferability_or_measurement_fault", 30),
+    ("S5", "new_capacity_product_contract", 1.0, "strategic_step", 5),
+    ("S5", "negative_mention", 1.0, "facts_and_answer", 2),
+    ("S5", "press_covers_competitors", 1.0, "expert_pr_plan", 30),
+    ("S6", "rating_change", 0.3, "read_reviews_check_cause", 10),
+    ("S6", "same_complaint_in_a_row", 3.0, "operational_cause", 5),
+    ("S6", "new_home_location", 1.0, "effect_on_segment", 10),
+    ("S0", "competitor_loss_share", 0.3, "proposal_and_battlecard", 5),
+    ("S0", "reason_loss_share", 0.4, "internal_commercial_task", 30),
+]
+
+
+def competitor_triggers(deltas: DataFrame, rules: list[tuple[str, str, float, str, int]] = TRIGGERS) -> DataFrame:
+    """(company, loop, event, value, decision, deadline_days) where a measured event reaches its rule's value; a reply has to be
+    more than twice as fast, a ratio below 1 is taken as its inverse."""
+    r = deltas.sparkSession.createDataFrame(rules, "loop string, event string, least double, decision string, deadline_days int")
+    size = F.when(F.col("event").endswith("_ratio") & F.col("value").between(1e-12, 1.0), 1 / F.col("value")).otherwise(F.abs("value"))
+    hit = F.when(F.col("event") == "reply_speed_ratio", size > F.col("least")).otherwise(F.round(size, 9) >= F.col("least"))
+    return deltas.join(F.broadcast(r), "event").where(hit).select("company", "loop", "event", "value", "decision", "deadline_days")
 
 
 def decisions_on_time(triggers: DataFrame, least: float = 0.7) -> DataFrame:

@@ -50,30 +50,81 @@ def _(v):
     return E.snapshot_uniqueness(v.email_campaigns, ["campaign_type", "sent_on"])
 
 
-QR = [("delivered > sent", "delivered_above_sent"), ("unique_opens > delivered", "opens_above_delivered"), ("unique_clickers > delivered", "clickers_above_delivered"), ("unique_clickers > unique_opens", "clickers_above_opens"), ("sales > leads", "sales_above_leads"), ("sales = 0 AND revenue > 0", "revenue_without_sales"), ("sessions IS NULL", "sessions_unknown")]
-
-
-@query("campaign_quality_rules", " UNION ALL ".join(f"SELECT campaign_id, '{r}' AS rule_id FROM email_campaigns WHERE {c}" for c, r in QR))
-def _(v):
-    return E.campaign_quality_rules(v.email_campaigns)
-
-
-RS = """rs AS (SELECT CONCAT('r-', campaign_id) AS campaign_id, CASE WHEN sent % 5 = 0 THEN 'none' ELSE campaign_id END AS original_id, CAST(sent_on + CASE WHEN sent % 3 = 0 THEN 0 ELSE 2 END AS DATE) AS sent_on, delivered AS pair_delivered, unique_opens + leads + CASE WHEN sent % 4 = 0 THEN 1 ELSE 0 END AS pair_opens, leads AS extra_opens FROM email_campaigns)"""
-
-
-def resends(v):
-    c = v.email_campaigns
-    return c.select(F.concat(F.lit("r-"), "campaign_id").alias("campaign_id"), F.when(F.col("sent") % 5 == 0, "none").otherwise(F.col("campaign_id")).alias("original_id"), F.date_add("sent_on", F.when(F.col("sent") % 3 == 0, 0).otherwise(2)).alias("sent_on"), F.col("delivered").alias("pair_delivered"), (F.col("unique_opens") + F.col("leads") + F.when(F.col("sent") % 4 == 0, 1).otherwise(0)).alias("pair_opens"), F.col("leads").alias("extra_opens"))
-
-
-@query("resend_pair_check", f"WITH {RS}, j AS (SELECT rs.*, c.sent_on AS s, c.unique_opens AS o FROM rs LEFT JOIN email_campaigns c ON rs.original_id = c.campaign_id) SELECT campaign_id, 'original_missing' AS rule_id FROM j WHERE s IS NULL UNION ALL SELECT campaign_id, 'not_later' FROM j WHERE sent_on <= s UNION ALL SELECT campaign_id, 'total_differs' FROM j WHERE pair_opens <> o + extra_opens UNION ALL SELECT campaign_id, 'above_pair_delivery' FROM j WHERE pair_opens > pair_delivered")
-def _(v):
-    return E.resend_pair_check(v.email_campaigns, resends(v))
-
-
-@query("resend_increment", f"WITH {RS} SELECT rs.campaign_id, original_id, extra_opens, ROUND({R('extra_opens', 'delivered', 1000)}, 6) AS extra_opens_per_1000 FROM rs JOIN email_campaigns c ON rs.original_id = c.campaign_id")
-def _(v):
-    return rounded(E.resend_increment(v.email_campaigns, resends(v)), 6)
+#: Campaigns as an audit's export, and two links of each.
+AUDIT = """SELECT *, CASE WHEN sent % 4 = 0 THEN 'resend' WHEN sent % 11 = 0 THEN 'test' ELSE 'primary' END AS kind, CASE WHEN sent % 8 <> 0 THEN 'c1' END AS original_campaign_id, CASE WHEN sent % 9 = 0 THEN 'soon' WHEN sent % 10 <> 0 THEN CAST(sent_on AS STRING) END AS sent_at,
+ 'D+7' AS observation_window, CASE WHEN sent % 3 <> 0 THEN 0 END AS complaints, leads AS qualified_leads, sent % 3 AS engaged_sessions, CASE WHEN sent % 2 = 0 THEN 'metrika' ELSE 'other' END AS analytics, CASE WHEN sent % 5 = 0 THEN 'complete' ELSE 'partial' END AS compared,
+ CASE WHEN sent % 7 = 0 THEN 'lost' ELSE 'complete' END AS crm_state, CASE WHEN sent % 6 = 0 THEN 'not_applicable' ELSE 'complete' END AS dedup, CASE WHEN sent % 3 = 0 THEN 'available' ELSE 'unavailable' END AS link_unique_clickers_status, CASE WHEN sent % 13 = 0 THEN 3 ELSE 2 END AS expected_link_count, 2 * unique_clickers + 3 AS link_map_total_clicks FROM email_campaigns"""
+AUDIT_LINKS = """SELECT campaign_id, CONCAT('https://e.org/a', CAST(i AS STRING), '?utm_source=unisender&utm_medium=email&utm_campaign=', CASE WHEN sent % 5 = 0 THEN 'x' ELSE campaign_type END, '&utm_content=p', CASE WHEN sent % 7 = 0 THEN '1' ELSE CAST(i AS STRING) END, CASE WHEN sent % 6 = 0 THEN '&Last_Name=x' WHEN sent % 6 = 1 THEN '&q=a%40b.org' ELSE '' END) AS url,
+ CONCAT('p', CASE WHEN sent % 7 = 0 THEN '1' ELSE CAST(i AS STRING) END) AS utm_content, CASE WHEN sent % 10 = 3 THEN NULL ELSE unique_clickers + i END AS all_clicks, CASE WHEN sent % 3 = 0 THEN unique_clickers END AS unique_clickers, sessions, unsubscribes AS engaged_sessions, leads, leads + i - 1 AS qualified_leads, sales FROM email_campaigns, (SELECT 1 AS i UNION ALL SELECT 2) x"""
+PAIRS = {"incremental_unique_openers": "unique_opens", "incremental_unique_clickers": "unique_clickers", "incremental_sessions": "0", "incremental_leads": "leads", "deduplicated_unique_openers": "unique_opens", "deduplicated_unique_clickers": "CASE WHEN sent % 5 = 1 THEN -1 ELSE 1 END"}
+UNI = ["sent", "delivered", "unique_opens", "unique_clickers", "unsubscribes", "complaints"]
+QR = [
+    ("kind = 'test'", "campaign_type_unknown"),
+    ("kind = 'resend' AND original_campaign_id IS NULL", "original_campaign_id_required"),
+    ("sent_at IS NULL", "sent_at_required"),
+    ("sent_at = 'soon'", "sent_at_not_iso"),
+    *[(f"{a} > {b}", f"{a}_above_{b}") for a, b in (("delivered", "sent"), ("unique_opens", "delivered"), ("unique_clickers", "delivered"), ("unsubscribes", "delivered"), ("complaints", "delivered"), ("engaged_sessions", "sessions"), ("qualified_leads", "leads"), ("sales", "leads"))],
+    ("crm_state = 'lost'", "source_status_crm_unknown"),
+    *[(f"{c} IS NULL", f"{c}_required_by_unisender") for c in UNI],
+    ("sessions IS NOT NULL AND analytics = 'other'", "web_analytics_source_unknown"),
+    ("compared = 'complete'", "web_analytics_comparison_source_same"),
+    ("compared = 'complete' AND analytics = 'other'", "web_analytics_comparison_source_unknown"),
+    ("compared = 'complete' AND sessions IS NULL", "comparison_sessions_required"),
+    ("compared = 'complete' AND leads > sessions", "comparison_engaged_sessions_above_sessions"),
+    ("crm_state = 'complete'", "crm_source_required"),
+    *[(f"crm_state = 'complete' AND {c} IS NULL", f"{c}_required_by_crm") for c in ("leads", "qualified_leads", "sales", "revenue")],
+    ("kind = 'primary' AND dedup <> 'not_applicable'", "resend_dedup_of_primary"),
+    ("kind = 'resend' AND dedup = 'not_applicable'", "resend_dedup_not_applicable"),
+    ("kind = 'resend' AND dedup = 'complete' AND sent % 5 = 1", "pair_deduplicated_unique_clickers_required"),
+]
+LR = [
+    ("sent % 6 = 0", "link_pii_key"),
+    ("sent % 6 = 1", "link_mail_as_value"),
+    ("sent % 5 = 0", "link_utm_campaign_differs"),
+    ("all_clicks IS NULL", "link_all_clicks_required"),
+    ("l.engaged_sessions > l.sessions", "link_engaged_sessions_above_sessions"),
+    ("l.qualified_leads > l.leads", "link_qualified_leads_above_leads"),
+    ("l.sales > l.leads", "link_sales_above_leads"),
+    ("sent % 3 = 0 AND l.unique_clickers IS NULL", "link_unique_clickers_required"),
+    ("sent % 3 <> 0 AND l.unique_clickers IS NOT NULL", "link_unique_clickers_not_null"),
+]
+TR_ = [("expected_link_count = 3", "expected_link_count_differs"), ("sent % 7 = 0", "utm_content_repeated"), ("sent % 10 = 3", "link_map_total_clicks_differs")]
+
+
+@query(
+    "campaign_quality_rules",
+    f"WITH au AS ({AUDIT}), al AS ({AUDIT_LINKS}) "
+    + " UNION ALL ".join([f"SELECT campaign_id, NULL AS url, '{r}' AS rule_id FROM au WHERE {c}" for c, r in QR + TR_] + [f"SELECT l.campaign_id, l.url, '{r}' FROM al l JOIN au ON l.campaign_id = au.campaign_id WHERE {c}" for c, r in LR]),
+)
+def _(v):
+    a = v.sql(AUDIT)
+    state = lambda **kw: F.map_from_arrays(F.array(*[F.lit(k) for k in kw]), F.array(*kw.values()))
+    full = F.lit("complete")
+    status = state(unisender=full, link_stats=full, utm=full, web_analytics=F.when(F.col("sessions").isNull(), "partial").otherwise("complete"), web_analytics_comparison=F.col("compared"), crm=F.col("crm_state"), resend_dedup=F.col("dedup"))
+    pair = state(**{k: F.expr(f"CAST({x} AS BIGINT)") for k, x in PAIRS.items()})
+    c = a.withColumns({"campaign_type": F.col("kind"), "utm_campaign": F.expr("campaign_type"), "source_status": status, "web_analytics_source": F.col("analytics"), "web_analytics_comparison_source": F.col("analytics"), "comparison_metrics": state(sessions=F.col("sessions").cast("bigint"), engaged_sessions=F.col("leads").cast("bigint")), "pair_metrics": pair})
+    return E.campaign_quality_rules(c, v.sql(AUDIT_LINKS))
+
+
+RESENDS = """SELECT CONCAT('r-', campaign_id) AS campaign_id, CASE WHEN sent % 5 = 0 THEN 'none' ELSE campaign_id END AS original_campaign_id, CAST(CASE WHEN sent % 3 = 0 THEN sent_on ELSE sent_on + INTERVAL 2 DAY END AS DATE) AS sent_on, leads AS delivered, unique_opens, unique_clickers, sessions, leads, sent % 7 <> 0 AS deduplicated,
+ unique_opens - 1 + sent % 3 AS incremental_unique_openers, 1 AS incremental_unique_clickers, 1 AS incremental_sessions, sales AS incremental_leads, 2 * unique_opens - 1 + sent % 3 + sent % 2 AS deduplicated_unique_openers, unique_clickers + 1 AS deduplicated_unique_clickers FROM email_campaigns"""
+RP = [
+    ("s IS NULL", "original_missing"),
+    ("sent_on <= s", "not_later"),
+    *[(f"s IS NOT NULL AND deduplicated AND NOT COALESCE({x} <= {m}, FALSE)", f"{x}_above_resend") for x, m in zip(E.PAIR[:4], ["unique_opens", "unique_clickers", "sessions", "leads"], strict=True)],
+    *[(f"s IS NOT NULL AND deduplicated AND {x} <> {o} + {i}", f"{x}_differs") for x, o, i in ((E.PAIR[4], "o", E.PAIR[0]), (E.PAIR[5], "k", E.PAIR[1]))],
+    *[(f"s IS NOT NULL AND deduplicated AND {x} > d + delivered", f"{x}_above_pair_delivery") for x in E.PAIR[4:]],
+]
+
+
+@query("resend_pair_check", f"WITH rs AS ({RESENDS}), j AS (SELECT rs.*, c.sent_on AS s, c.unique_opens AS o, c.unique_clickers AS k, c.delivered AS d FROM rs LEFT JOIN email_campaigns c ON rs.original_campaign_id = c.campaign_id) " + " UNION ALL ".join(f"SELECT campaign_id, '{r}' AS rule_id FROM j WHERE {c}" for c, r in RP))
+def _(v):
+    return E.resend_pair_check(v.email_campaigns, v.sql(RESENDS))
+
+
+@query("resend_increment", f"WITH rs AS ({RESENDS}) SELECT rs.campaign_id, original_campaign_id, incremental_unique_openers AS extra_opens, ROUND({R('incremental_unique_openers', 'c.delivered', 1000)}, 6) AS extra_opens_per_1000 FROM rs JOIN email_campaigns c ON rs.original_campaign_id = c.campaign_id")
+def _(v):
+    return rounded(E.resend_increment(v.email_campaigns, v.sql(RESENDS)), 6)
 
 
 @query("link_funnel", "WITH e AS (SELECT user_id % 20 AS campaign, user_id % 6 AS placement, event_type FROM {events}), g AS (SELECT campaign, placement, NULLIF(COUNT(*) FILTER (WHERE event_type = 'click'), 0) AS clicks, NULLIF(COUNT(*) FILTER (WHERE event_type = 'view'), 0) AS visits, NULLIF(COUNT(*) FILTER (WHERE event_type IN ('signup', 'purchase')), 0) AS leads FROM e GROUP BY ALL) SELECT * FROM g WHERE clicks IS NOT NULL OR visits IS NOT NULL OR leads IS NOT NULL")
@@ -83,14 +134,14 @@ def _(v):
     return E.link_funnel(of("clicks", "click"), of("visits", "view"), of("leads", "signup", "purchase"), ["campaign", "placement"])
 
 
-LINKS = "CONCAT('https://e.org/p', CAST(user_id AS STRING), CASE WHEN user_id % 7 = 0 THEN '?Email=a' WHEN user_id % 7 = 1 THEN '?x=1;q=a%40b.org' WHEN user_id % 7 = 2 THEN '?utm_source=mail&utm_medium=email&utm_campaign=c1&utm_content=p1' ELSE '?a=1' END)"
+LINKS = "CONCAT('https://e.org/p', CAST(user_id AS STRING), CASE WHEN user_id % 7 = 0 THEN '?Email=a' WHEN user_id % 7 = 3 THEN '?First_Name=a' WHEN user_id % 7 = 4 THEN '?uid=a&user=b' WHEN user_id % 7 = 1 THEN '?x=1;q=a%40b.org' WHEN user_id % 7 = 2 THEN '?utm_source=mail&utm_medium=email&utm_campaign=c1&utm_content=p1' ELSE '?a=1' END)"
 
 
 def links(v):
     return v.events.select(F.col("user_id").alias("id")).distinct().selectExpr("id", "CAST(id % 5 AS STRING) AS campaign_id", LINKS.replace("user_id", "id") + " AS url")
 
 
-@query("url_pii_scan", "SELECT DISTINCT user_id AS id FROM {events} WHERE user_id % 7 IN (0, 1)")
+@query("url_pii_scan", "SELECT DISTINCT user_id AS id FROM {events} WHERE user_id % 7 IN (0, 1, 3)")
 def _(v):
     return E.url_pii_scan(links(v)).select("id")
 
@@ -101,22 +152,30 @@ def _(v):
     return E.utm_contract_check(d)
 
 
-@query("utm_build", f"WITH l AS (SELECT DISTINCT user_id AS id, {LINKS} AS url FROM {{events}}) SELECT CONCAT('p', CAST(id AS STRING)) AS placement_id, CONCAT('https://e.org/p', CAST(id AS STRING), CASE WHEN id % 7 = 0 THEN '?Email=a&' WHEN id % 7 = 1 THEN '?x=1&q=a%40b.org&' WHEN id % 7 = 2 THEN '?' ELSE '?a=1&' END, 'utm_source=mail&utm_medium=email&utm_campaign=jan&utm_content=p', CAST(id AS STRING)) AS url, 'tracked' AS status FROM l")
+@query("utm_build", f"WITH l AS (SELECT DISTINCT user_id AS id, {LINKS} AS url FROM {{events}}) SELECT CONCAT('p', CAST(id AS STRING)) AS placement_id, CONCAT('https://e.org/p', CAST(id AS STRING), CASE WHEN id % 7 = 0 THEN '?Email=a&' WHEN id % 7 = 3 THEN '?First_Name=a&' WHEN id % 7 = 4 THEN '?uid=a&user=b&' WHEN id % 7 = 1 THEN '?x=1&q=a%40b.org&' WHEN id % 7 = 2 THEN '?' ELSE '?a=1&' END, 'utm_source=mail&utm_medium=email&utm_campaign=jan&utm_content=p', CAST(id AS STRING)) AS url, 'tracked' AS status FROM l")
 def _(v):
     return E.utm_build(links(v).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("placement_id"), "url", F.lit(True).alias("tracked")), "mail", "email", "jan")
 
 
-@query("material_url_gate", "SELECT page_id, FALSE AS accepted FROM {pages} WHERE url LIKE 'http://%' UNION ALL SELECT page_id, TRUE FROM {pages} WHERE url LIKE 'https://%'")
+GATED = "CASE page_id % 8 WHEN 0 THEN 'https://e.org/' WHEN 1 THEN 'https://e.org/x/tag/y' WHEN 2 THEN 'https://u:p@e.org/a' WHEN 3 THEN 'https://e.org/news/' WHEN 4 THEN 'https://e.org/newsroom?x=1' WHEN 5 THEN 'https://e.org/services' ELSE url END"
+
+
+@query("material_url_gate", "SELECT page_id, page_id % 8 IN (4, 5) OR page_id % 8 >= 6 AND url LIKE 'https://%' AND NOT REGEXP_MATCHES(url, '^https://[^/]+(/(news|blog|articles|category|tag|search)?/?$|.*/(category|tag|search)(/|$))') AND LEN(STRING_SPLIT(url, '/')) > 3 AS accepted FROM {pages}")
 def _(v):
-    return E.material_url_gate(v.pages.select("page_id", "url")).select("page_id", "accepted")
+    return E.material_url_gate(v.pages.select("page_id", F.expr(GATED).alias("url"))).select("page_id", "accepted")
 
 
-TOPIC = "SELECT p_partkey AS topic_id, p_size % 6 AS audience_fit, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 5 END AS demand, p_size % 4 AS novelty, p_partkey % 6 AS business_fit, p_partkey % 5 AS materials_quality, p_partkey % 3 AS season, p_partkey % 3 * 5 AS penalty, p_partkey % 7 AS materials FROM {part}"
+TOPIC = "SELECT CONCAT('t', CAST(p_partkey AS STRING)) AS topic_id, p_brand AS digest, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS demand, p_size % 6 AS momentum, p_partkey % 6 AS product_fit, p_partkey % 5 AS audience_value, p_size % 4 AS actionability, p_partkey % 3 AS novelty, CASE p_partkey % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'missing' END AS wordstat_status, p_partkey % 7 AS materials FROM {part}"
 
 
-@query("rank_topics", f"WITH t AS ({TOPIC}), s AS (SELECT *, audience_fit / 5.0 * 20 + COALESCE(demand, 2.5) / 5.0 * 20 + novelty / 5.0 * 20 + business_fit / 5.0 * 15 + materials_quality / 5.0 * 15 + season / 5.0 * 10 - penalty AS sc FROM t), r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(sc, 6) DESC, topic_id) AS rk FROM s) SELECT topic_id, ROUND(sc, 4) AS score, materials >= 3 AS eligible FROM r")
+@query(
+    "rank_topics",
+    f"WITH t AS ({TOPIC}), s AS (SELECT topic_id, digest, ROUND(GREATEST("
+    + " + ".join(f"COALESCE({c}, 2.5) / 5.0 * {w}" for c, w in E.TOPIC_WEIGHTS.items())
+    + " - CASE wordstat_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 5 ELSE 10 END, 0), 2) AS score, materials >= 3 AS eligible FROM t), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY digest, eligible ORDER BY score DESC, topic_id) AS rk FROM s) SELECT topic_id, score, eligible, eligible AND rk = 1 AS selected FROM r",
+)
 def _(v):
-    return rounded(E.rank_topics(v.sql(TOPIC)).select("topic_id", "score", "eligible"))
+    return E.rank_topics(v.sql(TOPIC), "digest").select("topic_id", "score", "eligible", "selected")
 
 
 @query("latest_snapshot", "SELECT campaign_type, MAX(sent_on) AS sent_on FROM email_campaigns GROUP BY campaign_type")
@@ -124,9 +183,9 @@ def _(v):
     return E.latest_snapshot(v.email_campaigns.select("campaign_type", "sent_on").distinct(), ["campaign_type"], "sent_on")
 
 
-@query("sample_size_band", "SELECT c_nationkey, n, CASE WHEN n >= 25 THEN 'segment_conclusions' WHEN n >= 8 THEN 'working_trend' WHEN n >= 3 THEN 'early_signal' ELSE 'single_case' END AS band FROM (SELECT c_nationkey, COUNT(*) AS n FROM {customer} WHERE c_custkey % 5 < 2 GROUP BY c_nationkey)")
+@query("sample_size_band", "SELECT c_nationkey, c_mktsegment, n, CASE WHEN n >= 25 THEN 'working_baseline' WHEN n >= 8 THEN 'diagnostic_baseline' WHEN n >= 3 THEN 'probable_pattern' ELSE 'observation' END AS band FROM (SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM {customer} GROUP BY c_nationkey, c_mktsegment)")
 def _(v):
-    return E.sample_size_band(v.customer.where("c_custkey % 5 < 2").groupBy("c_nationkey").agg(F.count("*").alias("n")))
+    return E.sample_size_band(v.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")))
 
 
 @query("crm_attribution", "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN CONCAT('k', CAST(user_id % 8 AS STRING)) END AS campaign_id, CASE WHEN user_id % 4 = 0 THEN 'exact' ELSE 'unattributed' END AS attribution FROM {events} WHERE event_type = 'signup'")
@@ -138,7 +197,9 @@ def _(v):
 
 @query("email_draft_lint")
 def _(v):
-    return E.email_draft_lint(v.pages.select(F.col("page_id").alias("draft_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("subject"), F.substring("url", 1, 90).alias("preheader"), "html"))
+    colors = F.create_map(*[x for r in E.COLOR_ROLES for x in (F.lit(r), F.lit("#1A2b3C"))])
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return E.email_draft_lint(v.pages.select(F.col("page_id").alias("draft_id"), title.alias("subject"), F.regexp_replace("html", "<[^>]*>", " ").alias("preheader"), "html", F.lit("c1").alias("utm_campaign"), (F.col("page_id") % 6).cast("int").alias("expected_articles"), title.alias("brand_name"), F.lit(None).cast("string").alias("sender_name"), F.lit("Arial").alias("font_family"), colors.alias("colors"), F.array(F.lit("Ad")).alias("required_labels")))
 
 
 # --- visibility and phrases
@@ -162,14 +223,16 @@ def _(v):
 
 
 WORDS = "LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(TRIM(REGEXP_REPLACE(LOWER({c}), '[^a-zа-я0-9]+', ' ', 'g')), ' '), lambda w: w <> ''))"
-VQ = "vq AS (SELECT ROW_NUMBER() OVER (ORDER BY query, cluster_id, url, position, impressions) AS qid, * FROM visibility)"
-DEM = "SELECT p_partkey AS id, SUBSTRING(p_name, 1 + POSITION(' ' IN p_name), 50) AS phrase, CAST(FLOOR(p_retailprice) AS BIGINT) AS volume FROM {part} WHERE p_size <= 10"
+DEM = "SELECT p_partkey AS id, SUBSTRING(p_name, 1 + POSITION(' ' IN p_name), 50) AS phrase, CAST(FLOOR(p_retailprice) AS BIGINT) AS volume FROM {part}"
 
 
-@query("demand_visibility_match", f"WITH d AS ({DEM}), g AS (SELECT id, SUM(impressions) AS impressions, SUM(clicks) AS clicks, COALESCE(MIN(CASE WHEN position > 0 THEN position END), 0) AS position FROM d, visibility WHERE LEN(LIST_FILTER({WORDS.format(c='phrase')}, lambda w: NOT LIST_CONTAINS({WORDS.format(c='query')}, w))) = 0 GROUP BY id) SELECT d.id, phrase, volume, impressions, clicks, position, {BUCKET('position')} AS bucket FROM d LEFT JOIN g ON d.id = g.id")
+@query(
+    "demand_visibility_match",
+    f"WITH d AS ({DEM}), t AS (SELECT DISTINCT {WORDS.format(c='phrase')} AS w FROM d), q AS (SELECT {WORDS.format(c='query')} AS w, SUM(impressions) AS impressions, SUM(clicks) AS clicks, MIN(CASE WHEN position > 0 THEN position END) AS position FROM visibility GROUP BY 1), "
+    f"g AS (SELECT t.w, SUM(impressions) AS impressions, SUM(clicks) AS clicks, COALESCE(MIN(position), 0) AS position FROM t, q WHERE LEN(t.w) > 0 AND LIST_HAS_ALL(q.w, t.w) GROUP BY t.w) SELECT d.id, phrase, volume, impressions, clicks, position, {BUCKET('position')} AS bucket FROM d LEFT JOIN g ON {WORDS.format(c='phrase')} = g.w",
+)
 def _(v):
-    vis = v.visibility.withColumn("query_id", F.monotonically_increasing_id())
-    return M.demand_visibility_match(v.sql(DEM), vis)
+    return M.demand_visibility_match(v.sql(DEM), v.visibility)
 
 
 @query("nested_query_guard", f"WITH p AS (SELECT cluster_id, phrase_id, volume, LIST_SORT({WORDS.format(c='phrase')}) AS t FROM (SELECT phrase_id, cluster_id, volume, CASE WHEN phrase_id % 3 = 0 THEN SUBSTRING(phrase, 1 + POSITION(' ' IN phrase), 50) ELSE phrase END AS phrase FROM phrases)), u AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id, t ORDER BY volume DESC, phrase_id) AS r FROM p) WHERE r = 1) SELECT cluster_id, COUNT(*) AS phrases, SUM(volume) AS volume FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE a.cluster_id = b.cluster_id AND a.phrase_id <> b.phrase_id AND LEN(LIST_FILTER(b.t, lambda w: NOT LIST_CONTAINS(a.t, w))) = 0) GROUP BY cluster_id")
@@ -178,28 +241,31 @@ def _(v):
     return M.nested_query_guard(p)
 
 
-AGG = "SELECT cluster_id, SUM(impressions) AS impressions, SUM(clicks) AS clicks, AVG(position) AS position, COUNT(DISTINCT query) AS queries, COUNT(DISTINCT url) AS urls, SUM(clicks) * 1.0 / SUM(impressions) AS ctr FROM visibility GROUP BY cluster_id"
+AGG = "SELECT cluster_id, SUM(impressions) AS impressions, SUM(clicks) AS clicks, AVG(position) AS position, STRING_AGG(DISTINCT query, '|' ORDER BY query) AS queries, STRING_AGG(DISTINCT url, '|' ORDER BY url) AS urls, SUM(clicks) * 1.0 / SUM(impressions) AS ctr FROM visibility GROUP BY cluster_id"
 
 
 @query("visibility_aggregate", f"SELECT cluster_id, impressions, clicks, ROUND(position, 4) AS position, queries, urls, ROUND(ctr, 4) AS ctr FROM ({AGG})")
 def _(v):
-    return rounded(M.visibility_aggregate(v.visibility))
+    a = M.visibility_aggregate(v.visibility)
+    return rounded(a.withColumns({c: F.array_join(c, "|") for c in ("queries", "urls")}))
 
 
-UPS, DNS = "('growing','rapid_growth','emerging','breakout','seasonal_rise')", "('declining','structural_decline','seasonal_fall')"
-ACTION = f"CASE WHEN signal IN {UPS} AND COALESCE(impressions > 0, FALSE) AND position > 10 THEN 'optimize_existing_page' WHEN COALESCE(impressions > 0, FALSE) AND position <= 10 AND ctr < 0.03 AND impressions >= 50 THEN 'improve_ctr' WHEN signal IN {DNS} AND COALESCE(impressions > 0, FALSE) THEN 'review_priority' WHEN signal IN {UPS} AND NOT COALESCE(impressions > 0, FALSE) THEN 'market_rising_no_page' ELSE 'monitor' END"
+UPS, DNS = "('breakout','emerging','rapid_growth','growing')", "('declining','structural_decline')"
+ACTION = f"CASE WHEN COALESCE(impressions, 0) = 0 THEN CASE WHEN signal IN {UPS} AND cov IN ('gap', 'partial') THEN 'market_rising_no_page' END WHEN signal IN {UPS} AND position > 10 THEN 'optimize_visibility' WHEN position <= 10 AND ctr < 0.03 AND impressions >= 50 THEN 'improve_ctr' WHEN signal IN {DNS} THEN 'review_offer' END"
 
 
-@query("visibility_merge", f"WITH {SIGNAL}, va AS ({AGG}) SELECT sg2.cluster_id, signal, impressions, ROUND(ctr, 4) AS ctr, {ACTION} AS action FROM sg2 LEFT JOIN va ON sg2.cluster_id = va.cluster_id AND sg2.cluster_id <> 'Brand#2'")
+@query("visibility_merge", f"WITH {SIGNAL}, va AS ({AGG}), cv AS (SELECT *, CASE WHEN cluster_id LIKE '%3' THEN 'covered' ELSE 'partial' END AS cov FROM sg2) SELECT cv.cluster_id, signal, impressions, ROUND(ctr, 4) AS ctr, {ACTION} AS action FROM cv LEFT JOIN va ON cv.cluster_id = va.cluster_id AND cv.cluster_id <> 'Brand#2'")
 def _(v):
-    t = frame(v).withColumn("coverage_status", F.lit("gap"))
+    t = frame(v).withColumn("coverage_status", F.when(F.col("cluster_id").like("%3"), "covered").otherwise("partial"))
     return rounded(M.visibility_merge(t, v.visibility.where("cluster_id <> 'Brand#2'")).select("cluster_id", "signal", "impressions", "ctr", "action"))
 
 
-@query("visibility_action", f"SELECT query, url, {ACTION.replace('signal', 'sg')} AS action FROM (SELECT *, clicks * 1.0 / impressions AS ctr, CASE WHEN position % 3 = 0 THEN 'growing' WHEN position % 3 = 1 THEN 'declining' ELSE 'stable' END AS sg FROM visibility)")
+SHOWN = "SELECT query, url, position, clicks, CASE WHEN position % 5 = 0 THEN NULL WHEN position % 5 = 1 THEN 0 ELSE impressions END AS impressions, CASE position % 4 WHEN 0 THEN 'growing' WHEN 1 THEN 'declining' WHEN 2 THEN 'seasonal_rise' ELSE 'breakout' END AS signal, CASE position % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'partial' ELSE 'covered' END AS cov FROM visibility"
+
+
+@query("visibility_action", f"SELECT query, url, {ACTION} AS action FROM (SELECT *, CASE WHEN impressions > 0 THEN clicks * 1.0 / impressions END AS ctr FROM ({SHOWN}))")
 def _(v):
-    s = F.when(F.col("position") % 3 == 0, "growing").when(F.col("position") % 3 == 1, "declining").otherwise("stable")
-    return v.visibility.withColumn("ctr", X.ratio("clicks", "impressions")).select("query", "url", M.visibility_action(s, F.lit(True)).alias("action"))
+    return v.sql(SHOWN).withColumn("ctr", X.ratio("clicks", "impressions")).select("query", "url", M.visibility_action(F.col("signal"), F.col("cov")).alias("action"))
 
 
 @query("visibility_status_share", f"SELECT bucket, COUNT(*) AS n, ROUND(COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (), 6) AS share FROM (SELECT {BUCKET('position')} AS bucket FROM visibility) GROUP BY bucket")
@@ -227,9 +293,9 @@ def _(v):
     return M.representative_phrases(v.phrases).select("phrase_id", "place")
 
 
-@query("topic_priority_matrix", "SELECT phrase_id, CASE WHEN fit <= 7 AND volume >= 5000 THEN 'urgent' WHEN volume >= 5000 AND kind = 'SMALL' THEN 'high' WHEN fit <= 7 OR volume >= 5000 OR kind = 'SMALL' THEN 'medium' ELSE 'low' END AS priority FROM phrases")
+@query("topic_priority_matrix", "SELECT phrase_id, CASE WHEN fit <= CASE WHEN kind = 'SMALL' AND volume >= 5000 THEN 60 ELSE 20 END THEN CASE WHEN volume >= 5000 THEN 'urgent' ELSE 'social_now' END WHEN kind = 'SMALL' THEN CASE WHEN volume >= 5000 THEN 'important' ELSE 'planned' END WHEN volume >= 5000 THEN 'important' ELSE 'next_quarter' END AS priority FROM phrases")
 def _(v):
-    return v.phrases.select("phrase_id", M.topic_priority(F.col("fit"), F.col("volume") / 5, F.col("kind") == "SMALL").alias("priority"))
+    return v.phrases.select("phrase_id", M.topic_priority(F.col("fit"), F.col("volume") / 10, F.col("kind") == "SMALL").alias("priority"))
 
 
 @query("merge_demand_lists", "SELECT phrase, MAX(n) AS count FROM (SELECT LOWER(p_name) AS phrase, p_size AS n FROM {part} UNION ALL SELECT LOWER(p_type), p_size * 2 FROM {part}) GROUP BY phrase ORDER BY count DESC, phrase LIMIT 20")
@@ -327,10 +393,15 @@ def _(v):
     return M.required_minus_present(v.customer.select(F.col("c_custkey").alias("k")), v.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("candidate_gate", "SELECT phrase_id, CASE WHEN kind = 'PROMO' THEN 'reject' WHEN fit <= 5 THEN 'reject' WHEN phrase_id % 11 = 0 THEN 'review' WHEN cluster_id = 'Brand#4' THEN 'include' WHEN volume < 5000 THEN 'watch' WHEN fit < 15 THEN 'review' ELSE 'include' END AS decision FROM phrases")
+GATE = "SELECT phrase_id, kind = 'PROMO' AS forbidden, phrase_id % 17 = 0 AS ambiguous, CASE phrase_id % 5 WHEN 0 THEN 'direct' WHEN 1 THEN 'adjacent' WHEN 2 THEN 'exploratory' WHEN 3 THEN 'direct' END AS relevance_level, CASE WHEN phrase_id % 11 <> 0 THEN volume END AS volume, cluster_id = 'Brand#4' AS required, fit < 20 AS exposed FROM phrases"
+
+
+@query(
+    "candidate_gate",
+    f"WITH g AS ({GATE}), d AS (SELECT phrase_id, CASE WHEN forbidden THEN 'reject/FORBIDDEN_THEME' WHEN ambiguous THEN 'reject/AMBIGUOUS_MEANING' WHEN relevance_level IS NULL THEN 'reject/NO_PRODUCT_FIT' WHEN relevance_level = 'exploratory' THEN 'review/EXPLORATORY_FIT' WHEN volume IS NULL THEN 'review/MANUAL_APPROVAL' WHEN volume < 5000 AND required THEN 'watch/REQUIRED_BELOW_THRESHOLD' WHEN volume < 5000 AND exposed THEN 'watch/EXISTING_EXPOSURE_BELOW_THRESHOLD' WHEN volume < 5000 THEN 'reject/BELOW_VOLUME_THRESHOLD' WHEN relevance_level = 'direct' THEN 'include/DIRECT_PRODUCT_FIT' ELSE 'review/ADJACENT_PRODUCT_FIT' END AS x FROM g) SELECT phrase_id, SPLIT_PART(x, '/', 1) AS decision, SPLIT_PART(x, '/', 2) AS reason FROM d",
+)
 def _(v):
-    c = v.phrases.select("phrase_id", (F.col("kind") == "PROMO").alias("forbidden"), "fit", F.when(F.col("phrase_id") % 11 != 0, F.when(F.col("volume") < 5000, 1).otherwise(100)).alias("volume"), (F.col("cluster_id") == "Brand#4").alias("known"))
-    return M.candidate_gate(c).select("phrase_id", "decision")
+    return M.candidate_gate(v.sql(GATE), F.lit(5000)).select("phrase_id", "decision", "reason")
 
 
 @query("cluster_key", "SELECT p_partkey AS id, CASE WHEN p_brand = 'Brand#4' AND p_size = 1 THEN 'kept-id' ELSE CONCAT(REGEXP_REPLACE(LOWER(p_brand), '[^a-z0-9]+', '-', 'g'), '__', LOWER(p_type), '__job-', CAST(p_size AS STRING)) END AS cluster_id FROM {part}")
@@ -340,26 +411,41 @@ def _(v):
     return M.cluster_key(c, reg).select("id", "cluster_id")
 
 
-@query("coverage_action", "SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN 'none' WHEN p_size % 4 = 0 THEN 'create_page' WHEN p_size % 4 = 1 THEN 'extend_page' WHEN p_size % 4 = 2 THEN 'link_to_product' ELSE 'refresh' END AS action FROM {part}")
+COVER = "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'gap' WHEN 1 THEN 'partial' WHEN 2 THEN 'covered_product' WHEN 3 THEN 'covered' END AS coverage, CASE WHEN p_partkey % 2 = 0 THEN 'informational_definition' ELSE 'commercial_research' END AS intent, CASE p_partkey % 7 WHEN 0 THEN 'reject' WHEN 1 THEN 'review' ELSE 'include' END AS decision, CASE WHEN p_partkey % 4 = 0 THEN 'declining' ELSE 'stable' END AS signal FROM {part}"
+
+
+@query("coverage_action", f"SELECT id, CASE WHEN decision = 'review' THEN 'confirm_by_person' WHEN decision = 'reject' THEN 'none' WHEN signal = 'declining' AND coverage IN ('partial', 'covered_product', 'covered') THEN 'check_wording_sales_margin_visibility' WHEN coverage = 'gap' AND intent LIKE 'informational%' THEN 'article_faq_or_hub' WHEN coverage = 'gap' THEN 'check_economics_then_landing' WHEN coverage = 'partial' THEN 'update_page' WHEN coverage = 'covered_product' THEN 'supporting_content_and_links' ELSE 'none' END AS action FROM ({COVER})")
 def _(v):
-    s = F.element_at(F.array(*[F.lit(x) for x in ("gap", "partial", "covered_content", "covered_product")]), (F.col("p_size") % 4 + 1).cast("int"))
-    return v.part.select(F.col("p_partkey").alias("id"), M.coverage_action(s, F.when(F.col("p_size") % 7 == 0, "reject").otherwise("include")).alias("action"))
+    return v.sql(COVER).select("id", M.coverage_action(F.col("coverage"), F.col("intent"), F.col("decision"), F.col("signal")).alias("action"))
 
 
-ALLOWED = [("active", "eligible", "sales"), ("active", "ineligible", "nurture"), ("paused", "eligible", "nurture")]
+CLIENTS = "SELECT c_custkey AS client_id, CASE c_custkey % 8 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'PROSPECT_ONLY' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'CONFLICT' WHEN 4 THEN 'DORMANT' WHEN 5 THEN 'LOST' WHEN 6 THEN 'COMPLETED' ELSE 'OTHER' END AS state, CASE c_nationkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'HUMAN_REVIEW' END AS eligibility, CASE c_custkey % 6 WHEN 0 THEN 'ACTIVE_CLIENT' WHEN 1 THEN 'PROSPECT_SALES' WHEN 2 THEN 'HUMAN_REVIEW' WHEN 3 THEN 'OPPORTUNITY' WHEN 4 THEN 'REACTIVATION' ELSE 'CLOSE' END AS route, CASE c_nationkey % 5 WHEN 0 THEN 'PASS' WHEN 1 THEN 'PASS_WITH_GAPS' WHEN 2 THEN 'HUMAN_REVIEW' WHEN 3 THEN 'FAIL' END AS result, c_nationkey % 11 AS iterations, c_custkey % 9 = 0 AS decisive_gap, c_custkey % 10 = 0 AS decisive_conflict, c_custkey % 12 = 0 AS restricted, CASE WHEN c_custkey % 4 = 0 THEN 'CONFIRMED' WHEN c_custkey % 4 < 3 THEN 'UNKNOWN' ELSE 'MAYBE' END AS stop_status, c_custkey % 3 AS stop_evidence FROM {customer}"
+TRIPLE = " OR ".join(f"(state = '{s}' AND eligibility = '{e}' AND route = '{r}')" for s, e, r in M.ROUTES)
+CR = [
+    ("result IS NULL", "result_unknown"),
+    ("iterations > 8", "iterations_above_limit"),
+    (f"state = 'OTHER' OR NOT (COALESCE(result, '') = 'HUMAN_REVIEW' AND eligibility = 'HUMAN_REVIEW' AND route = 'HUMAN_REVIEW' OR {TRIPLE})", "route_not_allowed"),
+    ("result IN ('HUMAN_REVIEW', 'FAIL') AND route <> 'HUMAN_REVIEW'", "automatic_route_after_review"),
+    ("result IN ('PASS', 'PASS_WITH_GAPS') AND (state IN ('UNKNOWN', 'CONFLICT') OR eligibility = 'HUMAN_REVIEW' OR decisive_gap OR decisive_conflict)", "decisive_uncertainty_passed"),
+    ("eligibility = 'YES' AND restricted", "restriction_needs_review"),
+    ("stop_status = 'MAYBE'", "stop_reason_unknown"),
+    ("stop_status = 'CONFIRMED' AND stop_evidence = 0", "stop_reason_without_evidence"),
+]
 
 
-@query("client_route_check", "WITH c AS (SELECT c_custkey AS client_id, CASE WHEN c_custkey % 3 = 0 THEN 'paused' ELSE 'active' END AS st, CASE WHEN c_acctbal > 0 THEN 'eligible' ELSE 'ineligible' END AS el, CASE WHEN c_custkey % 2 = 0 THEN 'sales' ELSE 'nurture' END AS rt FROM {customer}) SELECT client_id, 'route_not_allowed' AS rule_id FROM c WHERE NOT ((st = 'active' AND el = 'eligible' AND rt = 'sales') OR (st = 'active' AND el = 'ineligible' AND rt = 'nurture') OR (st = 'paused' AND el = 'eligible' AND rt = 'nurture')) UNION ALL SELECT client_id, 'decisive_gap_passed' FROM c WHERE client_id % 10 = 0")
+@query("client_route_check", f"WITH cl AS ({CLIENTS}) " + " UNION ALL ".join(f"SELECT client_id, '{r}' AS rule_id FROM cl WHERE {c}" for c, r in CR))
 def _(v):
-    k = F.col("c_custkey")
-    c = v.customer.select(k.alias("client_id"), F.when(k % 3 == 0, "paused").otherwise("active").alias("state"), F.when(F.col("c_acctbal") > 0, "eligible").otherwise("ineligible").alias("eligibility"), F.when(k % 2 == 0, "sales").otherwise("nurture").alias("route"), F.lit("pass").alias("result"), (k % 10 == 0).alias("decisive_gap"))
-    return M.client_route_check(c, ALLOWED)
+    return M.client_route_check(v.sql(CLIENTS))
+
+
+DELTAS = "SELECT CAST(s_suppkey AS STRING) AS company, CASE s_suppkey % 18 " + " ".join(f"WHEN {i} THEN '{t[1]}'" for i, t in enumerate(M.TRIGGERS)) + " END AS event, CASE WHEN s_suppkey % 18 IN (4, 9) THEN 0.25 + s_suppkey % 5 * 0.5 WHEN s_suppkey % 18 >= 12 THEN s_suppkey % 7 * 0.1 + CASE WHEN s_suppkey % 18 = 14 THEN 2.6 ELSE 0 END ELSE s_suppkey % 3 END AS value FROM {supplier}"
+RULE = "(VALUES " + ", ".join(f"('{a}', '{e}', {x}, '{d}', {n})" for a, e, x, d, n in M.TRIGGERS) + ") AS r(loop, event, least, decision, deadline_days)"
+SIZE = "CASE WHEN d.event LIKE '%\\_ratio' ESCAPE '\\' AND value > 0 AND value <= 1 THEN 1 / value ELSE ABS(value) END"
 
 
-@query("competitor_triggers", "SELECT CAST(s_suppkey AS STRING) AS company, CASE WHEN s_suppkey % 2 = 0 THEN 'price' ELSE 'rating' END AS signal, s_acctbal AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'review_price' ELSE 'read_reviews' END AS action, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 7 END AS deadline_days FROM {supplier} WHERE (s_suppkey % 2 = 0 AND ABS(s_acctbal) >= 3000) OR (s_suppkey % 2 = 1 AND ABS(s_acctbal) >= 5000)")
+@query("competitor_triggers", f"WITH d AS ({DELTAS}) SELECT company, loop, d.event, value, decision, deadline_days FROM d JOIN {RULE} ON d.event = r.event WHERE CASE WHEN d.event = 'reply_speed_ratio' THEN {SIZE} > least ELSE ROUND({SIZE}, 9) >= least END".replace("\\\\", "\\"))
 def _(v):
-    d = v.supplier.select(F.col("s_suppkey").cast("string").alias("company"), F.when(F.col("s_suppkey") % 2 == 0, "price").otherwise("rating").alias("signal"), F.col("s_acctbal").alias("value"))
-    return M.competitor_triggers(d, [("price", 3000.0, "review_price", 3), ("rating", 5000.0, "read_reviews", 7)])
+    return M.competitor_triggers(v.sql(DELTAS).withColumn("value", F.col("value").cast("double")))
 
 
 @query("decisions_on_time", "WITH m AS (SELECT CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS month, AVG(CASE WHEN l_shipdate <= o_orderdate + INTERVAL 60 DAY THEN 1.0 ELSE 0 END) AS share FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY 1), l AS (SELECT *, LAG(share) OVER (ORDER BY month) AS p FROM m) SELECT month, ROUND(share, 6) AS share FROM l WHERE share < 0.7 AND p < 0.7")
