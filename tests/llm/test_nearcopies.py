@@ -68,3 +68,31 @@ def test_large_bucket_of_unlike_and_like_texts(spark):
 
 def test_empty_table(spark):
     assert kept(spark, []) == []
+
+
+def test_columns_with_any_name(spark):
+    from tidewright.llm import quality, simhash
+
+    names = ["_gone", "_id", "_th", "_h", "_n", "n", "th", "row", "a.b"]
+    rows = [(i, f"text number {i % 3} of many words here", *[f"{c}{i}" for c in names]) for i in range(6)] + [(5, "text number 2 of many words here", *[f"{c}5" for c in names])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for out in (nearcopies.keep_one(df), simhash.keep_one(df), quality.keep_good(df, labels, keep_at=0.0)):
+        got = out.collect()
+        assert out.columns == df.columns and got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert nearcopies.keep_one(df).count() == 3 and quality.keep_good(df, labels, keep_at=0.0).count() == 7
+
+
+def test_sketches_keep_near_pairs():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    lost = 0
+    for _ in range(300):
+        both, one, two = (rnd.integers(0, 1 << 63, n, np.uint64) for n in (160, 20, 20))  # similarity .8
+        a, b = (nearcopies.band_keys(np.r_[both, x])[1] for x in (one, two))
+        x = a ^ b
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        lost += int(np.bitwise_count(x & np.uint64(0x1111111111111111)).sum()) > nearcopies.most_unlike(0.8)
+    assert lost == 0 and nearcopies.most_unlike(0.8) < 40

@@ -77,3 +77,33 @@ def unstage(spark: SparkSession, path: str) -> None:
 def word_count(text) -> F.Column:
     """Number of maximal runs of non-blank characters, JVM-side; null text counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(NOT_BLANK)), F.lit(0)).cast("long")
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, th): each row of docs as a struct, whatever its columns are called, with its id and a hash of its text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def without(docs: DataFrame, gone: DataFrame, few: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of keyed_rows(docs) whose id and text are not in gone (doc_id, th); gone is sent to all tasks if it has at
+    most `few` rows."""
+    right = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    right = F.broadcast(right) if gone.count() <= few else right
+    left = keyed_rows(docs, id_col, text_col)
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
+
+
+def once(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """rows (row, doc_id, th) with one row of each id and text of twice (doc_id, th); ids are not null."""
+    if not twice.take(1):  # repeated rows are rare, so only then are whole rows dealt by id
+        return rows
+    right = twice.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.lit(True).alias("_twice"))
+    both = rows.join(right, (F.col("doc_id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("row", "doc_id", "th", F.col("_twice").isNotNull().alias("_twice"))
+    again = both.where("_twice").dropDuplicates(["doc_id", "th"])
+    return both.where("not _twice").unionByName(again).drop("_twice")

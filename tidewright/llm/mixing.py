@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NOT_BLANK, prepare, stage, staged, unstage, word_count
+from tidewright.llm.common import NOT_BLANK, keyed_rows, prepare, stage, staged, unstage, unwrapped, word_count
 
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents of the range in which a source's budget runs out, at most; ranges that are made of one at once, at most.
@@ -163,9 +163,8 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     Rows of equal id, text and source share their epochs evenly: as many of them as the remainder come once more, so
     that together they come as often as the mix says. No rows give no rows.
     """
-    columns, key = docs.columns, ["doc_id", "th", "source"]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    own = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"))
+    key = ["doc_id", "th", "source"]
+    own = keyed_rows(docs, id_col, text_col).withColumn("source", F.col("row")[source_col])
     times = mixed.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.sum("epochs").alias("sum"), F.count("*").alias("of")).where("sum > 0")
     taken = own.join(times, _alike(key)).select("row", *key, "sum", "of")
     out = taken.where("of = 1").select("row", F.col("sum").alias("times"))
@@ -174,4 +173,4 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
         more = (F.col("number") < F.col("sum") % F.col("of")).cast("long")
         out = out.unionByName(equal_rows(shared, key, "uid").select("row", (F.floor(F.col("sum") / F.col("of")) + more).alias("times")))
     out = out.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-    return out.select(*[F.col("row")[c].alias(c) for c in columns])
+    return unwrapped(out, docs)

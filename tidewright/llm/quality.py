@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import prepare, staged
+from tidewright.llm.common import prepare, staged, unwrapped, without
 
 #: Rows of each of the two samples that the model is fitted on, about; twice as many at most.
 FIT, FOLDS = 15_000, 5
@@ -168,7 +168,5 @@ def classify(docs: DataFrame, labels: DataFrame, fit: int = FIT, keep_at: float
 def keep_good(docs: DataFrame, labels: DataFrame, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that are not rejected, all columns kept. Rejected rows are named by id and text hash, so a row
     whose id stands beside another text goes or stays by its own text."""
-    gone = classify(docs, labels, id_col=id_col, text_col=text_col, **kw).where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")).distinct()
-    gone = staged(gone, "quality-gone")
-    match = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, match, "left_anti")
+    gone = classify(docs, labels, id_col=id_col, text_col=text_col, **kw).where("predicted = 0").select("doc_id", "th").distinct()
+    return unwrapped(without(docs, staged(gone, "quality-gone"), broadcast_ids, id_col, text_col), docs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import prepare, stage, staged, unstage
+from tidewright.llm.common import keyed_rows, once, prepare, stage, staged, unstage, unwrapped
 from tidewright.llm.components import components
 
 #: Distinct fingerprints of a bucket that are compared in one task (512 KB); larger buckets are indexed again.
@@ -213,12 +213,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, k: int = 5, id_col: str = "doc_i
     Rows with a null id cannot be named as the one that stays, so they are left alone.
     """
     marked = near_duplicates(docs, shingle, k, id_col, text_col)
-    gone = staged(marked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= broadcast_ids else gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    twice = marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if twice.take(1):  # repeated ids: rare, so only then are whole rows dealt by id
-        again = F.col("n").isNotNull()
-        both = kept.join(twice.withColumnRenamed("doc_id", "_id"), kept[id_col].cast("long") == F.col("_id"), "left")
-        kept = both.where(~again).select(*docs.columns).unionByName(both.where(again).select(*docs.columns).dropDuplicates([id_col, text_col]))
-    return kept.select(*docs.columns)
+    gone = staged(marked.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone").withColumnRenamed("doc_id", "_id")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    kept = keyed_rows(docs, id_col, text_col).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = keyed_rows(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    return unwrapped(once(kept, staged(twice.select("doc_id", "th"), "simhash-twice")), docs)
