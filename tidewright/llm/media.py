@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import prepare
@@ -127,21 +127,29 @@ def cosine_hash(samples: np.ndarray, side: int = 32, low: int = 8) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def _media(level: int, keep: bool):
+def _encode(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column(1)]
+            stored = pa.array([encode_png(pad(t), level) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), stored], names=["doc_id", "n_bytes", "media"])
+
+    return run
+
+
+def _decode(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                data = t.as_py() or b""
-                stored = encode_png(pad(data), level)
+            for m in b.column(2):
+                stored = m.as_py()
                 samples = decode_png(stored)
                 back = samples.tobytes()
-                out.append((i.as_py(), len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples), stored if keep else None))
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            cols = list(zip(*out, strict=True)) or [[]] * 9
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays[: 9 if keep else 8], names=names[: 9 if keep else 8])
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples)))
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            arrays = [b.column(0), b.column(1), *(pa.array([r[c] for r in out], k) for c, k in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays([*arrays, *([b.column(2)] if keep else [])], names=[*names, *(["media"] if keep else [])])
 
     return run
 
@@ -149,9 +157,21 @@ def _media(level: int, keep: bool):
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 6, keep: bool = True) -> DataFrame:
-    """One row per row of docs: the stored PNG (column media, if keep), its sizes and digests after a read back, and
-    the cosine hash as 16 hex digits."""
+def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> None:
+    """Write one row per row of docs to a Parquet folder: doc_id, n_bytes, and the PNG in the binary column media."""
     prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return d.mapInArrow(_media(level, keep), SCHEMA + (", media binary" if keep else ""))
+    d.mapInArrow(_encode(level), "doc_id long, n_bytes long, media binary").write.option("compression", "none").parquet(path)
+
+
+def read_media(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
+    """The stored rows read back: checked, decoded and measured; SCHEMA, and the column media if keep."""
+    rows = prepare(spark).read.schema("doc_id long, n_bytes long, media binary").parquet(path)
+    return rows.mapInArrow(_decode(keep), SCHEMA + (", media binary" if keep else ""))
+
+
+def to_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", level: int = 6, keep: bool = True) -> DataFrame:
+    """One row per row of docs, written to path and read back: the stored PNG (column media, if keep), its sizes and digests
+    and the cosine hash as 16 hex digits."""
+    store_media(docs, path, id_col, text_col, level)
+    return read_media(docs.sparkSession, path, keep)

@@ -74,7 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.to_media(table(spark, sf_dir, "documents"), keep=False)
+    return media.to_media(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}", keep=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
