@@ -1,9 +1,9 @@
 """Operator 8: embedding near-duplicates by PCA-ordered tiled comparison.
 
 Vectors are scaled to unit length and turned into the axes of their principal components, so that leading dimensions
-hold most of every product. Within a label, equal vectors are one node; nodes are dealt into tiles by their first
-coordinate, as unit vectors of cosine c differ by at most sqrt(2 - 2c) there, and only tiles that are that close are
-paired. A pair of tiles accumulates the leading dimensions first; after each block the rest of a product is bounded
+hold most of every product. Within a label, equal vectors are one node, named by two hashes; nodes are dealt into tiles by
+a grid of their leading coordinates. Unit vectors of cosine c differ by at most sqrt(2 - 2c) in each of these, so only
+tiles whose boxes are that close in all of them are paired. A pair of tiles accumulates the leading dimensions first; after each block the rest of a product is bounded
 by the product of the suffix norms, and pairs that cannot reach the threshold any more are dropped. Survivors are
 checked with the untouched vectors in double precision. A pair of tiles gives counts and a spanning forest, never all
 its pairs, so a crowd of near copies costs no more rows than it has members.
@@ -24,8 +24,8 @@ from tidewright.llm.components import components
 
 #: Vectors in a tile, at most about; dimensions that are accumulated before each bound.
 TILE, BLOCKS = 1024, (8, 16, 32)
-#: Cells of the first coordinate to a reach of sqrt(2 - 2c).
-CELLS = 4
+#: Leading coordinates of the grid, and its cells to a reach of sqrt(2 - 2c).
+LEADING, CELLS = 3, 2
 
 
 def unit(vectors) -> np.ndarray:
@@ -145,34 +145,44 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull(), F.lit(False))
     rows = staged(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.when(usable, v).alias("v"), F.monotonically_increasing_id().alias("uid")), "embeddings")
-    nodes = rows.where("v is not null").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("uid").alias("node"), F.min("vec_id").alias("head"))
+    rows = rows.withColumns({f"h{i}": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(i), "label", "v")) for i in (1, 2)})
+    nodes = rows.where("v is not null").groupBy("label", "h1", "h2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("uid").alias("node"), F.min("vec_id").alias("head"))
     nodes, nodes_path = stage(nodes, "embedding-nodes")
     axes = principal_axes(nodes)
 
     reach = float(np.sqrt(2 - 2 * threshold))
     width = reach / CELLS
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<int>")
     def cell(x: pd.Series) -> pd.Series:
-        lead = [float(np.dot(unit([y])[0], axes[len(y)][:, 0])) for y in x]
-        return pd.Series(np.floor((np.array(lead) + 1) / width).astype(np.int32) if len(lead) else [], dtype="int32")
-
-    placed = staged(nodes.select("label", F.size("v").alias("dim"), cell("v").alias("cell"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("h"), "node", "n", "v"), "embedding-cells")
-    counts = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / tile).cast("int"))
+        out = np.zeros((len(x), LEADING), np.int32)
+        sizes = x.map(len).to_numpy()
+        for dim in np.unique(sizes):
+            own = np.flatnonzero(sizes == dim)
+            lead = unit(x.iloc[own]) @ axes[int(dim)][:, :LEADING]
+            out[own, : lead.shape[1]] = np.floor((lead + 1) / width)
+        return pd.Series(list(out))
+
+    grid = [f"c{i}" for i in range(LEADING)]
+    placed = nodes.select("label", F.size("v").alias("dim"), cell("v").alias("cell"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("h"), "node", "n", "v")
+    placed = staged(placed.select("label", "dim", *[F.col("cell")[i].alias(c) for i, c in enumerate(grid)], "h", "node", "n", "v"), "embedding-cells")
+    counts = placed.groupBy("label", "dim", *grid).agg(F.count("*").alias("m"))
     # neighbouring small cells become one tile: a running count within the label, cut at multiples of the tile size
-    run = F.sum("m").over(Window.partitionBy("label", "dim").orderBy("cell"))
-    counts = counts.withColumn("strip", F.floor((run - 1) / tile).cast("long"))
-    tiles = counts.groupBy("label", "dim", "strip").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.sum("m").alias("m"))
-    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / tile).cast("int") - 1))).withColumn("parts", F.ceil(F.col("m") / tile).cast("int"))
+    run = F.sum("m").over(Window.partitionBy("label", "dim").orderBy(*grid))
+    counts = staged(counts.withColumn("strip", F.floor((run - 1) / tile).cast("long")), "embedding-counts")
+    tiles = counts.groupBy("label", "dim", "strip").agg(F.array(*[F.min(c) for c in grid]).alias("lo"), F.array(*[F.max(c) for c in grid]).alias("hi"), F.sum("m").alias("m"))
+    tiles = tiles.withColumn("parts", F.ceil(F.col("m") / tile).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles, tiles_path = stage(tiles, "embedding-tiles")
     one, two = tiles.select("label", "dim", F.col("strip").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), tiles.select("label", "dim", F.col("strip").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    near = (F.struct("s1", "p1") <= F.struct("s2", "p2")) & (F.col("lo2") - F.col("hi1") <= CELLS) & (F.col("lo1") - F.col("hi2") <= CELLS)
+    near = F.struct("s1", "p1") <= F.struct("s2", "p2")
+    for i in range(LEADING):
+        near = near & (F.col("lo2")[i] - F.col("hi1")[i] <= CELLS) & (F.col("lo1")[i] - F.col("hi2")[i] <= CELLS)
     pairs = one.join(two, ["label", "dim"]).where(near).select("label", "dim", "s1", "p1", "s2", "p2", F.monotonically_increasing_id().alias("pair"))
     pairs, pairs_path = stage(pairs, "embedding-pairs")
     first = pairs.select("label", "dim", F.col("s1").alias("strip"), F.col("p1").alias("part"), "pair", F.lit(0).alias("side"))
     second = pairs.where("s1 <> s2 or p1 <> p2").select("label", "dim", F.col("s2").alias("strip"), F.col("p2").alias("part"), "pair", F.lit(1).alias("side"))
-    of_cell = counts.select("label", "dim", "cell", "strip").join(tiles.select("label", "dim", "strip", "parts").distinct(), ["label", "dim", "strip"])
-    member = placed.join(of_cell, ["label", "dim", "cell"]).withColumn("part", (F.col("h") % F.col("parts")).cast("int"))
+    of_cell = counts.select("label", "dim", *grid, "strip").join(tiles.select("label", "dim", "strip", "parts").distinct(), ["label", "dim", "strip"])
+    member = placed.join(of_cell, ["label", "dim", *grid]).withColumn("part", (F.col("h") % F.col("parts")).cast("int"))
     dealt = member.join(first.unionByName(second), ["label", "dim", "strip", "part"]).select("pair", "side", "node", "n", "v")
     met = staged(dealt.groupBy("pair").applyInPandas(_tiles(axes, threshold), "node long, n long, root long"), "embedding-met")
     for p in (tiles_path, pairs_path):
@@ -180,8 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     links = met.groupBy("node").agg(F.sum("n").alias("linked"))
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")), "embedding-edges")
-    full = nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "v", "head", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    full = nodes.join(links, "node", "left").join(roots, "node", "left").select("label", "h1", "h2", "head", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     heads = full.groupBy("root").agg(F.min("head").alias("component_id"))
-    known = full.join(heads, "root").select("label", "v", "n_links", "component_id")
-    out = rows.join(known, ["label", "v"], "left")
+    known = staged(full.join(heads, "root").select("label", "h1", "h2", "n_links", "component_id"), "embedding-known")
+    out = rows.select("vec_id", "label", "h1", "h2").join(known, ["label", "h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
