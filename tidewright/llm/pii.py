@@ -187,6 +187,11 @@ def _repeats(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "th").agg(F.count("*").alias("of")).where("of > 1")
 
 
+def _share(documents: str, n: int) -> Column:
+    """The share of a key's information that a term gives away, by n_ct, n_c and the documents of the term."""
+    return F.log(F.col("n_ct") * n / (F.col("n_c") * F.col(documents))) / F.log(n / F.col("n_c"))
+
+
 def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame]:
     """(key, term, share) of the terms that disclose what a key stands for, and (stem, n), the documents of each stem.
 
@@ -207,6 +212,9 @@ def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: flo
     pairs = held.select("uid", "terms").join(common, "uid").select("common", F.explode("terms").alias("term")).select(F.explode("common").alias("key"), "term")
     joint = pairs.groupBy("key", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
     joint = joint.join(n_c, "key").select("key", "term", "n_ct", "n_c")
+    # a term stands in at least as many documents as hold it beside some entity, so this share is an upper bound
+    n_h = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_h"))
+    joint = joint.join(n_h, "term").where(_share("n_h", n) >= discloses - 1e-6).drop("n_h")
     named = held.select("terms", F.explode("names").alias("key")).withColumn("both", F.array_contains("terms", F.col("key")).cast("long"))
     named = named.groupBy("key").agg(F.sum("both").alias("n_ct"), F.count("*").alias("n_c")).where((F.col("n_ct") > 0) & (F.col("n_c") < n))
     joint, path = stage(joint.unionByName(named.select("key", F.col("key").alias("term"), "n_ct", "n_c")), "pii-joint")
@@ -224,8 +232,7 @@ def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: flo
     counts = every.mapInArrow(_frequencies(words), "term long, stem string, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
     counts = staged(counts, "pii-frequencies")
     both = joint.join(counts.where("term is not null").select("term", F.col("n").alias("n_t")), "term")
-    share = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))
-    shares = both.select("key", "term", F.round(share, 9).alias("share")).where(F.col("share") >= discloses)
+    shares = both.select("key", "term", F.round(_share("n_t", n), 9).alias("share")).where(F.col("share") >= discloses)
     # what a stem gives away at most: it stands with all documents of the key
     stems = counts.where("stem is not null").select("stem", "n")
     return shares, stems
