@@ -109,14 +109,15 @@ def test_urls(spark):
     d = spark.createDataFrame([(u,) for u in [*bad, "https://e.org/?page=2"]], "url string")
     assert sorted(r.url for r in email.url_pii_scan(d).collect()) == sorted(bad)
     c = lambda u: spark.range(1).select(X.canonical_url(F.lit(u)).alias("u")).first().u
-    assert c("https://doi.org/10.1000/ABC.1") == "doi:10.1000/abc.1" and c("http://arxiv.org/abs/2401.12345v2") == "arxiv:2401.12345"
+    assert c("https://doi.org/10.1000/ABC.1") == "doi:10.1000/ABC.1" and c("http://arxiv.org/abs/2401.12345v2") == "arxiv:2401.12345v2"
     assert c("HTTPS://E.org:443/a/?utm_source=x&b=2&a=1#f") == "https://e.org/a?a=1&b=2"
 
 
 def test_claims(spark):
     cl = spark.createDataFrame([("a", "Paris has 2 million people.", "factual"), ("b", "Paris has 3 million people.", "factual"), ("c", "It might rain in the coming weeks.", "speculation"), ("d", "Nothing is linked to this claim.", "factual")], "claim_id string, text string, claim_type string")
-    ln = spark.createDataFrame([("a", "Paris  has 2 million people."), ("b", "Paris has 2 million people.")], "claim_id string, quote string")
-    got = {r.claim_id: r.support_status for r in claims.claim_support(cl, ln).collect()}
+    ev = spark.createDataFrame([("e1", "Paris  has 2 million people."), ("e2", "Paris has 2 million people.")], "evidence_id string, quote string")
+    ln = spark.createDataFrame([("a", "e1"), ("b", "e2")], "claim_id string, evidence_id string")
+    got = {r.claim_id: r.support_status for r in claims.claim_support(cl, ln, ev).collect()}
     assert got == {"a": "supported", "b": "partial", "c": "supported", "d": "unsupported"}
 
 

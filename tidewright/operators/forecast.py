@@ -76,11 +76,13 @@ def interval_coverage(folds: DataFrame, intervals: DataFrame) -> DataFrame:
     return folds.join(intervals, ["model_id", "horizon"]).groupBy("model_id", "horizon").agg((F.avg(e.between(F.col("day_p10"), F.col("day_p90")).cast("int")) * 100).alias("coverage"))
 
 
-def forecast_confidence(metrics: DataFrame, coverage: DataFrame, history_days: int, sources_ok: bool) -> DataFrame:
-    """high, medium or low per model, over all its horizons."""
+def forecast_confidence(metrics: DataFrame, coverage: DataFrame, history: DataFrame, sources_ok: bool) -> DataFrame:
+    """high, medium or low per model, over all its horizons; history has the days (date) that models were fitted on, of which a
+    high confidence needs 180."""
+    days = history.agg(F.count_distinct("date").alias("_days"))
     m = metrics.join(coverage, ["model_id", "horizon"], "left").groupBy("model_id").agg(F.max("wape").alias("worst"), F.min("coverage").alias("coverage"))
-    high = F.lit(history_days >= 180 and sources_ok) & (F.col("worst") < 10) & (F.col("coverage") >= 75)
-    return m.withColumn("confidence", F.when(high, "high").when(F.col("worst") <= 20, "medium").otherwise("low"))
+    high = (F.col("_days") >= 180) & F.lit(sources_ok) & (F.col("worst") < 10) & (F.col("coverage") >= 75)
+    return m.join(F.broadcast(days)).withColumn("confidence", F.when(high, "high").when(F.col("worst") <= 20, "medium").otherwise("low")).drop("_days")
 
 
 def declared_vs_computed(declared: DataFrame, computed: DataFrame, keys: list[str], metric: str, tolerance: float = 0.02) -> DataFrame:
@@ -111,14 +113,18 @@ def scenario_totals_check(daily: DataFrame, totals: DataFrame) -> DataFrame:
     return off.unionByName(order).unionByName(q).unionByName(day("p50_is_base", close(F.col("p50"), F.col("base"))))
 
 
-def change_points(series: DataFrame, threshold: float = 5.0, min_days: int = 90) -> DataFrame:
-    """Days whose residual from the weekday's median is beyond threshold robust deviations; usable if enough days remain after."""
+def change_points(series: DataFrame, events: DataFrame, threshold: float = 5.0, min_days: int = 90, near: int = 3) -> DataFrame:
+    """Days whose residual from the weekday's median is beyond threshold robust deviations. cause is the confirmed event (date,
+    event) that is nearest within `near` days, else unknown: a signal alone is no cause. usable if enough days remain after."""
     wd = series.withColumn("wd", F.dayofweek("date"))
     med = wd.groupBy("wd").agg(F.median("actual").alias("_m"))
     r = wd.join(F.broadcast(med), "wd").withColumn("residual", F.col("actual") - F.col("_m"))
     mad = r.agg(F.median(F.abs("residual")).alias("_mad"), F.max("date").alias("_last"))
     z = F.when(F.col("_mad") != 0, 0.6745 * F.col("residual") / F.col("_mad"))
-    return r.join(F.broadcast(mad)).withColumn("z", z).where(F.abs("z") >= threshold).select("date", "residual", "z", (F.date_diff("_last", "date") >= min_days).alias("usable"))
+    signal = r.join(F.broadcast(mad)).withColumn("z", z).where(F.abs("z") >= threshold)
+    days = events.select(F.explode(F.sequence(F.date_sub("date", near), F.date_add("date", near))).alias("day"), "event", F.col("date").alias("_on"))
+    cause = signal.select("date").join(days, F.col("date") == F.col("day")).groupBy("date").agg(F.min(F.struct(F.abs(F.date_diff("_on", "date")).alias("off"), "event")).alias("c"))
+    return signal.join(cause, "date", "left").select("date", "residual", "z", F.coalesce("c.event", F.lit("unknown")).alias("cause"), (F.date_diff("_last", "date") >= min_days).alias("usable"))
 
 
 def action_ramp(actions: DataFrame, as_of: str, horizon: int = 30) -> DataFrame:

@@ -238,6 +238,23 @@ def keyed_state_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     return j.select(*keys, *[value(c).alias(c) for c in old.columns if c not in keys])
 
 
+#: Drafts whose state is settled, and states and ids that say nothing.
+SETTLED, UNSETTLED, NO_ID = ["created", "existing_unchanged"], ["unknown", "missing"], ["", "unknown", "missing"]
+
+
+def draft_state_merge(old: DataFrame, new: DataFrame, revision: int) -> tuple[DataFrame, int]:
+    """keyed_state_merge of a draft registry (draft_key, message_id, status, ...) and its next revision: a known message id is
+    never erased, another one in its place is an error, and a settled status does not become unknown again."""
+    said = F.lower(F.trim("message_id"))
+    n = new.withColumn("message_id", F.when(~F.coalesce(said, F.lit("")).isin(NO_ID), F.col("message_id")))
+    known = old.select("draft_key", F.col("message_id").alias("_m"), F.col("status").alias("_s"))
+    j = n.join(known, "draft_key", "left")
+    if j.where("_m <> '' and message_id is not null and _m <> message_id").take(1):
+        raise ValueError("a draft has another message id")
+    settled = F.coalesce(F.col("_s").isin(SETTLED) & F.col("status").isin(UNSETTLED), F.lit(False))
+    return keyed_state_merge(old, j.withColumn("status", F.when(~settled, F.col("status"))).select(*new.columns), ["draft_key"]), revision + 1
+
+
 def state_validate(state: DataFrame, key: str, required: list[str]) -> DataFrame:
     """(key, rule_id): missing keys and required values, repeated keys."""
     n = state.withColumn("_n", F.count("*").over(Window.partitionBy(key)))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidewright.functions.expr import keywords, normalize_title, short_sha
+from tidewright.functions.storage import shared_path
 
 #: Entities of which two shared ones speak for one event.
-KEY_ENTITIES = "openai,google,microsoft,meta,apple,amazon,anthropic,deepmind,gemini,gpt,claude,llama,mistral,sora,copilot,chatgpt,dall-e,stable diffusion,midjourney,hugging face,nvidia,tesla,perplexity,groq".split(",")
+KEY_ENTITIES = [
+    "openai", "google", "microsoft", "meta", "apple", "amazon", "anthropic", "deepmind", "gemini", "gpt", "claude", "llama", "mistral", "sora", "copilot", "chatgpt",
+    "dall-e", "stable diffusion", "midjourney", "hugging face", "nvidia", "tesla", "perplexity", "groq",
+]
 
 
 @F.pandas_udf(DoubleType())
@@ -40,15 +46,32 @@ def recent_history(sent: DataFrame, n: int = 500) -> DataFrame:
     return sent.orderBy(F.col("sent_at").desc(), "title").limit(n)
 
 
+def _counts(titles: list[str]) -> np.ndarray:
+    """How often each of 128 classes of characters stands in each title."""
+    out = np.zeros((len(titles), 128), np.int32)
+    for row, t in zip(out, titles, strict=True):
+        np.add.at(row, np.frombuffer(t.encode("utf-32-le"), np.uint32) % 128, 1)
+    return out
+
+
 def history_fuzzy_filter(news: DataFrame, sent: DataFrame, threshold: float = 0.65, n: int = 500) -> DataFrame:
-    """News without a title as like any of the last n sent ones; pairs are those that share a word."""
+    """News without a title as like any of the last n sent ones. All pairs are looked at, as n titles are a bounded table: a ratio
+    is worked out only where the characters that both titles hold leave room for it."""
     t = normalize_title("title")
-    old = recent_history(sent, n).select(t.alias("_old")).where("_old <> ''").distinct()
-    words = lambda d, c: d.withColumn("_w", F.explode(F.array_distinct(F.split(c, " "))))
-    new = news.select("id", t.alias("_t"))
-    pairs = words(new, "_t").join(F.broadcast(words(old, "_old")), "_w").select("id", "_t", "_old").distinct()
-    hits = pairs.where(seq_ratio("_t", "_old") >= threshold).select("id").distinct()
-    return news.join(hits, "id", "left_anti")
+    old = [r["t"] for r in recent_history(sent, n).select(t.alias("t")).where("t <> ''").distinct().collect()]  # n rows
+    held = _counts(old)
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for i, title, own in zip(pdf["id"], pdf["t"], _counts(list(pdf["t"])), strict=True):
+                room = 2 * np.minimum(held, own).sum(axis=1) / np.maximum(held.sum(axis=1) + own.sum(), 1)
+                if any(SequenceMatcher(None, title, old[k]).ratio() >= threshold for k in np.flatnonzero(room >= threshold - 1e-9)):
+                    found.append(i)
+            yield pd.DataFrame({"id": pd.Series(found, dtype="int64")})
+
+    gone = news.select("id", F.coalesce(t, F.lit("")).alias("t")).where("t <> ''").mapInPandas(hits, "id long").distinct()
+    return news.join(gone, "id", "left_anti")
 
 
 def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float, least: int = 2) -> DataFrame:
@@ -77,13 +100,28 @@ def history_jaccard_filter(news: DataFrame, sent: DataFrame, threshold: float =
     return news.join(hits, "id", "left_anti")
 
 
+#: Titles are compared if their keywords have this Jaccard similarity, or their runs of three characters that one.
+SHARED_WORDS, SHARED_RUNS = 0.1, 0.2
+
+
+def compared_titles(news: DataFrame) -> DataFrame:
+    """(id_a, id_b, jaccard, ratio), id_a < id_b: the keywords' Jaccard similarity and the titles' ratio of every pair of titles
+    that share enough keywords or enough runs of three characters. Titles that share fewer than both are not compared."""
+    t = news.select("id", normalize_title("title").alias("t"), keywords("title").alias("kw"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3))))
+    grams = t.where(F.length("t") > 2).select("id", runs.alias("kw"))
+    near = lambda d, s: jaccard_pairs(d, d, s, least=1).where("id_a < id_b").select("id_a", "id_b")
+    pairs = near(t.select("id", "kw"), SHARED_WORDS).unionByName(near(grams, SHARED_RUNS)).distinct()
+    of = lambda x: t.select(F.col("id").alias(f"id_{x}"), F.col("t").alias(f"t{x}"), F.col("kw").alias(f"k{x}"))
+    both = pairs.join(of("a"), "id_a").join(of("b"), "id_b")
+    inter = F.size(F.array_intersect("ka", "kb"))
+    jaccard = F.coalesce(F.try_divide(inter.cast("double"), F.size("ka") + F.size("kb") - inter), F.lit(0.0))
+    return both.select("id_a", "id_b", jaccard.alias("jaccard"), seq_ratio("tb", "ta").alias("ratio"))
+
+
 def title_similarity_pairs(news: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """(id_a, id_b, similarity): larger of the keywords' Jaccard and .8 of the titles' ratio, for pairs sharing a rare word."""
-    k = with_keywords(news).select("id", "title", "kw")
-    cand = jaccard_pairs(k, k, 0.2, least=1).where("id_a < id_b")
-    t = news.select("id", normalize_title("title").alias("t"))
-    j = cand.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
-    return j.select("id_a", "id_b", F.greatest("jaccard", 0.8 * seq_ratio("ta", "tb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(id_a, id_b, similarity): larger of the keywords' Jaccard and .8 of the titles' ratio."""
+    return compared_titles(news).select("id_a", "id_b", F.greatest("jaccard", 0.8 * F.col("ratio")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def entity_overlap(a: Column | str, b: Column | str, entities: list[str] | None = None) -> Column:
@@ -93,34 +131,50 @@ def entity_overlap(a: Column | str, b: Column | str, entities: list[str] | None
     return F.size(F.filter(e, lambda x: F.contains(a, x) & F.contains(b, x)))
 
 
-def min_label(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, root): least id reachable over edges (a, b), by repeated minimum over neighbours and a jump."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(rounds):
+def entity_pairs(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
+    """(id_a, id_b, shared), id_a < id_b: titles that name at least `least` of the same entities, met by pairs of entities when
+    two are asked for, so that one common entity brings nobody together."""
+    e = F.array(*[F.lit(x) for x in (entities or KEY_ENTITIES)])
+    named = news.select("id", F.filter(e, lambda x: F.contains(F.lower("title"), x)).alias("e")).where(F.size("e") >= least)
+    keys = named.select("id", "e", F.explode("e").alias("k"))
+    if least > 1:
+        keys = keys.select("id", "e", "k", F.explode("e").alias("k2")).where("k < k2").withColumn("k", F.concat_ws("|", "k", "k2")).drop("k2")
+    other = keys.select(F.col("id").alias("id_b"), F.col("e").alias("eb"), "k")
+    both = keys.select(F.col("id").alias("id_a"), F.col("e").alias("ea"), "k").join(other, "k").where("id_a < id_b")
+    return both.select("id_a", "id_b", F.size(F.array_intersect("ea", "eb")).alias("shared")).distinct()
+
+
+def _landed(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: the plan of a round does not grow with those before."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def min_label(edges: DataFrame) -> DataFrame:
+    """(id, root): least id reachable over edges (a, b), by repeated minimum over neighbours and a jump, until nothing changes."""
+    both = _landed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = _landed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, "a", "left").select("a", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.join(step.select(F.col("a").alias("root"), F.col("root").alias("r2")), "root", "left").select("a", F.least("root", F.coalesce("r2", "root")).alias("root"))
-        jump = jump.checkpoint() if jump.sparkSession.sparkContext.getCheckpointDir() else jump
-        if jump.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").limit(1).count() == 0:
-            label = jump
-            break
+        jump = _landed(jump, "labels")
+        if not jump.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").take(1):
+            return jump.select(F.col("a").alias("id"), "root")
         label = jump
-    return label.select(F.col("a").alias("id"), "root")
 
 
 def batch_near_dedup(news: DataFrame, weights: dict[str, float], default: float = 0.65) -> DataFrame:
     """One row of each event: titles alike by ratio .55, Jaccard .40, or two entities and Jaccard .25 are linked, links are
     followed, and the most authoritative source stays (then the least id)."""
-    k = with_keywords(news).select("id", "title", "kw")
-    p = jaccard_pairs(k, k, 0.2, least=1).where("id_a < id_b")
-    t = news.select("id", "title", normalize_title("title").alias("t"))
-    j = p.join(t.select(F.col("id").alias("id_a"), F.col("title").alias("xa"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("title").alias("xb"), F.col("t").alias("tb")), "id_b")
-    same = (seq_ratio("ta", "tb") >= 0.55) | (F.col("jaccard") >= 0.40) | ((entity_overlap("xa", "xb") >= 2) & (F.col("jaccard") >= 0.25))
+    two = entity_pairs(news).select("id_a", "id_b", F.lit(True).alias("named"))
+    j = compared_titles(news).join(two, ["id_a", "id_b"], "left")
+    same = (F.col("ratio") >= 0.55) | (F.col("jaccard") >= 0.40) | (F.coalesce("named", F.lit(False)) & (F.col("jaccard") >= 0.25))
     roots = min_label(j.where(same).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     n = news.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("authority", authority(F.col("source"), weights, default))
-    best = n.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy(F.col("authority").desc(), "id")))
-    return best.where("_r = 1").drop("_r")
+    best = n.groupBy("root").agg(F.min(F.struct((-F.col("authority")).alias("a"), "id")).alias("_b")).select(F.col("_b.id").alias("id"))
+    return n.join(best, "id", "left_semi")
 
 
 def authority(source: Column, weights: dict[str, float], default: float = 0.65) -> Column:
@@ -134,12 +188,9 @@ def freshness(age_hours: Column) -> Column:
 
 def mention_score(news: DataFrame) -> DataFrame:
     """(id, mention_score): like titles in the batch by fifths, at most 1."""
-    k = with_keywords(news).select("id", "title", "kw")
-    p = jaccard_pairs(k, k, 0.2, least=1).where("id_a <> id_b")
-    t = news.select("id", normalize_title("title").alias("t"))
-    j = p.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
-    n = j.where((seq_ratio("ta", "tb") >= 0.5) | (F.col("jaccard") >= 0.35)).groupBy(F.col("id_a").alias("id")).agg(F.count("*").alias("n"))
-    return news.select("id").join(n, "id", "left").select("id", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 5).alias("mention_score"))
+    j = compared_titles(news).where((F.col("ratio") >= 0.5) | (F.col("jaccard") >= 0.35))
+    each = j.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return news.select("id").join(each, "id", "left").select("id", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 5).alias("mention_score"))
 
 
 def freshness_authority_score(news: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -149,26 +200,24 @@ def freshness_authority_score(news: DataFrame, weights: dict[str, float]) -> Dat
     return news.select("id", f.alias("freshness"), a.alias("authority"), (0.3 * f + 0.3 * col("mention_score", 0.0) + 0.2 * a + 0.2 * col("impact", 0.5)).alias("score"))
 
 
-def topic_clusters(news: DataFrame, block: str, threshold: float = 0.35) -> DataFrame:
-    """(block, leader, members, sources): leader clustering in order of id inside each block, exact and greedy."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[list] = []
-        for r in pdf.sort_values("id").itertuples():
-            kw = set(r.kw)
-            for lead in leaders:
-                inter = len(kw & lead[1])
-                jac = inter / len(kw | lead[1]) if kw and lead[1] else 0.0
-                if jac >= threshold or 0.8 * SequenceMatcher(None, r.t, lead[2]).ratio() >= threshold:
-                    lead[3] += 1
-                    lead[4].add(r.src)
-                    break
-            else:
-                leaders.append([r.id, kw, r.t, 1, {r.src}])
-        return pd.DataFrame({block: [pdf[block].iloc[0]] * len(leaders), "leader": [x[0] for x in leaders], "members": [x[3] for x in leaders], "sources": [len(x[4]) for x in leaders]})
-
-    d = with_keywords(news).select(block, "id", F.col("source").alias("src"), "kw", normalize_title("title").alias("t"))
-    return d.groupBy(block).applyInPandas(run, f"{block} string, leader long, members long, sources long")
+def topic_clusters(news: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """(leader, members, sources) over all news, whatever their source: in order of id, news join the first leader that their
+    title is like, or lead a new topic.
+
+    Who leads is settled in rounds over the table of like pairs: news without an undecided or leading like one before them
+    lead; those with a leading one before them follow. The result is that of going through them one by one.
+    """
+    edges = _landed(title_similarity_pairs(news, threshold).select(F.col("id_a").alias("before"), F.col("id_b").alias("id")), "like-titles")
+    leads = _landed(edges.select(F.explode(F.array("before", "id")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
+    while leads.where("leads is null").take(1):
+        of = edges.join(leads.withColumnRenamed("id", "before").withColumnRenamed("leads", "_l"), "before")
+        seen = of.groupBy("id").agg(F.bool_or("_l").alias("_any"), F.count_if(F.col("_l").isNull()).alias("_open"))
+        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("_any", F.lit(False)), F.lit(False)).when(F.coalesce("_open", F.lit(0)) == 0, F.lit(True))
+        leads = _landed(leads.join(seen, "id", "left").select("id", now.alias("leads")), "leaders")
+    first = edges.join(leads.where("leads").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min("before").alias("_first"))
+    n = news.select("id", "source").join(leads, "id", "left").join(first, "id", "left")
+    leader = F.when(F.coalesce("leads", F.lit(True)), F.col("id")).otherwise(F.col("_first"))
+    return n.groupBy(leader.alias("leader")).agg(F.count("*").alias("members"), F.count_distinct("source").alias("sources"))
 
 
 def cluster_score(clusters: DataFrame) -> DataFrame:

@@ -233,18 +233,36 @@ def heading_level_skips(audit: DataFrame) -> DataFrame:
     return h.withColumn("previous", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos"))).where("level > previous + 1").select("page_id", "pos", "level", "previous")
 
 
+def _best(g: DataFrame, by: list[str], k: int) -> DataFrame:
+    return g.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("shared").desc(), "target"))).where(F.col("_r") <= k).drop("_r")
+
+
 def link_candidates(pages: DataFrame, k: int = 6, common: int = 500) -> DataFrame:
     """(page_id, target, shared): up to k other pages of the host, of status 200 or 403 and ASCII address, by shared title words.
 
-    A word that more than `common` pages of a host have says nothing about their topic and is no ground for a link.
+    Words that at most `common` pages of a host have meet by a join. The others are few; pages with the same set of them are
+    one class, classes are compared instead of pages, and the k + 1 best pages of each class's neighbours are candidates as
+    well: a page that shares only such words with another cannot be among its k best without being among these.
     pages: page_id, url, status, tokens.
     """
-    p = pages.select("page_id", "url", "status", host("url").alias("host"), F.explode(F.array_distinct("tokens")).alias("w"))
-    rare = p.groupBy("host", "w").agg(F.count("*").alias("n")).where(F.col("n").between(2, common)).select("host", "w")
-    p = p.join(rare, ["host", "w"])
-    t = p.where(F.col("status").isin(200, 403) & F.col("url").rlike(r"^[\x21-\x7e]+$")).select("host", "w", F.col("page_id").alias("target"))
-    g = p.select("page_id", "host", "w").join(t, ["host", "w"]).where("page_id <> target").groupBy("page_id", "target").agg(F.count("*").alias("shared"))
-    return g.withColumn("_r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("shared").desc(), "target"))).where(F.col("_r") <= k).drop("_r")
+    words = pages.select("page_id", "url", "status", host("url").alias("host"), F.array_distinct("tokens").alias("tokens"))
+    w = words.select("page_id", "host", F.explode("tokens").alias("w"))
+    count = w.groupBy("host", "w").agg(F.count("*").alias("n"))
+    target = words.where(F.col("status").isin(200, 403) & F.col("url").rlike(r"^[\x21-\x7e]+$")).select(F.col("page_id").alias("target"), F.col("tokens").alias("theirs"))
+    rare = w.join(count.where(F.col("n").between(2, common)).select("host", "w"), ["host", "w"])
+    met = rare.join(rare.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).where("page_id <> target").select("page_id", "target").distinct()
+
+    hot = w.join(count.where(F.col("n") > common).select("host", "w"), ["host", "w"]).groupBy("host", "page_id").agg(F.sort_array(F.collect_list("w")).alias("hot"))
+    classes = hot.select("host", "hot").distinct()
+    one = classes.select("host", "hot", F.explode("hot").alias("w"))
+    shared = one.join(one.select("host", "w", F.col("hot").alias("other")), ["host", "w"]).groupBy("host", "hot", "other").agg(F.count("*").alias("shared"))
+    members = hot.join(target.select(F.col("target").alias("page_id")), "page_id").select("host", F.col("hot").alias("other"), F.col("page_id").alias("target"), F.lit(0).alias("shared"))
+    members = _best(members, ["host", "other"], k + 1).drop("shared")
+    near = _best(shared.join(members, ["host", "other"]).select("host", "hot", "target", "shared"), ["host", "hot"], k + 1)
+    met = met.unionByName(hot.join(near, ["host", "hot"]).where("page_id <> target").select("page_id", "target")).distinct()
+
+    both = met.join(words.select("page_id", "tokens"), "page_id").join(target, "target")
+    return _best(both.select("page_id", "target", F.size(F.array_intersect("tokens", "theirs")).cast("long").alias("shared")), ["page_id"], k)
 
 
 def geo_score(audit: DataFrame) -> DataFrame:

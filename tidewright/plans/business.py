@@ -375,12 +375,13 @@ def _(v):
     return M.reference_integrity(s.unionByName(s.where("cast(id as long) % 10 = 0")), e)
 
 
-@query("keyed_state_merge", "SELECT COALESCE(a.k, b.k) AS k, COALESCE(NULLIF(b.name, ''), a.name) AS name, COALESCE(b.n, a.n) AS n FROM (SELECT c_custkey AS k, c_name AS name, c_nationkey AS n FROM {customer} WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new' END AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 99 END AS n FROM {customer} WHERE c_custkey % 4 <> 0) b ON a.k = b.k")
+OLD = "SELECT c_custkey AS draft_key, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS STRING) END AS message_id, CASE WHEN c_custkey % 4 = 0 THEN 'created' ELSE 'draft' END AS status, c_name AS name, c_nationkey AS n FROM {customer} WHERE c_custkey % 3 <> 0"
+NEW = "SELECT c_custkey AS draft_key, CASE c_custkey % 7 WHEN 0 THEN ' Unknown' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE CAST(c_custkey AS STRING) END AS message_id, CASE WHEN c_custkey % 8 < 5 THEN 'missing' ELSE 'sent' END AS status, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new' END AS name, CASE WHEN c_custkey % 5 <> 0 THEN 99 END AS n FROM {customer} WHERE c_custkey % 4 <> 1"
+
+
+@query("keyed_state_merge", f"SELECT COALESCE(a.draft_key, b.draft_key) AS draft_key, COALESCE(CASE WHEN b.draft_key % 7 > 2 THEN b.message_id END, a.message_id) AS message_id, CASE WHEN a.status = 'created' AND b.status = 'missing' THEN a.status ELSE COALESCE(b.status, a.status) END AS status, COALESCE(NULLIF(b.name, ''), a.name) AS name, COALESCE(b.n, a.n) AS n FROM ({OLD}) a FULL JOIN ({NEW}) b ON a.draft_key = b.draft_key")
 def _(v):
-    k = F.col("c_custkey")
-    old = v.customer.where("c_custkey % 3 <> 0").select(k.alias("k"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
-    new = v.customer.where("c_custkey % 4 <> 0").select(k.alias("k"), F.when(k % 2 == 0, "").otherwise("new").alias("name"), F.when(k % 5 != 0, 99).alias("n"))
-    return M.keyed_state_merge(old, new, ["k"])
+    return M.draft_state_merge(v.sql(OLD), v.sql(NEW), 1)[0]
 
 
 @query("state_validate", "SELECT k, 'duplicate_key' AS rule_id FROM (SELECT c_custkey % 1000 AS k FROM {customer}) GROUP BY k HAVING COUNT(*) > 1 UNION ALL SELECT DISTINCT c_custkey % 1000, 'missing:n' FROM {customer} WHERE c_acctbal < 0")

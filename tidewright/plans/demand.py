@@ -186,7 +186,7 @@ def _(v):
 @query("forecast_confidence", f"WITH {INTV}, {METR[len(BACK) + 2:]} SELECT model_id, ROUND(MAX(wape), 4) AS worst, ROUND(MIN(coverage), 4) AS coverage, CASE WHEN MAX(wape) < 10 AND MIN(coverage) >= 75 THEN 'high' WHEN MAX(wape) <= 20 THEN 'medium' ELSE 'low' END AS confidence FROM mt JOIN cg USING (model_id, horizon) GROUP BY model_id")
 def _(v):
     f = folds(v)
-    return rounded(P.forecast_confidence(P.backtest_metrics(f), P.interval_coverage(f, P.empirical_interval(f)), 1277, True))
+    return rounded(P.forecast_confidence(P.backtest_metrics(f), P.interval_coverage(f, P.empirical_interval(f)), cal(v), True))
 
 
 @query("declared_vs_computed", f"WITH {METR} SELECT model_id, horizon, ROUND(mae * (CASE WHEN horizon = 7 THEN 1.1 ELSE 1.0 END), 4) AS declared, ROUND(mae, 4) AS computed FROM mt WHERE ABS(mae * (CASE WHEN horizon = 7 THEN 1.1 ELSE 1.0 END) - mae) > GREATEST(mae * 0.02, 0.05)")
@@ -195,9 +195,10 @@ def _(v):
     return rounded(P.declared_vs_computed(m.withColumn("mae", F.col("mae") * F.when(F.col("horizon") == 7, 1.1).otherwise(1.0)), m, ["model_id", "horizon"], "mae"))
 
 
-@query("change_points", f"WITH {CAL}, md AS (SELECT DAYOFWEEK(date) AS wd, MEDIAN(actual) AS m FROM cal GROUP BY 1), r AS (SELECT date, actual - m AS residual FROM cal JOIN md ON DAYOFWEEK(date) = wd), k AS (SELECT MEDIAN(ABS(residual)) AS mad, MAX(date) AS last FROM r) SELECT date, residual, ROUND(0.6745 * residual / mad, 4) AS z, last - date >= 90 AS usable FROM r, k WHERE mad <> 0 AND ABS(0.6745 * residual / mad) >= 2.5")
+@query("change_points", f"WITH {CAL}, md AS (SELECT DAYOFWEEK(date) AS wd, MEDIAN(actual) AS m FROM cal GROUP BY 1), r AS (SELECT date, actual - m AS residual FROM cal JOIN md ON DAYOFWEEK(date) = wd), k AS (SELECT MEDIAN(ABS(residual)) AS mad, MAX(date) AS last FROM r) SELECT date, residual, ROUND(0.6745 * residual / mad, 4) AS z, CASE WHEN DAY(date) <= 4 OR date + 3 >= LAST_DAY(date) + 1 THEN 'month opens' ELSE 'unknown' END AS cause, last - date >= 90 AS usable FROM r, k WHERE mad <> 0 AND ABS(0.6745 * residual / mad) >= 2.5")
 def _(v):
-    return rounded(P.change_points(cal(v), 2.5))
+    days = cal(v).select(F.explode(F.array(F.trunc("date", "month"), F.add_months(F.trunc("date", "month"), 1))).alias("date")).distinct()
+    return rounded(P.change_points(cal(v), days.withColumn("event", F.lit("month opens")), 2.5))
 
 
 ACT = """act AS (SELECT CAST(s_suppkey AS STRING) AS id, CAST(DATE '1998-06-30' + CAST(s_suppkey % 20 AS INT) AS DATE) AS start_date, CAST(s_suppkey % 5 AS INT) AS lag_days, s_acctbal / 100 AS impact_cap, 0.5 + (s_suppkey % 5) * 0.1 AS completion_probability, 0.8 AS outcome_probability, CASE WHEN s_suppkey % 4 = 0 THEN 0.7 ELSE 1.0 END AS overlap_discount, n_name AS interaction_group FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal > 0)"""

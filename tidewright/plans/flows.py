@@ -33,11 +33,11 @@ def _(v):
     return v.spark.read.parquet(out).select("stat_date", "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("stream_first_seen", "SELECT COUNT(DISTINCT user_id) AS n FROM {events}")
+@query("stream_first_seen", "SELECT DISTINCT user_id FROM {events}")
 def _(v):
     out = shared_path(v.spark, "first-seen")
     J.run_to_end(J.first_seen(landed(v, events(v).select("ts", "user_id"), "events", "ts"), "user_id"), shared_path(v.spark, "ck"), out)
-    return v.spark.read.parquet(out).agg(F.count("*").alias("n"))
+    return v.spark.read.parquet(out).select("user_id")
 
 
 @query("stream_upsert_state", "SELECT user_id, MAX(ts) AS ts FROM {events} GROUP BY user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.expr import keywords
 from tidewright.operators import pages as P
 from tidewright.plans.registry import query
+from tidewright.plans.text import KW
 
 
 def audit(v):
@@ -45,10 +46,17 @@ def _(v):
     return P.hreflang_reciprocity(alt)
 
 
-@query("link_candidates")
+TOKENS = KW("REGEXP_EXTRACT(html, '<title>([^<]*)', 1)")
+
+
+@query(
+    "link_candidates",
+    f"WITH p AS (SELECT page_id, LOWER(REGEXP_EXTRACT(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS host, page_id % 10 <> 0 AND REGEXP_MATCHES(url, '^[!-~]+$') AS ok, {TOKENS} AS t FROM {{pages}}), "
+    "j AS (SELECT a.page_id, b.page_id AS target, LEN(LIST_INTERSECT(a.t, b.t)) AS shared FROM p a JOIN p b ON a.host = b.host AND a.page_id <> b.page_id AND b.ok), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY shared DESC, target) AS r FROM j WHERE shared > 0) SELECT page_id, target, shared FROM r WHERE r <= 6",
+)
 def _(v):
     a = v.pages.select("page_id", "url", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("status"), keywords(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("tokens"))
-    return P.link_candidates(a)
+    return P.link_candidates(a, common=20)
 
 
 @query("duplicate_cards", "SELECT l_orderkey AS page_id, CAST(l_suppkey AS STRING) AS card_id, COUNT(*) AS n FROM {lineitem} WHERE l_suppkey <> 7 GROUP BY l_orderkey, l_suppkey, l_returnflag, l_linestatus HAVING COUNT(*) > 1")

@@ -73,11 +73,13 @@ def _(v):
     return N.title_similarity_pairs(news(v))
 
 
-@query("entity_overlap", "SELECT a.doc_id AS id_a, b.doc_id AS id_b, CAST(CASE WHEN LOWER(a.title) LIKE '%er%' AND LOWER(b.title) LIKE '%er%' THEN 1 ELSE 0 END + CASE WHEN LOWER(a.title) LIKE '%tion%' AND LOWER(b.title) LIKE '%tion%' THEN 1 ELSE 0 END AS INT) AS shared FROM news a JOIN news b ON a.source = b.source AND a.age_hours = b.age_hours AND a.doc_id < b.doc_id")
+NAMED = ["tion", "ment", "heit", "ción", "ness", "ing the"]
+HITS = " + ".join(f"CASE WHEN CONTAINS(LOWER(a.title), '{e}') AND CONTAINS(LOWER(b.title), '{e}') THEN 1 ELSE 0 END" for e in NAMED)
+
+
+@query("entity_overlap", f"SELECT id_a, id_b, shared FROM (SELECT a.doc_id AS id_a, b.doc_id AS id_b, {HITS} AS shared FROM news a JOIN news b ON a.doc_id < b.doc_id) WHERE shared >= 3")
 def _(v):
-    n = news(v)
-    p = n.join(n.select(F.col("id").alias("id_b"), F.col("title").alias("tb"), "source", "age_hours"), ["source", "age_hours"]).where("id < id_b")
-    return p.select(F.col("id").alias("id_a"), "id_b", N.entity_overlap("title", "tb", ["er", "tion"]).alias("shared"))
+    return N.entity_pairs(news(v), NAMED, 2).where("shared >= 3")
 
 
 @query("batch_near_dedup")
@@ -87,7 +89,7 @@ def _(v):
 
 @query("topic_clusters")
 def _(v):
-    return N.topic_clusters(news(v), "source")
+    return N.topic_clusters(news(v))
 
 
 @query("cluster_score", "SELECT source, lang, COUNT(DISTINCT age_hours) AS sources, COUNT(*) AS members, ROUND((2 * COUNT(DISTINCT age_hours) + COUNT(*)) * (1 + 1.5 / 10), 4) AS score FROM news GROUP BY source, lang")

@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
     "lost_deals": """SELECT l_orderkey AS deal_id, o_orderpriority AS reason, s_name AS competitor, c_mktsegment AS segment, CAST(l_shipdate AS DATE) AS lost_on
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'""",
     "news": """SELECT doc_id, CASE WHEN POSITION('.' IN text) > 0 THEN SUBSTRING(text, 1, POSITION('.' IN text)) ELSE text END AS title, CONCAT('https://', source, '.example.com/', CAST(doc_id AS STRING)) AS link,
-        SUBSTRING(text, 1, 500) AS summary, source, lang, CAST(doc_id % 72 AS INT) AS age_hours FROM {documents} WHERE text IS NOT NULL""",
+        text AS summary, source, lang, CAST(doc_id % 72 AS INT) AS age_hours FROM {documents} WHERE text IS NOT NULL""",
     "verdicts": """SELECT doc_id AS run_id, CASE WHEN toxic = 1 THEN 'refuted' WHEN quality = 1 THEN 'confirmed' ELSE 'partial' END AS verdict, doc_id % 48 AS hours, CASE WHEN doc_id % 5 = 0 THEN 'high' ELSE 'normal' END AS priority,
         CAST(doc_id % 3 AS INT) AS confirmed_causes, CASE WHEN doc_id % 97 = 0 THEN FALSE ELSE TRUE END AS complete, CASE WHEN doc_id % 89 = 0 THEN 0 ELSE 2 END AS evidence FROM {labels}""",
 }

@@ -58,7 +58,7 @@ def maturity_snapshots(events: DataFrame, days: tuple[int, ...] = (1, 3, 7, 14))
 
 def upsert_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that merges each batch by key into versions of a table: <path>/v<batch>. A repeated batch writes the
-    same version again, so a restart changes nothing. The newest row of a key (by the last column) counts: a late one that is
+    same version again, so a restart changes nothing; versions before the last two are removed. The newest row of a key (by the last column) counts: a late one that is
     older than what is stored changes nothing."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -72,6 +72,8 @@ def upsert_sink(spark: SparkSession, path: str, keys: list[str]) -> Callable[[Da
             stored = old.select(*keys, F.col(order).alias("_at"))
             fresh = newest.join(stored, keys, "left").where(F.col("_at").isNull() | (F.col(order) >= F.col("_at"))).drop("_at")
             keyed_state_merge(old, fresh, keys).write.mode("overwrite").parquet(target)
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
 
     return sink
 
