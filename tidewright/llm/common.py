@@ -46,9 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named, the warehouse, or a temporary folder if
+    Spark runs on this machine alone."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewright"
     if not named:
         named = tempfile.mkdtemp(prefix="tidewright-shared-")
         sc.setCheckpointDir(named)
