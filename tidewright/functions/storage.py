@@ -1,4 +1,5 @@
-"""Shared storage of a session: the folder the cluster names for checkpoints, or a temporary one where none is named."""
+"""Shared storage of a session: the folder the cluster names for checkpoints; where none is named, the warehouse, or a temporary
+folder if Spark runs on this machine alone."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewright"
     if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-shared-"))
         named = sc.getCheckpointDir()
