@@ -16,7 +16,10 @@ from pyspark.sql.types import StringType
 SKIPPED, VOID = {"script", "style", "nav", "footer", "header"}, {"meta", "link", "img", "br", "hr", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 SCHEMA = """page_id long, url string, title string, description string, viewport string, canonical string, robots string, lang string, favicon string,
  hreflang array<struct<lang: string, href: string>>, og map<string, string>, twitter map<string, string>, headings array<struct<level: int, text: string>>,
- images struct<total: int, with_alt: int, with_size: int, lazy: int>, links array<struct<href: string, text: string, internal: boolean>>, words int, text string, schema_types array<string>"""
+ images struct<total: int, with_alt: int, with_size: int, lazy: int>, links array<struct<href: string, text: string, internal: boolean>>, words int, text string, schema_types array<string>, keywords string,
+ structure struct<tables: int, lists: int, definitions: int, boxes: int, lead_words: int>"""
+#: Tags that count as tables, lists, definitions and boxes.
+COUNTED = {"table": "tables", "ul": "lists", "ol": "lists", "dl": "definitions", "dfn": "definitions", "aside": "boxes", "blockquote": "boxes"}
 
 
 class _Page(HTMLParser):
@@ -29,6 +32,7 @@ class _Page(HTMLParser):
         self.rel: dict[str, str] = {}
         self.hreflang, self.headings, self.links, self.ld = [], [], [], []
         self.images = {"total": 0, "with_alt": 0, "with_size": 0, "lazy": 0}
+        self.structure = {"tables": 0, "lists": 0, "definitions": 0, "boxes": 0, "lead_words": 0}
         self.title = self.lang = None
         self.open: list[str] = []
         self.text: list[str] = []
@@ -52,7 +56,9 @@ class _Page(HTMLParser):
             self.images["with_alt"] += bool(a.get("alt", "").strip())
             self.images["with_size"] += "width" in a and "height" in a
             self.images["lazy"] += a.get("loading") == "lazy"
-        if tag in ("title", "a") or re.fullmatch("h[1-6]", tag) or (tag == "script" and a.get("type") == "application/ld+json"):
+        if tag in COUNTED and not self.open:
+            self.structure[COUNTED[tag]] += 1
+        if tag in ("title", "a", "p") or re.fullmatch("h[1-6]", tag) or (tag == "script" and a.get("type") == "application/ld+json"):
             self.held.append([tag, [], a.get("href")])
         if tag in SKIPPED:
             self.open.append(tag)
@@ -71,6 +77,8 @@ class _Page(HTMLParser):
             self.ld.append("".join(pieces))
         elif tag == "a":
             self._link(href, text)
+        elif tag == "p":  # the first paragraph with words
+            self.structure["lead_words"] = self.structure["lead_words"] or len(text.split())
         else:
             self.headings.append({"level": int(tag[1]), "text": text})
 
@@ -122,8 +130,8 @@ def audit_html(pages: DataFrame) -> DataFrame:
                 p.close()
                 text = " ".join(" ".join(p.text).split())
                 group = lambda prefix, p=p: {k: v for k, v in p.meta.items() if k.startswith(prefix)}
-                rows.append((r.page_id, r.url, p.title, p.meta.get("description"), p.meta.get("viewport"), p.rel.get("canonical"), p.meta.get("robots"), p.lang, p.rel.get("icon"), p.hreflang, group("og:"), group("twitter:"), p.headings, p.images, p.links, len(text.split()), text, p.schema_types()))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in "page_id url title description viewport canonical robots lang favicon hreflang og twitter headings images links words text schema_types".split()])
+                rows.append((r.page_id, r.url, p.title, p.meta.get("description"), p.meta.get("viewport"), p.rel.get("canonical"), p.meta.get("robots"), p.lang, p.rel.get("icon"), p.hreflang, group("og:"), group("twitter:"), p.headings, p.images, p.links, len(text.split()), text, p.schema_types(), p.meta.get("keywords"), p.structure))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in "page_id url title description viewport canonical robots lang favicon hreflang og twitter headings images links words text schema_types keywords structure".split()])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
 
@@ -145,31 +153,60 @@ def page_images(audit: DataFrame) -> DataFrame:
     return audit.select("page_id", "images.*", F.when(F.col("images.total") > 0, F.col("images.with_alt") * 100.0 / F.col("images.total")).otherwise(100.0).alias("alt_ratio"))
 
 
-def page_links(audit: DataFrame) -> DataFrame:
+def _links() -> dict[str, Column]:
     inside, out = F.filter("links", lambda x: x["internal"]), F.filter("links", lambda x: ~x["internal"])
-    u = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["href"])))
-    return audit.select("page_id", F.size(inside).alias("internal"), u(inside).alias("internal_unique"), F.size(out).alias("external"), u(out).alias("external_unique"))
+    unique = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["href"])))
+    return {"internal": F.size(inside), "internal_unique": unique(inside), "external": F.size(out), "external_unique": unique(out)}
+
 
+def page_links(audit: DataFrame) -> DataFrame:
+    return audit.select("page_id", *[c.alias(k) for k, c in _links().items()])
 
-FAQ, SUMMARY = r"faq|вопрос|ответ|часто задаваемые|frequently asked", r"tl;dr|tldr|key takeaway|краткое содержание|резюме|ключевые выводы|в двух словах"
-DATE = r"(?iu)\d{1,2}\s+(января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)\s+\d{4}|\d{4}-\d{2}-\d{2}|(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}|обновлено|updated|дата обновления"
 
+#: Signs of questions and answers, of a summary, of a date.
+FAQ = ["faq", "вопрос", "ответ", "часто задаваемые", "frequently asked"]
+SUMMARY = ["tl;dr", "tldr", "key takeaway", "краткое содержание", "резюме", "ключевые выводы", "в двух словах"]
+MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+UPDATED = ["обновлено", "updated", "дата обновления"]
+DATE = "(?iu)" + "|".join([rf"\d{{1,2}}\s+({'|'.join(MONTHS)})\s+\d{{4}}", r"\d{4}-\d{2}-\d{2}", rf"({'|'.join(MONTH_NAMES)})\s+\d{{1,2}},?\s+\d{{4}}", *UPDATED])
 
-def page_content(audit: DataFrame) -> DataFrame:
+
+def _content() -> dict[str, Column]:
     low = F.lower("text")
-    return audit.select("page_id", "words", low.rlike(FAQ).alias("has_faq"), low.rlike(SUMMARY).alias("has_summary"), F.col("text").rlike(DATE).alias("has_date"))
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    return {"has_faq": has(FAQ), "has_summary": has(SUMMARY), "has_date": F.col("text").rlike(DATE)}
+
+
+def page_content(audit: DataFrame) -> DataFrame:
+    return audit.select("page_id", "words", *[c.alias(k) for k, c in _content().items()])
 
 
 def page_schema_types(audit: DataFrame) -> DataFrame:
     return audit.select("page_id", F.explode("schema_types").alias("type"))
 
 
+#: What links to pages of trust say, hosts of social networks and of authorities, signs of an author.
+ABOUT, CONTACT, PRIVACY = ["about", "о нас", "о компании", "об авторе"], ["contact", "контакт", "связаться", "обратная связь"], ["privacy", "конфиденциальност", "политика"]
+SOCIAL = [r"linkedin\.com", r"facebook\.com", r"twitter\.com", r"x\.com", r"instagram\.com", r"youtube\.com", r"t\.me", r"vk\.com"]
+AUTHORITIES = [r"wikipedia\.org", r"doi\.org", r"\.gov", r"\.edu", r"scholar\.google", r"researchgate\.net", r"statista\.com", r"mckinsey\.com", r"hbr\.org", r"forbes\.com"]
+AUTHOR = [r"автор[:\s]", r"author[:\s]", "written by", r"by\s+[a-z]"]
+
+
+def _eeat() -> dict[str, Column]:
+    says = lambda words: F.exists("links", lambda x: F.lower(F.concat_ws(" ", x["href"], x["text"])).rlike("|".join(words)))
+    return {
+        "about_page": says(ABOUT),
+        "contact_page": says(CONTACT),
+        "privacy_policy": says(PRIVACY),
+        "social_links": F.exists("links", lambda x: F.lower(x["href"]).rlike("|".join(SOCIAL))),
+        "author_page": F.lower("text").rlike("|".join(AUTHOR)),
+        "external_citations": F.size(F.filter("links", lambda x: x["href"].rlike("|".join(AUTHORITIES)))),
+    }
+
+
 def page_eeat(audit: DataFrame) -> DataFrame:
-    both = lambda *ws: F.exists("links", lambda x: F.lower(F.concat_ws(" ", x["href"], x["text"])).rlike("|".join(ws)))
-    social = r"linkedin\.com|facebook\.com|twitter\.com|x\.com|instagram\.com|youtube\.com|t\.me|vk\.com"
-    strong = r"wikipedia\.org|doi\.org|\.gov|\.edu|scholar\.google|researchgate\.net|statista\.com|mckinsey\.com|hbr\.org|forbes\.com"
-    author = F.lower("text").rlike(r"автор[:\s]|author[:\s]|written by|by\s+[a-z]")
-    return audit.select("page_id", both("about", "о нас", "о компании", "об авторе").alias("about_page"), both("contact", "контакт", "связаться", "обратная связь").alias("contact_page"), both("privacy", "конфиденциальност", "политика").alias("privacy_policy"), F.exists("links", lambda x: F.lower(x["href"]).rlike(social)).alias("social_links"), author.alias("author_page"), F.size(F.filter("links", lambda x: x["href"].rlike(strong))).alias("external_citations"))
+    return audit.select("page_id", *[c.alias(k) for k, c in _eeat().items()])
 
 
 POINTS = {"critical": 15, "high": 10, "medium": 5, "low": 2}
@@ -180,7 +217,7 @@ def page_score(audit: DataFrame, context: DataFrame | None = None) -> DataFrame:
 
     context may give per page: search_blocked, ai_blocked, sitemap, redirects; without it they raise no issue.
     """
-    d = audit.join(page_content(audit).drop("words"), "page_id").join(page_eeat(audit), "page_id").join(page_links(audit), "page_id")
+    d = audit.withColumns(_content() | _eeat() | _links())
     names = ["search_blocked", "ai_blocked", "sitemap", "redirects"]
     d = d.join(context.select("page_id", *names), "page_id", "left") if context is not None else d.withColumns({n: F.lit(None) for n in names})
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
@@ -265,14 +302,23 @@ def link_candidates(pages: DataFrame, k: int = 6, common: int = 500) -> DataFram
     return _best(both.select("page_id", "target", F.size(F.array_intersect("tokens", "theirs")).cast("long").alias("shared")), ["page_id"], k)
 
 
+#: Types of schema.org that an article is.
+ARTICLES = ["Article", "NewsArticle", "BlogPosting"]
+
+
 def geo_score(audit: DataFrame) -> DataFrame:
-    """0 to 15 over twelve criteria of a page's structure; lists, questions and figures count up to two."""
-    c = audit.join(page_content(audit).drop("words"), "page_id").join(page_eeat(audit), "page_id")
+    """(page_id, geo_score): a point each for an answer in the first paragraph, a summary, five questions, the schemas Article,
+    FAQPage and BreadcrumbList, five internal links, three keywords, a table and two lists; up to two for definitions and for
+    boxes; 15 at most."""
+    b = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    part = lambda k: F.col(f"structure.{k}")
+    schema = lambda *types: F.arrays_overlap("schema_types", F.array(*[F.lit(t) for t in types]))
     questions = F.size(F.filter("headings", lambda h: h["text"].endswith("?")))
-    figures = F.regexp_count("text", F.lit(r"\d+(?:[.,]\d+)?\s?%"))
-    b = lambda x: x.cast("int")
-    points = b(F.col("has_faq")) + b(F.col("has_summary")) + b(F.col("has_date")) + b(F.col("author_page")) + b(F.size("schema_types") > 0) + b(F.col("words").between(800, 5000)) + b(F.size(F.filter("headings", lambda h: h["level"] == 1)) == 1) + b(F.size(F.filter("headings", lambda h: h["level"] == 2)) >= 3) + b(F.coalesce(F.length("description").between(70, 160), F.lit(False))) + F.least(questions, F.lit(2)) + F.least(figures, F.lit(2)) + F.least(F.col("external_citations"), F.lit(2))
-    return c.select("page_id", F.least(points, F.lit(15)).alias("geo_score"))
+    points = [
+        b(part("lead_words").between(1, 80)), F.least(part("definitions"), F.lit(2)), F.least(part("boxes"), F.lit(2)), b(_content()["has_summary"]), b(questions >= 5), b(schema(*ARTICLES)), b(schema("FAQPage")),
+        b(schema("BreadcrumbList")), b(_links()["internal_unique"] >= 5), b(F.size(F.split("keywords", r"\s*,\s*")) >= 3), b(part("tables") >= 1), b(part("lists") >= 2),
+    ]
+    return audit.select("page_id", F.least(sum(points, F.lit(0)), F.lit(15)).alias("geo_score"))
 
 
 def duplicate_cards(cards: DataFrame, expected: list[str] | None = None) -> DataFrame:
