@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -19,3 +19,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-shared-"))
         named = sc.getCheckpointDir()
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what is read several times is worked out once, and the plan of a round
+    does not grow with those before."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidewright.functions.expr import keywords, normalize_title, short_sha
-from tidewright.functions.storage import shared_path
+from tidewright.functions.storage import landed
 
 #: Entities of which two shared ones speak for one event.
 KEY_ENTITIES = [
@@ -144,22 +144,15 @@ def entity_pairs(news: DataFrame, entities: list[str] | None = None, least: int
     return both.select("id_a", "id_b", F.size(F.array_intersect("ea", "eb")).alias("shared")).distinct()
 
 
-def _landed(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: the plan of a round does not grow with those before."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def min_label(edges: DataFrame) -> DataFrame:
     """(id, root): least id reachable over edges (a, b), by repeated minimum over neighbours and a jump, until nothing changes."""
-    both = _landed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = _landed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    both = landed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = landed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, "a", "left").select("a", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = step.join(step.select(F.col("a").alias("root"), F.col("root").alias("r2")), "root", "left").select("a", F.least("root", F.coalesce("r2", "root")).alias("root"))
-        jump = _landed(jump, "labels")
+        jump = landed(jump, "labels")
         if not jump.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").take(1):
             return jump.select(F.col("a").alias("id"), "root")
         label = jump
@@ -207,13 +200,13 @@ def topic_clusters(news: DataFrame, threshold: float = 0.35) -> DataFrame:
     Who leads is settled in rounds over the table of like pairs: news without an undecided or leading like one before them
     lead; those with a leading one before them follow. The result is that of going through them one by one.
     """
-    edges = _landed(title_similarity_pairs(news, threshold).select(F.col("id_a").alias("before"), F.col("id_b").alias("id")), "like-titles")
-    leads = _landed(edges.select(F.explode(F.array("before", "id")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
+    edges = landed(title_similarity_pairs(news, threshold).select(F.col("id_a").alias("before"), F.col("id_b").alias("id")), "like-titles")
+    leads = landed(edges.select(F.explode(F.array("before", "id")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
     while leads.where("leads is null").take(1):
         of = edges.join(leads.withColumnRenamed("id", "before").withColumnRenamed("leads", "_l"), "before")
         seen = of.groupBy("id").agg(F.bool_or("_l").alias("_any"), F.count_if(F.col("_l").isNull()).alias("_open"))
         now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("_any", F.lit(False)), F.lit(False)).when(F.coalesce("_open", F.lit(0)) == 0, F.lit(True))
-        leads = _landed(leads.join(seen, "id", "left").select("id", now.alias("leads")), "leaders")
+        leads = landed(leads.join(seen, "id", "left").select("id", now.alias("leads")), "leaders")
     first = edges.join(leads.where("leads").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min("before").alias("_first"))
     n = news.select("id", "source").join(leads, "id", "left").join(first, "id", "left")
     leader = F.when(F.coalesce("leads", F.lit(True)), F.col("id")).otherwise(F.col("_first"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.expr import clamp, pct_change
+from tidewright.functions.storage import landed
 
 POSITIVE, NEGATIVE = ["breakout", "emerging", "rapid_growth", "growing"], ["declining", "structural_decline"]
 #: Weight of a cluster's coverage state.
@@ -90,6 +91,7 @@ def direction_agreement(period: Column, yoy: Column, slope: Column) -> Column:
 
 def trend_frame(series: DataFrame, min_volume: float = 30.0, run_at: str | None = None) -> DataFrame:
     """One row per cluster with everything that the signal needs."""
+    series = landed(series, "series")  # it is read by each of the parts
     adj, change = seasonal_adjust(series), trend_changes(series)
     spread = adj.groupBy("cluster_id").agg(F.avg("adjusted").alias("_mean"), F.stddev_pop("adjusted").alias("_sd"), F.max("method").alias("method"))
     f = change.join(theil_sen_slope(adj), "cluster_id", "left").join(momentum_persistence(adj), "cluster_id", "left").join(spread, "cluster_id").join(series_gap_check(series, run_at), "cluster_id", "left")

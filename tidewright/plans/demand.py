@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewright.functions.expr import normalize_phrase, pct_change
@@ -109,7 +111,16 @@ def _(v):
 OLD = "SELECT cluster_id, month, value FROM demand_monthly WHERE month < DATE '2001-03-01' AND cluster_id <> 'Brand#11'"
 
 
-@query("trend_delta")
+GROWN, SHRUNK = "('breakout', 'emerging', 'rapid_growth', 'growing')", "('declining', 'structural_decline')"
+BEFORE = "old AS (SELECT * FROM demand_monthly WHERE month < DATE '2001-03-01' AND cluster_id <> 'Brand#11')"
+
+
+@query(
+    "trend_delta",
+    f"WITH nw AS (WITH {SIGNAL} SELECT cluster_id, signal, COALESCE(slope, 0) AS slope, COALESCE(cur, 0) AS cur, nd FROM sg2), od AS (WITH {BEFORE}, {re.sub('demand_monthly', 'old', SIGNAL)} SELECT cluster_id, signal AS s0, COALESCE(slope, 0) AS sl0, COALESCE(cur, 0) AS c0 FROM sg2) "
+    f"SELECT nw.cluster_id, signal, CASE WHEN s0 IS NULL THEN CASE WHEN nd THEN 'new_demand' WHEN signal IN {GROWN} THEN 'new_growth' WHEN signal IN {SHRUNK} THEN 'new_decline' ELSE 'new_cluster' END WHEN s0 NOT IN {GROWN} AND signal IN {GROWN} THEN 'new_growth' WHEN s0 NOT IN {SHRUNK} AND signal IN {SHRUNK} THEN 'new_decline' "
+    "WHEN s0 IN ('declining', 'structural_decline') AND signal = 'stable' THEN 'recovered' WHEN c0 >= cur * 3 AND cur > 0 THEN 'lost_materiality' WHEN slope >= sl0 + 2 THEN 'accelerating' WHEN slope <= sl0 - 2 THEN 'decelerating' ELSE 'unchanged' END AS delta FROM nw LEFT JOIN od ON nw.cluster_id = od.cluster_id",
+)
 def _(v):
     before = v.demand_monthly.where("month < date '2001-03-01' and cluster_id <> 'Brand#11'")
     return T.trend_delta(T.trend_signal(T.trend_frame(before, MIN), MIN), frame(v))
@@ -289,7 +300,11 @@ def _(v):
     return P.event_calendar_rules(e, ["click", "view", "signup", "purchase"])
 
 
-@query("scenario_totals_check")
+NAMES = [("pessimistic", 0.95), ("base", 1.0), ("optimistic", 1.05)]
+TOTALS = f"dj AS (SELECT date, actual, ROW_NUMBER() OVER (ORDER BY date) AS k FROM cal WHERE date >= DATE '1998-06-01'), tt AS (SELECT h AS horizon, s AS scenario, f, f * (SELECT SUM(actual) FROM dj) AS value FROM (VALUES {', '.join(f'({h}, {chr(39)}{n}{chr(39)}, {k})' for h in (7, 30) for n, k in NAMES)}) x(h, s, f)), su AS (SELECT horizon, scenario, value, (SELECT SUM(actual) FROM dj WHERE k <= horizon) * f AS s FROM tt)"
+
+
+@query("scenario_totals_check", f"WITH {CAL}, {TOTALS} SELECT 'sum_of_path' AS rule_id, horizon, scenario FROM su WHERE ABS(value - s) > GREATEST(0.05, ABS(s) * 0.01)")
 def _(v):
     d = cal(v).where("date >= date '1998-06-01'").select("date", *[(F.col("actual") * k).alias(n) for n, k in [("p10", 0.9), ("p50", 1.0), ("p90", 1.1), ("pessimistic", 0.95), ("base", 1.0), ("optimistic", 1.05)]])
     t = cal(v).where("date >= date '1998-06-01'").agg(F.sum("actual").alias("s")).select(F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("scenario"), (F.col("s") * k).alias("value")) for h in (7, 30) for n, k in [("pessimistic", 0.95), ("base", 1.0), ("optimistic", 1.05)]])).alias("x")).select("x.*")
