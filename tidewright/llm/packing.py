@@ -28,7 +28,8 @@ from tidewright.llm.fasttok import encoder
 WINDOW = 4096
 #: Lengths that combinations of three take their first two members from: the most frequent ones.
 FREQUENT = 256
-SALTS = 64
+#: Parts in which the pieces of a length are ranked, at least, and pieces to a part beyond that.
+SALTS, PART = 64, 500_000
 PIECES = "uid long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -173,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = True, end_id: int
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = PIECES.removeprefix("uid long, ") + (", ids binary" if keep_ids else "")
     pieces = staged(d.mapInArrow(_pieces(tokenizer, drops_space, end_id, window, keep_ids), schema).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
-    slim = pieces.select("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).alias("salt"))
+    salts = max(SALTS, pieces.count() // PART)
+    slim = pieces.select("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.pmod(F.xxhash64("uid"), F.lit(salts)).alias("salt"))
     counts, _ = stage(slim.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
     slots = Slots(plan(histogram, window, frequent))
