@@ -18,8 +18,8 @@ from tidewright.llm.common import NOT_BLANK, keyed_rows, prepare, stage, staged,
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents of the range in which a source's budget runs out, at most; ranges that are made of one at once, at most.
 EDGE_ROWS, RANGES = 500, 4096
-#: Parts in which equal rows are numbered.
-SALTS = 64
+#: Parts in which equal rows are numbered, at least, and rows to a part beyond that.
+SALTS, PART = 64, 500_000
 #: Sources up to this number are sent to all tasks; beyond it they are joined by name.
 SMALL = 10_000
 #: Likewise for groups of equal rows, and for equal rows.
@@ -144,12 +144,12 @@ def _alike(same: list[str]) -> Column:
 def equal_rows(rows: DataFrame, same: list[str], uid: str) -> DataFrame:
     """The rows that share all of `same` with another one, with their number among those from 0 on.
 
-    They are numbered in SALTS parts, whose counts are added up, so that a third of a table in one group is no one task.
+    They are numbered in parts, whose counts are added up, so that a third of a table in one group is no one task.
     """
     other = [F.col(c).alias(f"_{c}") for c in same]
     twice = staged(rows.groupBy(*same).agg(F.count("*").alias("_of")).where("_of > 1").select(*other), "mixing-twice")
-    again = rows.join(F.broadcast(twice) if twice.count() <= FEW_EQUAL else twice, _alike(same), "left_semi")
-    again = staged(again.withColumn("_salt", F.pmod(F.xxhash64(uid), F.lit(SALTS))), "mixing-again")
+    again = staged(rows.join(F.broadcast(twice) if twice.count() <= FEW_EQUAL else twice, _alike(same), "left_semi"), "mixing-again")
+    again = again.withColumn("_salt", F.pmod(F.xxhash64(uid), F.lit(max(SALTS, again.count() // PART))))
     counts = again.groupBy(*same, "_salt").agg(F.count("*").alias("_m"))
     before = counts.select(*other, F.col("_salt").alias("_part"), (F.sum("_m").over(Window.partitionBy(*same).orderBy("_salt")) - F.col("_m")).alias("_before"))
     ranked = again.withColumn("_rank", F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(uid)))
