@@ -157,9 +157,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def directory(leaves: DataFrame) -> DataFrame:
+def directory(leaves: DataFrame) -> tuple[DataFrame, bool]:
     """(source, span, bits, more, base, total): the bitmap of each range of ids, the number of the source's rows before it and
-    of all its rows. Sums run inside the tasks of one range partitioning and over the tasks' totals."""
+    of all its rows; and whether any id is repeated. Sums run inside the tasks of one range partitioning and over the tasks'
+    totals."""
     marks = leaves.select("source", "span", "low").mapInArrow(_mark, "source string, span long, bits binary, more binary")
     marks = marks.repartitionByRange("source", "span").sortWithinPartitions("source", "span")
     merged = marks.mapInArrow(_merge, "source string, span long, bits binary, more binary, n long, before long")
@@ -168,7 +169,8 @@ def directory(leaves: DataFrame) -> DataFrame:
     parts = merged.groupBy("source", "part").agg(F.sum("n").alias("n"))
     parts = parts.select(F.col("source").alias("_source"), F.col("part").alias("_part"), (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("first"), F.sum("n").over(whole).alias("total"))
     here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))
-    return merged.join(parts, here).select("source", "span", "bits", "more", (F.col("first") + F.col("before")).alias("base"), "total")
+    index = merged.join(parts, here).select("source", "span", "bits", "more", (F.col("first") + F.col("before")).alias("base"), "total")
+    return index, bool(merged.where(F.length("more") > 0).take(1))
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +193,13 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked(leaves: DataFrame) -> DataFrame:
     """leaves (source, span, low, doc_id, leaf, changed) with rank, the place among the source's leaves, and total, their number."""
-    index = staged(directory(leaves), "merkle-index")
+    index, repeated = directory(leaves)
     no = lambda kind: F.lit(None).cast(kind)
     head = index.select("source", "span", F.lit(False).alias("is_leaf"), "bits", "more", "base", "total", F.lit(0).cast("long").alias("low"), no("long").alias("doc_id"), no("binary").alias("leaf"), no("binary").alias("changed"))
     rows = leaves.select("source", "span", F.lit(True).alias("is_leaf"), no("binary").alias("bits"), no("binary").alias("more"), no("long").alias("base"), no("long").alias("total"), "low", "doc_id", "leaf", "changed")
     met = head.unionByName(rows).repartition("source", "span").sortWithinPartitions("source", "span", "is_leaf")
     out = met.mapInArrow(_rank, "source string, doc_id long, leaf binary, changed binary, rank long, total long, twice boolean")
-    if not index.where(F.length("more") > 0).take(1):
+    if not repeated:
         return out.drop("twice")
     # Repeated ids: equal leaves are counted first, each different one knows how many stand before it, and then they unfold.
     same = out.where("twice").groupBy("source", "doc_id", "leaf", "changed", "rank", "total").agg(F.count("*").alias("n"))
@@ -351,7 +353,7 @@ def numbered(groups: DataFrame) -> DataFrame:
     """groups (grp, ...) with rank, their place in order of grp, and total: places inside tasks of a range partitioning and
     the tasks' totals."""
     here = groups.repartitionByRange("grp").sortWithinPartitions("grp").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    here = staged(here, "merkle-sources")
+    here = staged(here, "merkle-subroots")
     parts = here.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
     every = Window.partitionBy(F.lit(0))
     parts = parts.select("part", (F.sum("n").over(every.orderBy("part")) - F.col("n")).alias("first"), F.sum("n").over(every).alias("total"))
@@ -379,7 +381,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, depth: int = DEPTH)
     )
     placed = ranked(staged(leaves, "merkle-leaves")).select(F.col("source").alias("grp"), "rank", "total", F.col("doc_id").alias("id"), F.col("leaf").alias("node"), "changed")
     lower, subroots = levels(placed, depth)
-    sources = staged(numbered(subroots), "merkle-subroots")
+    sources = numbered(subroots)
     one, none = F.lit("").alias("grp"), F.lit(None)
     upper, top = levels(sources.select(one, "rank", "total", none.cast("long").alias("id"), F.col("root").alias("node"), none.cast("binary").alias("changed")), depth)
     over = paths(upper, top.select("grp", F.lit("").alias("path")), depth).select("grp", "block", "total", "nodes", "path").mapInArrow(_down(depth), "grp string, rank long, path string")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, embeddings, licenses, media, merkle, mixing, packing, pii, quality, secrets, simhash, tokenio
+from tidewright.llm import decontaminate, embeddings, licenses, media, merkle, mixing, packing, pii, quality, secrets, simhash, tokenio, turns
 from tidewright.llm.common import shared_dir, table
 
 
@@ -77,6 +77,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.to_media(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/media-{uuid.uuid4().hex}", keep=False)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(said), ids=said)[0]
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(decontaminate.index_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), window=10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_packing": op9_packing,
         "op10_media_columns": op10_media_columns,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_benchmark_decontamination": op12_benchmark_decontamination,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
