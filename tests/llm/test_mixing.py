@@ -129,5 +129,37 @@ def test_weights_matter(spark):
     assert sum(r.epochs for r in out if r.doc_id < 1000) > 3 * sum(r.epochs for r in out if r.doc_id >= 1000)
 
 
+def test_budget_ends_among_rare_weights(spark, monkeypatch):
+    """Most of the mix is decided in the tail of the keys, where weights of .05 stand beside weights of 1; and it ends."""
+    held, stage = {}, mixing.staged
+
+    def keep(df, label):
+        held[label] = out = stage(df, label)
+        return out
+
+    monkeypatch.setattr(mixing, "staged", keep)
+    rows = [(i, f"w{i}", "s", "x") for i in range(60_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df, share=0.992, weight=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.05))
+    took = {r.doc_id: r.epochs for r in got.collect()}
+    own = sorted(held["mixing-keyed"].collect(), key=lambda r: r["key"])
+    assert took == {r["doc_id"]: int(k < 59_520) for k, r in enumerate(own)}
+
+
+def test_one_key_for_all(spark, monkeypatch):
+    """Keys that cannot be told apart end the cutting."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 5)
+    monkeypatch.setattr(mixing.F, "log", lambda u: u * 0 - 1.0)
+    df = spark.createDataFrame([(i, f"w{i}", "s", "x") for i in range(100)], SCHEMA)
+    assert mixing.mix(df, share=0.5).agg(F.sum("taken")).first()[0] == 50
+
+
+@pytest.mark.parametrize("weight", [0.0, -1.0, float("inf"), float("nan"), None])
+def test_weights_out_of_range(spark, weight):
+    df = spark.createDataFrame([(i, f"w{i}", "s", "x") for i in range(50)], SCHEMA)
+    out = mixing.mix(df, share=0.5, weight=F.when(F.col("doc_id") < 20, F.lit(weight).cast("double")).otherwise(1.0))
+    assert out.agg(F.sum("taken")).first()[0] == 25
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -4,7 +4,7 @@ Each document gets the exponential key -ln(u) / quality, u being a hash of its i
 rows, so reruns agree. Within a source, sorted by key, whole epochs come first (every document once, or twice), and the
 rest of the target is filled by the documents with the least keys up to its token budget. Sums over a source are taken
 over ranges of the key; the one range in which the budget runs out is cut into ranges again until it holds EDGE_ROWS
-documents at most, so a source of any size is nobody's single task. The first document that does not fit gives way to
+documents at most, or until its documents have one key, so a source of any size is nobody's single task. The first document that does not fit gives way to
 the one of the documents left whose size comes closest to what is left of the budget.
 """
 
@@ -20,6 +20,8 @@ WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 EDGE_ROWS, RANGES = 500, 4096
 #: Parts in which equal rows are numbered, at least, and rows to a part beyond that.
 SALTS, PART = 64, 500_000
+#: Weights that a caller gives lie between this and its inverse.
+LEAST = 1e-9
 #: Sources up to this number are sent to all tasks; beyond it they are joined by name.
 SMALL = 10_000
 #: Likewise for groups of equal rows, and for equal rows.
@@ -67,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     table gives no rows; other columns are not read unless weight (a Column over docs) reads them.
     """
     spark = prepare(docs.sparkSession)
-    given = weight.cast("double") if weight is not None else quality_weight(F.col(text_col))
+    given = F.least(F.greatest(weight.cast("double"), F.lit(LEAST)), F.lit(1 / LEAST)) if weight is not None else quality_weight(F.col(text_col))
     first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("th"), word_count(F.col(text_col)).alias("size"), F.coalesce(given, F.lit(0.05)).alias("w"))
     first, docs_path = stage(first.select(F.monotonically_increasing_id().alias("uid"), "*"), "mixing-docs")
     numbers = staged(equal_rows(first, ["doc_id", "th", "source"], "uid").select(F.col("uid").alias("_uid"), "number"), "mixing-equal")
@@ -90,17 +92,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         right = per.select(F.col("source").alias("_s"), *cols)
         return d.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
-    # place rises with the key from 0 to 1; edge has a row for each source, whose budget runs out between lo and hi
+    # place rises with the key from 0 to 1, slowly enough that keys of any weight keep places of their own; edge has a row
+    # for each source, whose budget runs out between lo and hi
+    x = F.col("key") * F.col("rate")
     row = ["uid", "doc_id", "th", "number", "source", "size", "key", "place"]
-    placed = beside(keyed, goal, "rate").withColumn("place", 1 - F.exp(-F.col("key") * F.col("rate"))).select(row)
+    placed = beside(keyed, goal, "rate").withColumn("place", x / (1 + x)).select(row)
     edge = goal.where("rest > 0").select("source", "rest", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("before"), "n")
-    inside = placed
+    wide = None
     while True:
         edge = staged(edge, "mixing-edges")
-        if not edge.where(F.col("n") > EDGE_ROWS).take(1):
+        left = edge.agg(F.sum(F.when(F.col("n") > EDGE_ROWS, F.col("n")))).first()[0]
+        if not left or left == wide:
             break
-        within = beside(inside, edge, "rest", "lo", "hi", "before", "n", how="inner").where("place > lo and place <= hi")
-        inside = staged(within, "mixing-inside")
+        wide = left
+        inside = beside(placed, edge.where(F.col("n") > EDGE_ROWS), "rest", "lo", "hi", "before", "n", how="inner").where("place > lo and place <= hi")
         least, parts = F.greatest("lo", F.lit(0.0)), F.least(F.ceil(F.col("n") * 4 / EDGE_ROWS), F.lit(RANGES))
         at = F.floor(F.coalesce(F.try_divide(F.col("place") - least, F.col("hi") - least), F.lit(0.0)) * parts)
         sums = inside.groupBy("source", F.greatest(F.least(at, parts - 1), F.lit(0)).alias("at")).agg(
@@ -109,8 +114,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         )
         order = Window.partitionBy("source").orderBy("at")  # RANGES rows at most
         sums = sums.withColumn("before", F.col("base") + F.sum("s").over(order) - F.col("s")).withColumn("lo", F.coalesce(F.lag("hi").over(order), "lo"))
-        edge = sums.where("before <= rest and before + s > rest").select("source", "rest", "lo", "hi", "before", "n")
-        inside = inside.select(row)
+        narrow = sums.where("before <= rest and before + s > rest").select("source", "rest", "lo", "hi", "before", "n")
+        edge = edge.where(F.col("n") <= EDGE_ROWS).unionByName(narrow)
 
     edged = beside(placed, edge.withColumn("is", F.lit(True)), "is", "lo", "hi", "before")
     edged = beside(edged, goal, "source_size", "target", "epochs", "rest")
