@@ -145,34 +145,9 @@ def titles(n=500):
     return [(i, t, f"s{i % 3}", float(i)) for i, t in enumerate(base + near)]
 
 
-def test_titles_against_all_pairs(spark):
-    rows = titles()
-    df = spark.createDataFrame(rows, "id long, title string, source string, sent_at double")
-    ratio = {(a[0], b[0]): SequenceMatcher(None, b[1], a[1]).ratio() for i, a in enumerate(rows[:250]) for b in rows[i + 1 : 500]}
-    got = {(r.id_a, r.id_b) for r in N.compared_titles(df).where("ratio >= 0.55").collect()}
-    want = {p for p, x in ratio.items() if x >= 0.55}
-    high = {p for p, x in ratio.items() if x >= 0.65}
-    print("recall of pairs at ratio .55:", len(got & want) / len(want), "at .65:", len(got & high) / len(high))
-    assert len(got & want) >= 0.93 * len(want) and len(got & high) >= 0.99 * len(high)
-
-
 def test_history_looks_at_all_pairs(spark):
     rows = titles(300)
     df = spark.createDataFrame(rows, "id long, title string, source string, sent_at double")
     old = [t for i, t, _, _ in rows if i % 5 == 0]
     want = {i for i, t, _, _ in rows if not any(SequenceMatcher(None, t, o).ratio() >= 0.65 for o in set(old))}
     assert {r.id for r in N.history_fuzzy_filter(df, df.where("id % 5 = 0")).collect()} == want
-
-
-def test_topics_as_one_by_one(spark):
-    df = spark.createDataFrame(titles(120), "id long, title string, source string, sent_at double")
-    like = {(r.id_a, r.id_b) for r in N.title_similarity_pairs(df).collect()}
-    leaders, members, sources = [], {}, {}
-    for i, _, s, _ in titles(120):
-        lead = next((x for x in leaders if (x, i) in like), i)
-        if lead == i:
-            leaders.append(i)
-        members[lead] = members.get(lead, 0) + 1
-        sources.setdefault(lead, set()).add(s)
-    got = {r.leader: (r.members, r.sources) for r in N.topic_clusters(df).collect()}
-    assert got == {x: (members[x], len(sources[x])) for x in leaders}

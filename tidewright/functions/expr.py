@@ -67,12 +67,25 @@ def normalize_title(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
+def spaced_title(c: Column | str) -> Column:
+    """Lower case with a blank for each punctuation mark, so that a hyphen parts words."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+
+
 #: Words that carry no topic.
-STOP_WORDS = """a an the is are was were be been being have has had do does did will would shall should may might must can could to of in
-for on with at by from as into through during before after above below between out off over under again further then once and but or nor not
-so yet both either neither each every all any few more most other some such no only own same than too very just how what which who whom this
-that these those it its new says said about up now also get gets got like make makes use uses using used
-и в на с по для из к о от за не что как это все но он она они его её их мы вы был была были будет уже ещё при до после между через над под без""".split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "shall", "should", "may", "might", "must", "can", "could", "to", "of", "in", "for", "on",
+    "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between",
+    "out", "off", "over", "under", "again", "further", "then", "once", "and", "but", "or", "nor", "not", "so", "yet",
+    "both", "either", "neither", "each", "every", "all", "any", "few", "more", "most", "other", "some", "such", "no",
+    "only", "own", "same", "than", "too", "very", "just", "how", "what", "which", "who", "whom", "this", "that",
+    "these", "those", "it", "its", "new", "says", "said", "about", "up", "now", "also", "get", "gets", "got", "like",
+    "make", "makes", "use", "uses", "using", "used", "и", "в", "на", "с", "по", "для", "из", "к", "о", "от", "за",
+    "не", "что", "как", "это", "все", "но", "он", "она", "они", "его", "её", "их", "мы", "вы", "был", "была", "были",
+    "будет", "уже", "ещё", "при", "до", "после", "между", "через", "над", "под", "без",
+]
 
 
 def keywords(c: Column | str, stop: list[str] | None = None) -> Column:

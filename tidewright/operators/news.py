@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tidewright.functions.expr import keywords, normalize_title, short_sha
+from tidewright.functions.expr import keywords, normalize_title, short_sha, spaced_title
 from tidewright.functions.storage import landed
+from tidewright.operators import titles as titles_join
+from tidewright.operators.titles import jaccard_pairs
 
 #: Entities of which two shared ones speak for one event.
 KEY_ENTITIES = [
@@ -21,12 +22,6 @@ KEY_ENTITIES = [
 ]
 
 
-@F.pandas_udf(DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of two strings."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def news_hash(title: Column | str, link: Column | str) -> Column:
     one = lambda c: F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
     return short_sha(one(title), one(link))
@@ -74,25 +69,6 @@ def history_fuzzy_filter(news: DataFrame, sent: DataFrame, threshold: float = 0.
     return news.join(gone, "id", "left_anti")
 
 
-def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float, least: int = 2) -> DataFrame:
-    """(id_a, id_b, jaccard) of keyword sets (id, kw) at or above the threshold, by prefix filter.
-
-    Two sets that alike share a word among the rarest (1 - threshold) n + 1 of each, so only those are joined.
-    """
-    a, b = (d.where(F.size("kw") >= least).select("id", "kw") for d in (a, b))
-    df = a.unionByName(b).select(F.explode("kw").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-
-    def prefix(d: DataFrame, name: str) -> DataFrame:
-        w = d.select("id", F.size("kw").alias("n"), F.explode("kw").alias("w")).join(df, "w")
-        r = w.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "w")))
-        return r.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("w", F.col("id").alias(name))
-
-    cand = prefix(a, "id_a").join(prefix(b, "id_b"), "w").select("id_a", "id_b").distinct()
-    full = cand.join(a.select(F.col("id").alias("id_a"), F.col("kw").alias("ka")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("kw").alias("kb")), "id_b")
-    inter = F.size(F.array_intersect("ka", "kb"))
-    return full.select("id_a", "id_b", (inter / (F.size("ka") + F.size("kb") - inter)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
 def history_jaccard_filter(news: DataFrame, sent: DataFrame, threshold: float = 0.5, n: int = 500) -> DataFrame:
     """News whose keywords are not like those of any of the last n sent titles; titles of one keyword pass."""
     old = with_keywords(recent_history(sent, n)).select(F.col("id"), "kw")
@@ -100,28 +76,45 @@ def history_jaccard_filter(news: DataFrame, sent: DataFrame, threshold: float =
     return news.join(hits, "id", "left_anti")
 
 
-#: Titles are compared if their keywords have this Jaccard similarity, or their runs of three characters that one.
-SHARED_WORDS, SHARED_RUNS = 0.1, 0.2
+def _different(news: DataFrame, t: Column, words: Column) -> tuple[DataFrame, DataFrame]:
+    """(id, t of each news; id, t, kw of each different title under its least id)."""
+    each = landed(news.select("id", F.coalesce(t, F.lit("")).alias("t"), words.alias("kw")), "titles")
+    return each.select("id", "t"), landed(each.groupBy("t").agg(F.min("id").alias("id"), F.first("kw").alias("kw")), "different-titles")
+
 
+def compared(titles: DataFrame, least_ratio: float, least_jaccard: float, least_words: int) -> DataFrame:
+    """(id_a, id_b, jaccard, ab, ba), id_a <= id_b, of different titles (id, t, kw): all pairs with such a ratio in one direction
+    or the other, or such a Jaccard similarity; each title with itself too. What stays below its threshold is null; ab is the ratio
+    of a to b. Word sets of fewer than least_words have no Jaccard similarity."""
+    near = titles_join.ratio_pairs(titles, least_ratio)
+    sets = titles.select("id", "kw")
+    alike = titles_join.jaccard_pairs(sets, sets, least_jaccard, least_words).where("id_a <= id_b")
+    return landed(near.join(alike, ["id_a", "id_b"], "full").select("id_a", "id_b", "jaccard", "ab", "ba"), "like-titles")
 
-def compared_titles(news: DataFrame) -> DataFrame:
-    """(id_a, id_b, jaccard, ratio), id_a < id_b: the keywords' Jaccard similarity and the titles' ratio of every pair of titles
-    that share enough keywords or enough runs of three characters. Titles that share fewer than both are not compared."""
-    t = news.select("id", normalize_title("title").alias("t"), keywords("title").alias("kw"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3))))
-    grams = t.where(F.length("t") > 2).select("id", runs.alias("kw"))
-    near = lambda d, s: jaccard_pairs(d, d, s, least=1).where("id_a < id_b").select("id_a", "id_b")
-    pairs = near(t.select("id", "kw"), SHARED_WORDS).unionByName(near(grams, SHARED_RUNS)).distinct()
-    of = lambda x: t.select(F.col("id").alias(f"id_{x}"), F.col("t").alias(f"t{x}"), F.col("kw").alias(f"k{x}"))
-    both = pairs.join(of("a"), "id_a").join(of("b"), "id_b")
-    inter = F.size(F.array_intersect("ka", "kb"))
-    jaccard = F.coalesce(F.try_divide(inter.cast("double"), F.size("ka") + F.size("kb") - inter), F.lit(0.0))
-    return both.select("id_a", "id_b", jaccard.alias("jaccard"), seq_ratio("tb", "ta").alias("ratio"))
+
+def _copies(each: DataFrame, titles: DataFrame) -> DataFrame:
+    """(rep, id): the news behind each different title."""
+    return each.join(titles.select("t", F.col("id").alias("rep")), "t").select("rep", "id")
+
+
+def _topical(news: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rule for topics: (each news, different titles, pairs with the similarities ab and ba)."""
+    words = lambda c: F.filter(F.array_distinct(F.split(spaced_title(c), " ")), lambda w: w != "")
+    each, titles = _different(news, F.lower("title"), words(F.col("title")))
+    pairs = compared(titles.where(F.size("kw") > 0), threshold / 0.8, threshold, 1)
+    likeness = lambda c: F.greatest(F.coalesce("jaccard", F.lit(0.0)), 0.8 * F.coalesce(c, F.lit(0.0))).alias(c)
+    return each, titles, pairs.select("id_a", "id_b", likeness("ab"), likeness("ba"))
 
 
 def title_similarity_pairs(news: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """(id_a, id_b, similarity): larger of the keywords' Jaccard and .8 of the titles' ratio."""
-    return compared_titles(news).select("id_a", "id_b", F.greatest("jaccard", 0.8 * F.col("ratio")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(id_a, id_b, similarity), id_a < id_b: the larger of the Jaccard similarity of all words and .8 of the ratio of the later
+    title to the earlier one, in lower case. Titles without words are like none."""
+    each, titles, pairs = _topical(news, threshold)
+    of = landed(_copies(each, titles), "copies")
+    side = lambda x: of.select(F.col("rep").alias(f"id_{x}"), F.col("id").alias(x))
+    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b").where("a <> b and (id_a <> id_b or a < b)")
+    later = F.when(F.col("a") < F.col("b"), F.col("ba")).otherwise(F.col("ab"))
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), later.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def entity_overlap(a: Column | str, b: Column | str, entities: list[str] | None = None) -> Column:
@@ -159,12 +152,19 @@ def min_label(edges: DataFrame) -> DataFrame:
 
 
 def batch_near_dedup(news: DataFrame, weights: dict[str, float], default: float = 0.65) -> DataFrame:
-    """One row of each event: titles alike by ratio .55, Jaccard .40, or two entities and Jaccard .25 are linked, links are
-    followed, and the most authoritative source stays (then the least id)."""
-    two = entity_pairs(news).select("id_a", "id_b", F.lit(True).alias("named"))
-    j = compared_titles(news).join(two, ["id_a", "id_b"], "left")
-    same = (F.col("ratio") >= 0.55) | (F.col("jaccard") >= 0.40) | (F.coalesce("named", F.lit(False)) & (F.col("jaccard") >= 0.25))
-    roots = min_label(j.where(same).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    """One row of each event: titles alike by ratio .55, or of two keywords or more by Jaccard .40, or by two entities and Jaccard
+    .25, are linked, links are followed, and the most authoritative source stays (then the least id)."""
+    each, titles = _different(news, normalize_title("title"), keywords("title"))
+    pairs = compared(titles, 0.55, 0.25, 2)
+    named = titles.join(_copies(each, titles).join(news.select("id", "title"), "id").groupBy(F.col("rep").alias("id")).agg(F.min("title").alias("title")), "id")
+    e = F.array(*[F.lit(x) for x in KEY_ENTITIES])
+    side = lambda x: named.select(F.col("id").alias(f"id_{x}"), F.filter(e, lambda w: F.contains(F.lower("title"), w)).alias(f"e{x}"))
+    weak = (F.col("jaccard") >= 0.25) & (F.size(F.array_intersect("ea", "eb")) >= 2)
+    same = (F.greatest("ab", "ba") >= 0.55) | (F.col("jaccard") >= 0.40) | weak
+    links = landed(pairs.join(side("a"), "id_a").join(side("b"), "id_b").where(same).select("id_a", "id_b"), "events")
+    roots = min_label(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    # a title that is not even like itself (long, and made of common characters only) speaks for one event a news
+    roots = _copies(each, titles).join(roots.withColumnRenamed("id", "rep"), "rep").select("id", "root")
     n = news.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("authority", authority(F.col("source"), weights, default))
     best = n.groupBy("root").agg(F.min(F.struct((-F.col("authority")).alias("a"), "id")).alias("_b")).select(F.col("_b.id").alias("id"))
     return n.join(best, "id", "left_semi")
@@ -180,10 +180,18 @@ def freshness(age_hours: Column) -> Column:
 
 
 def mention_score(news: DataFrame) -> DataFrame:
-    """(id, mention_score): like titles in the batch by fifths, at most 1."""
-    j = compared_titles(news).where((F.col("ratio") >= 0.5) | (F.col("jaccard") >= 0.35))
-    each = j.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    return news.select("id").join(each, "id", "left").select("id", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 5).alias("mention_score"))
+    """(id, mention_score): the other news whose title this one's is like, by ratio .5 or, with two keywords or more on both
+    sides, by Jaccard .35; in fifths, at most 1."""
+    each, titles = _different(news, normalize_title("title"), keywords("title"))
+    pairs = compared(titles, 0.5, 0.35, 2)
+    of = landed(_copies(each, titles), "copies")
+    many = of.groupBy("rep").agg(F.count("*").alias("n"))
+    like = lambda c: (F.coalesce(c, F.lit(0.0)) >= 0.5) | F.col("jaccard").isNotNull()
+    there = pairs.where(like("ab")).select(F.col("id_a").alias("id"), F.col("id_b").alias("rep"))
+    back = pairs.where(like("ba") & (F.col("id_a") < F.col("id_b"))).select(F.col("id_b").alias("id"), F.col("id_a").alias("rep"))
+    found = there.unionByName(back).join(many, "rep").groupBy("id").agg(F.sum(F.col("n") - (F.col("id") == F.col("rep")).cast("long")).alias("n"))
+    mine = of.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 5).alias("mention_score"))
+    return news.select("id").join(mine, "id")
 
 
 def freshness_authority_score(news: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -193,24 +201,51 @@ def freshness_authority_score(news: DataFrame, weights: dict[str, float]) -> Dat
     return news.select("id", f.alias("freshness"), a.alias("authority"), (0.3 * f + 0.3 * col("mention_score", 0.0) + 0.2 * a + 0.2 * col("impact", 0.5)).alias("score"))
 
 
+#: Like pairs up to this number are settled in one task when topics are formed.
+FEW_PAIRS = 200_000
+
+
+def _settled(before: pd.DataFrame) -> pd.DataFrame:
+    """Who leads among (before, id, leads of before so far): one after the other."""
+    leads = dict(zip(before["before"].tolist(), before["known"].tolist(), strict=True))
+    of: dict[int, list[int]] = {}
+    for b, i in zip(before["before"].tolist(), before["id"].tolist(), strict=True):
+        of.setdefault(i, []).append(b)
+    for i in sorted({*leads, *of}):
+        if leads.get(i) is None:
+            leads[i] = not any(leads[b] for b in of.get(i, ()))
+    return pd.DataFrame({"id": list(leads), "leads": pd.Series(list(leads.values()), dtype="bool")})
+
+
 def topic_clusters(news: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """(leader, members, sources) over all news, whatever their source: in order of id, news join the first leader that their
-    title is like, or lead a new topic.
+    """(leader, members, sources, boost) over all news, whatever their source: in order of id, news join the first leader that
+    their title is like, or lead a new topic. boost is the largest of the members', if news have one.
 
-    Who leads is settled in rounds over the table of like pairs: news without an undecided or leading like one before them
-    lead; those with a leading one before them follow. The result is that of going through them one by one.
+    Who leads is settled in rounds over the table of like pairs: a title without an undecided or leading like one before it leads;
+    one with a leading one before it follows. Ids that say nothing of likeness leave a round's depth to the logarithm of their
+    number; once few pairs are open, they are settled in one go, however long a chain they make.
     """
-    edges = landed(title_similarity_pairs(news, threshold).select(F.col("id_a").alias("before"), F.col("id_b").alias("id")), "like-titles")
+    each, titles, pairs = _topical(news, threshold)
+    edges = landed(pairs.where((F.col("id_a") < F.col("id_b")) & (F.col("ba") >= threshold)).select(F.col("id_a").alias("before"), F.col("id_b").alias("id")), "topic-links")
     leads = landed(edges.select(F.explode(F.array("before", "id")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
-    while leads.where("leads is null").take(1):
-        of = edges.join(leads.withColumnRenamed("id", "before").withColumnRenamed("leads", "_l"), "before")
-        seen = of.groupBy("id").agg(F.bool_or("_l").alias("_any"), F.count_if(F.col("_l").isNull()).alias("_open"))
+    while True:
+        open_ = landed(edges.join(leads.where("leads is null").select("id"), "id").join(leads.select(F.col("id").alias("before"), F.col("leads").alias("known")), "before"), "topic-open")
+        if open_.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+            break
+        seen = open_.groupBy("id").agg(F.bool_or("known").alias("_any"), F.count_if(F.col("known").isNull()).alias("_open"))
         now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("_any", F.lit(False)), F.lit(False)).when(F.coalesce("_open", F.lit(0)) == 0, F.lit(True))
         leads = landed(leads.join(seen, "id", "left").select("id", now.alias("leads")), "leaders")
-    first = edges.join(leads.where("leads").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min("before").alias("_first"))
-    n = news.select("id", "source").join(leads, "id", "left").join(first, "id", "left")
-    leader = F.when(F.coalesce("leads", F.lit(True)), F.col("id")).otherwise(F.col("_first"))
-    return n.groupBy(leader.alias("leader")).agg(F.count("*").alias("members"), F.count_distinct("source").alias("sources"))
+    rest = open_.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: _settled(pdf), "id long, leads boolean").withColumnRenamed("leads", "_l")  # FEW_PAIRS rows
+    led = landed(leads.join(rest, "id", "left").select("id", F.coalesce("leads", "_l", F.lit(True)).alias("leads")), "leaders")
+    first = edges.join(led.where("leads").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min("before").alias("_first"))
+    top = titles.select("id").join(led, "id", "left").join(first, "id", "left")
+    top = top.select(F.col("id").alias("rep"), F.when(F.coalesce("leads", F.lit(True)), F.col("id")).otherwise(F.col("_first")).alias("leader"))
+    itself = pairs.where((F.col("id_a") == F.col("id_b")) & (F.col("ba") >= threshold)).select(F.col("id_a").alias("rep"), F.lit(True).alias("itself"))
+    boost = F.col("boost") if "boost" in news.columns else F.lit(None).cast("double")
+    n = _copies(each, titles).join(top, "rep").join(itself, "rep", "left").join(news.select("id", "source", boost.alias("boost")), "id")
+    # copies of a title that is like nothing, itself included, are topics of their own
+    alone = F.col("itself").isNull() & (F.col("leader") == F.col("rep"))
+    return n.groupBy(F.when(alone, F.col("id")).otherwise(F.col("leader")).alias("leader")).agg(F.count("*").alias("members"), F.count_distinct("source").alias("sources"), F.max("boost").alias("boost"))
 
 
 def cluster_score(clusters: DataFrame) -> DataFrame:

@@ -87,15 +87,18 @@ def _(v):
     return N.batch_near_dedup(news(v), WEIGHTS).select("id", "source", "authority", "root")
 
 
+def boosted(v):
+    return N.text_filter_boost(news(v), ["license"], ["tion"])
+
+
 @query("topic_clusters")
 def _(v):
-    return N.topic_clusters(news(v))
+    return N.topic_clusters(boosted(v))
 
 
-@query("cluster_score", "SELECT source, lang, COUNT(DISTINCT age_hours) AS sources, COUNT(*) AS members, ROUND((2 * COUNT(DISTINCT age_hours) + COUNT(*)) * (1 + 1.5 / 10), 4) AS score FROM news GROUP BY source, lang")
+@query("cluster_score")
 def _(v):
-    g = news(v).groupBy("source", "lang").agg(F.count_distinct("age_hours").alias("sources"), F.count("*").alias("members")).withColumn("boost", F.lit(1.5))
-    return rounded(N.cluster_score(g).drop("boost"))
+    return rounded(N.cluster_score(N.topic_clusters(boosted(v))))
 
 
 @query("mention_score")
