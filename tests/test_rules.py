@@ -46,6 +46,9 @@ GOOD = (
 )
 
 
+TRACK = "utm_source=unisender&utm_medium=email&utm_campaign=c1&utm_content="
+
+
 def draft(spark, rows):
     colors = {r: f"#00000{i}" for i, r in enumerate(E.COLOR_ROLES)}
     base = {"subject": "News", "preheader": "p" * 80, "html": GOOD, "utm_campaign": "c1", "expected_articles": 3, "brand_name": "Brand", "sender_name": "Sender", "font_family": "Arial", "colors": colors, "required_labels": ["Ad"]}
@@ -72,6 +75,18 @@ def test_drafts(spark):
         (swap('em="block"', ""), {"no_block"}),
         ({"brand_name": "Other"}, {"brand_name_not_kept"}),
         ({"required_labels": ["Legal"]}, {"label_not_kept"}),
+        (swap("/m1?", "/x/../news/?"), {"link_to_general_section"}),
+        (swap("/m1?", "/a/./tag/b?"), {"link_to_general_section"}),
+        (swap("</table>", f'</tr></tr><tr><td><a href="https://e.org/news?{TRACK}p9">x</a></td></tr></table>'), set()),
+        (swap("<td>", "<td><table><tr><td></td></tr></table>"), set()),
+        (swap('<td><a href="https://e.org/m1', '<td><table><tr><td><a href="https://e.org/news'), {"link_to_general_section"}),
+        (swap("https://e.org/m1", "https://user@e.org/m1"), {"link_not_https"}),
+        (swap("https://e.org/m1", "HTTPS://e.org/m1"), set()),
+        (swap("</table>", '</table><a href="mailto:a@b.org">m</a><a href=" # ">e</a><a name="x">n</a>'), {"link_empty"}),
+        (swap("</table>", '</table><a href="https://e.org/q" data-tracking="operational">o</a><a href="http://e.org/q" data-tracking="operational">o</a>'), {"link_not_https"}),
+        (swap("/m1?", "/m1?x=1;name=2&"), {"link_pii_key"}),
+        (swap("utm_source=unisender&utm_medium=email&utm_campaign=c1&utm_content=p1", "utm_source=chatgpt.com&utm_medium=&utm_medium=email&utm_campaign=c1&utm_content="), {"link_from_chatbot", "link_utm_source_differs", "link_utm_content_required"}),
+        (swap('<a href="https://e.org/m1', '<a href="#" href="https://e.org/m1'), {"repeated_link_attributes"}),
     ]
     got = draft(spark, [c for c, _ in cases])
     assert {i: got.get(i, set()) for i in range(len(cases))} == {i: want for i, (_, want) in enumerate(cases)}

@@ -195,11 +195,43 @@ def _(v):
     return E.crm_attribution(e, c).select("event_id", "campaign_id", "attribution")
 
 
-@query("email_draft_lint")
-def _(v):
+def drafts(v):
     colors = F.create_map(*[x for r in E.COLOR_ROLES for x in (F.lit(r), F.lit("#1A2b3C"))])
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return E.email_draft_lint(v.pages.select(F.col("page_id").alias("draft_id"), title.alias("subject"), F.regexp_replace("html", "<[^>]*>", " ").alias("preheader"), "html", F.lit("c1").alias("utm_campaign"), (F.col("page_id") % 6).cast("int").alias("expected_articles"), title.alias("brand_name"), F.lit(None).cast("string").alias("sender_name"), F.lit("Arial").alias("font_family"), colors.alias("colors"), F.array(F.lit("Ad")).alias("required_labels")))
+    return v.pages.select(F.col("page_id").alias("draft_id"), title.alias("subject"), F.regexp_replace("html", "<[^>]*>", " ").alias("preheader"), "html", F.lit("c1").alias("utm_campaign"), (F.col("page_id") % 6).cast("int").alias("expected_articles"), title.alias("brand_name"), F.lit(None).cast("string").alias("sender_name"), F.lit("Arial").alias("font_family"), colors.alias("colors"), F.array(F.lit("Ad")).alias("required_labels"))
+
+
+@query("email_draft_lint")
+def _(v):
+    return E.email_draft_lint(drafts(v))
+
+
+TITLE, BODY, PRE = "REGEXP_EXTRACT(html, '<title>([^<]*)', 1)", "LOWER(html)", "REGEXP_REPLACE(html, '<[^>]*>', ' ', 'g')"
+TEXT_RULES = {
+    "subject_required": f"TRIM({TITLE}) = ''",
+    "subject_length": f"LENGTH(TRIM({TITLE})) > 50",
+    "preheader_required": f"TRIM({PRE}) = ''",
+    "preheader_length": f"TRIM({PRE}) <> '' AND NOT LENGTH(TRIM({PRE})) BETWEEN 70 AND 110",
+    "preheader_not_in_html": f"{PRE} <> '' AND NOT CONTAINS(html, {PRE})",
+    "expected_articles": "NOT page_id % 6 BETWEEN 3 AND 5",
+    "placeholder": r"REGEXP_MATCHES(html, '(?i)\{\{[^{}]+\}\}|\bTODO\b|example\.com')",
+    "no_doctype": f"NOT CONTAINS({BODY}, '<!doctype html')",
+    "script": f"CONTAINS({BODY}, '<script') OR CONTAINS({BODY}, 'javascript:')",
+    "flexbox": f"CONTAINS({BODY}, 'display:flex') OR CONTAINS({BODY}, 'display: flex')",
+    "css_grid": f"CONTAINS({BODY}, 'display:grid') OR CONTAINS({BODY}, 'display: grid')",
+    "no_600px_container": f"NOT CONTAINS({BODY}, 'max-width:600px') AND NOT CONTAINS({BODY}, 'max-width: 600px')",
+    "label_not_kept": "NOT CONTAINS(html, 'Ad')",
+    "brand_name_required": f"TRIM({TITLE}) = ''",
+    "brand_name_not_kept": f"TRIM({TITLE}) <> '' AND NOT CONTAINS({BODY}, LOWER({TITLE}))",
+    "sender_name_required": "TRUE",
+    "font_family_not_kept": f"NOT CONTAINS({BODY}, 'arial')",
+    **{f"color_{r}_not_kept": f"NOT CONTAINS({BODY}, '#1a2b3c')" for r in E.COLOR_ROLES},
+}
+
+
+@query("email_draft_text_rules", " UNION ALL ".join(f"SELECT page_id AS draft_id, '{code}' AS rule_id FROM {{pages}} WHERE {rule}" for code, rule in TEXT_RULES.items()))
+def _(v):
+    return E.draft_text_rules(drafts(v))
 
 
 # --- visibility and phrases
