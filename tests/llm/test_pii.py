@@ -101,6 +101,23 @@ def test_common_stems_are_kept(spark):
     assert out[400] == "wor*  [EMAIL] 0" and out[7] == rows[7][1]
 
 
+@pytest.mark.parametrize("repeats", [1, 3000])
+def test_repeated_rows_do_not_move_the_bound(spark, repeats):
+    """A stem that is only just common enough to stay does so however often other rows are repeated."""
+    rows = [(i, f"plain words of no note {i}", "x") for i in range(260)] + [(300 + i, f"prompt {i}", "x") for i in range(40)]
+    rows += [(400 + i, f"prolific writes to ann@zeta.org {i}", "x") for i in range(4)] + [(900, "again and again", "x")] * repeats
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    assert out[400] == "pro*  to [EMAIL] 0"
+
+
+def test_keys_counted_in_parts(spark, monkeypatch):
+    """A key of many documents is counted in parts, with the result of one."""
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, spans string")
+    whole = sorted((str(r.doc_id), str(r.spans)) for r in pii.scan(df).collect())
+    monkeypatch.setattr(pii, "TOGETHER", 2)
+    assert sorted((str(r.doc_id), str(r.spans)) for r in pii.scan(df).collect()) == whole
+
+
 def test_empty_tables_and_names(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string, spans string")
     assert pii.scan(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0

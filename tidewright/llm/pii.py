@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,6 @@ SUPPORT, DISCLOSES, STEM = 3, 0.8, 3
 FILTER_BITS = 1 << 24
 #: Documents with terms up to this number are sent to all tasks; beyond it they are joined by key.
 SMALL = 100_000
-#: Most frequent stems that a term may be generalised to; a term of another stem is removed.
-STEMS = 50_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -143,8 +142,50 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "th", "spans", "keys", "names", "terms"])
 
 
+#: Documents of a key that one task counts the terms of; terms that are added up at once.
+TOGETHER, AT_ONCE = 50_000, 1 << 20
+
+
+def _joint(support: int):
+    """Rows (key, part, parts, terms) in order of key and part -> (key, term, n_ct), added up inside the task. A key that has one
+    part gives only the terms that enough of its documents hold."""
+
+    def added(terms: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate(terms), return_inverse=True)
+        return values, np.bincount(at, np.concatenate(times)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, terms, times, held = None, 1, [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            values, n = added(terms, times)
+            if parts == 1:
+                values, n = values[n >= support], n[n >= support]
+            for lo in range(0, len(values), 100_000):
+                some = values[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now[0])), pa.array(some), pa.array(n[lo : lo + 100_000])], names=["key", "term", "n_ct"])
+
+        for b in batches:
+            for key, part, of, own in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if (key, part) != now:
+                    if terms:
+                        yield from out()
+                    now, parts, terms, times, held = (key, part), of, [], [], 0
+                own = own.values.to_numpy()
+                terms.append(own)
+                times.append(np.ones(len(own), np.int64))
+                held += len(own)
+                if held > AT_ONCE:
+                    one = added(terms, times)
+                    terms, times, held = [one[0]], [one[1]], 0
+        if terms:
+            yield from out()
+
+    return run
+
+
 def _frequencies(words: dict[int, bytes], cap: int = 200_000):
-    """Rows (text, times) -> (term, stem, n): documents of each term whose hash the filter lets pass (stem null), and of
+    """Rows (text, times) -> (term, stem, n): documents of each term whose hash the filter lets pass, with its stem, and of
     each stem (term null), added up in a task as far as memory allows. times is how often a text counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +194,13 @@ def _frequencies(words: dict[int, bytes], cap: int = 200_000):
             bits[bucket * 4096 : (bucket + 1) * 4096] = np.frombuffer(part, np.uint8)
         held, stems, known = Counter(), Counter(), {}
 
-        def passes(w: str) -> int | None:
+        def passes(w: str) -> tuple[int, str] | None:
             at = (h := _hash(w)) % FILTER_BITS
-            return h if bits[at >> 3] >> (at & 7) & 1 else None
+            return (h, w[:STEM]) if bits[at >> 3] >> (at & 7) & 1 else None
 
         def out() -> pa.RecordBatch:
-            names = [*[None] * len(held), *stems]
-            return pa.RecordBatch.from_arrays([pa.array([*held, *[None] * len(stems)], pa.int64()), pa.array(names, pa.string()), pa.array([*held.values(), *stems.values()], pa.int64())], names=["term", "stem", "n"])
+            names = [*(stem for _, stem in held), *stems]
+            return pa.RecordBatch.from_arrays([pa.array([*(h for h, _ in held), *[None] * len(stems)], pa.int64()), pa.array(names, pa.string()), pa.array([*held.values(), *stems.values()], pa.int64())], names=["term", "stem", "n"])
 
         for b in batches:
             for t, times in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -192,8 +233,9 @@ def _share(documents: str, n: int) -> Column:
     return F.log(F.col("n_ct") * n / (F.col("n_c") * F.col(documents))) / F.log(n / F.col("n_c"))
 
 
-def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame]:
-    """(key, term, share) of the terms that disclose what a key stands for, and (stem, n), the documents of each stem.
+def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame, int]:
+    """(key, term, stem, share) of the terms that disclose what a key stands for; (stem, n), the documents of each stem; and the
+    number of documents.
 
     found has the rows of _FOUND, keyed those of _keyed. Keys of names are those of the terms themselves.
     """
@@ -205,12 +247,14 @@ def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: flo
     if n_repeats:
         held = held.dropDuplicates(["doc_id", "th"])
     held = staged(held.withColumn("uid", F.monotonically_increasing_id()), "pii-held")
-    # rows (uid, key): keys that enough documents hold; the arrays of terms are met once for each document, not each key
+    # rows (key, document) for the keys that enough documents hold; their terms are added up inside tasks, a key of very many
+    # documents in parts
     keys = held.select("uid", F.explode("keys").alias("key"))
-    n_c = keys.groupBy("key").agg(F.count("*").alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") < n))
-    common = keys.join(n_c, "key").groupBy("uid").agg(F.collect_list("key").alias("common"))
-    pairs = held.select("uid", "terms").join(common, "uid").select("common", F.explode("terms").alias("term")).select(F.explode("common").alias("key"), "term")
-    joint = pairs.groupBy("key", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    n_c = staged(keys.groupBy("key").agg(F.count("*").alias("n_c")).where((F.col("n_c") >= support) & (F.col("n_c") < n)), "pii-keys")
+    parts = F.ceil(F.col("n_c") / TOGETHER).cast("int")
+    own = keys.join(n_c, "key").join(held.select("uid", "terms"), "uid").select("key", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"), parts.alias("parts"), "terms")
+    joint = own.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_joint(support), "key long, term long, n_ct long")
+    joint = joint.groupBy("key", "term").agg(F.sum("n_ct").alias("n_ct")).where(F.col("n_ct") >= support)
     joint = joint.join(n_c, "key").select("key", "term", "n_ct", "n_c")
     # a term stands in at least as many documents as hold it beside some entity, so this share is an upper bound
     n_h = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_h"))
@@ -223,7 +267,7 @@ def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: flo
     words = {r["bucket"]: bytes(r["bits"]) for r in made.collect()}  # 2 MB at most
     if not words:
         unstage(spark, path)
-        return spark.createDataFrame([], "key long, term long, share double"), spark.createDataFrame([], "stem string, n long")
+        return spark.createDataFrame([], "key long, term long, stem string, share double"), spark.createDataFrame([], "stem string, n long"), n
     every = keyed.select("text", F.lit(1).cast("long").alias("times"))
     if n_repeats:  # what the repeated rows count too much
         again = F.broadcast(repeats) if n_repeats <= SMALL else repeats
@@ -231,30 +275,34 @@ def disclosures(found: DataFrame, keyed: DataFrame, support: int, discloses: flo
         every = every.unionByName(again.dropDuplicates(["doc_id", "th"]).select("text", (1 - F.col("of")).alias("times")))
     counts = every.mapInArrow(_frequencies(words), "term long, stem string, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
     counts = staged(counts, "pii-frequencies")
-    both = joint.join(counts.where("term is not null").select("term", F.col("n").alias("n_t")), "term")
-    shares = both.select("key", "term", F.round(_share("n_t", n), 9).alias("share")).where(F.col("share") >= discloses)
-    # what a stem gives away at most: it stands with all documents of the key
-    stems = counts.where("stem is not null").select("stem", "n")
-    return shares, stems
+    both = joint.join(counts.where("term is not null").select("term", "stem", F.col("n").alias("n_t")), "term")
+    shares = both.select("key", "term", "stem", F.round(_share("n_t", n), 9).alias("share")).where(F.col("share") >= discloses)
+    return shares, counts.where("term is null").select("stem", "n"), n
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-def _disclosing(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, hits): hashes of the terms to be taken out of each text, and (stem, n)."""
-    shares, stems = disclosures(found, keyed, support, discloses)
-    shares = staged(shares, "pii-shares")
+def _disclosing(found: DataFrame, keyed: DataFrame, support: int, discloses: float) -> DataFrame:
+    """(doc_id, th, hits, kept): hashes of the terms to be taken out of each text, and of those among them whose stem may stay.
+
+    A stem may stay if it is too common to give away the rarest key that has counts, one of `support` documents, even if it
+    stood in all of them.
+    """
+    shares, stems, n = disclosures(found, keyed, support, discloses)
+    bound = n * (support / max(n, 1)) ** discloses
+    common = stems.where(F.col("n") > bound).select(F.col("stem").alias("_stem"))
+    shares = staged(shares.join(common, F.col("stem") == F.col("_stem"), "left").select("key", "term", F.col("_stem").isNotNull().alias("common")), "pii-shares")
     own = found.where("size(spans) > 0").select("doc_id", "th", "terms", F.explode(F.concat("keys", "names")).alias("key"))
     few = shares.count() <= SMALL
-    met = own.select("doc_id", "th", "key").distinct().join(F.broadcast(shares) if few else shares, "key").groupBy("doc_id", "th").agg(F.collect_set("term").alias("hits"))
-    return met, stems
+    met = own.select("doc_id", "th", "key").distinct().join(F.broadcast(shares) if few else shares, "key")
+    return met.groupBy("doc_id", "th").agg(F.collect_set("term").alias("hits"), F.collect_set(F.when(F.col("common"), F.col("term"))).alias("kept"))
 
 
 def _with_hits(left: DataFrame, hits: DataFrame, how: str = "left") -> DataFrame:
     """left (with doc_id, th) and the hits of its texts; sent to all tasks only if they are few."""
-    right = hits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits")
+    right = hits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits", "kept")
     if hits.count() <= SMALL:
         right = F.broadcast(right)
     return left.join(right, left.doc_id.eqNullSafe(F.col("_id")) & (left.th == F.col("_th")), how).drop("_id", "_th")
@@ -282,7 +330,7 @@ def scan(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES,
     prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     found = staged(keyed.mapInArrow(_find, _FOUND), "pii-found")
-    hits = staged(_disclosing(found, keyed, support, discloses)[0], "pii-hits")
+    hits = staged(_disclosing(found, keyed, support, discloses), "pii-hits")
     texts = _with_hits(keyed, hits, "inner").select("doc_id", "th", "text", "hits").mapInArrow(_places, "_id long, _th long, added array<struct<kind: int, start: long, end: long>>")
     texts = staged(texts.dropDuplicates(["_id", "_th"]), "pii-places")
     right = F.broadcast(texts) if texts.count() <= SMALL else texts
@@ -309,30 +357,25 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOS
     columns = docs.columns
     keyed = _keyed(docs, id_col, text_col)
     found = staged(keyed.mapInArrow(_find, _FOUND), "pii-found")
-    hits, stems = _disclosing(found, keyed, support, discloses)
-    hits = staged(hits, "pii-hits")
-    # a stem is safe if it is too common to give away the rarest key that has counts: one of `support` documents
-    n = found.count()
-    bound = n * (support / max(n, 1)) ** discloses
-    safe = {r["stem"] for r in stems.where(F.col("n") > bound).orderBy(F.desc("n"), "stem").limit(STEMS).collect()}
+    hits = staged(_disclosing(found, keyed, support, discloses), "pii-hits")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"))
     both = _with_hits(held, hits)
 
     @F.pandas_udf("string")
-    def clean(texts, marks):
-        def one(text, more):
+    def clean(texts, marks, kept):
+        def one(text, more, stems):
             if text is None:
                 return None
             base = base_spans(text)
             spans = [(s, e, f"[{KINDS[k].upper()}]") for k, s, e in base]
             if more is not None and len(more):
-                taken = set(map(int, more))
-                spans += [(s, e, f"{text[s : s + STEM]}*" if w[:STEM] in safe else "") for w, s, e in terms(text, base) if _hash(w) in taken]
+                taken, common = set(map(int, more)), set(map(int, stems))
+                spans += [(s, e, f"{text[s : s + STEM]}*" if _hash(w) in common else "") for w, s, e in terms(text, base) if _hash(w) in taken]
             return redact(text, spans) if spans else text
 
-        return texts.combine(marks, one) if len(texts) else texts
+        return pd.Series([one(*x) for x in zip(texts, marks, kept, strict=True)], dtype="object")
 
-    cleaned = both.select("row", clean(F.col("row")[text_col], F.col("hits")).alias("_clean"))
+    cleaned = both.select("row", clean(F.col("row")[text_col], F.col("hits"), F.col("kept")).alias("_clean"))
     return cleaned.select(*[F.col("_clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
 
 
