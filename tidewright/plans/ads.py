@@ -193,10 +193,13 @@ def _(v):
     return rounded(A.between(v.campaign_day, "1996-03-01", "1996-03-31").select("Date", "CampaignId", "Cost"))
 
 
-@query("weekday_anomaly", """WITH p AS (SELECT CAST(d.date + 7 * k AS DATE) AS date, d.date AS base_day, d.actual AS base FROM daily_series d, (VALUES (1),(2),(3),(4)) x(k)), ok AS (SELECT stat_date, BOOL_AND(complete) AS ok FROM fact_status WHERE source = 'metrika' AND scope = 'ecommerce' GROUP BY stat_date),
+WEEKDAYS = """WITH p AS (SELECT CAST(d.date + 7 * k AS DATE) AS date, d.date AS base_day, d.actual AS base FROM daily_series d, (VALUES (1),(2),(3),(4)) x(k)), ok AS (SELECT stat_date, BOOL_AND(complete) AS ok FROM fact_status WHERE source = 'metrika' AND scope = 'ecommerce' GROUP BY stat_date),
     m AS (SELECT date, MEDIAN(base) AS median, COUNT(*) AS n, BOOL_AND(COALESCE(ok, FALSE)) AS base_ok FROM p LEFT JOIN ok ON base_day = stat_date GROUP BY date), q AS (SELECT p.date, MEDIAN(ABS(base - median)) AS mad FROM p JOIN m ON p.date = m.date GROUP BY p.date),
     j AS (SELECT d.date, d.actual AS value, median, mad, n, CASE WHEN mad <> 0 AND n >= 4 THEN 0.6745 * (d.actual - median) / mad END AS z, COALESCE(ok, FALSE) AND COALESCE(base_ok, FALSE) AND COALESCE(n, 0) >= 4 AS complete FROM daily_series d LEFT JOIN m ON d.date = m.date LEFT JOIN q ON d.date = q.date LEFT JOIN ok ON d.date = stat_date)
-    SELECT date, value, median, mad, ROUND(z, 4) AS z, complete, CASE WHEN NOT COALESCE(ABS(z) >= 3.5, FALSE) THEN 'normal' WHEN COALESCE(ABS(value - median) >= 3, FALSE) AND complete THEN 'high' WHEN NOT complete THEN 'suppressed' ELSE 'low' END AS severity FROM j""")
+    SELECT date, value, median, mad, ROUND(z, 4) AS z, complete, CASE WHEN NOT COALESCE(ABS(z) >= 3.5, FALSE) THEN 'normal' WHEN COALESCE(ABS(value - median) >= 3, FALSE) AND complete THEN 'high' WHEN NOT complete THEN 'suppressed' ELSE 'low' END AS severity FROM j"""
+
+
+@query("weekday_anomaly", WEEKDAYS)
 def _(v):
     status = v.fact_status.where("source = 'metrika' and scope = 'ecommerce'")
     return rounded(A.weekday_anomaly(v.daily_series.withColumnRenamed("actual", "value"), status, min_abs=3.0))

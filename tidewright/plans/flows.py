@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions.storage import shared_path
-from tidewright.operators import adperf as A
+from tidewright.plans.ads import WEEKDAYS
 from tidewright.plans.registry import query
 from tidewright.sources import files as S
 from tidewright.streaming import jobs as J
@@ -43,32 +43,33 @@ def _(v):
 @query("stream_upsert_state", "SELECT user_id, MAX(ts) AS ts FROM {events} GROUP BY user_id")
 def _(v):
     out = shared_path(v.spark, "state")
-    n = []
-    sink = J.upsert_sink(v.spark, out, ["user_id"])
+    sink = J.upsert_sink(v.spark, out, ["user_id"], buckets=64)
+    J.run_to_end(landed(v, v.events.select("user_id", "event_type", "ts"), "events", "ts", files=1), shared_path(v.spark, "ck"), sink=sink)
+    return J.state(v.spark, out).select("user_id", "ts")
 
-    def counted(batch, epoch):
-        sink(batch, epoch)
-        n.append(epoch)
 
-    J.run_to_end(landed(v, v.events.select("user_id", "event_type", "ts"), "events", "ts", files=1), shared_path(v.spark, "ck"), sink=counted, mode="append")
-    return v.spark.read.parquet(f"{out}/v{max(n)}").select("user_id", "ts")
-
-
-@query("stream_anomaly")
+@query("stream_anomaly", WEEKDAYS)
 def _(v):
-    out = shared_path(v.spark, "anomalies")
+    out, seen = shared_path(v.spark, "anomalies"), shared_path(v.spark, "weekdays")
     days = v.daily_series.select("date", F.col("actual").alias("value"))
-    status = v.fact_status.where("source = 'metrika' and scope = 'ecommerce'")
-    sink = J.anomaly_sink(v.spark, days, status, out, lambda d, s: A.weekday_anomaly(d, s, min_abs=3.0))
-    J.run_to_end(landed(v, days, "days", "date", files=1), shared_path(v.spark, "ck"), sink=sink)
-    return v.spark.read.parquet(out).drop("batch")
+    status = v.fact_status.where("source = 'metrika' and scope = 'ecommerce'").select(F.col("stat_date").alias("date"), "complete")
+    rows = days.join(status, "date", "left")
+    J.run_to_end(landed(v, rows, "days", "date", files=1), shared_path(v.spark, "ck"), sink=J.anomaly_sink(v.spark, seen, out, min_abs=3.0))
+    return J.findings(v.spark, out).select("date", "value", "median", "mad", F.round("z", 4).alias("z"), "complete", "severity")
+
+
+MATURITY = """WITH e AS (SELECT CONCAT('c', CAST(user_id % 20 AS STRING)) AS campaign, ts, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS clicked FROM {events}),
+    s AS (SELECT campaign, MIN(ts) AS start FROM e GROUP BY campaign)
+    SELECT s.campaign, d AS day, COUNT(*) AS sent, SUM(clicked) AS clicks FROM s, (VALUES (1), (3), (7), (14)) x(d), e WHERE e.campaign = s.campaign AND e.ts < start + d * INTERVAL 1 DAY
+    AND start + d * INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM e) GROUP BY s.campaign, d"""
 
 
-@query("stream_maturity")
+@query("stream_maturity", MATURITY)
 def _(v):
     out = shared_path(v.spark, "maturity")
     e = events(v).select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("campaign"), "ts", (F.col("event_type") == "click").cast("int").alias("clicked"))
-    J.run_to_end(J.maturity_snapshots(landed(v, e, "events", "ts").withWatermark("ts", "1 hour")), shared_path(v.spark, "ck"), out)
+    with J.keyed_state(v.spark):
+        J.run_to_end(J.maturity_snapshots(landed(v, e, "events", "ts").withWatermark("ts", "1 hour")), shared_path(v.spark, "ck"), out)
     return v.spark.read.parquet(out)
 
 
@@ -79,20 +80,20 @@ def facts(v, where):
     return v.campaign_day.where(where).select(F.lit("direct").alias("source"), F.lit("campaign").alias("scope"), F.col("Date").alias("stat_date"), "CampaignId", F.round("Cost", 4).alias("Cost"))
 
 
-@query("upsert_fact_partition", f"SELECT stat_date, CampaignId, CASE WHEN stat_date >= DATE '1997-02-01' THEN Cost * 2 ELSE Cost END AS Cost FROM ({FACT}) WHERE stat_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'")
+@query("upsert_fact_partition", f"SELECT stat_date, CampaignId, CASE WHEN stat_date >= DATE '1995-01-01' THEN Cost * 2 ELSE Cost END AS Cost FROM ({FACT})")
 def _(v):
     path = shared_path(v.spark, "facts")
-    S.upsert_fact_partition(facts(v, "Date between '1997-01-01' and '1997-02-28'"), path)
-    S.upsert_fact_partition(facts(v, "Date between '1997-02-01' and '1997-03-31'").withColumn("Cost", F.col("Cost") * 2), path)
-    return S.load_fact_range(v.spark, path, "direct", "campaign", "1997-01-01", "1997-12-31").select("stat_date", "CampaignId", "Cost")
+    S.upsert_fact_partition(facts(v, "Date < '1996-01-01'"), path)
+    S.upsert_fact_partition(facts(v, "Date >= '1995-01-01'").withColumn("Cost", F.col("Cost") * 2), path)
+    return S.load_fact_range(v.spark, path, "direct", "campaign", "1990-01-01", "2001-12-31").select("stat_date", "CampaignId", "Cost")
 
 
-@query("invalidate_facts", f"SELECT stat_date, CampaignId, Cost FROM ({FACT}) WHERE stat_date BETWEEN DATE '1997-01-01' AND DATE '1997-02-28' AND stat_date NOT BETWEEN DATE '1997-01-10' AND DATE '1997-01-20'")
+@query("invalidate_facts", f"SELECT stat_date, CampaignId, Cost FROM ({FACT}) WHERE stat_date NOT BETWEEN DATE '1995-03-10' AND DATE '1996-02-20'")
 def _(v):
     path = shared_path(v.spark, "facts")
-    S.upsert_fact_partition(facts(v, "Date between '1997-01-01' and '1997-02-28'"), path)
-    S.invalidate_facts(v.spark, path, "1997-01-10", "1997-01-20", "direct", "campaign")
-    return S.load_fact_range(v.spark, path, "direct", "campaign", "1997-01-01", "1997-12-31").select("stat_date", "CampaignId", "Cost")
+    S.upsert_fact_partition(facts(v, "true"), path)
+    S.invalidate_facts(v.spark, path, "1995-03-10", "1996-02-20", "direct", "campaign")
+    return S.load_fact_range(v.spark, path, "direct", "campaign", "1990-01-01", "2001-12-31").select("stat_date", "CampaignId", "Cost")
 
 
 @query("scan_tsv_report", "SELECT CAST(l_suppkey AS STRING) AS CampaignId, COUNT(*) AS Clicks FROM {lineitem} GROUP BY l_suppkey")

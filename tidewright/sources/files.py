@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.expr import strict_number
+from tidewright.sources.parted import PartedTable
 
 
 def scan_tsv_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -69,24 +70,20 @@ def scan_nested_package(spark: SparkSession, path: str, schema: str, collections
     return {c: doc.select(F.inline(c)) for c in collections}
 
 
+FACT_PARTS = ["source", "scope", "stat_date"]
+
+
 def upsert_fact_partition(facts: DataFrame, path: str) -> None:
-    """Replace the facts of each (source, scope, stat_date) that facts holds; other days stay."""
-    facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "scope", "stat_date").parquet(path)
+    """Replace the facts of each (source, scope, stat_date) that facts holds, all days at once; other days stay."""
+    PartedTable(facts.sparkSession, path, FACT_PARTS).replace(facts)
 
 
 def load_fact_range(spark: SparkSession, path: str, source: str, scope: str, start: str, end: str) -> DataFrame:
-    """Facts of a source and scope in a day range; a missing Date is the partition's day."""
-    f = spark.read.parquet(path).where((F.col("source") == source) & (F.col("scope") == scope) & F.col("stat_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Facts of a source and scope in a day range; a missing Date is the day they stand for. Only those days' files are read."""
+    f = PartedTable(spark, path, FACT_PARTS).read(lambda p: p[:2] == [source, scope] and start <= p[2] <= end)
     return f.withColumn("Date", F.coalesce("Date", "stat_date")) if "Date" in f.columns else f.withColumn("Date", F.col("stat_date"))
 
 
 def invalidate_facts(spark: SparkSession, path: str, start: str, end: str, source: str | None = None, scope: str | None = None) -> int:
-    """Drop the partitions of a day range; returns how many. Only the folders named by their values are removed."""
-    parts = spark.read.parquet(path).select("source", "scope", "stat_date").where(F.col("stat_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    parts = parts.where(F.col("source") == source) if source else parts
-    parts = parts.where(F.col("scope") == scope) if scope else parts
-    jvm, n = spark._jvm, 0
-    for r in parts.distinct().collect():  # days of a range
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/source={r['source']}/scope={r['scope']}/stat_date={r['stat_date']}")
-        n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
-    return n
+    """Let the facts of a day range go, all at once; returns how many (source, scope, day) went. Readers that have begun keep them."""
+    return PartedTable(spark, path, FACT_PARTS).commit({}, lambda p: start <= p[2] <= end and source in (None, p[0]) and scope in (None, p[1]))
