@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.storage import landed
 from tidewright.functions.expr import canonical_url, normalize_title, short_sha
 
 #: Words that mark a claim's type, looked for in this order.
@@ -101,9 +104,14 @@ def dedupe_keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def display_numbers(sightings: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, display_number): sources numbered by their first sighting."""
-    first = sightings.groupBy(key).agg(F.min(order).alias("first_seen"))
-    return first.withColumn("display_number", F.row_number().over(Window.orderBy("first_seen", key)))
+    """(key, first_seen, display_number): sources numbered by their first sighting. Ranges of the order are numbered by a task each,
+    behind the counts of the ranges before them, a number for each task."""
+    first = sightings.groupBy(key).agg(F.min(order).alias("first_seen")).repartitionByRange("first_seen", key).sortWithinPartitions("first_seen", key)
+    here = landed(first.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "display-ranges")
+    counts = sorted((r["_part"], r["n"]) for r in here.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each task
+    before = list(zip([p for p, _ in counts], accumulate([0, *(n for _, n in counts)]), strict=False))
+    offsets = sightings.sparkSession.createDataFrame(before, "_part int, _before long")
+    return here.join(F.broadcast(offsets), "_part").select(key, "first_seen", (F.col("_before") + F.col("_at") + 1).cast("int").alias("display_number"))
 
 
 def append_ledger(ledger: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -127,6 +127,37 @@ def change_points(series: DataFrame, events: DataFrame, threshold: float = 5.0,
     return signal.join(cause, "date", "left").select("date", "residual", "z", F.coalesce("c.event", F.lit("unknown")).alias("cause"), (F.date_diff("_last", "date") >= min_days).alias("usable"))
 
 
+def drift_points(series: DataFrame, keys: list[str] | None = None, slack: float = 0.5, limit: float = 5.0) -> DataFrame:
+    """(keys, date, kind, since): alarms of cumulative sums over each series (keys, date, actual), in order of date.
+
+    Residuals from the weekday's median, in robust deviations z, are added up above `slack` in either direction, and so is their
+    spread, (sqrt |z| - .822) / .349, which is about standard normal while the variance stays as it is. A sum beyond `limit` gives an
+    alarm, level_up, level_down or variance, with the day since which it was above 0, and begins again. A slow drift adds up that no
+    single day shows. A series without spread has no alarms; days without a value are skipped.
+    """
+    keys = keys or []
+    d = series.where("actual is not null").withColumn("_wd", F.dayofweek("date"))
+    d = d.withColumn("_r", F.col("actual") - F.median("actual").over(Window.partitionBy(*keys, "_wd")))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    d = d.withColumn("_mad", F.median(F.abs("_r")).over(own)).where("_mad > 0").withColumn("_z", 0.6745 * F.col("_r") / F.col("_mad"))
+    days = F.array_sort(F.collect_list(F.struct("date", F.col("_z").alias("z"))))  # the days of one series
+    line = d.groupBy(*keys).agg(days.alias("days")) if keys else d.agg(days.alias("days"))
+    gains = {"level_up": lambda z: z - slack, "level_down": lambda z: -z - slack, "variance": lambda z: (F.sqrt(F.abs(z)) - 0.822) / 0.349 - slack}
+    none = F.array().cast("array<struct<date: date, kind: string, since: date>>")
+    start = F.struct(*[x for k in gains for x in (F.lit(0.0).alias(k), F.lit(None).cast("date").alias(f"{k}_since"))], none.alias("found"))
+
+    def step(state: Column, day: Column) -> Column:
+        parts, found = [], state["found"]
+        for k, gain in gains.items():
+            total = F.greatest(F.lit(0.0), state[k] + gain(day["z"]))
+            since = F.when(total > 0, F.coalesce(state[f"{k}_since"], day["date"]))
+            parts += [F.when(total > limit, 0.0).otherwise(total).alias(k), F.when(total <= limit, since).alias(f"{k}_since")]
+            found = F.when(total > limit, F.concat(found, F.array(F.struct(day["date"].alias("date"), F.lit(k).alias("kind"), since.alias("since"))))).otherwise(found)
+        return F.struct(*parts, found.alias("found"))
+
+    return line.select(*keys, F.inline(F.aggregate("days", start, step, lambda s: s["found"])))
+
+
 def action_ramp(actions: DataFrame, as_of: str, horizon: int = 30) -> DataFrame:
     """(id, date, impact): an action's daily impact from start plus lag on, capped and weighed.
 

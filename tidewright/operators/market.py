@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.storage import landed
 from tidewright.functions.expr import normalize_phrase, normalize_query, ratio, short_sha
 
 
@@ -26,18 +27,28 @@ def keep_min_volume(phrases: DataFrame, least: int = 100, secondary: int = 8) ->
     return p.where(F.col("_r") <= secondary + 1).withColumn("role", F.when(F.col("_r") == 1, "focus").otherwise("secondary")).drop("_r")
 
 
-def _rarest(a: DataFrame, words: DataFrame) -> DataFrame:
-    """(id, w, toks): each phrase under its rarest word."""
-    df = words.groupBy("w").agg(F.count("*").alias("f"))
-    w = a.select("id", "toks", F.explode("toks").alias("w")).join(df, "w", "left")
-    return w.groupBy("id").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w", "toks")).alias("m")).select("id", F.col("m.w").alias("w"), F.col("m.toks").alias("toks"))
+def contained(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, other): phrases of a (id, toks) whose words all stand in a phrase of b.
 
+    Words are put in one order, the rarest of b first, so phrases of a form a prefix tree, of which two levels are walked by a join
+    each: a word of b that begins a phrase of a, then a later word that goes on in it. Only keys and ids meet; a word that half of
+    b holds comes late in every phrase and is met under its rare first word alone, unless a phrase is nothing but that word. What
+    is longer than two words is compared in whole.
+    """
+    often = b.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
 
-def contained(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id, other): phrases of a (id, toks) whose words all stand in a phrase of b; met by the rarest word only."""
-    words = b.select(F.col("id").alias("other"), F.col("toks").alias("btoks"), F.explode("toks").alias("w"))
-    key = _rarest(a, words.select("w"))
-    return key.join(words, "w").where(F.size(F.array_except("toks", "btoks")) == 0).select("id", "other").distinct()
+    def ordered(d: DataFrame) -> DataFrame:
+        w = d.select("id", F.explode("toks").alias("w")).join(often, "w", "left")
+        return landed(w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("r")).select("id", F.col("r.w").alias("r"), F.get("r.f", F.lit(0)).alias("least")), "ordered-words")
+
+    phrases = ordered(a).where("least > 0").select("id", F.get("r", F.lit(0)).alias("w1"), F.get("r", F.lit(1)).alias("w2"), F.col("r").alias("ra"))
+    held = ordered(b).select(F.col("id").alias("other"), F.col("r").alias("rb"))
+    begun = held.select("other", F.posexplode("rb").alias("i", "w1"), "rb").select("other", "w1", F.slice("rb", F.col("i") + 2, F.size("rb")).alias("later"))
+    begun = begun.join(phrases.select("w1").distinct(), "w1")
+    one = begun.join(phrases.where("w2 is null").select("id", "w1"), "w1").select("id", "other")
+    on = begun.select("other", "w1", F.explode("later").alias("w2")).join(phrases.where("w2 is not null").select("id", "w1", "w2", F.size("ra").alias("n")), ["w1", "w2"])
+    long = on.where("n > 2").select("id", "other").join(phrases.select("id", "ra"), "id").join(held, "other").where(F.size(F.array_except("ra", "rb")) == 0)
+    return one.unionByName(on.where("n = 2").select("id", "other")).unionByName(long.select("id", "other"))
 
 
 def tokens(c: Column | str) -> Column:
@@ -69,9 +80,9 @@ def nested_query_guard(phrases: DataFrame) -> DataFrame:
 
 
 def visibility_aggregate(v: DataFrame) -> DataFrame:
-    """Sums, mean position, sorted distinct URLs and queries of each cluster."""
+    """Sums, mean position, sorted distinct URLs and queries of each cluster, over the rows that lack no field."""
     names = lambda c: F.sort_array(F.collect_set(c))
-    return v.groupBy("cluster_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.avg("position").alias("position"), names("query").alias("queries"), names("url").alias("urls"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
+    return v.dropna(subset=["query", "cluster_id", "url", "impressions", "clicks", "position"]).groupBy("cluster_id").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.avg("position").alias("position"), names("query").alias("queries"), names("url").alias("urls"), ratio(F.sum("clicks"), F.sum("impressions")).alias("ctr"))
 
 
 #: Signals of a rising and of a falling market.
@@ -417,10 +428,76 @@ def web_vitals_band(vitals: DataFrame) -> DataFrame:
     return g.withColumn("good", reduce(lambda a, b: a & b, [F.col(m) < v for m, v in limit.items()]))
 
 
-def refresh_plan(campaigns: DataFrame, demand: DataFrame, as_of: str) -> DataFrame:
-    """(kind, id): campaigns last seen at D+1 or D+3 that are 7 days old, sources with gaps, demand seen 28 days ago or earlier."""
-    age = lambda c: F.date_diff(F.lit(as_of).cast("date"), c)
-    a = campaigns.where((age("sent_on") >= 7) & F.col("window").isin("D+1", "D+3")).select(F.lit("campaign").alias("kind"), F.col("campaign_id").alias("id"))
-    b = campaigns.where("source_gap").select(F.lit("source_gap").alias("kind"), F.col("campaign_id").alias("id"))
-    c = demand.where(age("observed_on") >= 28).select(F.lit("demand").alias("kind"), F.col("cluster_id").alias("id"))
-    return a.unionByName(b).unionByName(c)
+#: States of a source that ask for it again, windows that are not final, states of an experiment that is open.
+GAPS, EARLY, OPEN = ["missing", "partial"], ["D+1", "D+3"], ["planned", "running", "awaiting_result"]
+
+
+def refresh_plan(baselines: DataFrame, campaigns: DataFrame, demand: DataFrame, experiments: DataFrame, drafts: DataFrame, as_of: str) -> DataFrame:
+    """(kind, id, detail, age_days) of what is to be fetched or known before the next run:
+
+    source_gap: each source of a baseline or campaign that is missing or partial, with its state; mature_campaign: campaigns last
+    seen at D+1 or D+3 that were sent 7 days ago or earlier; demand_refresh: phrase and region observed 28 days ago or earlier;
+    previous_experiment: the last open one, by its position; known_draft: keys of drafts that exist.
+
+    baselines: snapshot_id, source_status (map). campaigns: campaign_id, observation_window, sent_at, source_status. demand: phrase,
+    region, observed_at. experiments: experiment_id, status, position. drafts: draft_key.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    age = lambda c: F.round((F.unix_micros(now) - F.unix_micros(F.col(c).cast("timestamp"))) / 86_400_000_000, 2)
+    row = lambda d, kind, i, detail, old=None: d.select(F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), detail.cast("string").alias("detail"), (age(old) if old else F.lit(None).cast("double")).alias("age_days"))
+    states = lambda d, i: d.select(F.col(i).alias("id"), F.explode("source_status").alias("source", "state")).where(F.col("state").isin(GAPS))
+    gaps = states(baselines, "snapshot_id").unionByName(states(campaigns, "campaign_id"))
+    days = lambda c, n: F.unix_micros(now) - F.unix_micros(F.col(c).cast("timestamp")) >= n * 86_400_000_000
+    last = experiments.where(F.col("status").isin(OPEN)).agg(F.max_by("experiment_id", "position").alias("id"), F.max_by("status", "position").alias("status")).where("id is not null")
+    out = row(gaps, "source_gap", "id", F.concat_ws(":", "source", "state"))
+    out = out.unionByName(row(campaigns.where(F.col("observation_window").isin(EARLY) & days("sent_at", 7)), "mature_campaign", "campaign_id", F.lit("D+7"), "sent_at"))
+    out = out.unionByName(row(demand.where(days("observed_at", 28)), "demand_refresh", "phrase", F.col("region"), "observed_at"))
+    return out.unionByName(row(last, "previous_experiment", "id", F.col("status"))).unionByName(row(drafts, "known_draft", "draft_key", F.lit(None)))
+
+
+#: The lists of a pipeline state and what names an item of each.
+LIST_KEYS = {
+    "baseline_snapshots": ["snapshot_id"],
+    "campaign_observations": ["campaign_id", "observation_window", "as_of"],
+    "link_snapshots": ["snapshot_id"],
+    "web_analytics_snapshots": ["snapshot_id"],
+    "crm_snapshots": ["snapshot_id"],
+    "wordstat_observations": ["phrase", "region", "observed_at"],
+    "content_registry": ["canonical_url"],
+    "recommendations": ["recommendation_id"],
+    "experiments": ["experiment_id"],
+    "draft_registry": ["draft_key"],
+    "run_history": ["run_id"],
+}
+
+
+def state_lists_merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All lists of a state at once: items (list, item: map of field to text) of old and new, merged by the key fields of their
+    list. A field that new does not have, or has as null, keeps what is stored; the draft registry has rules of its own, see
+    draft_state_merge. Unknown lists, items without a key field and repeated keys of one side are errors.
+    """
+    names = F.create_map(*[x for name, fields in LIST_KEYS.items() for x in (F.lit(name), F.array(*map(F.lit, fields)))])
+
+    def keyed(d: DataFrame, side: str) -> DataFrame:
+        fields = F.transform(F.try_element_at(names, F.col("list")), lambda f: F.try_element_at(F.col("item"), f))
+        k = landed(d.select("list", fields.alias("key"), F.map_filter("item", lambda _, x: x.isNotNull()).alias("item")), f"state-{side}")
+        if k.where(F.col("key").isNull() | F.exists("key", lambda x: x.isNull())).take(1):
+            raise ValueError(f"{side}: an unknown list, or an item without its key")
+        if k.groupBy("list", "key").count().where("count > 1").take(1):
+            raise ValueError(f"{side}: repeated keys")
+        return k.select("list", "key", F.col("item").alias(side))
+
+    both = keyed(old, "old").join(keyed(new, "new"), ["list", "key"], "full")
+    draft, field = F.col("list") == "draft_registry", lambda side, f: F.try_element_at(F.col(side), F.lit(f))
+    blank = F.lower(F.trim(field("new", "message_id"))).isin(NO_ID)
+    kept_id = draft & field("old", "message_id").isNotNull() & (field("old", "message_id") != "") & F.coalesce(blank, F.lit(True))
+    clash = draft & (field("old", "message_id") != "") & ~F.coalesce(blank, F.lit(True)) & (field("old", "message_id") != field("new", "message_id"))
+    if both.where(clash).take(1):
+        raise ValueError("a draft has two message ids")
+    kept_state = draft & field("old", "status").isin(SETTLED) & field("new", "status").isin(UNSETTLED)
+    counts = lambda f: ~(F.coalesce(kept_id, F.lit(False)) & (f == "message_id")) & ~(F.coalesce(kept_state, F.lit(False)) & (f == "status"))
+    none = F.create_map().cast("map<string,string>")
+    fresh = F.map_filter(F.coalesce("new", none), lambda f, _: counts(f))
+    stays = F.map_filter(F.coalesce("old", none), lambda f, _: ~F.map_contains_key(fresh, f))
+    return both.select("list", "key", F.map_concat(stays, fresh).alias("item"))
+

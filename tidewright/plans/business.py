@@ -273,12 +273,19 @@ def _(v):
     return M.nested_query_guard(p)
 
 
-AGG = "SELECT cluster_id, SUM(impressions) AS impressions, SUM(clicks) AS clicks, AVG(position) AS position, STRING_AGG(DISTINCT query, '|' ORDER BY query) AS queries, STRING_AGG(DISTINCT url, '|' ORDER BY url) AS urls, SUM(clicks) * 1.0 / SUM(impressions) AS ctr FROM visibility GROUP BY cluster_id"
+AGG = "SELECT cluster_id, SUM(impressions) AS impressions, SUM(clicks) AS clicks, AVG(position) AS position, STRING_AGG(DISTINCT query, '|' ORDER BY query) AS queries, STRING_AGG(DISTINCT url, '|' ORDER BY url) AS urls, SUM(clicks) * 1.0 / SUM(impressions) AS ctr FROM visibility WHERE position % 7 <> 0 AND impressions % 11 <> 0 GROUP BY cluster_id"
+
+
+def lacking(v):
+    """Some rows of visibility without a position, some without a URL."""
+    position, url = F.when(F.col("position") % 7 != 0, F.col("position")), F.when(F.col("impressions") % 11 != 0, F.col("url"))
+    return v.visibility.withColumn("position", position).withColumn("url", url)
+
 
 
 @query("visibility_aggregate", f"SELECT cluster_id, impressions, clicks, ROUND(position, 4) AS position, queries, urls, ROUND(ctr, 4) AS ctr FROM ({AGG})")
 def _(v):
-    a = M.visibility_aggregate(v.visibility)
+    a = M.visibility_aggregate(lacking(v))
     return rounded(a.withColumns({c: F.array_join(c, "|") for c in ("queries", "urls")}))
 
 
@@ -289,7 +296,7 @@ ACTION = f"CASE WHEN COALESCE(impressions, 0) = 0 THEN CASE WHEN signal IN {UPS}
 @query("visibility_merge", f"WITH {SIGNAL}, va AS ({AGG}), cv AS (SELECT *, CASE WHEN cluster_id LIKE '%3' THEN 'covered' ELSE 'partial' END AS cov FROM sg2) SELECT cv.cluster_id, signal, impressions, ROUND(ctr, 4) AS ctr, {ACTION} AS action FROM cv LEFT JOIN va ON cv.cluster_id = va.cluster_id AND cv.cluster_id <> 'Brand#2'")
 def _(v):
     t = frame(v).withColumn("coverage_status", F.when(F.col("cluster_id").like("%3"), "covered").otherwise("partial"))
-    return rounded(M.visibility_merge(t, v.visibility.where("cluster_id <> 'Brand#2'")).select("cluster_id", "signal", "impressions", "ctr", "action"))
+    return rounded(M.visibility_merge(t, lacking(v).where("cluster_id <> 'Brand#2'")).select("cluster_id", "signal", "impressions", "ctr", "action"))
 
 
 SHOWN = "SELECT query, url, position, clicks, CASE WHEN position % 5 = 0 THEN NULL WHEN position % 5 = 1 THEN 0 ELSE impressions END AS impressions, CASE position % 4 WHEN 0 THEN 'growing' WHEN 1 THEN 'declining' WHEN 2 THEN 'seasonal_rise' ELSE 'breakout' END AS signal, CASE position % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'partial' ELSE 'covered' END AS cov FROM visibility"
@@ -509,10 +516,38 @@ def _(v):
     return M.web_vitals_band(v.events.select((F.col("user_id") % 20).alias("host"), (F.col("value") / 10).alias("lcp"), (F.col("value") * 6).alias("inp"), (F.col("value") / 300).alias("cls"), (F.col("value") * 20).alias("ttfb")))
 
 
-@query("refresh_plan", "SELECT 'campaign' AS kind, campaign_id AS id FROM email_campaigns WHERE DATE '2024-01-25' - sent_on >= 7 AND sent % 2 = 0 UNION ALL SELECT 'source_gap', campaign_id FROM email_campaigns WHERE sessions IS NULL UNION ALL SELECT 'demand', cluster_id FROM demand_monthly GROUP BY cluster_id")
+STATUS = "CASE WHEN {c} % 3 = 0 THEN 'missing' WHEN {c} % 3 = 1 THEN 'partial' ELSE 'complete' END"
+PLAN = {
+    "source_gap": f"SELECT 'source_gap' AS kind, campaign_id AS id, CONCAT('crm:', {STATUS.format(c='sent')}) AS detail, CAST(NULL AS DOUBLE) AS age_days FROM email_campaigns WHERE sent % 3 < 2 UNION ALL SELECT 'source_gap', CONCAT('s', CAST(c_custkey AS STRING)), CONCAT('web:', {STATUS.format(c='c_custkey')}), NULL FROM {{customer}} WHERE c_custkey % 3 < 2",
+    "mature_campaign": "SELECT 'mature_campaign', campaign_id, 'D+7', CAST(DATE '2024-01-25' - sent_on AS DOUBLE) FROM email_campaigns WHERE DATE '2024-01-25' - sent_on >= 7 AND sent % 2 = 0",
+    "demand_refresh": "SELECT 'demand_refresh', cluster_id, 'r1', CAST(DATE '2024-01-25' - MAX(month) AS DOUBLE) FROM demand_monthly GROUP BY cluster_id HAVING DATE '2024-01-25' - MAX(month) >= 28",
+    "previous_experiment": "SELECT 'previous_experiment', CAST(MAX(o_orderkey) AS STRING), 'running', NULL FROM {orders} WHERE o_orderstatus = 'O'",
+    "known_draft": "SELECT 'known_draft', CAST(page_id AS STRING), NULL, NULL FROM {pages}",
+}
+
+
+@query("refresh_plan", " UNION ALL ".join(PLAN.values()))
+def _(v):
+    status = lambda c: F.when(c % 3 == 0, "missing").when(c % 3 == 1, "partial").otherwise("complete")
+    campaigns = v.email_campaigns.select("campaign_id", F.col("sent_on").alias("sent_at"), F.when(F.col("sent") % 2 == 0, "D+3").otherwise("D+7").alias("observation_window"), F.create_map(F.lit("crm"), status(F.col("sent"))).alias("source_status"))
+    baselines = v.customer.select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("snapshot_id"), F.create_map(F.lit("web"), status(F.col("c_custkey"))).alias("source_status"))
+    demand = v.demand_monthly.groupBy(F.col("cluster_id").alias("phrase")).agg(F.max("month").alias("observed_at")).withColumn("region", F.lit("r1"))
+    experiments = v.orders.select(F.col("o_orderkey").alias("experiment_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderkey").alias("position"))
+    return M.refresh_plan(baselines, campaigns, demand, experiments, v.pages.select(F.col("page_id").alias("draft_key")), "2024-01-25")
+
+
+LISTS = "[" + ", ".join(f"'{x}'" for x in M.LIST_KEYS) + "]"
+
+
+@query("state_lists_merge", f"WITH o AS (SELECT {LISTS}[1 + CAST(c_custkey % 11 AS INT)] AS list, c_custkey AS k, c_mktsegment AS status, c_name AS name FROM {{customer}} WHERE c_custkey % 3 < 2), n AS (SELECT {LISTS}[1 + CAST(c_custkey % 11 AS INT)] AS list, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'new' END AS status, CONCAT('p', c_name) AS phone FROM {{customer}} WHERE c_custkey % 3 > 0) SELECT COALESCE(o.list, n.list) AS list, COALESCE(o.k, n.k) AS k, COALESCE(n.status, o.status) AS status, name, phone FROM o FULL JOIN n ON o.list = n.list AND o.k = n.k")
 def _(v):
-    c = v.email_campaigns.select("campaign_id", "sent_on", F.when(F.col("sent") % 2 == 0, "D+3").otherwise("D+7").alias("window"), F.col("sessions").isNull().alias("source_gap"))
-    return M.refresh_plan(c, v.demand_monthly.groupBy("cluster_id").agg(F.max("month").alias("observed_on")), "2024-01-25")
+    fields = sorted({f for fs in M.LIST_KEYS.values() for f in fs})
+    name = F.element_at(F.array(*map(F.lit, M.LIST_KEYS)), (F.col("c_custkey") % 11 + 1).cast("int")).alias("list")
+    item = lambda *more: F.create_map(*[x for f in fields for x in (F.lit(f), F.col("c_custkey").cast("string"))], *more).alias("item")
+    old = v.customer.where("c_custkey % 3 < 2").select(name, item(F.lit("status"), F.col("c_mktsegment"), F.lit("name"), F.col("c_name")))
+    new = v.customer.where("c_custkey % 3 > 0").select(name, item(F.lit("status"), F.when(F.col("c_custkey") % 5 != 0, "new"), F.lit("phone"), F.concat(F.lit("p"), F.col("c_name"))))
+    one = lambda f: F.try_element_at("item", F.lit(f))
+    return M.state_lists_merge(old, new).select("list", F.get("key", F.lit(0)).cast("long").alias("k"), one("status").alias("status"), one("name").alias("name"), one("phone").alias("phone"))
 
 
 @query("coerce_number", "SELECT page_id, COALESCE(TRY_CAST(CASE WHEN page_id % 4 = 0 THEN '--' WHEN page_id % 4 = 1 THEN '' WHEN page_id % 4 = 2 THEN CAST(page_id AS STRING) ELSE 'n/a' END AS DOUBLE), 0.0) AS x FROM {pages}")

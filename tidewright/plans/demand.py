@@ -212,6 +212,23 @@ def _(v):
     return rounded(P.change_points(cal(v), days.withColumn("event", F.lit("month opens")), 2.5))
 
 
+STEP = "GREATEST(0.0, c.{k} + {g})"
+GAIN = {"level_up": "n.z - 0.5", "level_down": "-n.z - 0.5", "variance": "(SQRT(ABS(n.z)) - 0.822) / 0.349 - 0.5"}
+TOTAL = {k: STEP.format(k=k, g=g) for k, g in GAIN.items()}
+
+
+@query(
+    "drift_points",
+    f"WITH RECURSIVE {CAL}, md AS (SELECT DAYOFWEEK(date) AS wd, MEDIAN(actual) AS m FROM cal GROUP BY 1), r AS (SELECT date, actual - m AS residual FROM cal JOIN md ON DAYOFWEEK(date) = wd), "
+    "k AS (SELECT MEDIAN(ABS(residual)) AS mad FROM r), n AS (SELECT date, 0.6745 * residual / mad AS z, ROW_NUMBER() OVER (ORDER BY date) AS i FROM r, k WHERE mad > 0), "
+    "c AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS date, " + ", ".join(f"CAST(0.0 AS DOUBLE) AS {k}, CAST(NULL AS DATE) AS {k}_since, FALSE AS {k}_hit, CAST(NULL AS DATE) AS {k}_from" for k in GAIN)
+    + " UNION ALL SELECT n.i, n.date, " + ", ".join(f"CASE WHEN {t} > 5.0 THEN 0.0 ELSE {t} END, CASE WHEN {t} > 0 AND {t} <= 5.0 THEN COALESCE(c.{k}_since, n.date) END, {t} > 5.0, COALESCE(c.{k}_since, n.date)" for k, t in TOTAL.items())
+    + " FROM c JOIN n ON n.i = c.i + 1) " + " UNION ALL ".join(f"SELECT date, '{k}' AS kind, {k}_from AS since FROM c WHERE {k}_hit" for k in GAIN),
+)
+def _(v):
+    return P.drift_points(cal(v))
+
+
 ACT = """act AS (SELECT CAST(s_suppkey AS STRING) AS id, CAST(DATE '1998-06-30' + CAST(s_suppkey % 20 AS INT) AS DATE) AS start_date, CAST(s_suppkey % 5 AS INT) AS lag_days, s_acctbal / 100 AS impact_cap, 0.5 + (s_suppkey % 5) * 0.1 AS completion_probability, 0.8 AS outcome_probability, CASE WHEN s_suppkey % 4 = 0 THEN 0.7 ELSE 1.0 END AS overlap_discount, n_name AS interaction_group FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal > 0)"""
 RAMP = ACT + ", d30 AS (SELECT CAST(UNNEST(generate_series(DATE '1998-07-01', DATE '1998-07-30', INTERVAL 1 DAY)) AS DATE) AS date), ip AS (SELECT id, date, CASE WHEN date >= start_date + lag_days THEN impact_cap * completion_probability * outcome_probability * overlap_discount ELSE 0.0 END AS impact FROM act, d30)"
 

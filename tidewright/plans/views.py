@@ -61,7 +61,8 @@ def with_views(sql: str, tables: dict[str, str]) -> str:
     body = sql.strip()
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in need)
     if need:
-        body = f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
+        again = "RECURSIVE " if body[:15].upper() == "WITH RECURSIVE " else ""
+        body = f"WITH {again}{ctes}, {body[5 + len(again) :]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
     for t in TABLES:
         body = body.replace("{" + t + "}", tables[t])
     return body
