@@ -66,6 +66,40 @@ def test_large_bucket_of_unlike_and_like_texts(spark):
     assert stay == [0, *range(90, 150)]
 
 
+def test_recall_inside_large_buckets(spark):
+    """A crowd around one text, its members edited more or less, so that links run across groups: of the pairs of .8 and more nearly
+    all end in one component, and nothing else does that brute force keeps apart."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for at in rnd.sample(range(300), rnd.choice([2, 5, 8, 11, 14])):
+            own[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(own), "x"))
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for _, t, _ in rows]
+    linked = [(i, j) for i in range(240) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = spark.createDataFrame([(i, i, t.encode()) for i, t, _ in rows], "doc_id long, th long, text binary")
+    nodes = prints.mapInArrow(nearcopies._prints(5), "doc_id long, th long, node long, n int, keys array<long>, sketch array<long>").cache()
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    whole = prints.join(nodes.select("doc_id", "node"), "doc_id").select("node", "text").mapInArrow(nearcopies._sets(5), "node long, h array<long>").cache()
+    found, _ = nearcopies.links(nodes, lambda some: whole.join(some, "node"), 0.8)
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    edges = {tuple(sorted((of[r.a], of[r.b]))) for r in found.collect()}
+    assert edges <= {(j, i) for i, j in linked}
+    for a, b in edges:
+        root[find(a)] = find(b)
+    joined = sum(find(i) == find(j) for i, j in linked) / len(linked)
+    print(f"{len(linked)} near pairs in one crowd, {joined:.3f} of them in one component, {len(edges)} links")
+    assert joined >= 0.9
+
+
 def test_empty_table(spark):
     assert kept(spark, []) == []
 
