@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,14 +142,18 @@ def hypothesis_rules(funnel: DataFrame, metric: str) -> DataFrame:
     return fallen.select(F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("no_driver_isolated")))).alias("hypothesis"))
 
 
-def diagnosis_record(current: DataFrame, previous: DataFrame, now: DataFrame, before: DataFrame, metric: str, complete: bool) -> DataFrame:
-    """One row that holds funnel, confirmed causes, drivers (only if the data are complete) and hypotheses."""
+def diagnosis_record(current: DataFrame, previous: DataFrame, now: DataFrame, before: DataFrame, metric: str, complete: bool, most: int = 20) -> DataFrame:
+    """One row that holds funnel, confirmed causes, drivers (only if the data are complete) and hypotheses. Of the causes it names
+    the `most` with the most rows, of the drivers the first `most`, and the number of all beside them."""
     funnel = funnel_compare(current, previous, now, before)
-    rows = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
     drivers = likely_drivers(current, previous, metric) if complete else likely_drivers(current, previous, metric).limit(0)
     causes = confirmed_causes(current)
-    out = rows(funnel, "funnel").join(rows(causes, "confirmed_causes")).join(rows(drivers, "likely_drivers")).join(rows(hypothesis_rules(funnel, metric), "hypotheses"))
-    level = F.when(F.lit(not complete), "low").when(F.size("confirmed_causes") > 0, "high").otherwise("medium")
+    rows = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+    top = causes.orderBy(F.col("rows").desc(), "campaign", "CampaignStatus").limit(most)
+    named = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("rows")).alias("o"), F.struct("campaign", "CampaignStatus", "rows").alias("x")))).alias("c")).select(F.col("c.x").alias("confirmed_causes"))
+    parts = [rows(funnel, "funnel"), named, causes.agg(F.count("*").alias("causes")), rows(drivers.limit(most), "likely_drivers"), rows(hypothesis_rules(funnel, metric), "hypotheses")]
+    out = reduce(lambda a, b: a.join(b), parts)  # one row each
+    level = F.when(F.lit(not complete), "low").when(F.col("causes") > 0, "high").otherwise("medium")
     return out.select(F.lit(metric).alias("metric"), F.lit(complete).alias("complete"), "*", level.alias("confidence"))
 
 

@@ -59,14 +59,17 @@ def claim_evidence_link(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def _traits(text: str) -> Column:
-    """What claims and quotes are compared by: words of four letters and more, numbers, years, names; and the flat text."""
+    """What claims and quotes are compared by: words of four letters and more, numbers, years, names, as hashes of 64 bits; and the
+    flat text."""
     found = lambda c, pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
     c = F.col(text)
+    names = F.array_except(found(c, r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.array(*[F.lit(s) for s in STOP_ENTITIES]))
+    short = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
     return F.struct(
-        found(F.lower(c), r"(?<![\p{L}\p{N}_])[\p{L}]{4,}(?![\p{L}\p{N}_])").alias("words"),
-        found(c, r"(?U)\b\d+(?:\.\d+)?(?:%|x|X)?\b").alias("numbers"),
-        found(c, r"(?U)\b(?:19|20)\d{2}\b").alias("years"),
-        F.array_except(found(c, r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), F.array(*[F.lit(s) for s in STOP_ENTITIES])).alias("names"),
+        short(found(F.lower(c), r"(?<![\p{L}\p{N}_])[\p{L}]{4,}(?![\p{L}\p{N}_])")).alias("words"),
+        short(found(c, r"(?U)\b\d+(?:\.\d+)?(?:%|x|X)?\b")).alias("numbers"),
+        short(found(c, r"(?U)\b(?:19|20)\d{2}\b")).alias("years"),
+        short(names).alias("names"),
         F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))).alias("flat"),
     )
 
@@ -77,15 +80,21 @@ def support_score(claim: Column, quote: Column) -> Column:
     return 0.4 * share("words", 0.0) + 0.25 * share("numbers", 1.0) + 0.15 * share("years", 1.0) + 0.2 * share("names", 1.0)
 
 
+#: Quotes that are sent to all tasks; beyond it they are joined by id.
+FEW_QUOTES = 20_000
+
+
 def claim_support(claims: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, claim_type, support_status, score): a literal quote supports; else the best score decides partial or needs_review;
     without links a speculation stands and everything else is unsupported. Likeness alone never supports.
 
-    links has (claim_id, evidence_id). The texts are taken apart once for each claim and quote, not for each link.
+    links has (claim_id, evidence_id). The texts are taken apart once for each claim and quote, not for each link; links are dealt by
+    claim and carry ids alone, and up to FEW_QUOTES quotes are sent to all tasks, so that pairs are scored where they meet.
     """
-    quotes = evidence.select("evidence_id", _traits("quote").alias("q"))
+    quotes = landed(evidence.select("evidence_id", _traits("quote").alias("q")), "quotes")
     c = claims.select("claim_id", "claim_type", _traits("text").alias("c"))
-    j = c.join(links.join(quotes, "evidence_id"), "claim_id", "left")
+    few = quotes.count() <= FEW_QUOTES
+    j = c.join(links, "claim_id", "left").join(F.broadcast(quotes) if few else quotes, "evidence_id", "left")
     literal = F.coalesce((F.col("c.flat") == F.col("q.flat")) & (F.col("c.flat") != ""), F.lit(False))
     g = j.groupBy("claim_id", "claim_type").agg(F.count("q").alias("n"), F.bool_or(literal).alias("lit"), F.max(F.when(F.col("q").isNotNull(), support_score(F.col("c"), F.col("q")))).alias("s"))
     status = F.when(F.col("n") == 0, F.when(F.col("claim_type") == "speculation", "supported").otherwise("unsupported")).when(F.col("lit"), "supported").when(F.col("s") >= 0.35, "partial").otherwise("needs_review")
