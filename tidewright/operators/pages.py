@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewright.functions.storage import landed
+
 SKIPPED, VOID = {"script", "style", "nav", "footer", "header"}, {"meta", "link", "img", "br", "hr", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 SCHEMA = """page_id long, url string, title string, description string, viewport string, canonical string, robots string, lang string, favicon string,
  hreflang array<struct<lang: string, href: string>>, og map<string, string>, twitter map<string, string>, headings array<struct<level: int, text: string>>,
@@ -274,29 +276,44 @@ def _best(g: DataFrame, by: list[str], k: int) -> DataFrame:
     return g.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("shared").desc(), "target"))).where(F.col("_r") <= k).drop("_r")
 
 
+#: Frequent words of a page whose subsets are keys; pages of more are met by each of their frequent words.
+WIDE = 10
+
+
+def _first(keys: DataFrame, n: int, salts: int = 64) -> DataFrame:
+    """(host, key, target): the n least pages of each key; first of its parts, so that no key is one task's."""
+    least = lambda d, *by: d.withColumn("_r", F.row_number().over(Window.partitionBy("host", "key", *by).orderBy("page_id"))).where(F.col("_r") <= n).drop("_r")
+    parts = least(keys.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts))), "_salt")
+    return least(parts).select("host", "key", F.col("page_id").alias("target"))
+
+
 def link_candidates(pages: DataFrame, k: int = 6, common: int = 500) -> DataFrame:
     """(page_id, target, shared): up to k other pages of the host, of status 200 or 403 and ASCII address, by shared title words.
 
-    Words that at most `common` pages of a host have meet by a join. The others are few; pages with the same set of them are
-    one class, classes are compared instead of pages, and the k + 1 best pages of each class's neighbours are candidates as
-    well: a page that shares only such words with another cannot be among its k best without being among these.
+    Words that at most `common` pages of a host have meet by a join. The others, a few of each page, are the page's frequent words:
+    every set of them is a key under which each host keeps its first k + 1 targets only. Of the pages that share just frequent words
+    with a page, one that is among its k best stands among the first k + 1 of the set of words they share: all before it there share
+    as much at least. So each page looks at the keys of its own sets, and no two pages meet otherwise. A page of more than WIDE
+    frequent words has too many sets; it is met by each of its frequent words, whether it looks or is looked for.
     pages: page_id, url, status, tokens.
     """
-    words = pages.select("page_id", "url", "status", host("url").alias("host"), F.array_distinct("tokens").alias("tokens"))
+    words = landed(pages.select("page_id", "url", "status", host("url").alias("host"), F.array_distinct("tokens").alias("tokens")), "page-words")
     w = words.select("page_id", "host", F.explode("tokens").alias("w"))
-    count = w.groupBy("host", "w").agg(F.count("*").alias("n"))
+    count = landed(w.groupBy("host", "w").agg(F.count("*").alias("n")), "page-word-counts")
     target = words.where(F.col("status").isin(200, 403) & F.col("url").rlike(r"^[\x21-\x7e]+$")).select(F.col("page_id").alias("target"), F.col("tokens").alias("theirs"))
     rare = w.join(count.where(F.col("n").between(2, common)).select("host", "w"), ["host", "w"])
-    met = rare.join(rare.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).where("page_id <> target").select("page_id", "target").distinct()
-
-    hot = w.join(count.where(F.col("n") > common).select("host", "w"), ["host", "w"]).groupBy("host", "page_id").agg(F.sort_array(F.collect_list("w")).alias("hot"))
-    classes = hot.select("host", "hot").distinct()
-    one = classes.select("host", "hot", F.explode("hot").alias("w"))
-    shared = one.join(one.select("host", "w", F.col("hot").alias("other")), ["host", "w"]).groupBy("host", "hot", "other").agg(F.count("*").alias("shared"))
-    members = hot.join(target.select(F.col("target").alias("page_id")), "page_id").select("host", F.col("hot").alias("other"), F.col("page_id").alias("target"), F.lit(0).alias("shared"))
-    members = _best(members, ["host", "other"], k + 1).drop("shared")
-    near = _best(shared.join(members, ["host", "other"]).select("host", "hot", "target", "shared"), ["host", "hot"], k + 1)
-    met = met.unionByName(hot.join(near, ["host", "hot"]).where("page_id <> target").select("page_id", "target")).distinct()
+    met = rare.join(rare.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).select("page_id", "target")
+
+    often = w.join(count.where(F.col("n") > common).select("host", "w"), ["host", "w"])
+    hot = landed(often.groupBy("host", "page_id").agg(F.sort_array(F.collect_list("w")).alias("hot")), "page-frequent-words")
+    chosen = lambda m: F.array(*[F.when(m.bitwiseAND(1 << i) != 0, F.get("hot", F.lit(i))) for i in range(WIDE)])
+    sets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("hot")).cast("int") - 1), lambda m: F.array_join(chosen(m), "\u0001"))
+    keys = hot.where(F.size("hot") <= WIDE).select("host", "page_id", F.explode(sets).alias("key"))
+    first = _first(keys.join(target.select(F.col("target").alias("page_id")), "page_id"), k + 1)
+    met = met.unionByName(keys.join(first, ["host", "key"]).select("page_id", "target"))
+    wide = hot.where(F.size("hot") > WIDE).select("host", "page_id", F.explode("hot").alias("w"))
+    across = wide.join(often.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).select("page_id", "target")
+    met = met.unionByName(across).unionByName(across.select(F.col("target").alias("page_id"), F.col("page_id").alias("target"))).where("page_id <> target").distinct()
 
     both = met.join(words.select("page_id", "tokens"), "page_id").join(target, "target")
     return _best(both.select("page_id", "target", F.size(F.array_intersect("tokens", "theirs")).cast("long").alias("shared")), ["page_id"], k)
