@@ -153,6 +153,29 @@ def test_hot_words_bring_few_together(spark):
         assert T.candidates(df, df, threshold).where("id_a < id_b").count() <= 4 * len(want) + 5000
 
 
+def test_many_terms(spark):
+    """5,000 terms, overlapping and nested ones among them, and the same by plain expressions."""
+    from tidewright.functions import terms
+
+    rnd = random.Random(3)
+    some = ["".join(rnd.choices("abc", k=rnd.randrange(1, 9))) for _ in range(5000)] + ["", "é"]
+    texts = [None, "", *("".join(rnd.choices("abcdé ", k=60)) for _ in range(50))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: list(r.x) for r in df.select("id", terms.terms_in(spark, F.col("t"), some).alias("x")).collect()}
+    want = {i: [k for k, x in enumerate(some) if x and x in (t or "") and some.index(x) == k] for i, t in enumerate(texts)}
+    assert got == want
+    few = [x for x in some[:9] if x]
+    got = {r.id: [few[k] for k in r.x or []] for r in df.select("id", terms.terms_in(spark, F.col("t"), few).alias("x")).collect()}
+    assert got == {i: [x for x in dict.fromkeys(few) if x in (t or "")] for i, t in enumerate(texts)}
+
+
+def test_rules_of_three_kinds(spark):
+    rules = [("e", "exact", "Small Ring")] + [(f"c{k}", "contains", f"x{k}") for k in range(60)] + [("d", "contains", "X7"), ("r", "regex", "^b.*t$")]
+    phrases = [(1, "small ring"), (2, "a small ring"), (3, "has X7 and x59"), (4, "boat"), (5, None)]
+    got = N.forbidden_theme_match(spark.createDataFrame(phrases, "phrase_id int, phrase string"), spark.createDataFrame(rules, "rule_id string, match_type string, pattern string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "e"), (3, "c7"), (3, "d"), (3, "c5"), (3, "c59"), (4, "r")}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     for f in (N.title_similarity_pairs, N.mention_score, N.topic_clusters, lambda d: N.batch_near_dedup(d, {})):

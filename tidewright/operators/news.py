@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.expr import keywords, normalize_title, short_sha, spaced_title
 from tidewright.functions.storage import landed
+from tidewright.functions.terms import terms_in
 from tidewright.operators import titles as titles_join
 from tidewright.operators.titles import jaccard_pairs
 
@@ -124,17 +125,19 @@ def entity_overlap(a: Column | str, b: Column | str, entities: list[str] | None
     return F.size(F.filter(e, lambda x: F.contains(a, x) & F.contains(b, x)))
 
 
-def entity_pairs(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
-    """(id_a, id_b, shared), id_a < id_b: titles that name at least `least` of the same entities, met by pairs of entities when
-    two are asked for, so that one common entity brings nobody together."""
-    e = F.array(*[F.lit(x) for x in (entities or KEY_ENTITIES)])
-    named = news.select("id", F.filter(e, lambda x: F.contains(F.lower("title"), x)).alias("e")).where(F.size("e") >= least)
-    keys = named.select("id", "e", F.explode("e").alias("k"))
-    if least > 1:
-        keys = keys.select("id", "e", "k", F.explode("e").alias("k2")).where("k < k2").withColumn("k", F.concat_ws("|", "k", "k2")).drop("k2")
-    other = keys.select(F.col("id").alias("id_b"), F.col("e").alias("eb"), "k")
-    both = keys.select(F.col("id").alias("id_a"), F.col("e").alias("ea"), "k").join(other, "k").where("id_a < id_b")
-    return both.select("id_a", "id_b", F.size(F.array_intersect("ea", "eb")).alias("shared")).distinct()
+def entity_sets(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
+    """(set_a, set_b, shared, titles_a, titles_b): the sets of entities that titles name, which share at least `least` of them, and how
+    many titles name each set; a set meets itself too. Titles are counted by set before sets meet, so an entity that every title
+    names is one row a set."""
+    names = entities or KEY_ENTITIES
+    at = terms_in(news.sparkSession, F.lower("title"), names)
+    named = F.array_sort(F.transform(at, lambda k: F.element_at(F.array(*[F.lit(x) for x in names]), k + 1)))
+    sets = landed(news.select(named.alias("e")).where(F.size("e") >= least).groupBy("e").agg(F.count("*").alias("n")), "entity-sets")
+    keys = sets.select("e", "n", F.explode("e").alias("k"))
+    met = keys.select(F.col("e").alias("ea"), F.col("n").alias("titles_a"), "k").join(keys.select(F.col("e").alias("eb"), F.col("n").alias("titles_b"), "k"), "k")
+    joined = met.groupBy("ea", "eb", "titles_a", "titles_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    out = joined.select(F.array_join("ea", "|").alias("set_a"), F.array_join("eb", "|").alias("set_b"), "shared", "titles_a", "titles_b")
+    return out.where("set_a <= set_b")
 
 
 def min_label(edges: DataFrame) -> DataFrame:
@@ -254,21 +257,36 @@ def cluster_score(clusters: DataFrame) -> DataFrame:
 
 
 def banned_topic_filter(news: DataFrame, banned: list[str]) -> DataFrame:
+    """News that name no banned topic, however many there are."""
     text = F.lower(F.concat_ws(" ", "title", "summary"))
-    return news.where(~F.exists(F.array(*[F.lit(b) for b in banned]), lambda w: F.contains(text, w)))
+    return news.where(F.size(terms_in(news.sparkSession, text, banned)) == 0)
+
+
+#: Rules that are sent to all tasks and applied as one automaton.
+MOST_RULES = 100_000
 
 
 def forbidden_theme_match(phrases: DataFrame, rules: DataFrame) -> DataFrame:
-    """(phrase_id, rule_id): rules(rule_id, match_type exact / contains / regex, pattern), a small table."""
-    p = F.lower("phrase")
-    hit = F.when(F.col("match_type") == "exact", p == F.lower("pattern")).when(F.col("match_type") == "contains", F.contains(p, F.lower("pattern"))).otherwise(F.regexp_like(p, F.col("pattern")))
-    return phrases.join(F.broadcast(rules), hit).select("phrase_id", "rule_id")
+    """(phrase_id, rule_id): rules(rule_id, match_type exact / contains / regex, pattern), MOST_RULES at most. Exact ones meet by a
+    join, contained ones in one pass over each phrase, regular expressions one by one."""
+    spark = phrases.sparkSession
+    p = phrases.select("phrase_id", F.lower("phrase").alias("_p"))
+    exact = p.join(rules.where("match_type = 'exact'").select("rule_id", F.lower("pattern").alias("_p")), "_p").select("phrase_id", "rule_id")
+    some = rules.where("match_type = 'contains' and pattern <> ''").select("rule_id", F.lower("pattern").alias("pattern")).limit(MOST_RULES + 1).collect()
+    if len(some) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    terms = sorted({r["pattern"] for r in some})
+    place = {t: k for k, t in enumerate(terms)}
+    of = spark.createDataFrame([(place[r["pattern"]], r["rule_id"]) for r in some], "_k int, rule_id string")
+    held = p.select("phrase_id", F.explode(terms_in(spark, F.col("_p"), terms)).alias("_k")).join(F.broadcast(of), "_k").select("phrase_id", "rule_id")
+    regex = p.join(F.broadcast(rules.where("match_type = 'regex'")), F.regexp_like(F.col("_p"), F.col("pattern"))).select("phrase_id", "rule_id")
+    return exact.unionByName(held).unionByName(regex)
 
 
 def text_filter_boost(news: DataFrame, keywords_: list[str], brands: list[str], needle: str = "") -> DataFrame:
     """News that contain the needle, with 3 for a priority keyword and 1.5 for a priority brand."""
     text = F.lower(F.concat_ws(" ", "title", "summary"))
-    any_ = lambda ws: F.exists(F.array(*[F.lit(w.lower()) for w in ws]), lambda w: F.contains(text, w))
+    any_ = lambda ws: F.size(terms_in(news.sparkSession, text, [w.lower() for w in ws])) > 0
     boost = F.when(any_(keywords_), 3.0).otherwise(0.0) + F.when(any_(brands), 1.5).otherwise(0.0)
     return news.where(F.contains(text, F.lit(needle.lower()))).withColumn("boost", boost)
 

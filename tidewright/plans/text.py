@@ -74,12 +74,12 @@ def _(v):
 
 
 NAMED = ["tion", "ment", "heit", "ción", "ness", "ing the"]
-HITS = " + ".join(f"CASE WHEN CONTAINS(LOWER(a.title), '{e}') AND CONTAINS(LOWER(b.title), '{e}') THEN 1 ELSE 0 END" for e in NAMED)
+NAMES = "[" + ", ".join(f"'{e}'" for e in NAMED) + "]"
 
 
-@query("entity_overlap", f"SELECT id_a, id_b, shared FROM (SELECT a.doc_id AS id_a, b.doc_id AS id_b, {HITS} AS shared FROM news a JOIN news b ON a.doc_id < b.doc_id) WHERE shared >= 3")
+@query("entity_overlap", f"WITH s AS (SELECT LIST_SORT(LIST_FILTER({NAMES}, lambda e: CONTAINS(LOWER(title), e))) AS e, COUNT(*) AS n FROM news GROUP BY 1), j AS (SELECT ARRAY_TO_STRING(a.e, '|') AS set_a, ARRAY_TO_STRING(b.e, '|') AS set_b, LEN(LIST_INTERSECT(a.e, b.e)) AS shared, a.n AS titles_a, b.n AS titles_b FROM s a, s b) SELECT * FROM j WHERE shared >= 2 AND set_a <= set_b")
 def _(v):
-    return N.entity_pairs(news(v), NAMED, 2).where("shared >= 3")
+    return N.entity_sets(news(v), NAMED)
 
 
 @query("batch_near_dedup")
