@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidewright.functions.storage import shared_path
 from tidewright.plans.ads import WEEKDAYS
 from tidewright.plans.registry import query
 from tidewright.sources import files as S
+from tidewright.sources.package import OBJECTS, PACKAGE, scan_nested_package
 from tidewright.streaming import jobs as J
 
 
@@ -118,9 +121,42 @@ def _(v):
     return S.scan_visibility_export(v.spark, csv=path).select("query", "url", "impressions", "clicks", "position")
 
 
-@query("scan_nested_package", "SELECT date, actual FROM daily_series")
+YEARS = "SELECT DISTINCT YEAR(date) AS y FROM daily_series"
+#: What a year's package holds of each list, as SQL that gives y for each item.
+ITEMS = {
+    "sources": f"SELECT y FROM ({YEARS}), {{{{region}}}}", "actual_series": "SELECT YEAR(date) AS y FROM daily_series", "adjustments_log": "SELECT YEAR(date) AS y FROM daily_series WHERE CAST(actual AS INT) % 5 = 0",
+    "events_calendar": "SELECT YEAR(date) AS y FROM daily_series WHERE DAY(date) = 1", "horizons": f"SELECT y FROM ({YEARS}), (VALUES (7), (30)) h(k)", "scenario_totals": f"SELECT y FROM ({YEARS}), (VALUES (7), (30)) h(k), (VALUES ('pessimistic'), ('base'), ('optimistic')) s(n)",
+    "uncertainty_totals": f"SELECT y FROM ({YEARS}), (VALUES (7), (30)) h(k)", "daily_forecast": "SELECT YEAR(date) AS y FROM daily_series WHERE MONTH(date) = 12", "drivers": f"SELECT y FROM ({YEARS}), {{{{nation}}}}",
+    "demand_signals": "SELECT YEAR(month) AS y FROM demand_monthly WHERE MONTH(month) = 6", "blockers": f"SELECT y FROM ({YEARS}), {{{{region}}}}", "actions": f"SELECT y FROM ({YEARS}), {{{{supplier}}}} WHERE s_suppkey % 9 = y % 9",
+    "business_registry": f"SELECT y FROM ({YEARS}), {{{{part}}}} WHERE p_partkey % 40 = y % 40", "hierarchical_forecasts": f"SELECT y FROM ({YEARS}), {{{{region}}}}",
+}
+ITEMS = {k: q.replace("{{", "{").replace("}}", "}") for k, q in ITEMS.items()}
+BAD = "SELECT y, 'actual_series' AS c FROM (SELECT YEAR(date) AS y, actual FROM daily_series) WHERE CAST(actual AS INT) % 7 = 3"
+FANNED = " UNION ALL ".join([*[f"SELECT y, '{k}' AS c FROM ({q})" for k, q in ITEMS.items()], *[f"SELECT y, '{k}' AS c FROM ({YEARS})" for k in OBJECTS]])
+
+
+@query("scan_nested_package", f"WITH a AS ({FANNED}), b AS ({BAD}), n AS (SELECT y, c, COUNT(*) AS n FROM a GROUP BY y, c), m AS (SELECT y, c, COUNT(*) AS m FROM b GROUP BY y, c) SELECT CAST(n.y AS STRING) AS run, n.c AS collection, n - COALESCE(m, 0) AS items, COALESCE(m, 0) AS rejected FROM n LEFT JOIN m ON n.y = m.y AND n.c = m.c WHERE n - COALESCE(m, 0) > 0")
 def _(v):
+    """A package for each year of the daily series with all 23 collections; some of its days have no number for a fact."""
     path = shared_path(v.spark, "package")
-    d = v.daily_series.groupBy(F.year("date").alias("run_id")).agg(F.collect_list(F.struct("date", "actual")).alias("actual_series"))
-    d.write.option("maxRecordsPerFile", 1).json(path)  # one package a file
-    return S.scan_nested_package(v.spark, path, "run_id int, actual_series array<struct<date: date, actual: double>>", ["actual_series"])["actual_series"]
+    fill = {"string": F.lit("x"), "date": F.lit("2024-01-02"), "timestamp": F.lit("2024-01-02T03:04:05Z"), "double": F.lit(1.5), "int": F.lit(7), "bigint": F.lit(9), "boolean": F.lit(True)}
+    own = lambda name: [fill[kind].alias(key) for key, _, kind in (f.replace("!", "").partition(" ") for f in PACKAGE[name].split(", ")) if kind in fill]
+    docs = v.sql(YEARS)
+    for name, text in ITEMS.items():
+        rows = v.sql(text).select("y", F.to_json(F.struct(*own(name))).alias("item")) if name not in ("actual_series", "horizons") else None
+        if name == "actual_series":
+            number = F.when(F.col("actual").cast("int") % 7 == 3, F.lit('"n/a"')).otherwise(F.col("actual").cast("string"))
+            rows = v.daily_series.select(F.year("date").alias("y"), F.concat(F.lit('{"date":"'), F.col("date").cast("string"), F.lit('","actual":'), number, F.lit("}")).alias("item"))
+        if name == "horizons":
+            rows = v.sql(f"SELECT y, CAST(k AS STRING) AS item FROM ({YEARS}), (VALUES (7), (30)) h(k)")
+        body = rows.groupBy("y").agg(F.concat(F.lit(f'"{name}":['), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias(name))  # one year's
+        docs = docs.join(body, "y", "left")
+    lists = [F.coalesce(n, F.lit(f'"{n}":[]')) for n in ITEMS]
+    run = F.concat(F.lit('"forecast_run":{"run_id":"'), F.col("y").cast("string"), F.lit('","generated_at":"2024-01-02T03:04:05Z"}'))
+    objects = [F.concat(F.lit(f'"{n}":'), F.to_json(F.struct(*own(n)))) for n in OBJECTS if n != "forecast_run"]
+    whole = docs.select("y", F.concat(F.lit("{"), F.concat_ws(",", *lists, *objects, run), F.lit("}")).alias("value"))
+    whole.repartition("y").write.partitionBy("y").option("maxRecordsPerFile", 1).text(path)
+    got = scan_nested_package(v.spark, f"{path}/*")
+    counts = [t.groupBy("run").agg(F.count("*").alias("items")).select("run", F.lit(name).alias("collection"), "items") for name, t in got.tables.items()]
+    lost = got.rejects.groupBy("run", "collection").agg(F.count("*").alias("rejected"))
+    return reduce(lambda a, b: a.unionByName(b), counts).join(lost, ["run", "collection"], "left").select("run", "collection", "items", F.coalesce("rejected", F.lit(0)).alias("rejected"))

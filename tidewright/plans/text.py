@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import expr as X
+from tidewright.functions.storage import shared_path
 from tidewright.operators import claims as C
 from tidewright.operators import news as N
 from tidewright.plans.ads import rounded
 from tidewright.plans.registry import query
+from tidewright.sources import files as S
 
 WEIGHTS = {f"src{i}": 1.0 - i * 0.02 for i in range(12)}
 NT = lambda c: f"TRIM(REGEXP_REPLACE(REGEXP_REPLACE(LOWER({c}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -126,10 +128,13 @@ def _(v):
     return N.adaptive_recency_window(news(v)).select("id")
 
 
-@query("scan_feed_items", "SELECT feed, pos, title, link, SUBSTRING(TRIM(REGEXP_REPLACE(html, '<[^>]+>', '', 'g')), 1, 500) AS summary FROM (SELECT SPLIT_PART(url, '/', 3) AS feed, page_id AS pos, TRIM(CONCAT('p', CAST(page_id AS STRING))) AS title, url AS link, html, ROW_NUMBER() OVER (PARTITION BY SPLIT_PART(url, '/', 3) ORDER BY page_id) AS r FROM {pages}) WHERE r <= 15")
+@query("scan_feed_items", "WITH p AS (SELECT SPLIT_PART(url, '/', 3) AS feed, page_id, TRIM(REGEXP_EXTRACT(html, '<title>([^<]*)', 1)) AS title, url AS link, html FROM {pages}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY feed ORDER BY page_id) - 1 AS pos FROM p WHERE title <> '') SELECT feed, pos, title, link, SUBSTRING(TRIM(REGEXP_REPLACE(html, '<[^>]+>', '', 'g')), 1, 500) AS summary FROM r WHERE pos < 15")
 def _(v):
-    items = v.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("feed"), F.col("page_id").alias("pos"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), F.col("url").alias("link"), F.col("html").alias("summary"), F.lit(None).cast("timestamp").alias("published"), F.lit(None).cast("timestamp").alias("updated"))
-    return N.scan_feed_items(items).drop("pub_date")
+    path = shared_path(v.spark, "feeds")
+    items = v.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("feed"), F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("link"), F.col("html").alias("description"))
+    items = items.repartition("feed").sortWithinPartitions("feed", "page_id").drop("page_id")
+    items.write.partitionBy("feed").format("xml").option("rowTag", "item").option("rootTag", "rss").save(path)
+    return N.scan_feed_items(S.scan_feed_xml(v.spark, path)[0]).drop("pub_date")
 
 
 RULES = [("r1", "exact", "small ring"), ("r2", "contains", "widget"), ("r3", "regex", "b[a-z]*t$")]

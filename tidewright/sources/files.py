@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.expr import strict_number
+from tidewright.functions.storage import landed
 from tidewright.sources.parted import PartedTable
 
 
@@ -64,10 +65,47 @@ def scan_visibility_export(spark: SparkSession, csv: str | None = None, json: st
     return good
 
 
-def scan_nested_package(spark: SparkSession, path: str, schema: str, collections: list[str]) -> dict[str, DataFrame]:
-    """One table per named collection of a JSON package."""
-    doc = spark.read.schema(schema).json(path, multiLine=True)
-    return {c: doc.select(F.inline(c)) for c in collections}
+#: Fields of RSS items and Atom entries, whatever their namespace.
+FEED_ITEM = "title string, link string, description string, summary string, encoded string, content string, pubDate string, date string, published string, updated string"
+FEED_ENTRY = FEED_ITEM.replace("link string", "link array<struct<_href: string, _rel: string>>").replace("content string", "content struct<_VALUE: string>").replace("summary string", "summary struct<_VALUE: string>").replace("title string", "title struct<_VALUE: string>")
+
+
+def feed_time(text: Column) -> Column:
+    """A moment in the form of RSS or of Atom; null if it is neither."""
+    rss = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"\s+", " ")
+    rss = F.regexp_replace(rss, r" (GMT|UTC|UT|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(rss, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(rss, F.lit("d MMM yyyy HH:mm xx")), text.try_cast("timestamp"))
+
+
+def scan_feed_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of landed RSS and Atom files; feed is the folder's (`feed=...`) or the file's name without its ending.
+
+    items: feed, pos (order in the file), title, link, summary, published, updated. rejects: feed, reason, item: elements that are no
+    well-formed XML, and items without a title or a link. Behind a tag that is not closed nothing of that file can be read. Namespaces
+    are ignored; of an Atom entry's links the alternate one counts.
+    """
+    def rows(tag: str, schema: str) -> DataFrame:
+        reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("attributePrefix", "_").option("columnNameOfCorruptRecord", "_corrupt")
+        raw = reader.schema(f"{schema}, _corrupt string").load(path)
+        name = F.col("feed").cast("string") if "feed" in raw.columns else F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+        at = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+        return raw.select(name.alias("feed"), at.alias("_at"), *[c for c in raw.columns if c != "feed"])
+
+    atom = rows("entry", FEED_ENTRY)
+    link = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    atom = atom.withColumn("link", link).withColumns({c: F.col(c)["_VALUE"] for c in ("title", "summary", "content")})
+    both = rows("item", FEED_ITEM).unionByName(atom)
+    given = lambda *cs: F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in map(F.col, cs)])
+    found = both.select(
+        "feed", "_at", "_corrupt", given("title").alias("title"), given("link").alias("link"), given("summary", "description", "content", "encoded").alias("summary"),
+        F.coalesce(feed_time(F.col("published")), feed_time(F.col("pubDate")), feed_time(F.col("date"))).alias("published"), feed_time(F.col("updated")).alias("updated"),
+    )
+    reason = F.when(F.col("_corrupt").isNotNull(), "not_xml").when(F.col("title").isNull(), "no_title").when(F.col("link").isNull(), "no_link")
+    judged = landed(found.withColumn("reason", reason), "feed-items")
+    good = judged.where("reason is null")
+    pos = F.row_number().over(Window.partitionBy("feed").orderBy("_at")) - 1  # items of one file
+    item = F.coalesce("_corrupt", F.to_json(F.struct("title", "link", "summary"))).alias("item")
+    return good.withColumn("pos", pos).select("feed", "pos", "title", "link", "summary", "published", "updated"), judged.where("reason is not null").select("feed", "reason", item).distinct()
 
 
 FACT_PARTS = ["source", "scope", "stat_date"]
