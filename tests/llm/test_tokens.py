@@ -122,3 +122,26 @@ def test_pack(spark):
             at += n
         assert at <= 256
     assert packing.pack(df.limit(0), WORD).count() == 0
+
+
+def test_only_answering_shards_are_read(spark, tmp_path):
+    rows = [(i, f"text number {i} of some words") for i in range(300)]
+    tokenio.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), str(tmp_path / "t"), BYTE, shard_ids=60)
+    shards = spark.read.schema(tokenio.SHARDS).parquet(str(tmp_path / "t"))
+    assert shards.count() > 20
+    one = shards.where("first_id <= 7 and last_id >= 7").first()["shard"]
+    found = spark.createDataFrame([(one, 7, 0, 3)], "shard long, doc_id long, at long, n long")
+    plan = tokenio.answering(shards, found)._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(shard,{one})" in plan or f"In(shard, [{one}])" in plan
+    assert [r.doc_id for r in tokenio.fetch(spark, str(tmp_path / "t"), [7, 5000, -1]).collect()] == [7]
+
+
+def test_a_fingerprint_alone_does_not_answer(spark, tmp_path, monkeypatch):
+    """An index that takes a foreign id for one of its own gives nothing."""
+    tokenio.write_tokens(spark.createDataFrame([(i, f"text {i}") for i in range(0, 20, 2)], "doc_id long, text string"), str(tmp_path / "t"), BYTE)
+    shards = spark.read.schema(tokenio.SHARDS).parquet(str(tmp_path / "t"))
+    shard = shards.first()["shard"]
+    staged = tokenio.staged
+    wrong = spark.createDataFrame([(shard, 5, 0, 2), (shard, 6, 0, 2)], "shard long, doc_id long, at long, n long")
+    monkeypatch.setattr(tokenio, "staged", lambda df, label: staged(wrong, label) if label == "tokens-found" else staged(df, label))
+    assert [r.doc_id for r in tokenio.fetch(spark, str(tmp_path / "t"), [5, 6]).collect()] == [6]

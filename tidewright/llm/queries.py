@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, embeddings, licenses, media, merkle, mixing, packing, pii, quality, secrets, simhash, tokenio, turns
 from tidewright.llm.common import shared_dir, table
+from tidewright.llm.oracles import oracle_sql as oracle_sql
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("spread", F.monotonically_increasing_id() % SPREAD)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("spread")]
     d = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    d.mapInArrow(_write(tokenizer, drops_space, end_id, shard_ids), SHARDS).write.option("compression", "zstd").parquet(path)
+    d.mapInArrow(_write(tokenizer, drops_space, end_id, shard_ids), SHARDS).write.options(**{"compression": "zstd", "parquet.page.row.count.limit": 1}).parquet(path)
 
 
 def _ids(payload: bytes, width: int, offset: int, n: int) -> np.ndarray:
@@ -198,7 +198,9 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFr
 def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
     """(doc_id, ids) of the named documents, each as often as it is stored; None names those without an id.
 
-    The indexes of the shards whose ids come near are asked first; payloads are read only of shards that hold a document.
+    The indexes of the shards whose ids come near are asked first. Then only the shards that answered are read, by their numbers: at
+    most as many as ids were asked for, each a page of its own in the file. A fingerprint can answer for an id that is not there, so
+    the ids of the shard have the last word.
     """
     wanted = sorted({i for i in doc_ids if i is not None})
     null = None in doc_ids
@@ -223,8 +225,9 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for payload, width, found in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = payload.as_py()
+            for payload, width, found, own in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                raw, own = payload.as_py(), set(own.as_py())
+                found = [f for f in found if f["doc_id"] in own]
                 for part in itertools.batched(found, 100):
                     ids = [_ids(raw, width, f["at"], f["n"]).astype(np.int64) for f in part]
                     yield pa.RecordBatch.from_arrays([pa.array([f["doc_id"] for f in part], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
@@ -235,5 +238,11 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFram
         near = near | ((F.col("last_id") >= wanted[0]) & (F.col("first_id") <= wanted[-1]))
     found = shards.where(near).select("shard", "first_id", "last_id", "index").mapInArrow(ask, "shard long, doc_id long, at long, n long")
     found = staged(found, "tokens-found")
+    return answering(shards, found).mapInArrow(cut, schema)
+
+
+def answering(shards: DataFrame, found: DataFrame) -> DataFrame:
+    """(payload, width, found, doc_ids) of the shards that hold what was found (shard, doc_id, at, n)."""
     own = found.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("found"))  # documents of one shard at most
-    return shards.select("shard", "payload", "width").join(own, "shard").select("payload", "width", "found").mapInArrow(cut, schema)
+    numbers = [r["shard"] for r in own.select("shard").collect()]  # as many as ids were asked for, at most
+    return shards.where(F.col("shard").isin(numbers)).select("shard", "payload", "width", "doc_ids").join(own, "shard").select("payload", "width", "found", "doc_ids")
