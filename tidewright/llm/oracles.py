@@ -64,5 +64,36 @@ def merkle() -> str:
  FROM leaves JOIN subs ON subs.g IS NOT DISTINCT FROM leaves.g CROSS JOIN top LEFT JOIN proof ON proof.doc_id = leaves.doc_id JOIN fold ON fold.doc_id = leaves.doc_id AND fold.k = COALESCE(proof.n, 0)"""
 
 
+def conversation_repair() -> str:
+    """A row at a time from all four states: edits of the row behind up to two insertions, the least of cost and audit for each state
+    they end in. Costs are put before audits as digits, so that the least text is both."""
+    blank = r"\x20\x09-\x0D"
+    said = lambda c: f"COALESCE(CAST({c} AS VARCHAR), ' ')"
+    k = crc32(f"({said('conv_id')} || ':' || {said('turn')})") + " % 20"
+    due = "CASE WHEN {} = 2 THEN 'assistant' ELSE 'user' END"
+    line = lambda role, text: f"CHR(10) || {role} || ':' || {text}"
+    then = "CASE WHEN {} = 2 THEN 3 ELSE 2 END"
+    return f"""WITH RECURSIVE k AS (SELECT conv_id, turn, {said("role")} AS role, {said("text")} AS text, {k} AS k FROM conversations),
+ m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN REGEXP_REPLACE(text, '[.!?]', '', 'g') ELSE text END AS text, UNNEST(RANGE(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+ o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy) AS i FROM m),
+ f AS (SELECT *, SUBSTRING(role, 1, 1) AS one, CASE WHEN NOT REGEXP_MATCHES(text, '[^{blank}]') THEN 'blank' WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT REGEXP_MATCHES(text, '[.!?][{blank}]*$') THEN 'truncated' ELSE '' END AS fault,
+  COALESCE(LAG(SUBSTRING(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || SUBSTRING(role, 1, 1), 'su') AS pair FROM o),
+ c AS (SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE fault = 'blank') AS blank, COUNT(*) FILTER (WHERE fault = 'duplicate') AS duplicate, COUNT(*) FILTER (WHERE fault = 'truncated') AS truncated, COUNT(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, COUNT(*) AS size FROM f GROUP BY conv_id),
+ walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '0000000000' AS audit, '' AS said FROM c
+  UNION ALL SELECT conv_id, i, state, MIN(audit), ARG_MIN(said, audit) FROM (
+   SELECT w.conv_id, f.i, e.state, LPAD(CAST(CAST(SUBSTRING(w.audit, 1, 10) AS BIGINT) + e.cost AS VARCHAR), 10, '0') || SUBSTRING(w.audit, 11) || e.edits AS audit, w.said || e.new AS said
+   FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1, LATERAL (
+    WITH p(here, cost, edits, new) AS (SELECT w.state, 0, '', '' UNION ALL SELECT {then.format("w.state")}, 2, 'I', {line(due.format("w.state"), "''")} UNION ALL SELECT {then.format(f"({then.format('w.state')})")}, 4, 'II', {line(due.format("w.state"), "''")} || {line(due.format(f"({then.format('w.state')})"), "''")})
+    SELECT here AS state, cost + 3 AS cost, edits || 'D' AS edits, new FROM p
+    UNION ALL SELECT {then.format("here")}, cost + 2 + CAST(f.fault = 'truncated' AS INT), edits || 'R', new || {line(due.format("here"), "f.text")} FROM p WHERE f.fault IN ('', 'truncated')
+    UNION ALL SELECT CASE WHEN f.one = 's' THEN 1 ELSE {then.format("here")} END, cost + CAST(f.fault = 'truncated' AS INT), edits || 'K', new || {line("f.role", "f.text")} FROM p WHERE f.fault IN ('', 'truncated') AND (f.one = SUBSTRING({due.format("here")}, 1, 1) OR (f.one = 's' AND here = 0))) e)
+   GROUP BY conv_id, i, state),
+ ends AS (SELECT w.conv_id, LPAD(CAST(CAST(SUBSTRING(audit, 1, 10) AS BIGINT) + t.cost AS VARCHAR), 10, '0') || SUBSTRING(audit, 11) || t.edits AS audit, said || t.new AS said FROM walk w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.size
+  JOIN (VALUES (0, 0, '', ''), (1, 4, 'II', CHR(10) || 'user:' || CHR(10) || 'assistant:'), (2, 2, 'I', CHR(10) || 'assistant:'), (3, 0, '', '')) t(state, cost, edits, new) ON t.state = w.state),
+ best AS (SELECT conv_id, MIN(audit) AS audit, SUBSTRING(ARG_MIN(said, audit), 2) AS said FROM ends GROUP BY conv_id)
+ SELECT a.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, COALESCE(CAST(SUBSTRING(audit, 1, 10) AS BIGINT), 0) AS cost, COALESCE(SUBSTRING(audit, 11), '') AS audit, SHA256(COALESCE(said, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_benchmark_decontamination": decontamination(), "op13_merkle_manifest": merkle()}
+    return {"op11_conversation_repair": conversation_repair(), "op12_benchmark_decontamination": decontamination(), "op13_merkle_manifest": merkle()}
