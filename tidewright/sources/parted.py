@@ -56,9 +56,9 @@ class PartedTable:
         key = F.md5(F.to_json(F.struct(*self.parts), {"ignoreNullFields": "false"}))
         keyed = rows.withColumn("_part", key)
         base = f"{self.path}/data/{uuid.uuid4().hex}"
-        keyed.write.partitionBy("_part").parquet(base)
+        keyed.repartition("_part").write.partitionBy("_part").parquet(base)
         values = [F.col(c).cast("string").alias(c) for c in self.parts]
-        there = self.spark.read.schema(keyed.schema).parquet(base).select("_part", *values).distinct().collect()  # a row for each part
+        there = keyed.select("_part", *values).distinct().collect()  # a row for each part
         return {r["_part"]: {"values": [r[c] for c in self.parts], "folder": f"{base}/_part={r['_part']}"} for r in there}
 
     def commit(self, new: dict, gone: Callable[[list[str]], bool] = lambda values: False, schema: str | None = None, note: dict | None = None) -> int:
