@@ -51,10 +51,19 @@ def test_invalidated_days_go_together(spark, tmp_path):
     assert files.invalidate_facts(spark, path, "2024-01-01", "2024-12-31") == 17 and stored(spark, path) == set()
 
 
-def test_only_the_wanted_days_are_read(spark, tmp_path):
+def test_only_the_wanted_months_are_read_and_rewritten(spark, tmp_path):
     path = str(tmp_path / "facts")
-    files.upsert_fact_partition(facts(spark, range(1, 11), 1.0), path)
-    assert len(files.load_fact_range(spark, path, "direct", "campaign", "2024-01-03", "2024-01-04").inputFiles()) == 2
+    year = facts(spark, [1], 1.0).withColumn("stat_date", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))))
+    files.upsert_fact_partition(year, path)
+    one = files.load_fact_range(spark, path, "direct", "campaign", "2024-03-30", "2024-04-02")
+    assert one.count() == 4 and len(one.inputFiles()) == 2
+    before = PartedTable(spark, path, files.FACT_PARTS).manifest()["parts"]
+    files.upsert_fact_partition(year.where("stat_date = '2024-05-05'").withColumn("Cost", F.lit(9.0)), path)
+    assert files.invalidate_facts(spark, path, "2024-06-10", "2024-08-20") == 72
+    after = PartedTable(spark, path, files.FACT_PARTS).manifest()["parts"]
+    assert {p["values"][2] for k, p in before.items() if after.get(k) != p} == {"2024-05", "2024-06", "2024-07", "2024-08"}
+    rows = files.load_fact_range(spark, path, "direct", "campaign", "2024-01-01", "2024-12-31").collect()
+    assert len(rows) == 366 - 72 and [str(r.stat_date) for r in rows if r.Cost == 9.0] == ["2024-05-05"]
 
 
 def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):

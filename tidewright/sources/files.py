@@ -108,20 +108,42 @@ def scan_feed_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return good.withColumn("pos", pos).select("feed", "pos", "title", "link", "summary", "published", "updated"), judged.where("reason is not null").select("feed", "reason", item).distinct()
 
 
-FACT_PARTS = ["source", "scope", "stat_date"]
+FACT_PARTS = ["source", "scope", "_month"]
+DAY = ["source", "scope", "stat_date"]
+
+
+def _month(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM")
 
 
 def upsert_fact_partition(facts: DataFrame, path: str) -> None:
-    """Replace the facts of each (source, scope, stat_date) that facts holds, all days at once; other days stay."""
-    PartedTable(facts.sparkSession, path, FACT_PARTS).replace(facts)
+    """Replace the facts of each (source, scope, stat_date) that facts holds, all days at once; other days stay.
+
+    A day of facts is small, so a part of the table is a month; what is written follows the months that facts touches.
+    """
+    table = PartedTable(facts.sparkSession, path, FACT_PARTS)
+    new = landed(facts.withColumn("_month", _month(F.col("stat_date"))), "facts")
+    touched = {tuple(r) for r in new.select(FACT_PARTS).distinct().collect()}  # months
+    old = table.read(lambda p: tuple(p) in touched, new.schema).join(new.select(DAY).distinct(), DAY, "left_anti").select(new.columns)
+    table.replace(old.unionByName(new))
 
 
 def load_fact_range(spark: SparkSession, path: str, source: str, scope: str, start: str, end: str) -> DataFrame:
-    """Facts of a source and scope in a day range; a missing Date is the day they stand for. Only those days' files are read."""
-    f = PartedTable(spark, path, FACT_PARTS).read(lambda p: p[:2] == [source, scope] and start <= p[2] <= end)
+    """Facts of a source and scope in a day range; a missing Date is the day they stand for. Only those months' files are read."""
+    f = PartedTable(spark, path, FACT_PARTS).read(lambda p: p[:2] == [source, scope] and start[:7] <= p[2] <= end[:7])
+    f = f.where(F.col("stat_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).drop("_month")
     return f.withColumn("Date", F.coalesce("Date", "stat_date")) if "Date" in f.columns else f.withColumn("Date", F.col("stat_date"))
 
 
 def invalidate_facts(spark: SparkSession, path: str, start: str, end: str, source: str | None = None, scope: str | None = None) -> int:
     """Let the facts of a day range go, all at once; returns how many (source, scope, day) went. Readers that have begun keep them."""
-    return PartedTable(spark, path, FACT_PARTS).commit({}, lambda p: start <= p[2] <= end and source in (None, p[0]) and scope in (None, p[1]))
+    table = PartedTable(spark, path, FACT_PARTS)
+    meant = lambda p: start[:7] <= p[2] <= end[:7] and source in (None, p[0]) and scope in (None, p[1])
+    if not any(meant(p["values"]) for p in table.manifest()["parts"].values()):
+        return 0
+    inside = F.col("stat_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    months = table.read(meant)
+    gone = months.where(inside).select(DAY).distinct().count()
+    if gone:
+        table.commit(table.write(months.where(~inside)), meant)
+    return gone
