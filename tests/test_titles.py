@@ -182,3 +182,32 @@ def test_empty(spark):
         assert f(df).count() == 0
     one = spark.createDataFrame([(1, None, "s", None)], SCHEMA).withColumn("extra", F.lit(1))
     assert N.mention_score(one).first().mention_score == 0 and N.topic_clusters(one).count() == 1
+
+
+def long_ones(n=90, seed=9):
+    """Titles around the lengths from which other rules hold, and signs of several scripts."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 8))) for _ in range(30)] + ["zebra", "q9", "漢字", "ж"]
+    out = [" ".join(rnd.choices(words, k=rnd.choice([1, 4, 9, 40, 43, 70, 120]))) for _ in range(n)]
+    out += [" ".join(w for w in t.split() if rnd.random() < 0.9) for t in out[::2]]
+    return sorted([*out, "", "é" * 30, "ab" * 130, "".join(chr(0x4E00 + rnd.randrange(300)) for _ in range(300))], key=len)
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.55])
+def test_blocks_side_by_side(threshold, monkeypatch):
+    """As SequenceMatcher has it, with few pairs left to it: each pair once, one by one, is what took the time."""
+    titles, one = long_ones(), T.ratio
+    want = {(i, j): both for i, a in enumerate(titles) for j, b in enumerate(titles[i:], i) if max(both := (one(a, b), one(b, a))) >= threshold}
+    calls = []
+    monkeypatch.setattr(T, "ratio", lambda a, b: calls.append(1) or one(a, b))
+    assert {(i, j): (x, y) for i, j, x, y in T.like_in_tiles(titles, titles, threshold, True)} == want
+    assert len(calls) < len(want)
+
+
+def test_history_of_titles(spark):
+    news = [(i, t, i) for i, t in enumerate(long_ones())]
+    old = news[::7]
+    at = {i for i, t, _ in news if plain(t) and any(SequenceMatcher(None, plain(t), plain(o)).ratio() >= 0.65 for _, o, _ in old if plain(o))}
+    df = spark.createDataFrame(news, "id long, title string, sent_at int")
+    assert {r.id for r in N.history_fuzzy_filter(df, df.where("sent_at % 7 = 0")).collect()} == {i for i, *_ in news} - at
+    assert T.reaching([t for _, t, _ in news], [o for _, o, _ in old], 0.65).tolist() == [i for i, t, _ in news if any(SequenceMatcher(None, t, o).ratio() >= 0.65 for _, o, _ in old)]
