@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,34 +40,31 @@ def recent_history(sent: DataFrame, n: int = 500) -> DataFrame:
     return sent.orderBy(F.col("sent_at").desc(), "title").limit(n)
 
 
-def _counts(titles: list[str]) -> np.ndarray:
-    """How often each of 128 classes of characters stands in each title."""
-    out = np.zeros((len(titles), 128), np.int32)
-    for row, t in zip(out, titles, strict=True):
-        np.add.at(row, np.frombuffer(t.encode("utf-32-le"), np.uint32) % 128, 1)
-    return out
-
-
 def history_fuzzy_filter(news: DataFrame, sent: DataFrame, threshold: float = 0.65, n: int = 500) -> DataFrame:
-    """News without a title as like any of the last n sent ones. All pairs are looked at, as n titles are a bounded table: a ratio
-    is worked out only where the characters that both titles hold leave room for it."""
+    """News without a title as like any of the last n sent ones. n titles are a bounded table that every task holds; each different
+    title meets it once, by the bounds and blocks of operators/titles.py."""
     t = normalize_title("title")
-    old = [r["t"] for r in recent_history(sent, n).select(t.alias("t")).where("t <> ''").distinct().collect()]  # n rows
-    held = _counts(old)
+    old = sorted((r["t"] for r in recent_history(sent, n).select(t.alias("t")).where("t <> ''").distinct().collect()), key=len)  # n rows
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for i, title, own in zip(pdf["id"], pdf["t"], _counts(list(pdf["t"])), strict=True):
-                room = 2 * np.minimum(held, own).sum(axis=1) / np.maximum(held.sum(axis=1) + own.sum(), 1)
-                if any(SequenceMatcher(None, title, old[k]).ratio() >= threshold for k in np.flatnonzero(room >= threshold - 1e-9)):
-                    found.append(i)
-            yield pd.DataFrame({"id": pd.Series(found, dtype="int64")})
-
-    gone = news.select("id", F.coalesce(t, F.lit("")).alias("t")).where("t <> ''").mapInPandas(hits, "id long").distinct()
+            titles = sorted(pdf["t"], key=len)
+            for at in range(0, len(titles), titles_join.TILE):
+                some = titles[at : at + titles_join.TILE]
+                yield pd.DataFrame({"t": [some[k] for k in titles_join.reaching(some, old, threshold)]}, dtype="object")
+
+    each = news.select("id", t.alias("t")).where("t <> ''")
+    different = each.select("t").distinct()
+    gone = each.join(different.repartition(_tasks(news), "t").mapInPandas(hits, "t string"), "t").select("id").distinct()
     return news.join(gone, "id", "left_anti")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is long beside the bytes it reads, so that no few partitions keep it."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def history_jaccard_filter(news: DataFrame, sent: DataFrame, threshold: float = 0.5, n: int = 500) -> DataFrame:
     """News whose keywords are not like those of any of the last n sent titles; titles of one keyword pass."""
     old = with_keywords(recent_history(sent, n)).select(F.col("id"), "kw")
