@@ -61,3 +61,16 @@ def test_integrity_and_levels(audit):
 def test_structure_points(audit):
     # the lead, a definition, a box, the summary, Article, FAQPage, internal links, keywords, a table and two lists
     assert {r.page_id: r.geo_score for r in P.geo_score(audit).collect()} == {1: 10, 2: 0, 3: 0}
+
+
+def test_python_gets_small_batches(spark):
+    """A worker's memory follows the batch, not the partition: pages and drafts come in batches of bounded rows and bytes."""
+    from tidewright.functions import storage
+    from tidewright.operators import email
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for made in (lambda: P.audit_html(spark.range(250).selectExpr("id page_id", "'https://e.org/a' url", "concat('<title>t', id, '</title>') html")), lambda: email.draft_tags(spark.range(250).selectExpr("id draft_id", "'<p>x</p>' html"))):
+        spark.conf.set(key, 10000)
+        out = made()
+        assert int(spark.conf.get(key)) == storage.BATCH_ROWS
+        assert out.select(out.columns[0]).distinct().count() == 250

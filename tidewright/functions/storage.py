@@ -27,3 +27,19 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A batch handed to Python holds at most this many rows and about this many bytes; rows that come back leave in runs of PIECE texts.
+BATCH_ROWS, BATCH_BYTES, PIECE = 1000, 16 << 20, 100
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands its texts to Python in batches of bounded size, so that a worker's memory does not follow its partition."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    try:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    except Exception as e:  # an older Spark without the setting
+        if "CONFIG" not in str(e).upper():
+            raise
+    return df

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewright.functions.storage import landed
+from tidewright.functions.storage import PIECE, landed, small_batches
 
 SKIPPED, VOID = {"script", "style", "nav", "footer", "header"}, {"meta", "link", "img", "br", "hr", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 SCHEMA = """page_id long, url string, title string, description string, viewport string, canonical string, robots string, lang string, favicon string,
@@ -124,7 +124,7 @@ def audit_html(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> one row of SCHEMA each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + PIECE] for b in batches for at in range(0, len(b), PIECE)):
             rows = []
             for r in pdf.itertuples():
                 p = _Page(r.url or "")
@@ -135,7 +135,7 @@ def audit_html(pages: DataFrame) -> DataFrame:
                 rows.append((r.page_id, r.url, p.title, p.meta.get("description"), p.meta.get("viewport"), p.rel.get("canonical"), p.meta.get("robots"), p.lang, p.rel.get("icon"), p.hreflang, group("og:"), group("twitter:"), p.headings, p.images, p.links, len(text.split()), text, p.schema_types(), p.meta.get("keywords"), p.structure))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in "page_id url title description viewport canonical robots lang favicon hreflang og twitter headings images links words text schema_types keywords structure".split()])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+    return small_batches(pages).select("page_id", "url", "html").mapInPandas(run, SCHEMA)
 
 
 def host(url: Column | str) -> Column:
