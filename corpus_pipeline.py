@@ -23,7 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies at a verified Jaccard similarity of .8 or more over five-word shingles: one document of a group stays."""
+    """Operator 3's SimHash links of five-word shingles, then what they miss, all at a verified Jaccard similarity of .8 or more: one
+    document of a group stays."""
     return nearcopies.keep_one(docs, shingle=5, threshold=0.8)
 
 

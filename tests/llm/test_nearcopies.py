@@ -130,3 +130,19 @@ def test_sketches_keep_near_pairs():
         x |= x >> np.uint64(2)
         lost += int(np.bitwise_count(x & np.uint64(0x1111111111111111)).sum()) > nearcopies.most_unlike(0.8)
     assert lost == 0 and nearcopies.most_unlike(0.8) < 40
+
+
+def test_simhash_of_operator_3_gives_links(spark):
+    """Without bands, texts that SimHash brings together still end as one, and only if the exact check agrees."""
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(base), "x"), (2, " ".join([*base, "end"]), "x"), (3, "other " * 3, "x"), (4, " ".join(f"v{i}" for i in range(50)), "x")]
+    prints = spark.createDataFrame([(i, i, t.encode()) for i, t, _ in rows], "doc_id long, th long, text binary")
+    made = [(i, nearcopies.shingles(t.encode()).view("int64").tolist()) for i, t, _ in rows]
+    fps = nearcopies.simhash.fingerprints(prints, 5, "th", "text").withColumnRenamed("doc_id", "node")
+    first, _ = nearcopies.simhash_links(fps)
+    assert [tuple(r) for r in first.collect()] == [(1, 2)]
+    nodes = spark.createDataFrame([(i, len(h), [0] * nearcopies.SKETCH, []) for i, h in made], "node long, n int, sketch array<long>, keys array<long>")
+    sets = spark.createDataFrame([(i, h) for i, h in made], "node long, h array<long>")
+    wrong = first.unionByName(spark.createDataFrame([(1, 4)], "a long, b long"))
+    found, _ = nearcopies.links(nodes, lambda some: sets.join(some, "node"), 0.8, wrong)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]

@@ -1,6 +1,7 @@
 """Near copies of the pipeline: documents whose sets of shingles have a Jaccard similarity of at least a threshold.
 
-Candidates meet in one of BANDS buckets, each keyed by ROWS minima of the set of shingles under a hash of its own: a pair of
+First SimHash, by the fingerprints and links of operator 3: texts whose fingerprints differ in few bits are candidates, and those
+that pass the exact check are links. SimHash finds a pair of .8 rarely, so more candidates are added to its own. These meet in one of BANDS buckets, each keyed by ROWS minima of the set of shingles under a hash of its own: a pair of
 similarity J shares one with probability 1 - (1 - J^5)^20, .9996 at .8. Four bits of each minimum are the node's sketch;
 a pair that meets becomes a row only if its sketches agree as often as those of near sets do (SIGMAS standard deviations
 below what is expected, so that one near pair in 50,000 is lost), and then it is verified on the two whole sets of 64-bit
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import simhash
 from tidewright.llm.common import once, prepare, stage, staged, unstage, unwrapped, without
 from tidewright.llm.components import components
 
@@ -142,9 +144,21 @@ def _by_prefix(rest: DataFrame, whole: DataFrame, sets: DataFrame, roots: DataFr
     return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), path
 
 
-def links(nodes: DataFrame, sets_of, threshold: float) -> tuple[DataFrame | None, list[str]]:
+def simhash_links(prints: DataFrame, k: int = 2) -> tuple[DataFrame, list[str]]:
+    """(a, b), a < b, of nodes in (node, fp) whose SimHash fingerprints link: each fingerprint's nodes with the least of them, and the
+    least ones of two fingerprints that differ in at most k bits. Also the staged tables behind it."""
+    heads, path = stage(prints.groupBy("fp").agg(F.min("node").alias("head")), "nearcopies-fingerprints")
+    found, paths = simhash.links(heads.select("fp"), k)
+    of = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"n{x}"))
+    across = found.join(of("a"), "a").join(of("b"), "b").select("na", "nb")
+    inside = prints.join(heads, "fp").select("head", "node")
+    pairs = across.union(inside).toDF("x", "y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs, [path, *paths]
+
+
+def links(nodes: DataFrame, sets_of, threshold: float, first: DataFrame | None = None) -> tuple[DataFrame | None, list[str]]:
     """nodes (node, n, keys, sketch) -> (a, b) of verified links, a < b, and the staged tables behind it. sets_of(nodes) gives the
-    (node, h) of some nodes."""
+    (node, h) of some nodes. first: candidates (a, b) of another method; verified, they are links too."""
     paths: list[str] = []
 
     def kept(df: DataFrame, label: str) -> DataFrame:
@@ -155,8 +169,12 @@ def links(nodes: DataFrame, sets_of, threshold: float) -> tuple[DataFrame | None
     rows = nodes.select("node", "n", "sketch", F.explode("keys").alias("key"))
     m = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     whole = kept(rows.join(m, "key").withColumn("at", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)), "buckets")
+    known = None
+    if first is not None and (first := kept(first, "first")).take(1):
+        ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = kept(_verified(first, kept(sets_of(ends), "first-sets"), threshold), "first-links")
     if not whole.take(1):
-        return None, paths
+        return known, paths
     pivot = whole.where((F.col("m") <= FULL) | (F.col("at") * F.col("m") < PIVOTS)).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
     # below FULL both ends of a pair are pivots, so one order of them is enough
     ordered = F.when(F.col("m") <= FULL, F.col("node") < F.col("p")).otherwise(F.col("node") != F.col("p"))
@@ -165,6 +183,7 @@ def links(nodes: DataFrame, sets_of, threshold: float) -> tuple[DataFrame | None
     pairs = kept(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), "pairs")
     sets = kept(sets_of(whole.select("node").distinct()), "sets")
     found = kept(_verified(pairs, sets, threshold), "links")
+    found = found if known is None else kept(found.unionByName(known).distinct(), "links")
     large = whole.where(F.col("m") > FULL)
     if large.take(1):  # what no pivot of its large bucket is near to
         one = met.where(F.col("m") > FULL).select("key", "node", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).join(found, ["a", "b"]).select("key", "node").distinct()
@@ -191,7 +210,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col:
         one = F.broadcast(one) if one.count() <= broadcast_rows else one
         return text.join(one, F.col("th") == F.col("_th")).dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets(shingle), "node long, h array<long>")
 
-    found, paths = links(prints.dropDuplicates(["node"]), sets_of, threshold)
+    fingerprints, fingerprints_path = stage(simhash.fingerprints(text, shingle, "th", "text").withColumnRenamed("doc_id", "th").distinct(), "nearcopies-simhash")
+    first, first_paths = simhash_links(prints.select("th", "node").distinct().join(fingerprints, "th").groupBy("node").agg(F.min("fp").alias("fp")))
+    found, paths = links(prints.dropDuplicates(["node"]), sets_of, threshold, first)
     own = prints.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("own"))
     if found is None:
         head = own.withColumnRenamed("own", "head")
@@ -203,6 +224,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col:
     kept = without(docs, staged(gone, "nearcopies-gone"), broadcast_rows, id_col, text_col)
     twice = prints.where("doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th")
     kept = once(kept, staged(twice, "nearcopies-twice"))
-    for p in [prints_path, *paths]:
+    for p in [prints_path, fingerprints_path, *first_paths, *paths]:
         unstage(spark, p)
     return unwrapped(kept, docs)
