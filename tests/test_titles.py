@@ -211,3 +211,16 @@ def test_history_of_titles(spark):
     df = spark.createDataFrame(news, "id long, title string, sent_at int")
     assert {r.id for r in N.history_fuzzy_filter(df, df.where("sent_at % 7 = 0")).collect()} == {i for i, *_ in news} - at
     assert T.reaching([t for _, t, _ in news], [o for _, o, _ in old], 0.65).tolist() == [i for i, t, _ in news if any(SequenceMatcher(None, t, o).ratio() >= 0.65 for _, o, _ in old)]
+
+
+def test_entity_links(spark):
+    """One row a title, with every link between titles counted."""
+    rnd = random.Random(5)
+    names = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, " ".join(rnd.sample(names, rnd.randrange(5))).title() or None) for i in range(60)]
+    of = {i: {n for n in names if n in (t or "").lower()} for i, t in rows}
+    got = N.entity_links(spark.createDataFrame(rows, "id long, title string"), names).collect()
+    assert {r.id: (r.entities, r.class_id, r.links) for r in got} == {
+        i: ("|".join(sorted(e)), min(j for j in of if of[j] == e), sum(len(e & of[j]) >= 2 for j in of if j != i)) for i, e in of.items()
+    }
+    assert len(got) == 60

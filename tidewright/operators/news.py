@@ -120,21 +120,39 @@ def entity_overlap(a: Column | str, b: Column | str, entities: list[str] | None
     return F.size(F.filter(e, lambda x: F.contains(a, x) & F.contains(b, x)))
 
 
-def entity_sets(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
-    """(set_a, set_b, shared, titles_a, titles_b): the sets of entities that titles name, which share at least `least` of them, and how
-    many titles name each set; a set meets itself too. Titles are counted by set before sets meet, so an entity that every title
-    names is one row a set."""
+def _named(news: DataFrame, entities: list[str] | None) -> Column:
+    """The entities that a title names, in order."""
     names = entities or KEY_ENTITIES
     at = terms_in(news.sparkSession, F.lower("title"), names)
-    named = F.array_sort(F.transform(at, lambda k: F.element_at(F.array(*[F.lit(x) for x in names]), k + 1)))
-    sets = landed(news.select(named.alias("e")).where(F.size("e") >= least).groupBy("e").agg(F.count("*").alias("n")), "entity-sets")
+    return F.array_sort(F.transform(at, lambda k: F.element_at(F.array(*[F.lit(x) for x in names]), k + 1)))
+
+
+def _set_pairs(sets: DataFrame, least: int) -> DataFrame:
+    """(ea, eb, titles_a, titles_b, shared): the sets (e, n) that share at least `least` entities, in both orders, each with itself too."""
     keys = sets.select("e", "n", F.explode("e").alias("k"))
     met = keys.select(F.col("e").alias("ea"), F.col("n").alias("titles_a"), "k").join(keys.select(F.col("e").alias("eb"), F.col("n").alias("titles_b"), "k"), "k")
-    joined = met.groupBy("ea", "eb", "titles_a", "titles_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    out = joined.select(F.array_join("ea", "|").alias("set_a"), F.array_join("eb", "|").alias("set_b"), "shared", "titles_a", "titles_b")
+    return met.groupBy("ea", "eb", "titles_a", "titles_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def entity_sets(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
+    """(set_a, set_b, shared, titles_a, titles_b): the sets of entities that titles name, which share at least `least` of them, and how
+    many titles name each set; a set meets itself too. Titles are counted by set before sets meet, so an entity that every title
+    names is one row a set."""
+    sets = landed(news.select(_named(news, entities).alias("e")).where(F.size("e") >= least).groupBy("e").agg(F.count("*").alias("n")), "entity-sets")
+    out = _set_pairs(sets, least).select(F.array_join("ea", "|").alias("set_a"), F.array_join("eb", "|").alias("set_b"), "shared", "titles_a", "titles_b")
     return out.where("set_a <= set_b")
 
 
+def entity_links(news: DataFrame, entities: list[str] | None = None, least: int = 2) -> DataFrame:
+    """(id, entities, class_id, links) of each news: the entities that its title names, the least id that names the same ones, and how
+    many other titles share at least `least` of them with it. Two news share what stands in the entities of both."""
+    each = landed(news.select("id", F.coalesce(_named(news, entities), F.array().cast("array<string>")).alias("e")), "entities")
+    sets = landed(each.groupBy("e").agg(F.count("*").alias("n"), F.min("id").alias("class_id")), "entity-sets")
+    linked = _set_pairs(sets.where(F.size("e") >= least), least).groupBy(F.col("ea").alias("e")).agg((F.sum("titles_b") - 1).alias("links"))
+    of = sets.join(linked, "e", "left").select("e", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return each.join(of, "e").select("id", F.array_join("e", "|").alias("entities"), "class_id", "links")
+
+
 def min_label(edges: DataFrame) -> DataFrame:
     """(id, root): least id reachable over edges (a, b), by repeated minimum over neighbours and a jump, until nothing changes."""
     both = landed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")

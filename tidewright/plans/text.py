@@ -79,9 +79,9 @@ NAMED = ["tion", "ment", "heit", "ción", "ness", "ing the"]
 NAMES = "[" + ", ".join(f"'{e}'" for e in NAMED) + "]"
 
 
-@query("entity_overlap", f"WITH s AS (SELECT LIST_SORT(LIST_FILTER({NAMES}, lambda e: CONTAINS(LOWER(title), e))) AS e, COUNT(*) AS n FROM news GROUP BY 1), j AS (SELECT ARRAY_TO_STRING(a.e, '|') AS set_a, ARRAY_TO_STRING(b.e, '|') AS set_b, LEN(LIST_INTERSECT(a.e, b.e)) AS shared, a.n AS titles_a, b.n AS titles_b FROM s a, s b) SELECT * FROM j WHERE shared >= 2 AND set_a <= set_b")
+@query("entity_overlap", f"WITH s AS (SELECT doc_id AS id, LIST_SORT(LIST_FILTER({NAMES}, lambda e: CONTAINS(LOWER(title), e))) AS e FROM news), g AS (SELECT e, COUNT(*) AS n, MIN(id) AS class_id FROM s GROUP BY e), j AS (SELECT a.e AS e, a.class_id AS class_id, SUM(CASE WHEN LEN(LIST_INTERSECT(a.e, b.e)) >= 2 THEN b.n ELSE 0 END) - CASE WHEN LEN(a.e) >= 2 THEN 1 ELSE 0 END AS links FROM g a, g b GROUP BY a.e, a.class_id) SELECT s.id AS id, ARRAY_TO_STRING(s.e, '|') AS entities, j.class_id AS class_id, CAST(j.links AS BIGINT) AS links FROM s JOIN j ON s.e = j.e")
 def _(v):
-    return N.entity_sets(news(v), NAMED)
+    return N.entity_links(news(v), NAMED)
 
 
 @query("batch_near_dedup")
