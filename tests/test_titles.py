@@ -153,6 +153,22 @@ def test_hot_words_bring_few_together(spark):
         assert T.candidates(df, df, threshold).where("id_a < id_b").count() <= 4 * len(want) + 5000
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_copies_meet_as_one_set(spark, monkeypatch, block):
+    """Copies are expanded behind the join: pairs that are verified do not grow with them, and no pair of copies is lost or doubled."""
+    rows = [(i, ["x", "y", "z"] if i % 3 else ["y", "x", "u"] if i % 2 else ["x", f"w{i}"]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, kw array<string>")
+    met, verified = [], T.verified
+    monkeypatch.setattr(T, "DEALT", block, raising=False)
+    monkeypatch.setattr(T, "verified", lambda pairs, *rest: met.append(pairs.count()) or verified(pairs, *rest))
+    want = {(i, j): x for i, a in rows for j, b in rows if (x := jaccard(set(a), set(b))) >= 0.4}
+    got = [(r.id_a, r.id_b, r.jaccard) for r in T.jaccard_pairs(df, df, 0.4).collect()]
+    assert {(i, j): x for i, j, x in got} == pytest.approx(want) and len(got) == len(want)
+    assert met[0] <= 1000
+    got = [(r.id_a, r.id_b, r.jaccard) for r in T.jaccard_links(df, 0.4).collect()]
+    assert {(i, j): x for i, j, x in got} == pytest.approx({(i, j): x for (i, j), x in want.items() if i <= j}) and len(got) == len(set(got)) == sum(i <= j for i, j in want)
+
+
 def test_many_terms(spark):
     """5,000 terms, overlapping and nested ones among them, and the same by plain expressions."""
     from tidewright.functions import terms
