@@ -26,6 +26,14 @@ def test_each_page_has_its_own_frequent_words(spark, monkeypatch, wide):
     assert got == brute(rows, 6)
 
 
+def test_link_candidates_send_no_table_to_the_driver(spark):
+    """Pages, words and sets all grow with the input: none of them is broadcast, small as its files may be."""
+    rows = [(i, f"https://h{i % 2}.org/p{i}", 200, [f"w{i % 3}", f"v{i % 7}", f"r{i // 2}"]) for i in range(60)]
+    got = pages.link_candidates(spark.createDataFrame(rows, "page_id long, url string, status int, tokens array<string>"), k=2, common=5)
+    assert {tuple(r) for r in got.select("page_id", "target", "shared").collect()} == brute(rows, 2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_containment_with_a_word_in_half_of_all(spark):
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(60)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewright.functions.storage import PIECE, landed, small_batches
+from tidewright.functions.storage import PIECE, by_shuffle, landed, small_batches
 
 SKIPPED, VOID = {"script", "style", "nav", "footer", "header"}, {"meta", "link", "img", "br", "hr", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 SCHEMA = """page_id long, url string, title string, description string, viewport string, canonical string, robots string, lang string, favicon string,
@@ -294,28 +294,29 @@ def link_candidates(pages: DataFrame, k: int = 6, common: int = 500) -> DataFram
     every set of them is a key under which each host keeps its first k + 1 targets only. Of the pages that share just frequent words
     with a page, one that is among its k best stands among the first k + 1 of the set of words they share: all before it there share
     as much at least. So each page looks at the keys of its own sets, and no two pages meet otherwise. A page of more than WIDE
-    frequent words has too many sets; it is met by each of its frequent words, whether it looks or is looked for.
+    frequent words has too many sets; it is met by each of its frequent words, whether it looks or is looked for. All joins are by
+    shuffle: words, sets and pages grow with the input, and together they are more than a driver holds.
     pages: page_id, url, status, tokens.
     """
     words = landed(pages.select("page_id", "url", "status", host("url").alias("host"), F.array_distinct("tokens").alias("tokens")), "page-words")
     w = words.select("page_id", "host", F.explode("tokens").alias("w"))
     count = landed(w.groupBy("host", "w").agg(F.count("*").alias("n")), "page-word-counts")
     target = words.where(F.col("status").isin(200, 403) & F.col("url").rlike(r"^[\x21-\x7e]+$")).select(F.col("page_id").alias("target"), F.col("tokens").alias("theirs"))
-    rare = w.join(count.where(F.col("n").between(2, common)).select("host", "w"), ["host", "w"])
-    met = rare.join(rare.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).select("page_id", "target")
+    rare = w.join(by_shuffle(count.where(F.col("n").between(2, common)).select("host", "w")), ["host", "w"])
+    met = rare.join(by_shuffle(rare.select("host", "w", F.col("page_id").alias("target"))), ["host", "w"]).select("page_id", "target")
 
-    often = w.join(count.where(F.col("n") > common).select("host", "w"), ["host", "w"])
+    often = w.join(by_shuffle(count.where(F.col("n") > common).select("host", "w")), ["host", "w"])
     hot = landed(often.groupBy("host", "page_id").agg(F.sort_array(F.collect_list("w")).alias("hot")), "page-frequent-words")
     chosen = lambda m: F.array(*[F.when(m.bitwiseAND(1 << i) != 0, F.get("hot", F.lit(i))) for i in range(WIDE)])
     sets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("hot")).cast("int") - 1), lambda m: F.array_join(chosen(m), "\u0001"))
     keys = hot.where(F.size("hot") <= WIDE).select("host", "page_id", F.explode(sets).alias("key"))
-    first = _first(keys.join(target.select(F.col("target").alias("page_id")), "page_id"), k + 1)
-    met = met.unionByName(keys.join(first, ["host", "key"]).select("page_id", "target"))
+    first = _first(keys.join(by_shuffle(target.select(F.col("target").alias("page_id"))), "page_id"), k + 1)
+    met = met.unionByName(keys.join(by_shuffle(first), ["host", "key"]).select("page_id", "target"))
     wide = hot.where(F.size("hot") > WIDE).select("host", "page_id", F.explode("hot").alias("w"))
-    across = wide.join(often.select("host", "w", F.col("page_id").alias("target")), ["host", "w"]).select("page_id", "target")
+    across = wide.join(by_shuffle(often.select("host", "w", F.col("page_id").alias("target"))), ["host", "w"]).select("page_id", "target")
     met = met.unionByName(across).unionByName(across.select(F.col("target").alias("page_id"), F.col("page_id").alias("target"))).where("page_id <> target").distinct()
 
-    both = met.join(words.select("page_id", "tokens"), "page_id").join(target, "target")
+    both = met.join(by_shuffle(words.select("page_id", "tokens")), "page_id").join(by_shuffle(target), "target")
     return _best(both.select("page_id", "target", F.size(F.array_intersect("tokens", "theirs")).cast("long").alias("shared")), ["page_id"], k)
 
 
