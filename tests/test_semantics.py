@@ -121,6 +121,27 @@ def test_claims(spark):
     assert got == {"a": "supported", "b": "partial", "c": "supported", "d": "unsupported"}
 
 
+def test_links_are_told_apart_by_choice(spark, monkeypatch):
+    """Claims of one choice of ids and sources share its lists, long lists are cut; scores in batches are those of joined rows."""
+    texts = ["Paris has 2 million people and Rome 19% in 1999.", "Rome grew by 19% of its people.", "", None, "Berlin has many large parks."]
+    ev = [(f"e{i % 11}" if i else None, f"s{i % 3}", texts[i % 5]) for i in range(14)]
+    cl = [(f"c{i % 19}", texts[i % 4], "factual", [f"e{i % 4}", None, "nowhere"] if i % 3 else None, [f"s{i % 3}", f"s{i % 2}"] if i % 5 else []) for i in range(40)]
+    c = spark.createDataFrame(cl, "claim_id string, text string, claim_type string, evidence_ids array<string>, cited_source_ids array<string>")
+    e = spark.createDataFrame(ev, "evidence_id string, source_id string, quote string")
+    want = {(k, x) for k, _, _, ids, sources in cl for x, s, _ in ev if x in {*(ids or [])} - {None} or s in sources and x}
+    monkeypatch.setattr(claims, "LIST", 3)
+    lists = claims.claim_evidence_lists(c, e).collect()
+    assert lists and any(len(r.found) < len({x for k, x in want if k == r.claim_id}) for r in lists)
+    links = claims.claim_evidence_link(c, e)
+    got = [tuple(r) for r in links.where("evidence_id is not null").collect()]
+    assert set(got) == want and len(got) == len(want)
+    scores = []
+    for few, some in ((20_000, claims.claim_evidence_lists(c, e)), (0, links)):
+        monkeypatch.setattr(claims, "FEW_QUOTES", few)
+        scores.append({tuple(r) for r in claims.claim_support(c, some.where("claim_id <> 'c3'"), e).collect()})
+    assert scores[0] == scores[1] and len(scores[0]) == 19 and {r[2] for r in scores[0]} >= {"supported", "unsupported"}
+
+
 def test_news_keeps_the_heavier_source(spark):
     n = spark.createDataFrame([(1, "Openai ships a new model today", "light"), (2, "Openai ships a new model today", "heavy"), (3, "Completely different headline about boats", "light")], "id long, title string, source string")
     got = news.batch_near_dedup(n, {"heavy": 1.0, "light": 0.5}).collect()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.storage import landed
+from tidewright.functions.storage import by_shuffle, landed
 from tidewright.functions.expr import canonical_url, normalize_title, short_sha
 
 #: Words that mark a claim's type, looked for in this order.
@@ -51,11 +55,33 @@ def claim_stats(claims: DataFrame) -> DataFrame:
     return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+#: Evidence ids of one list; a claim of more has several lists. Ids of all lists that are sent to all tasks; beyond it they are joined.
+LIST, FEW_LISTED = 1000, 1_000_000
+
+
+def claim_evidence_lists(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, found): the evidence of each claim, named by id and all of cited sources, each once, in lists of about LIST ids.
+
+    What a claim names decides its evidence, so links are told apart once for each different choice of ids and sources, and claims
+    take the list of theirs: links themselves are not dealt.
+    """
+    gathered = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(c)))))
+    named = landed(claims.groupBy("claim_id").agg(gathered("evidence_ids").alias("ids"), gathered("cited_source_ids").alias("sources")), "claims-named")
+    ways = landed(named.select("ids", "sources").distinct().withColumn("way", F.monotonically_increasing_id()), "ways")
+    by_id = ways.select("way", F.explode("ids").alias("evidence_id")).join(evidence.select("evidence_id").distinct(), "evidence_id")
+    by_source = ways.select("way", F.explode("sources").alias("source_id")).join(evidence.select("source_id", "evidence_id"), "source_id")
+    listed = landed(by_id.select("way", "evidence_id").unionByName(by_source.select("way", "evidence_id")).distinct(), "way-evidence")
+    many = listed.groupBy("way").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("evidence_id"), F.ceil(F.col("n") / LIST)).alias("block")
+    lists = listed.join(many, "way").groupBy("way", block).agg(F.collect_list("evidence_id").alias("found"))
+    lists = ways.join(lists, "way").select("ids", "sources", "found")
+    few = listed.count() <= FEW_LISTED
+    return named.join(F.broadcast(lists) if few else by_shuffle(lists), ["ids", "sources"]).select("claim_id", "found")
+
+
 def claim_evidence_link(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_id, evidence_id): evidence named by id and all evidence of cited sources, each once; only ids are dealt."""
-    by_id = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id").distinct(), "evidence_id")
-    by_source = claims.select("claim_id", F.explode("cited_source_ids").alias("source_id")).join(evidence.select("source_id", "evidence_id"), "source_id")
-    return by_id.select("claim_id", "evidence_id").unionByName(by_source.select("claim_id", "evidence_id")).distinct()
+    """(claim_id, evidence_id): evidence named by id and all evidence of cited sources, each once."""
+    return claim_evidence_lists(claims, evidence).select("claim_id", F.explode("found").alias("evidence_id"))
 
 
 def _traits(text: str) -> Column:
@@ -80,23 +106,102 @@ def support_score(claim: Column, quote: Column) -> Column:
     return 0.4 * share("words", 0.0) + 0.25 * share("numbers", 1.0) + 0.15 * share("years", 1.0) + 0.2 * share("names", 1.0)
 
 
-#: Quotes that are sent to all tasks; beyond it they are joined by id.
-FEW_QUOTES = 20_000
+#: Quotes that are sent to all tasks; beyond it they are joined by id. Claims times quotes whose shared traits are counted at once.
+FEW_QUOTES, CELLS = 20_000, 2_000_000
+KINDS = ["words", "numbers", "years", "names"]
+
+
+def _runs(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts and are many long, one run after the other."""
+    return np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+class _Quotes:
+    """Quotes (evidence_id, traits, flat) by id; for each kind of trait the quotes that have it."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["evidence_id"])
+        self.known = np.array([r["words"] is not None for r in rows], bool)
+        self.flat, self.plain = np.array([r["flat"] or 0 for r in rows], np.int64), np.array([r["flat"] is not None for r in rows], bool)
+        ids, first = np.unique(np.array([r["evidence_id"] for r in rows], object), return_index=True)
+        self.ids, self.starts = pa.array(ids, pa.string()), np.append(first, len(rows)).astype(np.int64)
+        self.having = {k: self._having([r[k] or [] for r in rows]) for k in KINDS}
+
+    @staticmethod
+    def _having(traits: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, of = np.array([t for ts in traits for t in ts], np.int64), np.repeat(np.arange(len(traits)), [len(ts) for ts in traits])
+        order = np.lexsort((of, flat))
+        keys, first = np.unique(flat[order], return_index=True)
+        return keys, np.append(first, len(flat)).astype(np.int64), of[order]
+
+    def shares(self, kind: str, traits: pa.ListArray, rows: np.ndarray, quotes: np.ndarray, empty: float) -> np.ndarray:
+        """Share of the traits of claims rows[k] that quotes[k] has."""
+        (keys, starts, of), n = self.having[kind], len(self.known)
+        sizes = pc.fill_null(pc.list_value_length(traits), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values, row = traits.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+        if not len(keys) or not len(values):
+            counts = np.zeros(len(sizes) * n, np.int64)
+        else:
+            at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            hit = keys[at] == values
+            row, at = row[hit], at[hit]
+            many = starts[at + 1] - starts[at]
+            counts = np.bincount(np.repeat(row, many) * n + of[_runs(starts[at], many)], minlength=len(sizes) * n)
+        own = sizes[rows]
+        return np.where(own > 0, counts[rows * n + quotes] / np.maximum(own, 1), empty)
+
+
+def _best_quotes(sent):
+    """Claims with traits and lists -> (claim_id, claim_type, n, lit, s): linked quotes, whether one is the claim's own text, the best score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        step = max(1, CELLS // max(1, len(q.known)))
+        for batch in batches:
+            for b in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                sizes = pc.fill_null(pc.list_value_length(b["found"]), 0).to_numpy(zero_copy_only=False)
+                at = pc.index_in(b["found"].flatten(), value_set=q.ids)
+                named = at.is_valid().to_numpy(zero_copy_only=False)
+                rows, at = np.repeat(np.arange(len(sizes)), sizes)[named], at.drop_null().to_numpy().astype(np.int64)
+                many = q.starts[at + 1] - q.starts[at]
+                rows, quotes = np.repeat(rows, many), _runs(q.starts[at], many)
+                n = np.bincount(rows, minlength=len(sizes))
+                flat = pc.fill_null(b["flat"], 0).to_numpy(zero_copy_only=False)
+                plain = b["flat"].is_valid().to_numpy(zero_copy_only=False)
+                own = (flat[rows] == q.flat[quotes]) & plain[rows] & q.plain[quotes]
+                lit = np.bincount(rows[own], minlength=len(sizes)) > 0
+                share = [q.shares(k, b[k], rows, quotes, empty) for k, empty in zip(KINDS, (0.0, 1.0, 1.0, 1.0), strict=True)]
+                score = 0.4 * share[0] + 0.25 * share[1] + 0.15 * share[2] + 0.2 * share[3]
+                score, best = np.where(q.known[quotes], score, -1.0), np.full(len(sizes), -1.0)
+                if len(rows):
+                    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+                    best[rows[first]] = np.maximum.reduceat(score, first)
+                yield pa.RecordBatch.from_arrays([b["claim_id"], b["claim_type"], pa.array(n, pa.int64()), pa.array(lit), pa.array(best, pa.float64(), mask=best < 0)], names=["claim_id", "claim_type", "n", "lit", "s"])
+
+    return run
 
 
 def claim_support(claims: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, claim_type, support_status, score): a literal quote supports; else the best score decides partial or needs_review;
     without links a speculation stands and everything else is unsupported. Likeness alone never supports.
 
-    links has (claim_id, evidence_id). The texts are taken apart once for each claim and quote, not for each link; links are dealt by
-    claim and carry ids alone, and up to FEW_QUOTES quotes are sent to all tasks, so that pairs are scored where they meet.
+    links has (claim_id, evidence_id), or lists of these as (claim_id, found). The texts are taken apart once for each claim and quote,
+    not for each link; lists are dealt by claim and carry ids alone, and up to FEW_QUOTES quotes are sent to all tasks, so that links
+    become rows, and are scored, only where claim and quote meet.
     """
     quotes = landed(evidence.select("evidence_id", _traits("quote").alias("q")), "quotes")
     c = claims.select("claim_id", "claim_type", _traits("text").alias("c"))
-    few = quotes.count() <= FEW_QUOTES
-    j = c.join(links, "claim_id", "left").join(F.broadcast(quotes) if few else quotes, "evidence_id", "left")
-    literal = F.coalesce((F.col("c.flat") == F.col("q.flat")) & (F.col("c.flat") != ""), F.lit(False))
-    g = j.groupBy("claim_id", "claim_type").agg(F.count("q").alias("n"), F.bool_or(literal).alias("lit"), F.max(F.when(F.col("q").isNotNull(), support_score(F.col("c"), F.col("q")))).alias("s"))
+    lists = links if "found" in links.columns else links.groupBy("claim_id").agg(F.collect_list("evidence_id").alias("found"))
+    listed = c.join(by_shuffle(lists), "claim_id", "left")
+    if quotes.count() <= FEW_QUOTES:
+        traits = lambda x: [*[F.col(f"{x}.{k}").alias(k) for k in KINDS], F.when(F.col(f"{x}.flat") != "", F.xxhash64(f"{x}.flat")).alias("flat")]
+        sent = claims.sparkSession.sparkContext.broadcast(_Quotes(quotes.where("evidence_id is not null").select("evidence_id", *traits("q")).collect()))  # FEW_QUOTES rows
+        best = listed.select("claim_id", "claim_type", *traits("c"), "found").mapInArrow(_best_quotes(sent), "claim_id string, claim_type string, n long, lit boolean, s double")
+        g = best.groupBy("claim_id", "claim_type").agg(F.sum("n").alias("n"), F.bool_or("lit").alias("lit"), F.max("s").alias("s"))
+    else:
+        j = listed.select("claim_id", "claim_type", "c", F.explode_outer("found").alias("evidence_id")).join(by_shuffle(quotes), "evidence_id", "left")
+        literal = F.coalesce((F.col("c.flat") == F.col("q.flat")) & (F.col("c.flat") != ""), F.lit(False))
+        g = j.groupBy("claim_id", "claim_type").agg(F.count("q").alias("n"), F.bool_or(literal).alias("lit"), F.max(F.when(F.col("q").isNotNull(), support_score(F.col("c"), F.col("q")))).alias("s"))
     status = F.when(F.col("n") == 0, F.when(F.col("claim_type") == "speculation", "supported").otherwise("unsupported")).when(F.col("lit"), "supported").when(F.col("s") >= 0.35, "partial").otherwise("needs_review")
     score = F.when(F.col("n") == 0, F.when(F.col("claim_type") == "speculation", 1.0).otherwise(0.0)).when(F.col("lit"), 1.0).otherwise(F.col("s"))
     return g.select("claim_id", "claim_type", status.alias("support_status"), score.alias("score"))

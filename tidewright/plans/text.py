@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import expr as X
-from tidewright.functions.storage import shared_path
+from tidewright.functions.storage import landed, shared_path
 from tidewright.operators import claims as C
 from tidewright.operators import news as N
 from tidewright.operators import titles as T
@@ -176,13 +176,20 @@ def _(v):
     return C.claim_stats(claims(v))
 
 
-def linked(v):
-    """Claims that cite one evidence row of their own and all of one source."""
-    c = claims(v).select((F.concat_ws("-", F.col("doc_id").cast("string"), "claim_id")).alias("claim_id"), "text", "claim_type", F.array((F.col("doc_id") % 40).cast("string")).alias("evidence_ids"), F.array(F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))).alias("cited_source_ids")).distinct()
+def cited(v):
+    """Claims that cite one evidence row of their own and all of one source, as often as they stand in a text; the evidence."""
+    c = claims(v).select((F.concat_ws("-", F.col("doc_id").cast("string"), "claim_id")).alias("claim_id"), "text", "claim_type", F.array((F.col("doc_id") % 40).cast("string")).alias("evidence_ids"), F.array(F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))).alias("cited_source_ids"))
     e = v.benchmark.select(F.col("item_id").cast("string").alias("evidence_id"), F.concat(F.lit("s"), (F.col("item_id") % 11).cast("string")).alias("source_id"), F.col("text").alias("quote"))
     return c, e
 
 
+def supported(v):
+    """Each claim once, scored by its evidence."""
+    c, e = cited(v)
+    c = landed(c.distinct(), "claims")  # texts are taken apart once
+    return C.claim_support(c, C.claim_evidence_lists(c, e), e)
+
+
 LINK = CLEAN + f""", cl AS (SELECT DISTINCT CONCAT(CAST(doc_id AS STRING), '-', claim_id) AS claim_id, text, {TYPE} AS claim_type, CAST(doc_id % 40 AS STRING) AS eid, CONCAT('s', CAST(doc_id % 7 AS STRING)) AS sid FROM sc),
  ev AS (SELECT CAST(item_id AS STRING) AS evidence_id, CONCAT('s', CAST(item_id % 11 AS STRING)) AS source_id, text AS quote FROM {{benchmark}}),
  lk AS (SELECT claim_id, evidence_id FROM cl JOIN ev ON eid = evidence_id UNION SELECT claim_id, evidence_id FROM cl JOIN ev ON sid = source_id)"""
@@ -190,7 +197,7 @@ LINK = CLEAN + f""", cl AS (SELECT DISTINCT CONCAT(CAST(doc_id AS STRING), '-',
 
 @query("claim_evidence_link", f"WITH {LINK} SELECT claim_id, evidence_id FROM lk")
 def _(v):
-    return C.claim_evidence_link(*linked(v))
+    return C.claim_evidence_link(*cited(v))
 
 
 def traits(c):
@@ -211,14 +218,12 @@ SUPPORT = LINK + f""", ca AS (SELECT claim_id, claim_type, {traits('text')} FROM
 
 @query("claim_support", f"WITH {SUPPORT} SELECT claim_id, claim_type, support_status, ROUND(score, 4) AS score FROM su")
 def _(v):
-    c, e = linked(v)
-    return rounded(C.claim_support(c, C.claim_evidence_link(c, e), e))
+    return rounded(supported(v))
 
 
 @query("support_gate", f"WITH {SUPPORT}, x AS (SELECT COUNT(*) AS claims, COUNT(*) FILTER (WHERE claim_type = 'factual' AND support_status <> 'supported') AS unsupported_factual FROM su) SELECT claims, unsupported_factual, CASE WHEN unsupported_factual = 0 THEN 'passed' ELSE 'failed' END AS gate FROM x")
 def _(v):
-    c, e = linked(v)
-    return C.support_gate(C.claim_support(c, C.claim_evidence_link(c, e), e))
+    return C.support_gate(supported(v))
 
 
 @query("dedupe_keep_first", "SELECT source, MIN(doc_id) AS doc_id FROM {documents} GROUP BY source")
