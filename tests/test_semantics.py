@@ -192,3 +192,20 @@ def test_scenarios(spark):
     worse = t.withColumn("value", F.when((F.col("horizon") == 7) & (F.col("scenario") == "base"), 900.0).otherwise(F.col("value")))
     assert {r.rule_id for r in forecast.scenario_totals_check(d, worse).collect()} == {"sum_of_path", "scenario_order"}
     assert {r.rule_id for r in forecast.scenario_totals_check(d.withColumn("p10", F.lit(120.0)), t).collect()} == {"quantile_order"}
+
+
+def test_campaign_days_are_worked_out_once(spark, tmp_path):
+    """Lines are summed by numbers and give the rows of the SQL view, repeated suppliers included; what reconciles reads them once."""
+    from tidewright.operators import adperf
+    from tidewright.plans.views import Views
+
+    small = Views(spark, "/root/testdata/sf0.001")
+    for t in ("lineitem", "part", "nation", "orders"):
+        small.table(t).write.parquet(f"{tmp_path}/{t}.parquet")
+    twice = small.supplier.where("s_suppkey % 4 = 0").withColumn("s_name", F.concat(F.lit("A"), "s_name")).withColumn("s_nationkey", F.pmod(F.col("s_nationkey") + 1, F.lit(25)).cast("int"))
+    small.supplier.unionByName(twice).write.parquet(f"{tmp_path}/supplier.parquet")
+    v = Views(spark, str(tmp_path))
+    columns = ["Date", "CampaignId", "CampaignName", "CampaignType", "CampaignStatus", "Region", "Impressions", "Clicks", F.round("Cost", 2).alias("Cost"), "row_id"]
+    got, want = v.campaign_day.select(*columns), v.sql("SELECT * FROM campaign_day").select(*columns)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert "l_shipdate" not in adperf.reconcile_campaign_day(v.campaign_day, v.ecom_facts, True)._jdf.queryExecution().optimizedPlan().toString()

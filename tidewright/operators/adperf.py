@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.expr import delta_pct, number, ratio
+from tidewright.functions.storage import landed
 
 DIRECT, BUSINESS = ["Impressions", "Clicks", "Cost", "DirectCTR", "DirectCPC"], ["MetrikaRevenue", "MetrikaTransactions", "CrossSourceROAS", "CrossSourceDRR", "MetrikaCPA", "MetrikaCR", "AOV"]
 
@@ -25,7 +26,8 @@ def reconcile_campaign_day(direct: DataFrame, ecom: DataFrame, allow_name: bool
     """
     w = Window.partitionBy("Date", "CampaignId")
     d = direct.where("CampaignId is not null and CampaignId <> ''").withColumn("_n", F.row_number().over(w.orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
-    sums = ecom.groupBy("Date", "UTMCampaign").agg(F.sum(number("revenue")).alias("revenue"), F.sum(number("purchases")).alias("transactions"))
+    d = landed(d, "campaign-days")  # campaigns are read up to four times, worked out once
+    sums = landed(ecom.groupBy("Date", "UTMCampaign").agg(F.sum(number("revenue")).alias("revenue"), F.sum(number("purchases")).alias("transactions")), "campaign-revenue")
     keys = d.select("Date", F.col("CampaignId").alias("UTMCampaign"))
     exact = sums.join(keys, ["Date", "UTMCampaign"], "left_semi").select("Date", F.col("UTMCampaign").alias("CampaignId"), "revenue", "transactions", F.lit(False).alias("by_name"))
     if allow_name:
