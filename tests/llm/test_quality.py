@@ -61,6 +61,15 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def test_order_of_rows_changes_nothing(spark):
+    """Scores do not depend on the order or the parts in which Spark gives the rows."""
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 600, 2)], "doc_id long, quality int")
+    mixed = random.Random(5).sample(rows(), len(rows()))
+    tables = [spark.createDataFrame(rows(), SCHEMA).coalesce(1), spark.createDataFrame(mixed, SCHEMA).coalesce(1), spark.createDataFrame(mixed, SCHEMA).repartition(5)]
+    a, b, c = (sorted((str(r.doc_id), r.th, r.score) for r in quality.classify(df, labels).collect()) for df in tables)
+    assert a == b == c
+
+
 def test_held_out_accuracy(spark):
     pytest.importorskip("duckdb")
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))

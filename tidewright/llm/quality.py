@@ -150,7 +150,8 @@ def classify(docs: DataFrame, labels: DataFrame, fit: int = FIT, keep_at: float
     def sample(rows: DataFrame, total: int) -> np.ndarray:
         share = min(1.0, fit / max(1, total))
         chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "th"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * fit)
-        return np.array([r["x"] for r in chosen.select("x").collect()], np.float64).reshape(-1, len(FEATURES))
+        ordered = sorted(chosen.select("th", "x").collect())  # the fit depends on the order of rows, and Spark's changes
+        return np.array([r["x"] for r in ordered], np.float64).reshape(-1, len(FEATURES))
 
     positive, unlabelled = sample(kinds.where("q = 1"), n["p"]), sample(kinds.where("q is null"), n["u"])
     model = Model(positive, unlabelled) if len(positive) and len(unlabelled) else None
