@@ -146,3 +146,77 @@ def test_simhash_of_operator_3_gives_links(spark):
     wrong = first.unionByName(spark.createDataFrame([(1, 4)], "a long, b long"))
     found, _ = nearcopies.links(nodes, lambda some: sets.join(some, "node"), 0.8, wrong)
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
+
+
+def in_one_bucket(spark, sets):
+    """(nodes of one common bucket, sets) of {node: shingles}, with the sketches that the stage makes."""
+    import numpy as np
+
+    rows = [(k, len(h), [7], nearcopies.band_keys(np.array(sorted(h), np.uint64))[1].view(np.int64).tolist()) for k, h in sets.items()]
+    nodes = spark.createDataFrame(rows, "node long, n int, keys array<long>, sketch array<long>")
+    return nodes, spark.createDataFrame([(k, sorted(h)) for k, h in sets.items()], "node long, h array<long>")
+
+
+def test_link_between_groups_of_two_pivots(spark):
+    """In a large bucket two groups each have a near pivot, and only two other members of them are near each other."""
+    from pyspark.sql import functions as F
+
+    size = 24
+    at = {r.id: r.at for r in spark.range(5000).withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).collect()}
+    pivots, rest = [i for i in at if at[i] * size < 3][:2], [i for i in at if at[i] * size > 5][: size - 2]
+    rnd = random.Random(4)
+    new = lambda n: {rnd.randrange(1 << 62) for _ in range(n)}
+    core, one, two = new(80), new(20), new(20)
+    a, b = core | one, core | two  # similarity .67
+    one, two = sorted(one), sorted(two)
+    between = [core | set(one[:10]) | set(two[:10]), core | set(one[:9]) | set(two[:11])]
+    sets = dict(zip(pivots, (a, b), strict=True)) | dict(zip(rest[:2], between, strict=True))
+    for k, i in enumerate(rest[2:]):
+        sets[i] = (a if k % 2 else b) - {sorted(a if k % 2 else b)[k]} | new(1)
+    assert jaccard_of(a, b) < 0.8 <= min(jaccard_of(a, between[0]), jaccard_of(*between), jaccard_of(b, between[1]))
+    nodes, all_sets = in_one_bucket(spark, sets)
+    found, _ = nearcopies.links(nodes, lambda some: all_sets.join(some, "node"), 0.8)
+    assert all(jaccard_of(sets[r.a], sets[r.b]) >= 0.8 for r in found.collect())
+    roots = nearcopies.components(found).collect()
+    assert len(roots) == size and len({r.root for r in roots}) == 1
+
+
+def jaccard_of(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_rows_of_a_crowd_grow_with_its_tiles(spark, monkeypatch):
+    """A crowd of 1,000 sets of .6 to .8 makes rows by pairs of tiles, not of members, and brute force finds no other groups."""
+    import numpy as np
+
+    made, rnd = {}, np.random.default_rng(6)
+    stage = nearcopies.stage
+
+    def counted(df, label):
+        out, path = stage(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out, path
+
+    base = rnd.integers(0, 1 << 62, 150)
+    sets = {}
+    for i in range(1000):
+        own = base.copy()
+        own[rnd.choice(150, rnd.choice([8, 14, 15, 16]), replace=False)] = rnd.integers(0, 1 << 62)
+        sets[i] = {int(x) for x in own} | ({int(x) for x in rnd.integers(0, 1 << 62, 12)} if i % 3 else set())
+    universe = {t: k for k, t in enumerate(sorted(set().union(*sets.values())))}
+    cells = np.zeros((1000, len(universe)), np.float32)
+    for i, h in sets.items():
+        cells[i, [universe[t] for t in h]] = 1
+    inter, n = cells @ cells.T, cells.sum(axis=1)
+    near = inter >= 0.8 * (n[:, None] + n - inter)
+    want = np.arange(1000)
+    while (step := np.where(near, want, 1000).min(axis=1)).tolist() != want.tolist():
+        want = step
+    nodes, all_sets = in_one_bucket(spark, sets)
+    monkeypatch.setattr(nearcopies, "stage", counted)
+    found, _ = nearcopies.links(nodes, lambda some: all_sets.join(some, "node"), 0.8)
+    got = np.arange(1000)
+    for r in nearcopies.components(found).collect():
+        got[r.node] = r.root
+    assert got.tolist() == want.tolist() and len(set(got.tolist())) > 1
+    assert max(made.values()) < 12_000

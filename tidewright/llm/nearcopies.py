@@ -5,13 +5,15 @@ that pass the exact check are links. SimHash finds a pair of .8 rarely, so more
 similarity J shares one with probability 1 - (1 - J^5)^20, .9996 at .8. Four bits of each minimum are the node's sketch;
 a pair that meets becomes a row only if its sketches agree as often as those of near sets do (SIGMAS standard deviations
 below what is expected, so that one near pair in 50,000 is lost), and then it is verified on the two whole sets of 64-bit
-shingle hashes. Texts with the same set are one node before that, so exact copies cost nothing. In a bucket of more than FULL nodes each is compared with a few pivots, so a
-crowd of near copies costs no more rows than it has members; those that no pivot is near are looked up by their rarest
-shingles among all nodes of large buckets.
+shingle hashes. Texts with the same set are one node before that, so exact copies cost nothing. In a bucket of more than
+FULL nodes each is compared with a few pivots, which joins a crowd of near copies at a row a member. What pivots leave apart
+is settled exactly: the nodes of large buckets are dealt into tiles of like size, and a pair of tiles has all its sets
+intersected in one task, which gives only the links that join something.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ BANDS, ROWS, SEED = 20, 5, 42
 #: Nodes of a bucket that are compared all with all; expected pivots of a larger one in the first round.
 FULL, PIVOTS = 16, 4
 SIGMAS = 4.2
+#: Nodes and shingles of a tile, about; shingles that are looked at together.
+TILE, TILE_SHINGLES, COLUMNS = 256, 1 << 16, 4096
 #: Longs of a sketch: 16 minima each.
 SKETCH = -(-BANDS * ROWS // 16)
 _RND = np.random.Generator(np.random.PCG64(SEED))
@@ -74,18 +78,6 @@ def unlike(a: str, b: str) -> Column:
     return total
 
 
-def one_bit(sketch: str) -> Column:
-    """One bit of each of the first 64 minima of a sketch."""
-    of = lambda i, shift, mask: F.shiftrightunsigned(F.col(sketch)[i], shift).bitwiseAND(F.lit(mask))
-    return of(0, 3, 0x1111111111111111).bitwiseOR(of(1, 2, 0x2222222222222222)).bitwiseOR(of(2, 1, 0x4444444444444444)).bitwiseOR(of(3, 0, -0x7777777777777778))
-
-
-def most_unlike_bits(threshold: float) -> int:
-    """What two such bit rows differ in at most for near sets, but for one pair in 50,000."""
-    p = (1 - threshold) / 2
-    return int(64 * p + SIGMAS * (64 * p * (1 - p)) ** 0.5) + 1
-
-
 def most_unlike(threshold: float) -> int:
     """What unlike() is below for near sets, but for one pair in 50,000."""
     n, p = BANDS * ROWS, (1 - threshold) * 15 / 16
@@ -122,26 +114,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("i") >= threshold * (F.size("ha") + F.size("hb") - F.col("i"))).select("a", "b")
 
 
-def _by_prefix(rest: DataFrame, whole: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> tuple[DataFrame, str]:
-    """(a, b) candidates of the nodes of rest among the nodes of whole, and the table behind them. Pairs that verified links have
-    joined already (roots: node, root) say nothing new and do not become rows; of the other near pairs one in 50,000 is lost to a
-    bit row of 64 minima, by which pairs that share a rare shingle and little else are told apart where they meet.
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set of a with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    both = np.intersect1d(*(np.unique(np.concatenate(x)) for x in (a, b)), assume_unique=True)
+    places = []
+    for sets in (a, b):
+        all_ = np.concatenate(sets)
+        row, at = np.repeat(np.arange(len(sets)), [len(h) for h in sets]), np.searchsorted(both, all_)
+        held = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == all_) if len(both) else []
+        places.append((row[held], at[held]))
+    for lo in range(0, len(both), COLUMNS):  # bounded memory
+        cells = []
+        for sets, (row, at) in zip((a, b), places, strict=True):
+            here = (at >= lo) & (at < lo + COLUMNS)
+            cells.append(np.zeros((len(sets), min(COLUMNS, len(both) - lo)), np.float32))
+            cells[-1][row[here], at[here] - lo] = 1
+        out += cells[0] @ cells[1].T
+    return out.astype(np.int64)
+
+
+def _joining(threshold: float):
+    """Pairs of tiles -> (a, b): near pairs that join what neither roots nor earlier ones of the same two tiles have joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (na, ra, ka, ha), (nb, rb, kb, hb) = ([[m[k] for m in side] for k in ("n", "root", "node", "h")] for side in (left, right))
+                i = _shared(*([np.array(h, np.int64) for h in x] for x in (ha, hb)))
+                near = i >= threshold * (np.array(na)[:, None] + np.array(nb) - i)
+                near &= np.array(ra)[:, None] != np.array(rb)
+                up, found = {}, []
+
+                def top(x: int) -> int:
+                    while x != (above := up.get(x, x)):
+                        up[x] = up.get(above, above)
+                        x = above
+                    return x
+
+                for x, y in np.argwhere(np.triu(near) if same else near).tolist():
+                    if (p := top(ra[x])) != (q := top(rb[y])):
+                        up[p] = q
+                        found.append((min(ka[x], kb[y]), max(ka[x], kb[y])))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    Each set is ordered by how rare its shingles are. Two near sets share one of their first (1 - threshold) n + 1, and the
-    first one they share has enough behind it in both for the overlap they need; texts that share a common passage but no
-    rare shingle do not meet.
+    return run
+
+
+def _by_tiles(large: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """(a, b) links that join what roots (node, root) leave apart among the nodes of large buckets, and the tables behind them.
+
+    Of a set, all but (1 - threshold) n shingles stand in any near one, so a node goes if more of its own stand in no other set.
+    The rest are parted into topics (nodes that common buckets connect), topics by size so that near sets lie in one class
+    or two beside each other, and these into tiles. All pairs of tiles of a topic and such classes meet: that work grows with
+    the square of a topic, but its rows with that of its tiles, and no near pair of a bucket is lost.
     """
-    bits = whole.select("node", one_bit("sketch").alias("s")).dropDuplicates(["node"]).join(roots, "node", "left").select("node", "s", F.coalesce("root", "node").alias("root"))
-    rows = sets.join(whole.select("node").distinct(), "node").select("node", F.size("h").alias("n"), F.explode("h").alias("t"))
-    lists = rows.join(rows.groupBy("t").agg(F.count("*").alias("f")), "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("x"))
-    first = F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    prefix, path = stage(lists.select("node", "n", F.posexplode(first).alias("i", "x")).where("x.f > 1").select("node", "n", "i", "x.t").join(bits, "node"), "nearcopies-prefixes")
-    other = prefix.select(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("i").alias("j"), F.col("s").alias("ps"), F.col("root").alias("proot"), "t")
-    need = F.ceil((F.col("n") + F.col("pn")) * (threshold / (1 + threshold)) - 1e-9)
-    enough = (F.least("n", "pn") >= threshold * F.greatest("n", "pn")) & (F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("j")) >= need)
-    like = F.bit_count(F.col("s").bitwiseXOR(F.col("ps"))) <= most_unlike_bits(threshold)
-    met = prefix.join(rest.select("node").distinct(), "node").join(other, "t").where((F.col("root") != F.col("proot")) & enough & like)
-    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), path
+    rows = sets.join(large.select("node").distinct(), "node").select("node", F.size("h").alias("n"), F.explode("h").alias("t"))
+    common = rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1").select("t")
+    held = rows.join(common, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list("t")).alias("h"))
+    able, able_path = stage(held.where(F.size("h") >= F.col("n") * threshold - 1e-9).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nearcopies-able")
+    inside = large.join(able.select("node"), "node").select("key", "node")
+    topics = components(inside.join(inside.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("node").alias("a"), F.col("least").alias("b")), "nearcopies-topics")
+    kind = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - math.log(threshold))).alias("class")  # near sizes differ by one class at most
+    each = able.join(topics.withColumnRenamed("root", "topic"), "node").select("topic", kind, "node", "n", "root", "h")
+    many = each.groupBy("topic", "class").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.size("h")) / TILE_SHINGLES)).alias("parts"))
+    dealt = each.join(many, ["topic", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts"))
+    members = F.collect_list(F.struct("node", "n", "root", "h")).alias("members")
+    whole_of = F.when(F.min("root") == F.max("root"), F.min("root")).alias("one")
+    tiles, tiles_path = stage(dealt.groupBy("topic", "class", "block").agg(members, whole_of, F.count("*").alias("size")), "nearcopies-tiles")
+    ends = tiles.select("topic", "class", "block", "one", "size")
+    a = ends.select("topic", F.explode(F.array("class", F.col("class") + 1)).alias("cb"), F.col("class").alias("ca"), F.col("block").alias("ba"), F.col("one").alias("oa"), F.col("size").alias("na"))
+    b = ends.select("topic", F.col("class").alias("cb"), F.col("block").alias("bb"), F.col("one").alias("ob"))
+    apart = F.col("oa").isNull() | F.col("ob").isNull() | (F.col("oa") != F.col("ob"))  # else one root holds all of both
+    pairs = a.join(b, ["topic", "cb"]).where(apart & ((F.col("ca") < F.col("cb")) | (F.col("ba") <= F.col("bb")))).select("topic", "ca", "ba", "cb", "bb")
+    pairs, pairs_path = stage(pairs, "nearcopies-tile-pairs")
+    side = lambda x: pairs.join(tiles.select("topic", F.col("class").alias(f"c{x}"), F.col("block").alias(f"b{x}"), F.col("members").alias(x)), ["topic", f"c{x}", f"b{x}"])
+    met = side("a").join(side("b"), ["topic", "ca", "ba", "cb", "bb"]).select(((F.col("ca") == F.col("cb")) & (F.col("ba") == F.col("bb"))).alias("same"), "a", "b")
+    return met.mapInArrow(_joining(threshold), "a long, b long"), [able_path, tiles_path, pairs_path]
 
 
 def simhash_links(prints: DataFrame, k: int = 2) -> tuple[DataFrame, list[str]]:
@@ -185,13 +234,11 @@ def links(nodes: DataFrame, sets_of, threshold: float, first: DataFrame | None =
     found = kept(_verified(pairs, sets, threshold), "links")
     found = found if known is None else kept(found.unionByName(known).distinct(), "links")
     large = whole.where(F.col("m") > FULL)
-    if large.take(1):  # what no pivot of its large bucket is near to
-        one = met.where(F.col("m") > FULL).select("key", "node", F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).join(found, ["a", "b"]).select("key", "node").distinct()
-        rest = kept(large.join(one, ["key", "node"], "left_anti").select("node").distinct(), "rest")
+    if large.take(1):  # what pivots leave apart
         roots = kept(components(found, "nearcopies-first"), "roots")
-        more, path = _by_prefix(rest, large, sets, roots, threshold)
-        paths.append(path)
-        found = found.unionByName(kept(_verified(kept(more, "pairs"), sets, threshold), "links")).distinct()
+        more, more_paths = _by_tiles(large, sets, roots, threshold)
+        paths += more_paths
+        found = found.unionByName(kept(more, "links")).distinct()
     return found, paths
 
 
