@@ -240,3 +240,21 @@ def test_entity_links(spark):
         i: ("|".join(sorted(e)), min(j for j in of if of[j] == e), sum(len(e & of[j]) >= 2 for j in of if j != i)) for i, e in of.items()
     }
     assert len(got) == 60
+
+
+@pytest.mark.parametrize("threshold", [0.4375, 0.5])
+def test_long_titles_are_bounded(threshold, monkeypatch):
+    """Long titles that are unlike are told by bounds; copies, near copies, shared starts and frequent characters are not lost."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("etaoinshrdlu" * 6 + "bcfgkmpvwxyz", k=rnd.randrange(2, 8))) for _ in range(6000)]
+    base = [" ".join(rnd.choices(words, k=k)) for k in (40, 60, 110, 130, 160, 200, 240, 300) for _ in range(5)]
+    near = [" ".join(w for w in t.split() if rnd.random() < p) for t, p in zip(base[::2], [0.6, 0.8, 0.9, 0.95] * 5, strict=True)]
+    start = base[30][:700]
+    odd = ["a" * 700, "a" * 900, "ab" * 400, start + "x" * 300, start + "y" * 400, "ab" * 400 + "q" + "ba" * 100]
+    titles = sorted([*base, *near, *odd], key=len)
+    want = {(i, j): both for i, a in enumerate(titles) for j, b in enumerate(titles[i:], i) if max(both := (T.ratio(a, b), T.ratio(b, a))) >= threshold}
+    done, one = [], T._one_by_one
+    monkeypatch.setattr(T, "_one_by_one", lambda a, b, left, right: done.append(len(left)) or one(a, b, left, right))
+    assert {(i, j): (x, y) for i, j, x, y in T.like_in_tiles(titles, titles, threshold, True)} == want
+    long = sum(len(titles[j]) > T.BLOCKS for _, j in want)
+    assert sum(done) <= 3 * long
