@@ -258,3 +258,20 @@ def test_long_titles_are_bounded(threshold, monkeypatch):
     assert {(i, j): (x, y) for i, j, x, y in T.like_in_tiles(titles, titles, threshold, True)} == want
     long = sum(len(titles[j]) > T.BLOCKS for _, j in want)
     assert sum(done) <= 3 * long
+
+
+@pytest.mark.parametrize("first", [12, 50])
+def test_topics_by_blocks(spark, monkeypatch, first):
+    """Blocks meet the leaders before them: the topics of a pass one by one, though few titles are compared with each other."""
+    monkeypatch.setattr(N, "FIRST_BLOCK", first, raising=False)
+    seen, compared = [], N.compared
+    monkeypatch.setattr(N, "compared", lambda titles, *rest: seen.append(titles.count()) or compared(titles, *rest))
+    rows = made(120, seed=7)
+    topics = {}
+    for i, t, s, boost in rows:
+        lead = next((x for x in topics if topical(t, rows[x][1]) >= 0.35), i)
+        members, sources, most = topics.get(lead, (0, set(), 0.0))
+        topics[lead] = members + 1, sources | {s}, max(most, boost)
+    got = N.topic_clusters(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.leader: (r.members, r.sources, r.boost) for r in got} == {k: (m, len(s), b) for k, (m, s, b) in topics.items()}
+    assert len(seen) > 1 and max(seen) < len(rows) // 2
