@@ -275,3 +275,30 @@ def test_topics_by_blocks(spark, monkeypatch, first):
     got = N.topic_clusters(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.leader: (r.members, r.sources, r.boost) for r in got} == {k: (m, len(s), b) for k, (m, s, b) in topics.items()}
     assert len(seen) > 1 and max(seen) < len(rows) // 2
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.55])
+def test_ratios_of_long_titles(spark, threshold):
+    """Around the lengths from which other rules hold, as SequenceMatcher has them, in a tile and between tiles."""
+    titles = long_ones()
+    rows = list(enumerate(titles))
+    got = {(r.id_a, r.id_b): (r.ab, r.ba) for r in T.ratio_pairs(spark.createDataFrame(rows, "id long, t string"), threshold, tile=50).collect()}
+    assert got == {(i, j): both for i, a in rows for j, b in rows[i:] if max(both := (T.ratio(a, b), T.ratio(b, a))) >= threshold}
+
+
+def test_events_by_few_links(spark, monkeypatch):
+    """Like titles are joined by as many links as events take, not by all their pairs."""
+    rnd = random.Random(8)
+    base = ["".join(rnd.choices("abcdefghijklm", k=60)), "".join(rnd.choices("nopqrstuvwxyz", k=60))]
+    rows = [(i, "".join(c for c in base[i % 2] if rnd.random() < 0.9), "s", 0.0) for i in range(300)]
+    links, joining = [], T.joining_links
+
+    def counted(*args):
+        out = joining(*args)
+        links.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "joining_links", counted)
+    got = N.batch_near_dedup(spark.createDataFrame(rows, SCHEMA), {}).collect()
+    assert [(r.id, r.root) for r in sorted(got)] == [(0, 0), (1, 1)]
+    assert sum(links) <= 300
