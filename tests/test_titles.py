@@ -302,3 +302,14 @@ def test_events_by_few_links(spark, monkeypatch):
     got = N.batch_near_dedup(spark.createDataFrame(rows, SCHEMA), {}).collect()
     assert [(r.id, r.root) for r in sorted(got)] == [(0, 0), (1, 1)]
     assert sum(links) <= 300
+
+
+def test_mentions_until_enough(spark, monkeypatch):
+    """Only titles whose words do not bring enough mentions are asked for like ones."""
+    rnd = random.Random(3)
+    rows = [(i, f"storm hits coast {'abcd'[i % 4] * 9}", "s", 0.0) for i in range(200)] + [(200 + i, "".join(rnd.choices("etaoin ", k=40)), "s", 0.0) for i in range(30)]
+    asked, like_news = [], T.like_news
+    monkeypatch.setattr(T, "like_news", lambda titles, open_, *rest: asked.append(open_.count()) or like_news(titles, open_, *rest))
+    got = {r.id: r.mention_score for r in N.mention_score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: min(1.0, sum(alike(t, o, 0.5, 0.35) for j, o, *_ in rows if i != j) / 5) for i, t, *_ in rows}
+    assert asked == [30]
