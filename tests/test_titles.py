@@ -313,3 +313,16 @@ def test_mentions_until_enough(spark, monkeypatch):
     got = {r.id: r.mention_score for r in N.mention_score(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: min(1.0, sum(alike(t, o, 0.5, 0.35) for j, o, *_ in rows if i != j) / 5) for i, t, *_ in rows}
     assert asked == [30]
+
+
+def test_leaders_by_steps(spark, monkeypatch):
+    """The first leader a title is like, though later leaders are only met by titles that have found none."""
+    titles, met, tiles = long_ones(40), [], T._tiles
+    random.Random(2).shuffle(titles)
+    rows = list(enumerate(titles))
+    monkeypatch.setattr(T, "FIRST_LEADERS", 5)
+    monkeypatch.setattr(T, "_tiles", lambda d, *rest: met.append(d.count()) or tiles(d, *rest))
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.leader for r in T.first_likes(df.where("id >= 45"), df.where("id < 45"), 0.4).collect()}
+    assert got == {i: first for i, t in rows[45:] if (first := next((j for j, o in rows[:45] if T.ratio(t, o) >= 0.4), None)) is not None}
+    assert met[0] == len(rows) - 45 and met[2] < met[0]
