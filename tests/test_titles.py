@@ -326,3 +326,11 @@ def test_leaders_by_steps(spark, monkeypatch):
     got = {r.id: r.leader for r in T.first_likes(df.where("id >= 45"), df.where("id < 45"), 0.4).collect()}
     assert got == {i: first for i, t in rows[45:] if (first := next((j for j, o in rows[:45] if T.ratio(t, o) >= 0.4), None)) is not None}
     assert met[0] == len(rows) - 45 and met[2] < met[0]
+
+
+def test_all_links_whatever_was_near(spark):
+    """Tiles are dealt anew each time, so titles that now share one meet though no step before has joined them."""
+    df = spark.createDataFrame([(i, f"storm hits the north coast {i}") for i in range(40)], "id long, t string")
+    events = df.select("id", F.col("id").alias("root"))
+    for near in (True, False):
+        assert T.joining_links(df, events, 0.55, near).count() == 39
