@@ -334,3 +334,12 @@ def test_all_links_whatever_was_near(spark):
     events = df.select("id", F.col("id").alias("root"))
     for near in (True, False):
         assert T.joining_links(df, events, 0.55, near).count() == 39
+
+
+def test_like_pairs_are_not_kept(spark, monkeypatch):
+    """Pairs grow with the square of the titles: they go on to the copies without a table of their own."""
+    labels, landed = [], N.landed
+    monkeypatch.setattr(N, "landed", lambda df, label: labels.append(label) or landed(df, label))
+    rows = made(40)
+    assert N.title_similarity_pairs(spark.createDataFrame(rows, SCHEMA)).count() == sum(topical(b[1], a[1]) >= 0.35 for i, a in enumerate(rows) for b in rows[i + 1 :])
+    assert labels and "like-titles" not in labels
